@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import piece_codec, token_counts
+from . import decontaminate, piece_codec, token_counts, topk, url_filter
 from .common import tokenizer_path
 
 
@@ -16,9 +17,104 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def dated_entries(pages: DataFrame) -> DataFrame:
+    """A dated list made by rule from the hosts and paths that occur in ``pages``.
+
+    ``n`` is the number in the first four hex digits of a value's MD5. A host is listed on day n % 200 if
+    n % 3 = 0, unlisted 30 + n % 50 days later if n is even, and listed again on day n % 200 + 120 if
+    n % 7 = 0; its parent domain is listed on day n % 300 if n % 11 = 0. A host with its first two path
+    segments is listed on day n % 250 if n % 5 = 0. Day 0 is 2023-01-01.
+    """
+    number = lambda c: F.conv(F.substring(F.md5(c), 1, 4), 16, 10).cast("int")
+    day = lambda n: F.timestamp_seconds(F.lit(1672531200) + n * 86400).alias("at")
+    entry = lambda kind, value, n, listed: (F.lit("rule").alias("list"), F.lit(kind).alias("kind"), value.alias("value"), day(n), F.lit(listed).alias("listed"))
+    seen = pages.select(url_filter.host_of(F.col("url")).alias("host"), F.lower(url_filter.path_of(F.col("url"))).alias("path"))
+    hosts = seen.select("host").where("host IS NOT NULL").distinct().withColumn("n", number(F.col("host")))
+    host, n = F.col("host"), F.col("n")
+    parent = F.expr("substring(host, locate('.', host) + 1)")
+    two = F.concat_ws("/", host, F.regexp_extract("path", "^/([^/]+/[^/]+)", 1))
+    paths = seen.where(r"host IS NOT NULL AND path RLIKE '^/[^/]+/[^/]+'").select(two.alias("host")).distinct().withColumn("n", number(F.col("host")))
+    return (
+        hosts.where("n % 3 = 0").select(*entry("domain", host, n % 200, True))
+        .unionByName(hosts.where("n % 3 = 0 AND n % 2 = 0").select(*entry("domain", host, n % 200 + 30 + n % 50, False)))
+        .unionByName(hosts.where("n % 3 = 0 AND n % 7 = 0").select(*entry("domain", host, n % 200 + 120, True)))
+        .unionByName(hosts.where("n % 11 = 0 AND locate('.', host) > 0").select(*entry("domain", parent, n % 300, True)))
+        .unionByName(paths.where("n % 5 = 0").select(*entry("url", host, n % 250, True)))
+    )
+
+
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page, as fetched on day page_id * 7919 % 400, against the entries of :func:`dated_entries`."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    fetched = pages.withColumn("fetched_at", F.timestamp_seconds(F.lit(1672531200) + F.col("page_id") * 7919 % 400 * 86400))
+    found = url_filter.filter_urls(fetched, dated_entries(pages))
+    return found.select(F.col("id").alias("page_id"), "host", F.unix_seconds("fetched_at").alias("fetched_s"), F.size("hits").cast("long").alias("n_hits"), F.array_join("hits", ",").alias("hits"), "blocked")
+
+
+OP5_SQL = r"""
+WITH page AS (
+  SELECT page_id, 1672531200 + page_id * 7919 % 400 * 86400 AS t,
+         nullif(regexp_replace(lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:@]*)', 1)), '\.$', ''), '') AS host,
+         lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.\-]*://[^/?#]*(/[^?#]*)', 1)) AS path
+  FROM pages),
+h AS (SELECT host, ('0x' || substr(md5(host), 1, 4))::INT AS n FROM (SELECT DISTINCT host FROM page WHERE host IS NOT NULL)),
+p AS (SELECT v, ('0x' || substr(md5(v), 1, 4))::INT AS n FROM (SELECT DISTINCT host || '/' || regexp_extract(path, '^/([^/]+/[^/]+)', 1) AS v FROM page WHERE host IS NOT NULL AND regexp_matches(path, '^/[^/]+/[^/]+'))),
+entry AS (
+  SELECT 'domain' AS kind, host AS v, n % 200 AS d, true AS listed FROM h WHERE n % 3 = 0
+  UNION ALL SELECT 'domain', host, n % 200 + 30 + n % 50, false FROM h WHERE n % 6 = 0
+  UNION ALL SELECT 'domain', host, n % 200 + 120, true FROM h WHERE n % 21 = 0
+  UNION ALL SELECT 'domain', substr(host, instr(host, '.') + 1), n % 300, true FROM h WHERE n % 11 = 0 AND instr(host, '.') > 0
+  UNION ALL SELECT 'url', v, n % 250, true FROM p WHERE n % 5 = 0),
+event AS (SELECT kind, v, 1672531200 + d * 86400 AS ts, bool_and(listed) AS listed FROM entry GROUP BY ALL),
+span AS (SELECT *, lead(ts) OVER (PARTITION BY kind, v ORDER BY ts) AS until FROM event),
+hit AS (
+  SELECT DISTINCT page.page_id, 'rule:' || v AS label FROM page JOIN span ON listed AND ts <= t AND (until IS NULL OR t < until)
+   AND ((kind = 'domain' AND (host = v OR ends_with(host, '.' || v)))
+     OR (kind = 'url' AND (rtrim(host || '/' || array_to_string(list_filter(string_split(path, '/'), lambda x: x <> ''), '/'), '/') = v
+                           OR starts_with(host || '/' || array_to_string(list_filter(string_split(path, '/'), lambda x: x <> ''), '/'), v || '/')))))
+SELECT page.page_id, any_value(host) AS host, any_value(t) AS fetched_s, count(label) AS n_hits,
+       coalesce(string_agg(label, ',' ORDER BY label), '') AS hits, count(label) > 0 AS blocked
+FROM page LEFT JOIN hit USING (page_id) GROUP BY page.page_id
+"""
+
+
 def op7_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_codec.code_digest(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op7_piece_codec)}
-ORACLES: dict[str, str] = {}
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.find_hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return decontaminate.hit_digest(found).drop("longest")
+
+
+OP8_SQL = r"""
+WITH item AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark WHERE text IS NOT NULL AND item_id IS NOT NULL),
+win AS (SELECT DISTINCT item, least(10, len(w)) AS n, array_to_string(w[i : i + least(10, len(w)) - 1], ' ') AS s FROM item, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS r(i) WHERE len(w) > 0),
+doc AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+here AS (SELECT doc_id, i, n, array_to_string(w[i : i + n - 1], ' ') AS s FROM doc, (SELECT DISTINCT n FROM win), unnest(range(1, len(w) - n + 2)) AS r(i)),
+hit AS (SELECT doc_id, i, here.n, item FROM here JOIN win USING (n, s)),
+word AS (SELECT doc_id, count(DISTINCT j) AS n_hit FROM (SELECT DISTINCT doc_id, i, n FROM hit), unnest(range(i, i + n)) AS r(j) GROUP BY doc_id),
+named AS (SELECT doc_id, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS items FROM hit GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM doc LEFT JOIN word USING (doc_id) LEFT JOIN named USING (doc_id)
+"""
+
+
+def op9_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+OP9_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x)))),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_sum(list_transform(range(1, len(q.e) + 1), lambda i: q.e[i] * c.e[i])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id AND len(q.e) = len(c.e))
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank, vec_id, score
+FROM s QUALIFY rank <= 5
+"""
+
+QUERIES = {f.__name__: f for f in (op1_token_counts, op5_url_filter, op7_piece_codec, op8_decontaminate, op9_exact_topk)}
+ORACLES = {"op5_url_filter": OP5_SQL, "op8_decontaminate": OP8_SQL, "op9_exact_topk": OP9_SQL}
