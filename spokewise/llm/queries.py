@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, piece_codec, token_counts, topk, url_filter
+from . import decontaminate, piece_codec, recompression, suffix_dedup, token_counts, topk, url_filter
 from .common import tokenizer_path
 
 
@@ -78,6 +78,16 @@ FROM page LEFT JOIN hit USING (page_id) GROUP BY page.page_id
 """
 
 
+def span_sum() -> Column:
+    """The length of all spans (start, end, ...)."""
+    return F.aggregate(F.transform("spans", lambda x, i: F.when(i % 2 == 0, -x).otherwise(x)), F.lit(0).cast("long"), lambda a, x: a + x)
+
+
+def op6_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = recompression.drop_repeats(table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "n_words", span_sum().alias("n_removed"), F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op7_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_codec.code_digest(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
@@ -116,5 +126,10 @@ SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DE
 FROM s QUALIFY rank <= 5
 """
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op5_url_filter, op7_piece_codec, op8_decontaminate, op9_exact_topk)}
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.drop_repeats(table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "n_bytes", span_sum().alias("n_removed"), F.expr("cast(size(spans) div 2 as long)").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_counts, op5_url_filter, op6_recompression, op7_piece_codec, op8_decontaminate, op9_exact_topk, op10_suffix_dedup)}
 ORACLES = {"op5_url_filter": OP5_SQL, "op8_decontaminate": OP8_SQL, "op9_exact_topk": OP9_SQL}
