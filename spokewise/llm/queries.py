@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, piece_codec, recompression, suffix_dedup, token_counts, topk, url_filter
+from . import decontaminate, near_dedup, piece_codec, recompression, suffix_dedup, token_counts, topk, url_filter
 from .common import tokenizer_path
 
 
@@ -43,6 +43,10 @@ def dated_entries(pages: DataFrame) -> DataFrame:
     )
 
 
+def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), width=4)
+
+
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page, as fetched on day page_id * 7919 % 400, against the entries of :func:`dated_entries`."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
@@ -131,5 +135,5 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "n_bytes", span_sum().alias("n_removed"), F.expr("cast(size(spans) div 2 as long)").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op5_url_filter, op6_recompression, op7_piece_codec, op8_decontaminate, op9_exact_topk, op10_suffix_dedup)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op4_near_dedup, op5_url_filter, op6_recompression, op7_piece_codec, op8_decontaminate, op9_exact_topk, op10_suffix_dedup)}
 ORACLES = {"op5_url_filter": OP5_SQL, "op8_decontaminate": OP8_SQL, "op9_exact_topk": OP9_SQL}
