@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, near_dedup, piece_codec, recompression, suffix_dedup, token_counts, topk, url_filter
+from . import decontaminate, line_dedup, near_dedup, piece_codec, recompression, suffix_dedup, token_counts, topk, toxicity, url_filter
 from .common import tokenizer_path
 
 
@@ -43,6 +43,24 @@ def dated_entries(pages: DataFrame) -> DataFrame:
     )
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.drop_common_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_lines", "n_deleted", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+
+
+def is_held_out(doc_id: str = "doc_id") -> Column:
+    return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1, F.lit(False))
+
+
+def toxicity_model(spark: SparkSession, sf_dir: str) -> toxicity.Model:
+    return toxicity.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), is_held_out())
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = toxicity.score_texts(table(spark, sf_dir, "documents"), toxicity_model(spark, sf_dir))
+    return found.select(F.col("id").alias("doc_id"), is_held_out("id").alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), width=4)
 
@@ -135,5 +153,5 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "n_bytes", span_sum().alias("n_removed"), F.expr("cast(size(spans) div 2 as long)").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op4_near_dedup, op5_url_filter, op6_recompression, op7_piece_codec, op8_decontaminate, op9_exact_topk, op10_suffix_dedup)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_line_dedup, op3_toxicity, op4_near_dedup, op5_url_filter, op6_recompression, op7_piece_codec, op8_decontaminate, op9_exact_topk, op10_suffix_dedup)}
 ORACLES = {"op5_url_filter": OP5_SQL, "op8_decontaminate": OP8_SQL, "op9_exact_topk": OP9_SQL}
