@@ -27,7 +27,7 @@ from .windows import Sums, flat_bytes, ragged, words
 #: Letters spanned by a subsequence at most, and the decay for each.
 SPAN, DECAY = 6, 0.7
 #: Labelled texts that are fitted: toxic and clean ones at most, and their bytes at most.
-TOXIC_ROWS, CLEAN_ROWS, ROW_BYTES = 1_500, 6_000, 40_000
+TOXIC_ROWS, CLEAN_ROWS, ROW_BYTES = 1_500, 5_000, 40_000
 LANDMARKS, ROUNDS, RIDGE = 200, 5, 3e-4
 #: Log odds of a first witness, standard errors between its shares, and the share of toxic texts that hold it.
 TELLING, SURE, SHARE = 2.0, 3.5, 0.02
@@ -85,11 +85,12 @@ def letters(flat: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     at = start[:, None] + np.arange(-1, STRETCH + 1)
     inside = (at >= start[:, None]) & (at < end[:, None])
     border = (at == start[:, None] - 1) | (at == end[:, None])
-    return np.where(inside, _CLASS[flat[np.clip(at, 0, len(flat) - 1)]], np.where(border, 62, 0))
+    return np.where(inside, _CLASS[flat[np.clip(at, 0, len(flat) - 1)]], np.where(border, 62, 0)).astype(np.uint8)
 
 
 def subsequences(m: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, float]]:
     """For each pair of gaps: the subsequences at each place, which of them exist, and their weight."""
+    m = m.astype(np.int32)
     for d, e in _GAPS:
         yield m[:, :-e] << 12 | m[:, d : m.shape[1] - e + d] << 6 | m[:, e:], m[:, e:] > 0, DECAY ** (e + 1)
 
@@ -152,43 +153,57 @@ def svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float) -> tuple
     return w[:-1], float(w[-1])
 
 
-def inserted(flat: np.ndarray, start: np.ndarray, end: np.ndarray, copies: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def inserted(m: np.ndarray, copies: int) -> np.ndarray:
     """Copies of the strings, each with one letter put in at a place of its own."""
     rng = np.random.default_rng(5)
-    made = []
-    for a, b in zip(np.tile(start, copies).tolist(), np.tile(end, copies).tolist()):
-        word = flat[a:b].tobytes()
-        k = int(rng.integers(1, max(2, b - a)))
-        made.append(word[:k] + bytes([int(rng.choice(np.frombuffer(b"abcdefghijklmnopqrstuvwxyz-.*", np.uint8)))]) + word[k:])
-    size = np.fromiter(map(len, made), np.int64, len(made))
-    ends = np.cumsum(size)
-    return np.frombuffer(b"".join(made), np.uint8), ends - size, ends
+    m = np.tile(m, (copies, 1))
+    size = (m > 0).sum(1)
+    at = rng.integers(2, np.maximum(3, size - 1))[:, None]
+    letter = rng.choice(np.unique(_CLASS[np.frombuffer(b"abcdefghijklmnopqrstuvwxyz-.*", np.uint8)]), len(m))[:, None]
+    place = np.arange(m.shape[1])[None, :]
+    moved = np.c_[m[:, :1], m[:, :-1]]
+    return np.where(place < at, m, np.where(place == at, letter, moved)).astype(np.uint8)
+
+
+def words_of_texts(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Which words each text has, as pairs in order of the texts, and the letters of all words."""
+    rows, names, known, shapes = [], [], [np.zeros(0, dtype=np.uint64)], [np.zeros((0, STRETCH + 2), dtype=np.uint8)]
+    for k in range(0, len(texts), 100):
+        flat, off = flat_bytes(pa.array(texts[k : k + 100], pa.string()))
+        start, end, row = unit_places(flat, off)
+        name = Sums(flat).of(start, end)
+        order = np.lexsort((name, row))
+        name_, row_ = name[order], row[order]
+        new = np.ones(len(order), dtype=bool)
+        new[1:] = (name_[1:] != name_[:-1]) | (row_[1:] != row_[:-1])
+        rows.append((row_[new] + k).astype(np.int32))
+        names.append(name_[new])
+        own, at = np.unique(name, return_index=True)
+        known.append(own)
+        shapes.append(letters(flat, start[at], end[at]))
+    all_names, at = np.unique(np.concatenate(known), return_index=True)
+    return np.concatenate(rows or [np.zeros(0, np.int32)]), np.searchsorted(all_names, np.concatenate(names or [all_names])), np.concatenate(shapes)[at]
 
 
 def fit(texts: list[str], toxic: list[int]) -> Model:
     """The model of some labelled texts; of one label only, a constant score of that label's share."""
     y = np.array(toxic, dtype=np.int64)
-    flat, off = flat_bytes(pa.array(texts, pa.string()))
-    start, end, row = unit_places(flat, off)
-    if not len(start) or len(np.unique(y)) < 2:
+    row, word, m = words_of_texts(texts)
+    if not len(row) or len(np.unique(y)) < 2:
         share = (y.sum() + 1) / (len(y) + 2)
         return Model(np.zeros(1 << 18, dtype=np.float32), 0.0, 0.0, float(np.log(share / (1 - share))))
-    name = Sums(flat).of(start, end)
-    _, at, word = np.unique(name, return_index=True, return_inverse=True)
-    pairs = np.unique(np.stack([row, word]), axis=1)  # which words each text has
-    in_toxic = np.bincount(pairs[1][y[pairs[0]] == 1], minlength=len(at))
-    in_clean = np.bincount(pairs[1][y[pairs[0]] == 0], minlength=len(at))
+    in_toxic = np.bincount(word[y[row] == 1], minlength=len(m))
+    in_clean = np.bincount(word[y[row] == 0], minlength=len(m))
     n1, n0 = y.sum(), len(y) - y.sum()
     odds = np.log((in_toxic + 0.1) / (n1 + 0.2)) - np.log((in_clean + 0.1) / (n0 + 0.2))
-    first = np.flatnonzero(np.r_[True, pairs[0][1:] != pairs[0][:-1]])
-    cuts = np.append(first, pairs.shape[1])
-    m = letters(flat, start[at], end[at])
+    first = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
+    cuts = np.append(first, len(row))
 
     def strongest(value: np.ndarray) -> np.ndarray:
         """The best-valued word of each text with words."""
-        return np.array([pairs[1][a + np.argmax(value[pairs[1][a:b]])] for a, b in zip(cuts[:-1], cuts[1:])])
+        return np.array([word[a + np.argmax(value[word[a:b]])] for a, b in zip(cuts[:-1], cuts[1:])])
 
-    who = y[pairs[0][first]]
+    who = y[row[first]]
     # the first witnesses: words of a fair share of the toxic texts that clean ones hardly have
     both = (in_toxic + in_clean) / len(y)
     sure = (in_toxic / n1 - in_clean / n0) / np.sqrt(both * (1 - both) * (1 / n1 + 1 / n0) + 1e-12)
@@ -224,8 +239,7 @@ def fit(texts: list[str], toxic: list[int]) -> Model:
     others = rng.permutation(clean_words)[:6_000]
     rivals = np.unique(np.r_[rival, others])
     for step in range(ROUNDS):
-        wide = inserted(flat, start[at][witness], end[at][witness], COPIES)
-        x = np.r_[placed(m[witness]), placed(letters(*wide)), placed(m[rivals])]
+        x = np.r_[placed(m[witness]), placed(inserted(m[witness], COPIES)), placed(m[rivals])]
         n = len(witness)
         t = np.r_[np.ones((1 + COPIES) * n), -np.ones(len(rivals))]
         weight = np.r_[np.full(n, 0.5 / n), np.full(COPIES * n, 0.5 / (COPIES * n)), np.full(len(rivals), 1 / len(rivals))]
