@@ -242,3 +242,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     component = F.coalesce("component", "rep", "doc")
     back = lambda c: F.when(c != _NULL_ID, c)
     return out.select(back(F.col("doc")).alias("doc_id"), F.col("n").alias("n_shingles"), back(component).alias("component_id"), (component == F.col("doc")).alias("kept"))
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """The rows of ``docs``, with all their columns, of the one document that stays of each group."""
+    found = near_duplicates(docs, id_col, text_col, width, percent).where("kept")
+    kept = found.select(F.coalesce("doc_id", F.lit(_NULL_ID)).alias("__near_doc")).distinct()
+    return docs.withColumn("__near_doc", F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_ID))).join(kept, "__near_doc", "left_semi").drop("__near_doc")
