@@ -153,6 +153,11 @@ class PieceTable:
             text = text[1:]
         return text.replace(MARK, " ")
 
+    def forget(self) -> None:
+        """Gives back the memory that grows with the texts; a worker goes on to other work."""
+        self.known.clear()
+        self.pairs.clear()
+
     def remember(self, chunks: list[str]) -> None:
         if len(self.known) > REMEMBERED_CHUNKS:
             self.known.clear()
@@ -205,6 +210,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
             got = table.coded(b.column("text").to_pylist())
             ids = [[*map(int, i.split()), table.end] for i, _ in got]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(ids, pa.list_(pa.int32())), pa.array([d for _, d in got], pa.string())], ["doc_id", "ids", "decoded"])
+        table.forget()
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(rows, "doc_id long, ids array<int>, decoded string")
 

@@ -290,7 +290,7 @@ def score_texts(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col:
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in text_slices(batches, "text", 2 << 20):
+        for b in text_slices(batches, "text", 1 << 19):
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(held.value.scores(*flat_bytes(b.column("text"))))], ["id", "score"])
 
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(rows, "id long, score double")
@@ -301,7 +301,7 @@ def drop_toxic(docs: DataFrame, model: Model, text_col: str = "text", least: flo
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in text_slices(batches, text_col, 2 << 20):
+        for b in text_slices(batches, text_col, 1 << 19):
             yield b.filter(pa.array(held.value.scores(*flat_bytes(b.column(text_col))) < least))
 
     return docs.mapInArrow(rows, docs.schema)
