@@ -19,7 +19,9 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     ends = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a IS NOT NULL AND b IS NOT NULL")
     nodes = ends.select("a").union(ends.select("b")).distinct()
     pairs = stash(ends.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "pairs")
-    # a star for each component: every u has one v, and no v is a u
+    tally = lambda p: tuple(p.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+    before = tally(pairs)
+    # settled are stars: every u has one v, and no v is a u
     for _ in range(max_rounds):
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -28,10 +30,10 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
         joined = large.join(small_low, "u")
         small = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small_low.select("u", F.col("m").alias("v")))
         new = stash(small.distinct(), "pairs")
-        tally = lambda p: p.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-        if tally(new) == tally(pairs):
+        pairs, seen = new, before
+        before = tally(new)
+        if before == seen:
             break
-        pairs = new
     else:
         raise RuntimeError(f"components are not settled after {max_rounds} rounds")
     return nodes.join(pairs, nodes.a == pairs.u, "left").select(F.col("a").alias("node"), F.coalesce("v", "a").alias("component"))

@@ -94,7 +94,10 @@ def component_sizes(found: DataFrame) -> DataFrame:
 
 def component_summary(found: DataFrame) -> DataFrame:
     """One row: components, the largest and its share, components of one node, and a verdict."""
-    sizes = component_sizes(found)
+    return _summary(component_sizes(found).groupBy())
+
+
+def _summary(sizes) -> DataFrame:
     share = 100.0 * F.max("nodes") / F.sum("nodes")
     out = sizes.agg(F.count("*").alias("components"), F.coalesce(F.max("nodes"), F.lit(0)).alias("largest"), F.coalesce(share, F.lit(0.0)).alias("largest_pct"), F.count_if(F.col("nodes") == 1).alias("singletons"))
     return out.withColumn("verdict", F.when(F.col("largest_pct") < 80, "warning").when(F.col("largest_pct") < 95, "note").otherwise("ok"))
@@ -111,11 +114,12 @@ def main_component(found: DataFrame) -> DataFrame:
 
 
 def connectivity_by_lts(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The component summary when riders keep to each level."""
-    out = None
-    for level in (1, 2, 3, 4):
-        one = component_summary(components(edges, nodes, level)).withColumn("max_lts", F.lit(level))
-        out = one if out is None else out.unionByName(one)
-    return out
-
-
+    """The component summary when riders keep to each level; all levels go through the same rounds."""
+    level = F.explode(F.sequence(F.greatest(F.coalesce("lts", F.lit(0)).cast("int"), F.lit(1)), F.lit(4)))
+    at = lambda node: F.struct("max_lts", F.col(node).alias("node"))
+    pairs = edges.withColumn("max_lts", level).select(at("from_node").alias("a"), at("to_node").alias("b"))
+    found = connected_components(pairs)
+    every = nodes.select(F.explode(F.sequence(F.lit(1), F.lit(4))).alias("max_lts"), "node_id").select(at("node_id").alias("node"))
+    labels = every.join(found, "node", "left").select("node.max_lts", F.coalesce("component", "node")["node"].alias("component"))
+    sizes = labels.groupBy("max_lts", "component").agg(F.count("*").alias("nodes"))
+    return _summary(sizes.groupBy("max_lts"))
