@@ -65,6 +65,22 @@ def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), width=4)
 
 
+OP4_SQL = r"""
+WITH RECURSIVE
+doc AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+shingle AS (SELECT DISTINCT doc_id, array_to_string(w[i : i + 3], ' ') AS s FROM doc, unnest(range(1, greatest(2, len(w) - 2))) AS r(i) WHERE len(w) > 0),
+size AS (SELECT doc_id, count(*) AS n FROM shingle GROUP BY doc_id),
+met AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM shingle a JOIN shingle b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+link AS (SELECT a, b FROM met JOIN size x ON x.doc_id = a JOIN size y ON y.doc_id = b WHERE 100 * met.n >= 80 * (x.n + y.n - met.n)),
+near AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+label(doc_id, component_id) USING KEY (doc_id) AS (
+  SELECT doc_id, doc_id FROM doc
+  UNION
+  SELECT near.b, min(l.component_id) FROM label l JOIN near ON near.a = l.doc_id JOIN recurring.label r ON r.doc_id = near.b WHERE l.component_id < r.component_id GROUP BY near.b)
+SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept FROM label LEFT JOIN size USING (doc_id)
+"""
+
+
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page, as fetched on day page_id * 7919 % 400, against the entries of :func:`dated_entries`."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
@@ -110,6 +126,16 @@ def op6_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "n_words", span_sum().alias("n_removed"), F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
+OP6_SQL = r"""
+WITH doc AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+win AS (SELECT doc_id, i, array_to_string(w[i : i + 34], ' ') AS s FROM doc, unnest(range(1, len(w) - 33)) AS r(i)),
+again AS (SELECT s FROM win GROUP BY s HAVING count(*) > 1),
+hit AS (SELECT DISTINCT doc_id, i + k AS j FROM win JOIN again USING (s), unnest(range(35)) AS t(k)),
+kept AS (SELECT doc_id, count(*) AS n, string_agg(w[j], ' ' ORDER BY j) AS text FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS j FROM doc) a ANTI JOIN hit USING (doc_id, j) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(text, '')) AS kept_sha256 FROM doc LEFT JOIN kept USING (doc_id)
+"""
+
+
 def op7_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_codec.code_digest(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
@@ -153,5 +179,20 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "n_bytes", span_sum().alias("n_removed"), F.expr("cast(size(spans) div 2 as long)").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+OP10_SQL = """
+WITH doc AS (SELECT doc_id, encode(coalesce(text, '')) AS t, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+win AS (SELECT doc_id, i, t[i : i + 99] AS s FROM doc, unnest(range(1, n - 98)) AS r(i)),
+later AS (SELECT doc_id, i FROM win QUALIFY row_number() OVER (PARTITION BY s ORDER BY doc_id, i) > 1),
+step AS (SELECT doc_id, i, i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS gap FROM later),
+run AS (SELECT doc_id, i, sum(CASE WHEN gap <= 100 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM step),
+span AS (SELECT doc_id, min(i) AS a, max(i) + 99 AS b FROM run GROUP BY doc_id, g),
+cut AS (SELECT doc_id, a, b, lag(b, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS before FROM span),
+kept AS (SELECT doc_id, count(*) AS spans, sum(b - a + 1) AS gone, max(b) AS last, string_agg(hex(t[before + 1 : a - 1]), '' ORDER BY a) AS h FROM cut JOIN doc USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, CAST(coalesce(spans, 0) AS BIGINT) AS n_spans,
+       CASE WHEN spans IS NULL THEN sha256(t) ELSE sha256(unhex(h || hex(t[last + 1 : n]))) END AS kept_sha256
+FROM doc LEFT JOIN kept USING (doc_id)
+"""
+
+
 QUERIES = {f.__name__: f for f in (op1_token_counts, op2_line_dedup, op3_toxicity, op4_near_dedup, op5_url_filter, op6_recompression, op7_piece_codec, op8_decontaminate, op9_exact_topk, op10_suffix_dedup)}
-ORACLES = {"op5_url_filter": OP5_SQL, "op8_decontaminate": OP8_SQL, "op9_exact_topk": OP9_SQL}
+ORACLES = {"op4_near_dedup": OP4_SQL, "op5_url_filter": OP5_SQL, "op6_recompression": OP6_SQL, "op8_decontaminate": OP8_SQL, "op9_exact_topk": OP9_SQL, "op10_suffix_dedup": OP10_SQL}
