@@ -54,11 +54,11 @@ class PieceTable:
         if any(MARK in p.lstrip(MARK) for p in self.id):
             raise ValueError("a piece has a word mark after a letter")
         self.automaton = ahocorasick.Automaton()
-        for p in self.id:
-            self.automaton.add_word(p, p)
+        for p, i in self.id.items():
+            self.automaton.add_word(p, (len(p), i))
         self.automaton.make_automaton()
-        self.whole: dict[str, bool] = {}
-        self.pairs: dict[tuple[str, str], bool] = {}
+        self.whole: dict[int, bool] = {}
+        self.pairs: dict[int, bool] = {}
         self.known: dict[str, tuple[str, str]] = {}
 
     def merged(self, text: str) -> list[str]:
@@ -75,64 +75,67 @@ class PieceTable:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
-    def is_whole(self, piece: str) -> bool:
+    def is_whole(self, piece: int) -> bool:
         """Whether merging this piece's letters gives the piece."""
-        if piece not in self.whole:
-            self.whole[piece] = self.merged(piece) == [piece]
-        return self.whole[piece]
+        got = self.whole.get(piece)
+        if got is None:
+            text = self.surface[piece]
+            got = self.whole[piece] = self.merged(text) == [text]
+        return got
 
-    def fits(self, left: str, right: str) -> bool:
+    def fits(self, left: int, right: int) -> bool:
         """Whether ``right`` can follow ``left``: merging the two alone leaves them as they are.
 
         Both are whole, so the two stay apart unless a merge across their border comes before the merges
         that make its sides part of larger pieces.
         """
-        got = self.pairs.get((left, right))
-        if got is None:
-            if len(self.pairs) > REMEMBERED_PAIRS:
-                self.pairs.clear()
-            got = self.pairs[left, right] = self.is_whole(right) and self.merged(left + right) == [left, right]
+        if len(self.pairs) > REMEMBERED_PAIRS:
+            self.pairs.clear()
+        a, b = self.surface[left], self.surface[right]
+        got = self.pairs[left << 20 | right] = self.is_whole(right) and self.merged(a + b) == [a, b]
         return got
 
-    def split(self, chunk: str) -> list[str]:
-        """The pieces of a chunk, by its prefix table; a letter that is no piece stands alone."""
-        last: list[str | None] = [None] * (len(chunk) + 1)
+    def split(self, chunk: str) -> list[int]:
+        """The pieces of a chunk, by its prefix table; -1 for a letter that is no piece and stands alone."""
+        n = len(chunk)
+        last = [-1] * (n + 1)
         pairs = self.pairs
-        for at, piece in self.automaton.iter(chunk):  # by end, the longest first
+        for at, (size, piece) in self.automaton.iter(chunk):  # by end, the longest first
             at += 1
-            if last[at] is not None:
+            if last[at] >= 0:
                 continue
-            before = last[at - len(piece)]
-            if before is None:  # the chunk's start, or a letter that is no piece and takes part in no merge
+            before = last[at - size]
+            if before < 0:  # the chunk's start, or a letter that is no piece and takes part in no merge
                 fits = self.is_whole(piece)
             else:
-                fits = pairs.get((before, piece))
+                fits = pairs.get(before << 20 | piece)
                 if fits is None:
                     fits = self.fits(before, piece)
             if fits:
                 last[at] = piece
-        out, at = [], len(chunk)
-        while at:
-            piece = last[at] or chunk[at - 1]
+        out, surface = [], self.surface
+        while n:
+            piece = last[n]
             out.append(piece)
-            at -= len(piece)
+            n -= len(surface[piece]) if piece >= 0 else 1
         out.reverse()
         return out
 
-    def ids(self, chunk: str) -> list[int]:
+    def coded_chunk(self, chunk: str) -> tuple[str, str]:
+        """Ids as decimals joined by spaces, and the text they decode to."""
         pieces = self.split(chunk)
-        try:
-            return [self.id[piece] for piece in pieces]
-        except KeyError:  # letters that are no piece
-            pass
+        if -1 not in pieces:  # no bytes: the pieces' letters in a row are the chunk
+            return " ".join(map(str, pieces)), chunk.replace(MARK, " ")
         out: list[int] = []
+        at = 0
         for piece in pieces:
-            i = self.id.get(piece)
-            if i is None:
-                out += [self.byte[b] for b in piece.encode()]
+            if piece >= 0:
+                out.append(piece)
+                at += len(self.surface[piece])
             else:
-                out.append(i)
-        return out
+                out += [self.byte[b] for b in chunk[at].encode()]
+                at += 1
+        return " ".join(map(str, out)), self.text(out, first=False)
 
     def text(self, ids: list[int], first: bool = True) -> str:
         """Decode: bytes in a row are read as UTF-8, marks become spaces, the first mark of all goes."""
@@ -161,10 +164,10 @@ class PieceTable:
     def remember(self, chunks: list[str]) -> None:
         if len(self.known) > REMEMBERED_CHUNKS:
             self.known.clear()
+        known, coded = self.known, self.coded_chunk
         for c in chunks:
-            if c not in self.known:
-                ids = self.ids(c)
-                self.known[c] = (" ".join(map(str, ids)), self.text(ids, first=False))
+            if c not in known:
+                known[c] = coded(c)
 
     def chunks(self, text: str) -> list[str]:
         """The chunks of a text; a mark leads it, as the model's dummy prefix does.
