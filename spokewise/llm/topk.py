@@ -15,10 +15,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Queries in one broadcast block; each block is one pass over the candidates.
-QUERY_BLOCK = 16_384
-#: Candidates that are laid out at once, and dimensions that are added at once.
-CANDIDATES, DIMENSIONS = 16_384, 16
+from ..storage import stash
+
+#: Queries and candidates in one block, and dimensions that are added at once.
+QUERY_BLOCK, CANDIDATES, DIMENSIONS = 8_192, 8_192, 16
 
 #: Sums stay exact in doubles up to here; larger inputs are summed as Python integers.
 EXACT = float(2**53)
@@ -97,14 +97,54 @@ def scan(best: Best, query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray
             best.add(q, total.astype(np.int64).tolist(), ids[alive].tolist())
 
 
-def by_length(ids: list[int], vectors: list[np.ndarray]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    groups: dict[int, list[int]] = {}
-    for n, v in enumerate(vectors):
-        groups.setdefault(len(v), []).append(n)
-    return {d: (np.array([ids[n] for n in at], dtype=np.int64), np.array([vectors[n] for n in at]).reshape(len(at), d)) for d, at in groups.items()}
+BLOCK = "d int, n int, wide boolean, ids binary, vectors binary"
+
+
+def packed(batches: Iterator[pa.RecordBatch], factor: int, most: int) -> Iterator[pa.RecordBatch]:
+    """Scaled vectors in blocks of one length and ``most`` rows, vertical: dimension by dimension."""
+    held: dict[int, tuple[list[int], list[np.ndarray]]] = {}
+
+    def block(d: int) -> pa.RecordBatch:
+        ids, vs = held.pop(d)
+        columns = np.ascontiguousarray(np.array(vs).reshape(len(ids), d).T)
+        wide = bool(np.abs(columns).max(initial=0) >= 2**31 - 1)
+        data = columns.astype(np.float64 if wide else np.int32).tobytes()
+        return pa.RecordBatch.from_pydict({"d": pa.array([d], pa.int32()), "n": pa.array([len(ids)], pa.int32()), "wide": [wide], "ids": [np.array(ids, dtype=np.int64).tobytes()], "vectors": [data]})
+
+    for b in batches:
+        keep, vs = scaled(b.column("v"), factor)
+        for i, v in zip((i for i, ok in zip(b.column("id").to_pylist(), keep) if ok), vs):
+            ids, own = held.setdefault(len(v), ([], []))
+            ids.append(i)
+            own.append(v)
+            if len(ids) == most:
+                yield block(len(v))
+    for d in list(held):
+        yield block(d)
+
+
+def opened(d: int, n: int, wide: bool, ids: bytes, vectors: bytes) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer(ids, np.int64), np.frombuffer(vectors, np.float64 if wide else np.int32).reshape(d, n).astype(np.float64)
+
+
+def met(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    """The best of each query of every pair of blocks; a task keeps its bests from block to block."""
+    best: dict[tuple[int, bytes], tuple[np.ndarray, np.ndarray, Best]] = {}
+    for b in batches:
+        for i in range(b.num_rows):
+            own = {c: b.column(c)[i].as_py() for c in b.schema.names}
+            key = (own["d"], own["q_ids"])
+            if key not in best:
+                ids, columns = opened(own["d"], own["q_n"], own["q_wide"], own["q_ids"], own["q_vectors"])
+                best[key] = ids, np.ascontiguousarray(columns.T), Best(len(ids), k)
+            scan(best[key][2], *best[key][:2], *opened(own["d"], own["n"], own["wide"], own["ids"], own["vectors"]))
+    for ids, _, own in best.values():
+        out = [(int(q), i, -s) for q, top in zip(ids, own.top) for s, i in top]
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["query_id", "vec_id", "score"])
 
 
-def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", factor: int = 256, query_block: int = QUERY_BLOCK) -> DataFrame:
+def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", factor: int = 256, query_block: int = QUERY_BLOCK, candidates: int = CANDIDATES) -> DataFrame:
     """Each query's ``k`` best rows: ``query_id, rank, vec_id, score``.
 
     ``is_query`` picks the queries; candidates are all rows of another id. Score: the inner product of
@@ -113,56 +153,18 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_i
     vectors of different lengths don't meet; a repeated row is one candidate; fewer candidates than ``k``
     are all returned; no queries give no rows; other columns are not read.
 
-    Queries go out in blocks of ``query_block`` rows, so the size of a broadcast is fixed; each block is a
-    pass over the candidates where they lie. A task returns its own ``k`` best of each query, no more.
+    Both sides are packed into blocks of bounded size, written once to the shared folder, and every block of
+    queries meets every block of candidates; no vector passes the driver. A task returns its own ``k`` best
+    of each query, no more.
     """
-    spark = vectors.sparkSession
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"), is_query.alias("q")).where("id IS NOT NULL")
-    schema = "query_id long, vec_id long, score long"
-
-    def blocks() -> Iterator[list]:
-        held = []
-        for row in rows.where("q").select("id", "v").dropDuplicates().toLocalIterator():
-            held.append((row.id, row.v))
-            if len(held) == query_block:
-                yield held
-                held = []
-        if held:
-            yield held
-
-    found = None
-    for held in blocks():
-        keep, scaled_queries = scaled(pa.array([v for _, v in held], pa.list_(pa.float64())), factor)
-        block = spark.sparkContext.broadcast(by_length([i for (i, _), ok in zip(held, keep) if ok], scaled_queries))
-
-        def task(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
-            best = {d: Best(len(ids), k) for d, (ids, _) in block.value.items()}
-
-            def meet(ids: list[int], vs: list[np.ndarray]) -> None:
-                for d, (own, columns) in by_length(ids, vs).items():
-                    if d in best:
-                        scan(best[d], *block.value[d], own, np.ascontiguousarray(columns.T))
-
-            ids: list[int] = []
-            vs: list[np.ndarray] = []
-            for b in batches:
-                keep, new = scaled(b.column("v"), factor)
-                ids += [i for i, ok in zip(b.column("id").to_pylist(), keep) if ok]
-                vs += new
-                if len(ids) >= CANDIDATES:
-                    meet(ids, vs)
-                    ids, vs = [], []
-            if ids:
-                meet(ids, vs)
-            for d, own in best.items():
-                out = [(int(q), i, -s) for q, top in zip(block.value[d][0], own.top) for s, i in top]
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["query_id", "vec_id", "score"])
-
-        part = rows.select("id", "v").mapInArrow(task, schema)
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        found = spark.createDataFrame([], schema)
+    asked = rows.where("q").select("id", "v").dropDuplicates()
+    parts = max(1, -(-asked.count() // query_block))
+    queries = stash(asked.repartition(parts, "id").mapInArrow(lambda b: packed(b, factor, query_block), BLOCK), "queries")
+    blocks = stash(rows.select("id", "v").mapInArrow(lambda b: packed(b, factor, candidates), BLOCK), "candidates")
+    # lengths are compared as a range, for an equality would send all blocks of one length to one task
+    pairs = blocks.crossJoin(queries.select(*(F.col(c).alias(f"q_{c}") for c in queries.columns))).where("d <= q_d AND d >= q_d").drop("q_d")
+    found = pairs.mapInArrow(lambda b: met(b, k), "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = found.dropDuplicates().withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
