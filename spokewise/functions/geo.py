@@ -49,7 +49,7 @@ def shape_length_m(shape: Column) -> Column:
 
 def end_bearings(shape: Column) -> tuple[Column, Column]:
     """Bearings at the start and the end of a shape; points equal to the end one are passed over; null if all are."""
-    first, last = shape[0], F.element_at(shape, -1)
+    first, last = F.get(shape, F.lit(0)), F.try_element_at(shape, F.lit(-1))
     after = F.filter(shape, lambda p: (p["lat"] != first["lat"]) | (p["lon"] != first["lon"]))
     before = F.filter(shape, lambda p: (p["lat"] != last["lat"]) | (p["lon"] != last["lon"]))
     a, b = F.try_element_at(after, F.lit(1)), F.try_element_at(before, F.lit(-1))
