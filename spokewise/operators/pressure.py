@@ -35,7 +35,7 @@ def apply_crashes(edges: DataFrame, weights: DataFrame) -> DataFrame:
     """The edges with ``crash_score`` in 0..1; 0 where nothing matched."""
     units = F.greatest(F.col("length_m") / 100.0, F.lit(P.MIN_LENGTH_UNITS))
     score = F.least(F.lit(1.0), 1.0 - F.exp(-(F.col("weighted") / units) / P.CRASH_SATURATION))
-    return edges.drop("crash_score").join(weights, "edge_id", "left").withColumn("crash_score", F.coalesce(score, F.lit(0.0))).drop("weighted")
+    return edges.drop("crash_score").join(weights, "edge_id", "left").withColumn("crash_score", F.when(F.col("weighted").isNull(), F.lit(0.0)).otherwise(score)).drop("weighted")
 
 
 def unmatched_edges(edges: DataFrame, matches: DataFrame) -> DataFrame:

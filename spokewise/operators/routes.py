@@ -112,3 +112,12 @@ def path_cost(path: DataFrame, costs: DataFrame, turns: DataFrame) -> DataFrame:
     steps = path.withColumn("in_edge", F.lag("edge_id").over(w)).join(costs.select("edge_id", "cost", "length_m"), "edge_id")
     joined = steps.join(turns.select("in_edge", F.col("out_edge").alias("edge_id"), "turn_cost"), ["in_edge", "edge_id"], "left")
     return joined.groupBy("query_id").agg(F.sum(F.col("cost") + F.coalesce("turn_cost", F.lit(0.0))).alias("cost"), F.sum("length_m").alias("length_m"))
+
+
+def search_summary(found: DataFrame) -> DataFrame:
+    """One row on searches (``status, expansions``): routed, and mean, middle and 95th expansions of those."""
+    ok = F.when(F.col("status") == "ok", F.col("expansions"))
+    return found.agg(
+        F.count("*").alias("requests"), F.count(ok).alias("routed"), F.avg(ok).alias("mean_expansions"),
+        F.percentile_approx(ok, F.lit(0.5), F.lit(1_000_000)).alias("p50_expansions"), F.percentile_approx(ok, F.lit(0.95), F.lit(1_000_000)).alias("p95_expansions"),
+    )

@@ -69,3 +69,6 @@ CRUISE_KMH = 15.0
 ALTERNATIVE_PENALTY, MAX_OVERLAP, MAX_COST_RATIO, MAX_ATTEMPTS = 2.0, 0.7, 1.6, 6
 BUDGET_BUCKETS, BUDGET_BUCKETS_MOST = 4, 16
 EXPANSIONS_MOST = 4_000_000
+
+# What is shown to riders.
+SNAP_TOLD_M, M_PER_MILE, M_PER_FOOT = 25.0, 1609.344, 0.3048

@@ -171,7 +171,7 @@ def crash_edge_match(n: Network) -> DataFrame:
     return crash_matches(n).select("crash_id", "edge_id", r("distance_m", 4).alias("distance_m"))
 
 
-@query(sql.with_graph(_CRASH_PRESSURE, "SELECT edge_id, round(coalesce(least(1.0::DOUBLE, 1 - exp(-(w / greatest(length_m / 100, 0.3::DOUBLE)) / 6)), 0.0::DOUBLE), 6) AS crash_score FROM edge LEFT JOIN weighed USING (edge_id)"))
+@query(sql.with_graph(_CRASH_PRESSURE, "SELECT edge_id, round(CASE WHEN w IS NULL THEN 0.0::DOUBLE ELSE least(1.0::DOUBLE, 1 - exp(-(w / greatest(length_m / 100, 0.3::DOUBLE)) / 6)) END, 6) AS crash_score FROM edge LEFT JOIN weighed USING (edge_id)"))
 def crash_pressure(n: Network) -> DataFrame:
     return with_crashes(n).select("edge_id", r("crash_score").alias("crash_score"))
 

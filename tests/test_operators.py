@@ -152,6 +152,13 @@ def test_pressure_edges(spark):
     assert [len(x.p) for x in got] == [0, 1, 2, 2]
 
 
+def test_crash_scores(spark):
+    edges = spark.createDataFrame([(1, 100.0, "none"), (2, 10.0, "path"), (3, 100.0, "none")], "edge_id long, length_m double, infra_class string")
+    weights = spark.createDataFrame([(1, 6.0), (2, 0.6)], "edge_id long, weighted double")
+    got = [x.crash_score for x in pressure.apply_crashes(edges, weights).orderBy("edge_id").collect()]
+    assert got == pytest.approx([1 - math.exp(-1), 1 - math.exp(-2 / 6), 0.0])
+
+
 def test_confirmations(spark):
     day = lambda n: F.timestamp_seconds(F.lit(n * 86400))
     reports = spark.createDataFrame([(1, 30.0, -97.0, "debris", ""), (2, 30.0, -97.0, "other", "n")], "hazard_id long, lat double, lon double, kind string, notes string").withColumn("created_at", day(0))
