@@ -14,7 +14,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import segment_distance_m, shape_fraction
-from ..params import EARTH_RADIUS_M
+from ..params import EARTH_RADIUS_M, SNAP_CANDIDATES, SNAP_MOST_M
+from ..storage import stash
 
 _DEGREE_M = math.pi * EARTH_RADIUS_M / 180
 
@@ -68,11 +69,24 @@ def radius_join(points: DataFrame, edges: DataFrame, radius_m: float, lat: str =
 def nearest_join(points: DataFrame, edges: DataFrame, k: int, most_m: float, lat: str = "lat", lon: str = "lon", point_id: str = "point_id", edge_id: str = "edge_id", shape: str = "shape") -> DataFrame:
     """``point_id, edge_id, distance_m, rank`` of each position's ``k`` nearest edges within ``most_m``.
 
-    By distance in metres, ties to the smaller edge. ``k`` is kept before the shuffle too.
+    By distance in metres, ties to the smaller edge. Positions look within an eighth of the reach first; only
+    those with fewer than ``k`` edges there look further, twice as far each time.
     """
-    near = radius_join(points, edges, most_m, lat, lon, point_id, edge_id, shape, cell_m=most_m)
     order = Window.partitionBy(point_id).orderBy("distance_m", edge_id)
-    return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    left, found = points, None
+    for part in (8, 4, 2, 1):
+        reach = most_m / part
+        near = radius_join(left, edges, reach, lat, lon, point_id, edge_id, shape, cell_m=max(100.0, reach))
+        near = near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+        if part > 1:
+            near = stash(near, "near")
+            full = near.where(F.col("rank") == k).select(point_id)
+            left = left.join(full, point_id, "left_anti")
+            near = near.join(full, point_id, "left_semi")
+        found = near if found is None else found.unionByName(near)
+        if part > 1 and left.isEmpty():
+            break
+    return found
 
 
 def snap(points: DataFrame, edges: DataFrame, main: DataFrame | None = None, lat: str = "lat", lon: str = "lon", point_id: str = "point_id") -> DataFrame:
@@ -82,8 +96,6 @@ def snap(points: DataFrame, edges: DataFrame, main: DataFrame | None = None, lat
     else the first of all; the node is the edge's nearer end by the share of its length. Positions with no
     edge in reach give no row.
     """
-    from ..params import SNAP_CANDIDATES, SNAP_MOST_M
-
     near = nearest_join(points, edges, SNAP_CANDIDATES, SNAP_MOST_M, lat, lon, point_id)
     near = near.join(edges.select("edge_id", "from_node", "to_node", "shape"), "edge_id").join(points.select(point_id, F.col(lat).alias("_lat"), F.col(lon).alias("_lon")), point_id)
     if main is None:

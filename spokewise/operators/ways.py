@@ -36,33 +36,35 @@ def referenced_nodes(map_nodes: DataFrame, uses: DataFrame) -> DataFrame:
     return joined.select("osm_node_id", "lat", "lon", "is_split", control.alias("control"))
 
 
-def split_ways(ways: DataFrame, uses: DataFrame) -> DataFrame:
-    """``way_id, segment, nodes``: ways cut at split points; a cut node ends one piece and begins the next."""
-    steps = ways.select("way_id", F.posexplode("nodes").alias("i", "osm_node_id")).join(uses.select("osm_node_id", "is_split"), "osm_node_id")
-    w = Window.partitionBy("way_id").orderBy("i")
-    # cuts before this node: the first node of a way is always a split point
-    cuts = F.coalesce(F.sum(F.col("is_split").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    last = F.max("i").over(Window.partitionBy("way_id"))
-    placed = steps.withColumn("cuts", cuts).withColumn("last", last)
-    ends_piece = F.when(F.col("i") > 0, F.col("cuts") - 1)
-    begins_piece = F.when(F.col("is_split") & (F.col("i") < F.col("last")), F.col("cuts"))
-    both = placed.select("way_id", "i", "osm_node_id", F.explode(F.array_compact(F.array(ends_piece, begins_piece))).alias("segment"))
-    pieces = both.groupBy("way_id", "segment").agg(F.array_sort(F.collect_list(F.struct("i", "osm_node_id"))).alias("steps"))
-    return pieces.select("way_id", F.col("segment").cast("int").alias("segment"), F.transform("steps", lambda s: s["osm_node_id"]).alias("nodes"))
-
-
-def shaped(pieces: DataFrame, map_nodes: DataFrame) -> DataFrame:
-    """The pieces with ``shape, length_m, problem``: ``missing`` nodes, or ``degenerate`` (a loop, or no length)."""
-    steps = pieces.select("way_id", "segment", F.size("nodes").alias("n"), F.posexplode("nodes").alias("i", "osm_node_id"))
-    met = steps.join(map_nodes.select("osm_node_id", "lat", "lon"), "osm_node_id", "left")
-    point = F.struct("i", F.col("lat").cast("double").alias("lat"), F.col("lon").cast("double").alias("lon"))
-    shapes = met.groupBy("way_id", "segment").agg(F.count("lat").alias("known"), F.max("n").alias("n"), F.array_sort(F.collect_list(F.when(F.col("lat").isNotNull(), point))).alias("points"))
-    shape = F.transform("points", lambda p: F.struct(p["lat"].alias("lat"), p["lon"].alias("lon")))
-    out = pieces.join(shapes.select("way_id", "segment", "known", "n", shape.alias("shape")), ["way_id", "segment"])
-    out = out.withColumn("length_m", shape_length_m(F.col("shape")))
+def split_ways(ways: DataFrame, places: DataFrame) -> DataFrame:
+    """``way_id, segment, points``: ways cut at split points; a cut node ends one piece and begins the next.
+
+    ``places``: ``osm_node_id, is_split``, and further columns that go with the points. Each way's nodes meet
+    their places in one join and come together in one grouping by way.
+    """
+    more = [c for c in places.columns if c not in ("osm_node_id", "is_split")]
+    steps = ways.select("way_id", F.posexplode("nodes").alias("i", "osm_node_id")).join(places, "osm_node_id", "left")
+    point = F.struct("i", "osm_node_id", F.coalesce("is_split", F.lit(False)).alias("is_split"), *more)
+    lines = steps.groupBy("way_id").agg(F.array_sort(F.collect_list(point)).alias("line"))
+    n = F.size("line")
+    cuts = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | (i == n - 1) | F.get(F.col("line"), i)["is_split"])
+    lines = lines.withColumn("cuts", cuts)
+    pairs = F.zip_with(F.slice("cuts", 1, F.size("cuts") - 1), F.slice("cuts", 2, F.size("cuts") - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    pieces = lines.select("way_id", "line", F.posexplode(pairs).alias("segment", "cut"))
+    kept = F.slice("line", F.col("cut.a") + 1, F.col("cut.b") - F.col("cut.a") + 1)
+    return pieces.select("way_id", F.col("segment").cast("int").alias("segment"), kept.alias("points"))
+
+
+def shaped(pieces: DataFrame) -> DataFrame:
+    """Pieces (their points with ``lat, lon``) as ``way_id, segment, nodes, shape, length_m, problem``: ``missing``
+    nodes, or ``degenerate`` (a loop, or no length)."""
+    shape = F.transform("points", lambda p: F.struct(p["lat"].cast("double").alias("lat"), p["lon"].cast("double").alias("lon")))
+    out = pieces.select("way_id", "segment", F.transform("points", lambda p: p["osm_node_id"]).alias("nodes"), shape.alias("shape"))
+    known = F.forall("shape", lambda p: p["lat"].isNotNull() & p["lon"].isNotNull())
+    out = out.withColumn("length_m", F.when(known, shape_length_m(F.col("shape"))))
     loop = F.col("nodes")[0] == F.element_at("nodes", -1)
-    problem = F.when(loop, F.lit("degenerate")).when(F.col("known") < F.col("n"), F.lit("missing")).when(F.col("length_m") <= 0, F.lit("degenerate"))
-    return out.withColumn("problem", problem).drop("known", "n")
+    problem = F.when(loop, F.lit("degenerate")).when(F.col("length_m").isNull(), F.lit("missing")).when(F.col("length_m") <= 0, F.lit("degenerate"))
+    return out.withColumn("problem", problem)
 
 
 def build_edges(pieces: DataFrame, ways: DataFrame) -> DataFrame:
@@ -86,7 +88,7 @@ def build_graph(ways: DataFrame, map_nodes: DataFrame, dense: bool = True) -> tu
     usable = usable_ways(ways)
     uses = node_uses(usable)
     seen = referenced_nodes(map_nodes, uses)
-    pieces = shaped(split_ways(usable, uses), map_nodes)
+    pieces = shaped(split_ways(usable, uses.select("osm_node_id", "is_split").join(map_nodes.select("osm_node_id", "lat", "lon"), "osm_node_id", "left")))
     left_out = pieces.agg(F.count_if(F.col("problem") == "missing").alias("skipped_missing"), F.count_if(F.col("problem") == "degenerate").alias("skipped_degenerate"))
     edges = build_edges(pieces, usable)
     ends = edges.select(F.explode(F.array("from_osm", "to_osm")).alias("osm_node_id")).distinct()

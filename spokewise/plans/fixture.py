@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from .. import params as P
 from ..functions.geo import bearing_deg
 from ..operators.network import score_edges
+from ..operators.terrain import edge_grades
+from ..storage import stash
 
 HIGHWAY_OF = {"ECONOMY": "residential", "LARGE": "primary", "MEDIUM": "tertiary", "PROMO": "service", "SMALL": "living_street", "STANDARD": "secondary"}
 SURFACE_OF = ["asphalt", "compacted", "gravel", "sand", None]
@@ -76,10 +78,13 @@ class Network:
     @cached_property
     def edges(self) -> DataFrame:
         """Edges with stress levels, gradients, and no crashes."""
-        from ..operators.terrain import edge_grades
-
         return edge_grades(score_edges(self.raw_edges), self.nodes).withColumn("crash_score", F.lit(0.0))
 
+    @cached_property
+    def stored(self) -> DataFrame:
+        """The edges, written once, for queries that use them again and again."""
+        return stash(self.edges, "edges")
+
     def _at(self, df: DataFrame, node: Column, offset: Column) -> DataFrame:
         placed = df.withColumn("node_id", node).join(self.nodes.select("node_id", "lat", "lon"), "node_id")
         return placed.withColumns({"lat": F.col("lat") + offset, "lon": F.col("lon") + offset})

@@ -284,7 +284,7 @@ for _p in (PROFILES["comfortable"], PROFILES["shortest"], PROFILES["confident"])
 
     @query(sql.with_graph(_edge_search(_q), "SELECT query_id, round(min(b.cost), 4) AS cost FROM best b JOIN c USING (edge_id) JOIN request q USING (query_id) WHERE c.to_node = q.to_node GROUP BY query_id", recursive=True), f"route_cost_{_p.name}")
     def route_cost(n: Network, p=_q) -> DataFrame:
-        got = route_requests(n.requests, cost_table(n.edges, p), turn_table(n.edges, n.nodes, p), n.nodes)
+        got = route_requests(n.requests, cost_table(n.stored, p), turn_table(n.stored, n.nodes, p), n.nodes)
         return got.where("status = 'ok'").select("query_id", r("cost", 4).alias("cost"))
 
 
@@ -322,7 +322,7 @@ def route_budgeted(n: Network) -> DataFrame:
 @query()
 def route_alternatives(n: Network) -> DataFrame:
     p = PROFILES["comfortable"]
-    got = route_requests(n.requests, cost_table(n.edges, p), turn_table(n.edges, n.nodes, p), n.nodes, p.stress_budget_m, n_alternatives=2)
+    got = route_requests(n.requests, cost_table(n.stored, p), turn_table(n.stored, n.nodes, p), n.nodes, p.stress_budget_m, n_alternatives=2)
     return got.select("query_id", "choice", "status", r("cost", 4).alias("cost"), r("length_m", 4).alias("length_m"))
 
 
@@ -331,7 +331,7 @@ def plan_multi_leg(n: Network) -> DataFrame:
     """Requests as three waypoints: start, one node east of it, goal."""
     mid = n.requests.select("query_id", F.explode(F.array(F.struct(F.lit(0).alias("pos"), F.col("from_node").alias("node")), F.struct(F.lit(1).alias("pos"), (F.col("from_node") + 1).alias("node")), F.struct(F.lit(2).alias("pos"), F.col("to_node").alias("node")))).alias("w")).select("query_id", "w.*")
     points = mid.join(n.nodes.select(F.col("node_id").alias("node"), "lat", "lon"), "node").select("query_id", "pos", "lat", "lon")
-    out = plan_route(points, n.edges, n.nodes)
+    out = plan_route(points, n.stored, n.nodes)
     return out.select("query_id", "status", r("length_m", 4).alias("length_m"), r("score", 4).alias("score"), "detour", F.size("segments").alias("n_segments"))
 
 
@@ -500,8 +500,8 @@ made AS (SELECT way_id, segment, count(*) AS n, count(lat) AS known, arg_min(nod
 def way_split(n: Network) -> DataFrame:
     w, _ = order_ways(n)
     usable = ways.usable_ways(w)
-    pieces = ways.split_ways(usable, ways.node_uses(usable))
-    return pieces.select("way_id", "segment", F.size("nodes").alias("n_nodes"), F.col("nodes")[0].alias("first_node"), F.element_at("nodes", -1).alias("last_node"))
+    pieces = ways.split_ways(usable, ways.node_uses(usable).select("osm_node_id", "is_split"))
+    return pieces.select("way_id", "segment", F.size("points").alias("n_nodes"), F.col("points")[0]["osm_node_id"].alias("first_node"), F.element_at("points", -1)["osm_node_id"].alias("last_node"))
 
 
 @query(sql.with_graph(_WAYS, "SELECT way_id, CAST(segment AS INT) AS segment, 0 AS back, a AS from_node, b AS to_node, round(m, 4) AS length_m FROM made WHERE a <> b AND known = n AND m > 0 UNION ALL SELECT way_id, CAST(segment AS INT), 1, b, a, round(m, 4) FROM made WHERE a <> b AND known = n AND m > 0 AND way_id % 4 <> 0"))

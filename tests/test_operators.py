@@ -152,6 +152,16 @@ def test_pressure_edges(spark):
     assert [len(x.p) for x in got] == [0, 1, 2, 2]
 
 
+def test_nearest_join_looks_further(spark):
+    line = lambda lon: [(30.0, lon), (30.0001, lon)]
+    edges = spark.createDataFrame([(i, line(-97.0 + 0.0005 * i)) for i in range(20)], "edge_id long, shape array<struct<lat:double,lon:double>>")
+    points = spark.createDataFrame([(1, 30.0, -97.0), (2, 30.0, -96.9952), (3, 30.0, -96.981), (4, 30.0, -96.0)], "point_id long, lat double, lon double")
+    got = {}
+    for x in spatial.nearest_join(points, edges, 5, 1000.0).orderBy("point_id", "rank").collect():
+        got.setdefault(x.point_id, []).append(x.edge_id)
+    assert got == {1: [0, 1, 2, 3, 4], 2: [10, 9, 11, 8, 12], 3: [19, 18]}
+
+
 def test_crash_scores(spark):
     edges = spark.createDataFrame([(1, 100.0, "none"), (2, 10.0, "path"), (3, 100.0, "none")], "edge_id long, length_m double, infra_class string")
     weights = spark.createDataFrame([(1, 6.0), (2, 0.6)], "edge_id long, weighted double")
