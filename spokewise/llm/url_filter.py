@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import stash
+
 _HOST = r"^[a-zA-Z][a-zA-Z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:@]*)"
 _PATH = r"^[a-zA-Z][a-zA-Z0-9+.\-]*://[^/?#]*(/[^?#]*)"
 
@@ -72,11 +74,9 @@ def filter_urls(captures: DataFrame, entries: DataFrame, id_col: str = "page_id"
         .agg(F.collect_list(F.struct("label", "since", "until")).alias("named"))
     )
     urls = spans.where("kind = 'url'").select("value", "since", "until", label)
-    url_hosts = urls.select(F.substring_index("value", "/", 1).alias("host")).distinct()
     key = ["url", "fetched_at"]
     by_url = (
-        held.where("fetched_at IS NOT NULL")
-        .join(url_hosts, "host", "left_semi")
+        held.where("fetched_at IS NOT NULL AND host IS NOT NULL")
         .select(*key, "host")
         .distinct()
         .select(*key, F.explode(path_prefixes(F.col("host"), F.lower(path_of(F.col("url"))))).alias("value"))
@@ -88,5 +88,6 @@ def filter_urls(captures: DataFrame, entries: DataFrame, id_col: str = "page_id"
     open_now = F.filter("named", lambda x: (x.since <= F.col("fetched_at")) & (x.until.isNull() | (F.col("fetched_at") < x.until)))
     none = F.array().cast("array<string>")
     hits = F.array_sort(F.array_union(F.coalesce(F.transform(open_now, lambda x: x.label), none), F.coalesce("paths", none)))
-    out = held.join(by_host, "host", "left").join(by_url, key, "left")
+    # written, so that both sides of the joins are dealt anew, and a host's captures can be split
+    out = held.join(stash(by_host, "hosts"), "host", "left").join(stash(by_url, "urls"), key, "left")
     return out.select("id", "url", "fetched_at", "host", hits.alias("hits")).withColumn("blocked", F.size("hits") > 0)
