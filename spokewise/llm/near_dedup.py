@@ -21,8 +21,7 @@ from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
 from ..storage import stash
-from .common import mix, text_slices
-from .repeats import _NULL_ID, _pack_texts, ids_of, unpacked
+from .common import NULL_ID, ids_of, mix, pack_texts, text_slices, unpacked
 from .windows import Sums, flat_bytes, groups, ragged, words
 
 WIDTH, PERCENT = 5, 80
@@ -212,7 +211,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     nothing; rows that share an id are one document; a null id comes before all others; an empty table gives
     no rows; other columns are not read.
     """
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_ID)).alias("doc"), F.col(text_col).alias("text"))
+    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("doc"), F.col(text_col).alias("text"))
     marked = stash(rows.mapInArrow(lambda b: signed(b, width), "doc long, n long, s1 long, s2 long, sketch binary, paths array<long>"), "signed")
     first = marked.where("n > 0").groupBy("s1", "s2", "n").agg(F.min("doc").alias("rep"))
     same = marked.join(first, ["s1", "s2", "n"])
@@ -234,18 +233,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 n = len(keys)
                 yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([doc] * n, pa.int64()), pa.array([value.tobytes()] * n, pa.binary())], ["key", "doc", "shingles"])
 
-    packed = rows.mapInArrow(_pack_texts, "doc long, z binary")
+    packed = rows.mapInArrow(pack_texts, "doc long, z binary")
     wanted = packed.join(slots.groupBy("doc").agg(F.collect_list("key").alias("keys")), "doc")
     linked = wanted.mapInArrow(sets, "key long, doc long, shingles binary").repartition("key").sortWithinPartitions("key").mapInArrow(lambda b: links(b, percent), "a long, b long")
     named = connected_components(linked.distinct()).select(F.col("node").alias("rep"), "component")
     out = marked.select("doc", "n", "s1", "s2").join(first, ["s1", "s2", "n"], "left").join(named, "rep", "left")
     component = F.coalesce("component", "rep", "doc")
-    back = lambda c: F.when(c != _NULL_ID, c)
+    back = lambda c: F.when(c != NULL_ID, c)
     return out.select(back(F.col("doc")).alias("doc_id"), F.col("n").alias("n_shingles"), back(component).alias("component_id"), (component == F.col("doc")).alias("kept"))
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """The rows of ``docs``, with all their columns, of the one document that stays of each group."""
     found = near_duplicates(docs, id_col, text_col, width, percent).where("kept")
-    kept = found.select(F.coalesce("doc_id", F.lit(_NULL_ID)).alias("__near_doc")).distinct()
-    return docs.withColumn("__near_doc", F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_ID))).join(kept, "__near_doc", "left_semi").drop("__near_doc")
+    kept = found.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("__near_doc")).distinct()
+    return docs.withColumn("__near_doc", F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID))).join(kept, "__near_doc", "left_semi").drop("__near_doc")

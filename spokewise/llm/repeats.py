@@ -18,12 +18,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import stash
-from .common import mix, text_slices
+from .common import NULL_ID, ids_of, mix, pack_texts, text_slices, unpacked
 from .windows import flat_bytes, groups, ragged
 
 #: Kinds of rows; a run or window may carry the flags too.
@@ -34,7 +33,6 @@ SETTLED, HELD = 1_000_000, 400_000
 LOOK = 8
 
 _ROW = "kind int, k1 long, k2 long, doc long, at long"
-_NULL_ID = -(2**63)
 
 
 def pack(start: np.ndarray, count: np.ndarray) -> np.ndarray:
@@ -92,10 +90,6 @@ def done(rows: dict[str, np.ndarray]) -> pa.RecordBatch:
     return batch(DONE, mix(doc.view(np.uint64)).view(np.int64), 0, doc, at)
 
 
-def ids_of(b) -> np.ndarray:
-    return b.column("doc").to_numpy(zero_copy_only=False).astype(np.int64)
-
-
 def hot_keys(rows: DataFrame, finder: Callable, share: int) -> list[int]:
     """Keys with at least one in ``share`` of the runs looked at: at most ``share`` numbers."""
 
@@ -181,7 +175,7 @@ def repeated_stretches(docs: DataFrame, finder: Callable, order: Callable, keep_
 
     found = docs.mapInArrow(runs, _ROW).repartition("k1").sortWithinPartitions("k1").mapInArrow(meet, _ROW)
     found = stash(found, "runs")
-    packed = docs.mapInArrow(_pack_texts, "doc long, z binary")
+    packed = docs.mapInArrow(pack_texts, "doc long, z binary")
 
     asked = found.where(F.col("kind") == OPEN).groupBy("doc").agg(F.collect_list(F.struct("k1", "at")).alias("asked"))
 
@@ -216,27 +210,12 @@ def repeated_stretches(docs: DataFrame, finder: Callable, order: Callable, keep_
     return found.where(F.col("kind") == DONE).select("doc", "at").unionByName(compared.select("doc", "at")), packed
 
 
-def _pack_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts as they travel: compressed, which makes shuffles of whole texts a third of their size."""
-    pressed = zstandard.ZstdCompressor(level=1)
-    for b in text_slices(batches, "text", 8 << 20):
-        z = [pressed.compress(x.as_buffer()) if x.is_valid else None for x in b.column("text")]
-        yield pa.RecordBatch.from_arrays([b.column("doc"), pa.array(z, pa.binary())], ["doc", "z"])
-
-
-_opener = zstandard.ZstdDecompressor()
-
-
-def unpacked(z: pa.Scalar) -> bytes:
-    return _opener.decompress(z.as_buffer()) if z.is_valid else b""
-
-
 def cut_repeats(docs: DataFrame, id_col: str, text_col: str, finder: Callable, order: Callable, keep_first: bool, cut: Callable, schema: str) -> DataFrame:
     """Each row's text without its repeated windows, as ``cut(text, stretches)`` makes it.
 
     ``cut`` takes the bytes of a text, and starts and ends of its stretches of repeated windows.
     """
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_ID)).alias("doc"), F.col(text_col).alias("text"))
+    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("doc"), F.col(text_col).alias("text"))
     stretches, packed = repeated_stretches(rows, finder, order, keep_first)
     by_doc = stretches.groupBy("doc").agg(F.collect_list("at").alias("ats"))
     names = [f.split()[0] for f in schema.split(", ")]
@@ -255,7 +234,7 @@ def cut_repeats(docs: DataFrame, id_col: str, text_col: str, finder: Callable, o
                 start, count = unpack(at)
                 for column, value in zip(out, cut(text, start, start + count)):
                     column.append(value)
-                ids.append(i if i != _NULL_ID else None)
+                ids.append(i if i != NULL_ID else None)
                 held += len(text)
                 if held > 16 << 20:
                     yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *map(pa.array, out, types)], ["id", *names])
