@@ -2,21 +2,25 @@
 
 Equal sets are one vertex from the start. In each of several independent trees a document goes down the path
 of its smallest tokens under the tree's hashes, so two documents part at a step with one minus their
-similarity; a node that is still large is branched further. In a node, all documents are compared by
-128-value sketches, from each one to those not reached yet, and the likely families stay together. Each
-document's whole set then goes once to its family, where links are confirmed on whole sets.
+similarity. In a node, all documents are compared by 128-value sketches, from each one to those not reached
+yet, and the likely families stay together. Each document's whole set then goes once to its family, where
+links are confirmed on whole sets.
+
+A node too large for one task is cut into parts, and each part compared; then the parts are compared with one
+another, but for documents already known to belong together. No pair of a node is left out, so the cost of a
+large node grows with the square of the number of its documents outside its largest family.
 
 At a similarity of 0.8, two documents share no node with a chance of (1 - 0.8**3)**20, below one in a
-million, and a sketch misses a pair by five standard deviations.
+million whatever the size of the nodes, and a sketch misses a pair by five standard deviations.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
@@ -26,11 +30,9 @@ from .windows import Sums, flat_bytes, groups, ragged, words
 
 WIDTH, PERCENT = 5, 80
 TREES, DEPTH, SKETCH = 20, 3, 128
-#: Documents in a node, and shingles in a family, that one task compares; beyond, nodes are branched further
-#: and a family is compared node by node.
+#: Documents in a node, and shingles in a family, that one task compares; beyond, nodes are compared part by
+#: part and a family node by node.
 NODE, FAMILY = 4_000, 4_000_000
-#: Times that a large node is branched further.
-BRANCHED = 4
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -109,13 +111,19 @@ def reached(n: int, near) -> np.ndarray:
     return root
 
 
+def stars(group: np.ndarray, root: np.ndarray) -> np.ndarray:
+    """The pairs of different groups that are in one star, once each."""
+    both = np.stack([group, group[root]])
+    return np.unique(both[:, both[0] != both[1]], axis=1)
+
+
 def likely_links(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Stars ``a, b`` of documents of one node whose sketches are alike."""
+    """Stars ``a, b`` of documents of one node whose sketches are alike; those of one ``known`` group are linked."""
     share = percent / 100
     least = SKETCH * max(0.0, share - 5 * (share * (1 - share) / SKETCH) ** 0.5)
     for t in groups(batches, "path", 20_000):
         t = t.combine_chunks()
-        path, doc, size = (t.column(c).to_numpy() for c in ("path", "doc", "n"))
+        path, doc, size, known = (t.column(c).to_numpy() for c in ("path", "doc", "n", "known"))
         sketch = flat_bytes(t.column("sketch"))[0].reshape(len(doc), SKETCH)
         cuts = np.flatnonzero(np.r_[True, path[1:] != path[:-1], True])
         out: list[np.ndarray] = []
@@ -123,18 +131,15 @@ def likely_links(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa
             if b - a < 2:
                 continue
             order = a + np.argsort(doc[a:b], kind="stable")
-            own, sizes = sketch[order], size[order]
+            own, sizes, group = sketch[order], size[order], known[order]
 
-            def near(i: int, others: np.ndarray, own=own, sizes=sizes) -> np.ndarray:
-                fits = np.minimum(sizes[i], sizes[others]) * 100 >= percent * np.maximum(sizes[i], sizes[others])
-                hit = np.zeros(len(others), dtype=bool)
+            def near(i: int, others: np.ndarray, own=own, sizes=sizes, group=group) -> np.ndarray:
+                hit = group[others] == group[i]
+                fits = ~hit & (np.minimum(sizes[i], sizes[others]) * 100 >= percent * np.maximum(sizes[i], sizes[others]))
                 hit[fits] = (own[others[fits]] == own[i]).sum(1) >= least
                 return hit
 
-            root = reached(b - a, near)
-            moved = root != np.arange(b - a)
-            if moved.any():
-                out.append(np.stack([doc[order[moved]], doc[order[root[moved]]]]))
+            out.append(stars(group, reached(b - a, near)))
         both = np.concatenate(out, axis=1) if out else np.zeros((2, 0), dtype=np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], ["a", "b"])
 
@@ -167,38 +172,67 @@ class Alike:
 def links(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """Stars ``a, b`` of documents of one family that links on whole sets join."""
     for t in groups(batches, "key", 2_000):
-        key, doc = t.column("key").to_numpy(), t.column("doc").to_numpy()
+        key, doc, known = (t.column(c).to_numpy() for c in ("key", "doc", "known"))
         cuts = np.flatnonzero(np.r_[True, key[1:] != key[:-1], True])
         out: list[np.ndarray] = []
         for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
             order = np.argsort(doc[a:b], kind="stable")
             flat, off = flat_bytes(t.column("shingles").slice(a, b - a).combine_chunks().take(pa.array(order)))
-            root = reached(b - a, Alike(flat.copy().view(np.uint64), off // 8, percent))
-            moved = root != np.arange(b - a)
-            out.append(np.stack([doc[a:b][order][moved], doc[a:b][order][root[moved]]]))
+            group = known[a:b][order]
+            alike = Alike(flat.copy().view(np.uint64), off // 8, percent)
+            out.append(stars(group, reached(b - a, lambda i, others, group=group, alike=alike: (group[others] == group[i]) | alike(i, others))))
         both = np.concatenate(out, axis=1) if out else np.zeros((2, 0), dtype=np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], ["a", "b"])
 
 
-def nodes_of(reps: DataFrame, node: int) -> DataFrame:
-    """``path, doc`` of all nodes with two documents or more; nodes with the same documents are kept once."""
-    rows = reps.select("doc", "paths", F.posexplode("paths").alias("tree", "path"))
-    found = None
-    for depth in range(BRANCHED + 1):
-        sizes = rows.groupBy("path").agg(F.count("*").alias("members"), F.sum(F.xxhash64("doc").cast("decimal(38,0)")).alias("who")).where("members > 1")
-        last = depth == BRANCHED
-        small = sizes if last else sizes.where(F.col("members") <= node)
-        once = small.groupBy("members", "who").agg(F.min("path").alias("path")).select("path")
-        part = rows.join(once, "path").select("path", "doc")
-        found = part if found is None else found.unionByName(part)
-        if last:
-            break
-        large = stash(sizes.where(F.col("members") > node).select("path"), "large")
-        if large.isEmpty():
-            break
-        deeper = F.xxhash64("path", F.element_at("paths", ((F.col("tree") + depth + 1) % F.size("paths") + 1).cast("int")))
-        rows = rows.join(large, "path").select("doc", "paths", "tree", deeper.alias("path"))
-    return found
+def nodes_of(reps: DataFrame) -> DataFrame:
+    """``key, doc`` of all nodes with two documents or more; nodes with the same documents are kept once."""
+    rows = reps.select("doc", F.explode("paths").alias("key"))
+    sizes = rows.groupBy("key").agg(F.count("*").alias("members"), F.sum(F.xxhash64("doc").cast("decimal(38,0)")).alias("who")).where("members > 1")
+    once = sizes.groupBy("members", "who").agg(F.min("key").alias("key")).select("key")
+    return rows.join(once, "key").select("key", "doc")
+
+
+def part_of(parts: Column | str) -> Column:
+    """The part of a document's key that it falls in, another one under each key."""
+    return F.pmod(F.xxhash64("doc", "key"), parts).cast("int")
+
+
+def in_parts(slots: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
+    """``key, doc, known`` with each key of more than ``most`` (the sum of ``n``) cut into parts; and those keys."""
+    sizes = slots.groupBy("key").agg(F.ceil(F.sum("n") / most).alias("parts"))
+    large = stash(sizes.where("parts > 1"), "large")
+    key = F.when(F.col("parts").isNull(), F.col("key")).otherwise(F.xxhash64("key", part_of("parts")))
+    return slots.join(large, "key", "left").select(key.alias("key"), "doc", F.col("doc").alias("known")), large
+
+
+def across_parts(slots: DataFrame, large: DataFrame, found: DataFrame, most: int) -> DataFrame:
+    """``key, doc, known`` by which all documents of a large key meet that are in different components (``known``).
+
+    Documents outside the key's largest component meet one another and those inside, part by part.
+    """
+    rows = slots.join(large.select("key"), "key").join(found.select(F.col("node").alias("doc"), "component"), "doc", "left")
+    rows = stash(rows.select("key", "doc", "n", F.coalesce("component", "doc").alias("known")), "large")
+    sizes = rows.groupBy("key", "known").agg(F.sum("n").alias("total")).groupBy("key")
+    sizes = sizes.agg(F.max_by("known", F.struct("total", "known")).alias("main"), F.max("total").alias("inside"), F.sum("total").alias("whole"), F.count("*").alias("groups")).where("groups > 1")
+    sizes = sizes.select("key", "main", F.ceil(F.col("inside") / most).alias("inside"), F.ceil((F.col("whole") - F.col("inside")) / most).alias("outside"))
+    each = lambda parts, key: F.transform(F.sequence(F.lit(0), (F.col(parts) - 1).cast("int")), key)
+    out, within = part_of("outside"), part_of("inside")
+    keys = F.when(F.col("known") == F.col("main"), each("outside", lambda p: F.xxhash64("key", F.lit(2), p, within))).otherwise(
+        F.concat(each("outside", lambda p: F.xxhash64("key", F.lit(1), F.least(out, p), F.greatest(out, p))), each("inside", lambda p: F.xxhash64("key", F.lit(2), out, p)))
+    )
+    return rows.join(sizes, "key").select(F.explode(keys).alias("key"), "doc", "known")
+
+
+def linked(slots: DataFrame, most: int, compare: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``node, component`` by the links that ``compare`` finds between documents that share a key of ``slots``."""
+    cut, large = in_parts(slots, most)
+    pairs = stash(compare(cut).distinct(), "links")
+    found = connected_components(pairs)
+    if large.isEmpty():
+        return found
+    more = compare(across_parts(slots, large, stash(found, "found"), most))
+    return connected_components(pairs.unionByName(more.distinct()))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT, node: int = NODE, family: int = FAMILY) -> DataFrame:
@@ -216,27 +250,39 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     first = marked.where("n > 0").groupBy("s1", "s2", "n").agg(F.min("doc").alias("rep"))
     same = marked.join(first, ["s1", "s2", "n"])
     reps = stash(same.where("doc = rep").select("doc", "n", "sketch", "paths").dropDuplicates(["doc"]), "reps")
-    members = stash(nodes_of(reps.select("doc", "paths"), node), "nodes")
-    likely = members.join(reps.select("doc", "n", "sketch"), "doc").repartition("path").sortWithinPartitions("path").mapInArrow(lambda b: likely_links(b, percent), "a long, b long")
-    families = stash(connected_components(likely.distinct()).select(F.col("node").alias("doc"), F.col("component").alias("key")), "families")
+    members = stash(nodes_of(reps.select("doc", "paths")), "nodes")
+
+    def by_sketch(slots: DataFrame) -> DataFrame:
+        met = slots.withColumnRenamed("key", "path").join(reps.select("doc", "n", "sketch"), "doc")
+        return met.repartition("path").sortWithinPartitions("path").mapInArrow(lambda b: likely_links(b, percent), "a long, b long")
+
+    likely = linked(members.withColumn("n", F.lit(1)), node, by_sketch)
+    families = stash(likely.select(F.col("node").alias("doc"), F.col("component").alias("key")), "families")
     sized = families.join(reps.select("doc", "n"), "doc")
     large = sized.groupBy("key").agg(F.sum("n").alias("total")).where(F.col("total") > family).select("key")
-    slots = families.join(large, "key", "left_anti").select("doc", "key").unionByName(
-        families.join(large, "key", "left_semi").select("doc").join(members, "doc").select("doc", F.col("path").alias("key"))
+    slots = sized.join(large, "key", "left_anti").select("key", "doc", F.lit(0).alias("n")).unionByName(
+        sized.join(large, "key", "left_semi").select("doc", "n").join(members, "doc").select("key", "doc", F.greatest("n", F.lit(family // node)).alias("n"))
     )
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for doc, z, keys in zip(ids_of(b).tolist(), b.column("z"), b.column("keys").to_pylist()):
+            for doc, z, keys, known in zip(ids_of(b).tolist(), b.column("z"), b.column("keys").to_pylist(), b.column("known").to_pylist()):
                 flat = np.frombuffer(unpacked(z), np.uint8)
                 value, _ = shingles(flat, np.array([0, len(flat)]), width)
                 n = len(keys)
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([doc] * n, pa.int64()), pa.array([value.tobytes()] * n, pa.binary())], ["key", "doc", "shingles"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(keys, pa.int64()), pa.array([doc] * n, pa.int64()), pa.array([known] * n, pa.int64()), pa.array([value.tobytes()] * n, pa.binary())],
+                    ["key", "doc", "known", "shingles"],
+                )
 
     packed = rows.mapInArrow(pack_texts, "doc long, z binary")
-    wanted = packed.join(slots.groupBy("doc").agg(F.collect_list("key").alias("keys")), "doc")
-    linked = wanted.mapInArrow(sets, "key long, doc long, shingles binary").repartition("key").sortWithinPartitions("key").mapInArrow(lambda b: links(b, percent), "a long, b long")
-    named = connected_components(linked.distinct()).select(F.col("node").alias("rep"), "component")
+
+    def by_sets(slots: DataFrame) -> DataFrame:
+        wanted = packed.join(slots.groupBy("doc", "known").agg(F.collect_list("key").alias("keys")), "doc")
+        met = wanted.mapInArrow(sets, "key long, doc long, known long, shingles binary").repartition("key").sortWithinPartitions("key")
+        return met.mapInArrow(lambda b: links(b, percent), "a long, b long")
+
+    named = linked(slots, family, by_sets).select(F.col("node").alias("rep"), "component")
     out = marked.select("doc", "n", "s1", "s2").join(first, ["s1", "s2", "n"], "left").join(named, "rep", "left")
     component = F.coalesce("component", "rep", "doc")
     back = lambda c: F.when(c != NULL_ID, c)

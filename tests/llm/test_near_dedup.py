@@ -65,6 +65,18 @@ def test_small_nodes_and_families(spark, monkeypatch):
     assert collected(near_dedup.near_duplicates(docs, width=4, node=6, family=400)) == brute(rows, 4)
 
 
+def test_pairs_in_large_nodes(spark):
+    """Pairs at the threshold that have little but a template in common, which all other documents have too."""
+    rows = []
+    for pair in range(100):
+        both = [f"t{k}" for k in range(203)] + [f"p{pair}w{k}" for k in range(10)]
+        rows += [(len(rows) + side, " ".join(both + [f"p{pair}s{side}w{k}" for k in range(26)])) for side in range(2)]
+    want = brute(rows, 4)
+    assert len({c for _, c, _ in want.values()}) == 100
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert collected(near_dedup.near_duplicates(docs, width=4, node=10, family=5_000)) == want
+
+
 def test_empty_null_and_repeated_rows(spark):
     schema = "doc_id long, text string"
     assert near_dedup.near_duplicates(spark.createDataFrame([], schema)).count() == 0
