@@ -7,7 +7,8 @@ lines it shares alone, so all pairs together have no more rows than the corpus h
 documents share one and however long its leader is.
 
 Only lines that tell something lead to a partner; the short lines that follow one go with it if the same ones
-follow it in the partner. Only line hashes take part in the search and the alignment; texts are read once for
+follow it in the partner. A short line is also led by the stretch of lines from it on, and the one up to it, that
+together tell something, so it is found among other neighbours and where no line tells by itself. Only line hashes take part in the search and the alignment; texts are read once for
 the hashes and once for the deletion.
 """
 
@@ -23,10 +24,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..storage import stash
-from .common import NULL_ID, text_slices
+from .common import NULL_ID, mix, text_slices
 from .windows import Sums, flat_bytes
 
-#: Bytes that a line needs to lead to a partner; shorter ones are deleted inside longer blocks only.
+#: Bytes that a line, or a stretch around a short one, needs to lead to a partner.
 TELLING = 16
 _BREAK = 10
 _GONE = "__line_gone"
@@ -60,6 +61,19 @@ def telling_lines(value: np.ndarray, size: np.ndarray, lines: np.ndarray, least:
     return row, at - lines[row], value[at], tail, after - at - 1
 
 
+def short_lines(value: np.ndarray, size: np.ndarray, lines: np.ndarray, least: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """Lines under ``least`` bytes: row, place in the row, and hash of the shortest stretch of ``least`` bytes that
+    starts with each; and the same of those that end with each. Lines without such a stretch are left out."""
+    bytes_before = np.r_[0, np.cumsum(size)]
+    sums = Sums(value.view(np.uint64))
+    at = np.flatnonzero(size < least)
+    row = np.searchsorted(lines, at, "right") - 1
+    ends = np.searchsorted(bytes_before, bytes_before[at] + least, "left")
+    starts = np.searchsorted(bytes_before, bytes_before[at + 1] - least, "right") - 1
+    for kind, start, end, fits in ((1, at, ends, ends <= lines[1:][row]), (2, starts, at + 1, starts >= lines[row])):
+        yield row[fits], (at - lines[row])[fits], mix(sums.of(start[fits], end[fits]) + np.uint64(kind)).view(np.int64)
+
+
 def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     """Places in ``a`` and ``b`` that patience diff aligns: equal ends, then lines unique on both sides in
     their longest common order, and the same again between those."""
@@ -112,10 +126,15 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
 
 def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in text_slices(batches, "text", 1 << 20):
-        row, place, line, tail, n_tail = telling_lines(*line_hashes(b.column("text")), TELLING)
+        value, size, lines = line_hashes(b.column("text"))
+        found = [(*telling_lines(value, size, lines, TELLING), 0)]
+        for kind, (row, place, line) in enumerate(short_lines(value, size, lines, TELLING), 1):
+            found.append((row, place, line, np.zeros(len(row), dtype=np.int64), np.zeros(len(row), dtype=np.int64), kind))
+        kind = np.repeat([x[-1] for x in found], [len(x[0]) for x in found])
+        row, place, line, tail, n_tail = (np.concatenate(x) for x in list(zip(*found))[:5])
         rows = pa.array(row)
-        columns = [b.column("doc").take(rows), b.column("version").take(rows), pa.array(place), pa.array(line), pa.array(tail), pa.array(n_tail)]
-        yield pa.RecordBatch.from_arrays(columns, ["doc", "version", "place", "line", "tail", "n_tail"])
+        columns = [b.column("doc").take(rows), b.column("version").take(rows), *map(pa.array, (kind, place, line, tail, n_tail))]
+        yield pa.RecordBatch.from_arrays(columns, ["doc", "version", "kind", "place", "line", "tail", "n_tail"])
 
 
 def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,7 +160,8 @@ def drop_common_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     Earlier is a smaller id. Lines end at newlines and are compared whole; remaining ones are joined by
     newlines. A line of ``TELLING`` bytes or more leads to the first document that holds it; shorter ones go
-    with the telling line that they follow. All columns are kept as they are but the text, which stays null
+    with the telling line that they follow, or lead to the first document that holds the stretch of ``TELLING``
+    bytes from them on, or up to them. All columns are kept as they are but the text, which stays null
     where it is null; an empty text is one empty line. Rows that share an id are versions of one document,
     none earlier than the other; a null id comes first; an empty table gives no rows. ``counts`` may not
     clash with columns of those names.
@@ -149,13 +169,13 @@ def drop_common_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     key, mark = "__line_doc", "__line_version"
     id_of = F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID))
     texts = docs.select(id_of.alias("doc"), F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias("version")).where("text IS NOT NULL")
-    lines = texts.mapInArrow(_hashed, "doc long, version long, place long, line long, tail long, n_tail long").dropDuplicates(["doc", "version", "place"])
+    lines = texts.mapInArrow(_hashed, "doc long, version long, kind long, place long, line long, tail long, n_tail long").dropDuplicates(["doc", "version", "kind", "place"])
     lines = stash(lines, "lines")
     places = lines.groupBy("line", "doc").agg(F.collect_list(F.struct("place", "tail")).alias("places"))
     leaders = places.groupBy("line").agg(F.min("doc").alias("leader"), F.max("doc").alias("last"), F.min_by("places", "doc").alias("places")).where("leader < last").drop("last")
     leaders = stash(leaders, "leaders")  # so that both sides of the join are dealt anew, and a line's holders can be split
     shared = lines.join(leaders, "line").where("doc <> leader")
-    pairs = shared.groupBy("doc", "version", "leader").agg(F.collect_list(F.struct("place", "line", "tail", "n_tail", "places")).alias("shared"))
+    pairs = shared.groupBy("doc", "version", "leader", "kind").agg(F.collect_list(F.struct("place", "line", "tail", "n_tail", "places")).alias("shared"))
     gone = pairs.select("doc", "version", "shared").mapInArrow(_aligned, "doc long, version long, gone array<int>")
     gone = gone.groupBy("doc", "version").agg(F.flatten(F.collect_list("gone")).alias("gone"))
     schema = StructType(list(docs.schema.fields))

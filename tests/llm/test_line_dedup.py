@@ -90,6 +90,18 @@ def test_against_plain_way(spark):
     assert {r.doc_id: (r.n_lines, r.n_deleted, r.text) for r in found.collect()} == brute(rows)
 
 
+def kept(spark, texts):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    return [r.text for r in line_dedup.drop_common_lines(docs).orderBy("doc_id").collect()]
+
+
+def test_short_lines(spark):
+    verse = "so much depends\nupon\n\na red wheel\nbarrow"
+    first, last = "a first line of some length", "a last line of some length"
+    texts = [verse, verse, "x\n" + verse, f"Title\n{first}\na\nb\nc\nd\n{last}", f"Title\n{first}\na\nb\nC\nd\n{last}", "upon", "upon", ""]
+    assert kept(spark, texts) == [verse, "", "x", texts[3], "C", "upon", "upon", ""]
+
+
 def test_empty_null_and_repeated_rows(spark):
     schema = "doc_id long, text string"
     assert line_dedup.drop_common_lines(spark.createDataFrame([], schema)).count() == 0
