@@ -6,6 +6,9 @@ blocks are deleted. The first holder of a line keeps it, so no line is lost alto
 lines it shares alone, so all pairs together have no more rows than the corpus has lines, however many
 documents share one and however long its leader is.
 
+So that a block is also found in a later holder of its lines, where they stand in the same order, every run of 2,
+4, 8, ... lines, and every whole text, leads to its own first holder, and is aligned with it in the same way.
+
 Only lines that tell something lead to a partner; the short lines that follow one go with it if the same ones
 follow it in the partner. A short line is also led by the stretch of lines from it on, and the one up to it, that
 together tell something, so it is found among other neighbours and where no line tells by itself. Only line hashes take part in the search and the alignment; texts are read once for
@@ -74,6 +77,20 @@ def short_lines(value: np.ndarray, size: np.ndarray, lines: np.ndarray, least: i
         yield row[fits], (at - lines[row])[fits], mix(sums.of(start[fits], end[fits]) + np.uint64(kind)).view(np.int64)
 
 
+def runs(value: np.ndarray, size: np.ndarray, lines: np.ndarray, least: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """Stretches of ``least`` bytes that are a whole text, or 2, 4, 8, ... lines of one: row, place in the row, hash and number of lines."""
+    bytes_before = np.r_[0, np.cumsum(size)]
+    sums = Sums(value.view(np.uint64))
+    n_lines = np.diff(lines)
+    place = np.arange(len(value)) - np.repeat(lines[:-1], n_lines)
+    left = np.repeat(n_lines, n_lines) - place
+    spans = [2**k for k in range(1, int(n_lines.max(initial=0)).bit_length())]
+    for kind, at, n in [(3, lines[:-1], n_lines)] + [(k, at, np.full(len(at), span)) for k, span in enumerate(spans, 4) for at in [np.flatnonzero(left >= span)]]:
+        tells = bytes_before[at + n] - bytes_before[at] >= least
+        at, n = at[tells], n[tells]
+        yield np.searchsorted(lines, at, "right") - 1, place[at], mix(sums.of(at, at + n) + np.uint64(kind)).view(np.int64), n
+
+
 def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     """Places in ``a`` and ``b`` that patience diff aligns: equal ends, then lines unique on both sides in
     their longest common order, and the same again between those."""
@@ -127,14 +144,18 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
 def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in text_slices(batches, "text", 1 << 20):
         value, size, lines = line_hashes(b.column("text"))
-        found = [(*telling_lines(value, size, lines, TELLING), 0)]
+        row, place, line, tail, n_tail = telling_lines(value, size, lines, TELLING)
+        one = lambda x, n: np.full(len(x), n, dtype=np.int64)
+        found = [(row, place, line, one(row, 1), tail, n_tail, 0)]
         for kind, (row, place, line) in enumerate(short_lines(value, size, lines, TELLING), 1):
-            found.append((row, place, line, np.zeros(len(row), dtype=np.int64), np.zeros(len(row), dtype=np.int64), kind))
+            found.append((row, place, line, one(row, 1), one(row, 0), one(row, 0), kind))
+        for kind, (row, place, line, span) in enumerate(runs(value, size, lines, TELLING), 3):
+            found.append((row, place, line, span, one(row, 0), one(row, 0), kind))
         kind = np.repeat([x[-1] for x in found], [len(x[0]) for x in found])
-        row, place, line, tail, n_tail = (np.concatenate(x) for x in list(zip(*found))[:5])
+        row, place, line, span, tail, n_tail = (np.concatenate(x) for x in list(zip(*found))[:6])
         rows = pa.array(row)
-        columns = [b.column("doc").take(rows), b.column("version").take(rows), *map(pa.array, (kind, place, line, tail, n_tail))]
-        yield pa.RecordBatch.from_arrays(columns, ["doc", "version", "kind", "place", "line", "tail", "n_tail"])
+        columns = [b.column("doc").take(rows), b.column("version").take(rows), *map(pa.array, (kind, place, line, span, tail, n_tail))]
+        yield pa.RecordBatch.from_arrays(columns, ["doc", "version", "kind", "place", "line", "span", "tail", "n_tail"])
 
 
 def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,10 +167,13 @@ def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held = {x["line"]: x["places"] for x in own}
             first = sorted((p["place"], line, p["tail"]) for line, places in held.items() for p in places)
             lost: list[int] = []
-            for i, j in patience([x[1] for x in first], [x["line"] for x in own]):
+            done = 0
+            for i, j in sorted(patience([x[1] for x in first], [x["line"] for x in own])):
                 mine = own[j]
                 together = mine["n_tail"] if mine["tail"] == first[i][2] else 0
-                lost += range(mine["place"], mine["place"] + together + 1)
+                end = mine["place"] + mine["span"] + together
+                lost += range(max(done, mine["place"]), end)  # runs overlap
+                done = max(done, end)
             gone.append(lost)
         yield pa.RecordBatch.from_arrays([b.column("doc"), b.column("version"), pa.array(gone, pa.list_(pa.int32()))], ["doc", "version", "gone"])
 
@@ -161,7 +185,7 @@ def drop_common_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     Earlier is a smaller id. Lines end at newlines and are compared whole; remaining ones are joined by
     newlines. A line of ``TELLING`` bytes or more leads to the first document that holds it; shorter ones go
     with the telling line that they follow, or lead to the first document that holds the stretch of ``TELLING``
-    bytes from them on, or up to them. All columns are kept as they are but the text, which stays null
+    bytes from them on, or up to them. Runs of 2, 4, 8, ... lines and whole texts lead to their first holders too. All columns are kept as they are but the text, which stays null
     where it is null; an empty text is one empty line. Rows that share an id are versions of one document,
     none earlier than the other; a null id comes first; an empty table gives no rows. ``counts`` may not
     clash with columns of those names.
@@ -169,13 +193,13 @@ def drop_common_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     key, mark = "__line_doc", "__line_version"
     id_of = F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID))
     texts = docs.select(id_of.alias("doc"), F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias("version")).where("text IS NOT NULL")
-    lines = texts.mapInArrow(_hashed, "doc long, version long, kind long, place long, line long, tail long, n_tail long").dropDuplicates(["doc", "version", "kind", "place"])
+    lines = texts.mapInArrow(_hashed, "doc long, version long, kind long, place long, line long, span long, tail long, n_tail long").dropDuplicates(["doc", "version", "kind", "place"])
     lines = stash(lines, "lines")
     places = lines.groupBy("line", "doc").agg(F.collect_list(F.struct("place", "tail")).alias("places"))
     leaders = places.groupBy("line").agg(F.min("doc").alias("leader"), F.max("doc").alias("last"), F.min_by("places", "doc").alias("places")).where("leader < last").drop("last")
     leaders = stash(leaders, "leaders")  # so that both sides of the join are dealt anew, and a line's holders can be split
     shared = lines.join(leaders, "line").where("doc <> leader")
-    pairs = shared.groupBy("doc", "version", "leader", "kind").agg(F.collect_list(F.struct("place", "line", "tail", "n_tail", "places")).alias("shared"))
+    pairs = shared.groupBy("doc", "version", "leader", "kind").agg(F.collect_list(F.struct("place", "line", "span", "tail", "n_tail", "places")).alias("shared"))
     gone = pairs.select("doc", "version", "shared").mapInArrow(_aligned, "doc long, version long, gone array<int>")
     gone = gone.groupBy("doc", "version").agg(F.flatten(F.collect_list("gone")).alias("gone"))
     schema = StructType(list(docs.schema.fields))

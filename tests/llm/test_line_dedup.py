@@ -95,6 +95,18 @@ def kept(spark, texts):
     return [r.text for r in line_dedup.drop_common_lines(docs).orderBy("doc_id").collect()]
 
 
+def test_later_holders(spark):
+    """Copies and blocks of a document whose lines stand in another order in the first holder."""
+    x, y, z, w = (f"the {name} line, long enough" for name in "xyzw")
+    assert kept(spark, [f"{x}\n{y}", f"{y}\n{x}", f"{y}\n{x}"])[2] == ""
+    r = random.Random(4)
+    pool = [f"line {k} of the passages that many share" for k in range(12)]
+    texts = ["\n".join(r.sample(pool, 12)) for _ in range(20)]
+    found = kept(spark, [*texts, *texts, *(f"{t}\nnew at the end {k}" for k, t in enumerate(texts))])
+    assert found[20:] == [""] * 20 + [f"new at the end {k}" for k in range(20)]
+    assert found[0] == texts[0]
+
+
 def test_short_lines(spark):
     verse = "so much depends\nupon\n\na red wheel\nbarrow"
     first, last = "a first line of some length", "a last line of some length"
