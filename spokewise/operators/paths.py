@@ -7,8 +7,10 @@ come by, since a turn's cost depends on both its edges; with a budget also how m
 Two forms give the same costs:
 
 * :func:`route_requests` spreads requests over the executors, each with the graph in hand. The graph is
-  collected once and its size checked against ``most_edges``; larger ones take the other form.
+  collected once and its size checked against ``most_edges``; for larger ones it raises an error. Turns are
+  not counted.
 * :func:`relax` goes from frontier to frontier with joins, for all requests at once, on a graph of any size.
+  Nothing changes over to it by itself.
 """
 
 from __future__ import annotations
