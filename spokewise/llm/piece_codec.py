@@ -124,8 +124,8 @@ class PieceTable:
     def coded_chunk(self, chunk: str) -> tuple[str, str]:
         """Ids as decimals joined by spaces, and the text they decode to."""
         pieces = self.split(chunk)
-        if -1 not in pieces:  # no bytes: the pieces' letters in a row are the chunk
-            return " ".join(map(str, pieces)), chunk.replace(MARK, " ")
+        if -1 not in pieces:
+            return " ".join(map(str, pieces)), self.text(pieces, first=False)
         out: list[int] = []
         at = 0
         for piece in pieces:

@@ -60,3 +60,14 @@ def test_empty_and_repeated_rows(spark):
     path = tokenizer_path("piece_bpe_32k.model")
     assert sorted((r.doc_id or 0, len(r.ids)) for r in piece_codec.encode(docs, path).collect()) == [(0, 1), (1, 3), (1, 3)]
     assert piece_codec.code_digest(docs.limit(0), path).count() == 0
+
+
+def test_decoded_text_is_made_of_the_ids(monkeypatch):
+    """A wrong id shows in the decoded text."""
+    table = piece_codec.PieceTable(tokenizer_path("piece_bpe_32k.model"))
+    right = table.split(piece_codec.MARK + "tree")
+    assert table.coded_chunk(piece_codec.MARK + "tree")[1] == " tree"
+    wrong = [*right[:-1], table.split(piece_codec.MARK + "stone")[-1]]
+    monkeypatch.setattr(table, "split", lambda chunk: wrong)
+    ids, text = table.coded_chunk(piece_codec.MARK + "tree")
+    assert ids == " ".join(map(str, wrong)) and text == table.text(wrong, first=False) != " tree"
