@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import stash
+from ..storage import drop, stash
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
@@ -30,6 +30,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
         joined = large.join(small_low, "u")
         small = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small_low.select("u", F.col("m").alias("v")))
         new = stash(small.distinct(), "pairs")
+        drop(pairs)  # the round is written whole, so nothing reads the one before
         pairs, seen = new, before
         before = tally(new)
         if before == seen:

@@ -9,17 +9,23 @@ from weakref import WeakKeyDictionary
 from pyspark.sql import DataFrame, SparkSession
 
 _written: WeakKeyDictionary[SparkSession, list[str]] = WeakKeyDictionary()
+_path_of: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; a folder of our own only where it is unset (tests)."""
+    """The cluster's ``spark.checkpoint.dir``.
+
+    Where it is unset, a session on one machine gets a folder of its own; on a cluster that is an error, as
+    no folder of one machine is seen by the others.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
     jsc = spark.sparkContext._jsc.sc()
-    if jsc.getCheckpointDir().isDefined():
-        return jsc.getCheckpointDir().get().rstrip("/")
-    spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="spark-"))
+    if not jsc.getCheckpointDir().isDefined():
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="spark-"))
     return jsc.getCheckpointDir().get().rstrip("/")
 
 
@@ -32,14 +38,38 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
     _written.setdefault(spark, []).append(path)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _path_of[out] = path
+    return out
 
 
-def discard(spark: SparkSession) -> int:
-    """Removes the tables written for this session; results that still read them must have been written."""
-    paths = _written.pop(spark, [])
+def _remove(spark: SparkSession, paths: list[str]) -> int:
     conf = spark.sparkContext._jsc.hadoopConfiguration()
     for p in paths:
         path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p)
         path.getFileSystem(conf).delete(path, True)
     return len(paths)
+
+
+def drop(*steps: DataFrame | None) -> None:
+    """Removes steps that nothing reads any more, as a loop does with the round before."""
+    for df in steps:
+        path = _path_of.pop(df, None) if df is not None else None
+        if path is not None:
+            _written[df.sparkSession].remove(path)
+            _remove(df.sparkSession, [path])
+
+
+def mark(spark: SparkSession) -> int:
+    """The number of tables written so far, for :func:`discard`."""
+    return len(_written.get(spark, []))
+
+
+def discard(spark: SparkSession, since: int = 0, keep: DataFrame | None = None) -> int:
+    """Removes the tables written for this session after ``since``, but for ``keep``; results that still read
+    them must have been written."""
+    paths = _written.get(spark, [])
+    kept = _path_of.get(keep) if keep is not None else None
+    gone = [p for p in paths[since:] if p != kept]
+    _written[spark] = [p for p in paths if p not in set(gone)]
+    return _remove(spark, gone)

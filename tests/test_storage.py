@@ -9,3 +9,14 @@ def test_stash_and_discard(spark):
     from pathlib import Path
 
     assert not Path(path.removeprefix("file://")).exists()
+
+
+def test_drop_and_marks(spark):
+    storage.discard(spark)
+    first = storage.stash(spark.range(3), "first")
+    since = storage.mark(spark)
+    kept, gone = storage.stash(spark.range(4), "kept"), storage.stash(spark.range(5), "gone")
+    assert storage.discard(spark, since, kept) == 1 and storage.mark(spark) == 2
+    assert first.count() == 3 and kept.count() == 4
+    storage.drop(first, None)
+    assert storage.mark(spark) == 1 and storage.discard(spark) == 1
