@@ -8,6 +8,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..storage import stash
 
 
 def tokenizer_path(name: str) -> str:
@@ -63,3 +67,17 @@ _opener = zstandard.ZstdDecompressor()
 
 def unpacked(z: pa.Scalar) -> bytes:
     return _opener.decompress(z.as_buffer()) if z.is_valid else b""
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str = "n") -> DataFrame:
+    """``rows`` with the columns of ``groups``, of which each key has one row, at most; ``size`` is the number of
+    rows that a key has.
+
+    A key with over one in 1,000 of all these rows, of which there are fewer than 1,000, is met by broadcast, so
+    its rows stay where they are; the others are met by a shuffle.
+    """
+    groups = stash(groups, "groups")
+    least = (groups.agg(F.sum(size)).first()[0] or 0) // 1_000
+    hot = F.broadcast(groups.where(F.col(size) > least))
+    rest = groups.where(F.col(size) <= least)
+    return rows.join(hot, keys).unionByName(rows.join(F.broadcast(groups.where(F.col(size) > least).select(*keys)), keys, "left_anti").join(rest.hint("merge"), keys))

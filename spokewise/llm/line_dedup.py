@@ -1,17 +1,17 @@
 """Line dedup by pairwise alignment.
 
-Every line has a leader, the first document that holds it. A document overlaps with the leaders of its lines,
-and is aligned with each of them by patience diff over the lines that lead there; the lines of aligned common
-blocks are deleted. The first holder of a line keeps it, so no line is lost altogether. A pair is made of the
-lines it shares alone, so all pairs together have no more rows than the corpus has lines, however many
-documents share one and however long its leader is.
-
-So that a block is also found in a later holder of its lines, where they stand in the same order, every run of 2,
-4, 8, ... lines, and every whole text, leads to its own first holder, and is aligned with it in the same way.
-
-Only lines that tell something lead to a partner; the short lines that follow one go with it if the same ones
-follow it in the partner. A short line is also led by the stretch of lines from it on, and the one up to it, that
-together tell something, so it is found among other neighbours and where no line tells by itself. Only line hashes take part in the search and the alignment; texts are read once for
+Documents that overlap are found through the hashes of rare lines: a line that at most ``RARE`` texts hold makes
+a pair of any two of them. Each pair's whole line sequences are aligned by patience diff, and the aligned common
+blocks are deleted from the later document. Equal texts are one vertex, so copies make no pairs.
+
+A line that more texts hold makes no pairs of all its holders, which would be the square of their number; each of
+them is paired with the first one instead. Stretches of 2, 4, 8, ... lines that are all so common are looked at
+in the same way: one that at most ``RARE`` texts hold makes a pair of any two, another leads to its first holder.
+So every line that stands in an earlier document leads to a partner, and a stretch of common lines leads to those
+that hold it in the same order. The number of pairs is linear in the corpus's lines.
+
+Only the hashes of lines take part in the search and the alignment, and of those only of lines that stand in two
+texts at least; places are kept, so an unshared line still parts the blocks around it. Texts are read once for
 the hashes and once for the deletion.
 """
 
@@ -27,23 +27,22 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..storage import stash
-from .common import NULL_ID, mix, text_slices
-from .windows import Sums, flat_bytes
+from .common import NULL_ID, join_groups, mix, text_slices
+from .windows import _SPACE, Sums, flat_bytes
 
-#: Bytes that a line, or a stretch around a short one, needs to lead to a partner.
-TELLING = 16
-_BREAK = 10
-_GONE = "__line_gone"
+#: Texts that may hold a line for it to pair all of them.
+RARE = 6
+_BREAK, _BLANK = 10, " \t\n\v\f\r"
+_GONE, _COPY = "__line_gone", "__line_copy"
 
 
-def line_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of all lines: hash and size; and where each row's lines start."""
+def line_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """A hash of each line, odd if the line is more than white space; and where each row's lines start."""
     flat, off = flat_bytes(column)
     n = len(off) - 1
     breaks = np.flatnonzero(flat == _BREAK)
     row = np.searchsorted(off, breaks, "right") - 1
-    per = np.bincount(row, minlength=n) + 1
-    lines = np.r_[0, np.cumsum(per)]
+    lines = np.r_[0, np.cumsum(np.bincount(row, minlength=n) + 1)]
     is_first = np.zeros(lines[-1], dtype=bool)
     is_first[lines[:-1]] = True
     is_last = np.zeros(lines[-1], dtype=bool)
@@ -52,57 +51,50 @@ def line_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     end = np.empty(lines[-1], dtype=np.int64)
     start[is_first], start[~is_first] = off[:-1], breaks + 1
     end[is_last], end[~is_last] = off[1:], breaks
-    return Sums(flat).of(start, end).view(np.int64), end - start, lines
-
-
-def telling_lines(value: np.ndarray, size: np.ndarray, lines: np.ndarray, least: int) -> tuple[np.ndarray, ...]:
-    """Lines of ``least`` bytes: row, place in the row, hash, and the hash and number of short lines after each."""
-    at = np.flatnonzero(size >= least)
-    row = np.searchsorted(lines, at, "right") - 1
-    after = np.minimum(np.append(at[1:], len(value)), lines[1:][row])
-    tail = Sums(value.view(np.uint64)).of(at + 1, after).view(np.int64)
-    return row, at - lines[row], value[at], tail, after - at - 1
-
-
-def short_lines(value: np.ndarray, size: np.ndarray, lines: np.ndarray, least: int) -> Iterator[tuple[np.ndarray, ...]]:
-    """Lines under ``least`` bytes: row, place in the row, and hash of the shortest stretch of ``least`` bytes that
-    starts with each; and the same of those that end with each. Lines without such a stretch are left out."""
-    bytes_before = np.r_[0, np.cumsum(size)]
-    sums = Sums(value.view(np.uint64))
-    at = np.flatnonzero(size < least)
-    row = np.searchsorted(lines, at, "right") - 1
-    ends = np.searchsorted(bytes_before, bytes_before[at] + least, "left")
-    starts = np.searchsorted(bytes_before, bytes_before[at + 1] - least, "right") - 1
-    for kind, start, end, fits in ((1, at, ends, ends <= lines[1:][row]), (2, starts, at + 1, starts >= lines[row])):
-        yield row[fits], (at - lines[row])[fits], mix(sums.of(start[fits], end[fits]) + np.uint64(kind)).view(np.int64)
-
-
-def runs(value: np.ndarray, size: np.ndarray, lines: np.ndarray, least: int) -> Iterator[tuple[np.ndarray, ...]]:
-    """Stretches of ``least`` bytes that are a whole text, or 2, 4, 8, ... lines of one: row, place in the row, hash and number of lines."""
-    bytes_before = np.r_[0, np.cumsum(size)]
-    sums = Sums(value.view(np.uint64))
-    n_lines = np.diff(lines)
-    place = np.arange(len(value)) - np.repeat(lines[:-1], n_lines)
-    left = np.repeat(n_lines, n_lines) - place
-    spans = [2**k for k in range(1, int(n_lines.max(initial=0)).bit_length())]
-    for kind, at, n in [(3, lines[:-1], n_lines)] + [(k, at, np.full(len(at), span)) for k, span in enumerate(spans, 4) for at in [np.flatnonzero(left >= span)]]:
-        tells = bytes_before[at + n] - bytes_before[at] >= least
-        at, n = at[tells], n[tells]
-        yield np.searchsorted(lines, at, "right") - 1, place[at], mix(sums.of(at, at + n) + np.uint64(kind)).view(np.int64), n
-
-
-def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
-    """Places in ``a`` and ``b`` that patience diff aligns: equal ends, then lines unique on both sides in
-    their longest common order, and the same again between those."""
+    signs = np.r_[0, np.cumsum(~_SPACE[flat])]
+    value = Sums(flat).of(start, end)
+    return (value & ~np.uint64(1) | (signs[end] > signs[start])).view(np.int64), lines
+
+
+def common_stretches(place: np.ndarray, line: np.ndarray, common: np.ndarray, row: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Row and hash of each stretch of 2, 4, 8, ... neighbouring lines that are all common, and not all blank."""
+    n = len(line)
+    if not n:
+        return
+    sums = Sums(line.view(np.uint64))
+    full = np.r_[0, np.cumsum(line & 1)]
+    cut = np.ones(n, dtype=bool)
+    cut[1:] = (row[1:] != row[:-1]) | (place[1:] != place[:-1] + 1) | ~common[:-1] | ~common[1:]
+    first = np.flatnonzero(cut)
+    left = np.repeat(np.append(first[1:], n), np.diff(np.append(first, n))) - np.arange(n)  # lines to the end of the stretch
+    span = 2
+    while True:
+        at = np.flatnonzero(left >= span)
+        if not len(at):
+            return
+        at = at[full[at + span] > full[at]]
+        yield row[at], mix(sums.of(at, at + span) + np.uint64(span)).view(np.int64)
+        span *= 2
+
+
+def patience(a: list[int], at_a: list[int], n_a: int, b: list[int], at_b: list[int], n_b: int) -> list[tuple[int, int]]:
+    """Indices in ``a`` and ``b`` that patience diff aligns: equal ends, then lines unique on both sides in
+    their longest common order, and the same again between those.
+
+    ``a`` holds the lines, of a sequence of ``n_a``, that another text may share, ``at_a`` their places; the
+    lines left out are met by none. So for ``b``."""
     found: list[tuple[int, int]] = []
-    todo = [(0, len(a), 0, len(b))]
+    # bounds: indices into the lists, and the places just before and after
+    todo = [(0, len(a), 0, len(b), -1, -1, n_a, n_b)]
     while todo:
-        a0, a1, b0, b1 = todo.pop()
-        while a0 < a1 and b0 < b1 and a[a0] == b[b0]:
+        a0, a1, b0, b1, la, lb, ra, rb = todo.pop()
+        while a0 < a1 and b0 < b1 and at_a[a0] == la + 1 and at_b[b0] == lb + 1 and a[a0] == b[b0]:
             found.append((a0, b0))
+            la, lb = la + 1, lb + 1
             a0, b0 = a0 + 1, b0 + 1
-        while a0 < a1 and b0 < b1 and a[a1 - 1] == b[b1 - 1]:
+        while a0 < a1 and b0 < b1 and at_a[a1 - 1] == ra - 1 and at_b[b1 - 1] == rb - 1 and a[a1 - 1] == b[b1 - 1]:
             a1, b1 = a1 - 1, b1 - 1
+            ra, rb = ra - 1, rb - 1
             found.append((a1, b1))
         if a0 >= a1 or b0 >= b1:
             continue
@@ -134,78 +126,128 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
             continue
         pa_, pb = a0, b0
         for j, i in reversed(chain):
-            todo.append((pa_, i, pb, j))
+            todo.append((pa_, i, pb, j, la, lb, at_a[i], at_b[j]))
             found.append((i, j))
-            pa_, pb = i + 1, j + 1
-        todo.append((pa_, a1, pb, b1))
+            pa_, pb, la, lb = i + 1, j + 1, at_a[i], at_b[j]
+        todo.append((pa_, a1, pb, b1, la, lb, ra, rb))
     return found
 
 
 def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in text_slices(batches, "text", 1 << 20):
-        value, size, lines = line_hashes(b.column("text"))
-        row, place, line, tail, n_tail = telling_lines(value, size, lines, TELLING)
-        one = lambda x, n: np.full(len(x), n, dtype=np.int64)
-        found = [(row, place, line, one(row, 1), tail, n_tail, 0)]
-        for kind, (row, place, line) in enumerate(short_lines(value, size, lines, TELLING), 1):
-            found.append((row, place, line, one(row, 1), one(row, 0), one(row, 0), kind))
-        for kind, (row, place, line, span) in enumerate(runs(value, size, lines, TELLING), 3):
-            found.append((row, place, line, span, one(row, 0), one(row, 0), kind))
-        kind = np.repeat([x[-1] for x in found], [len(x[0]) for x in found])
-        row, place, line, span, tail, n_tail = (np.concatenate(x) for x in list(zip(*found))[:6])
-        rows = pa.array(row)
-        columns = [b.column("doc").take(rows), b.column("version").take(rows), *map(pa.array, (kind, place, line, span, tail, n_tail))]
-        yield pa.RecordBatch.from_arrays(columns, ["doc", "version", "kind", "place", "line", "span", "tail", "n_tail"])
+        line, lines = line_hashes(b.column("text"))
+        yield pa.RecordBatch.from_arrays([b.column("doc"), b.column("v"), b.column("w"), pa.ListArray.from_arrays(pa.array(lines.astype(np.int32)), pa.array(line))], ["doc", "v", "w", "lines"])
+
+
+def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        own = b.column("line")
+        row = np.repeat(np.arange(b.num_rows), np.diff(own.offsets.to_numpy()))
+        flat = lambda c: b.column(c).flatten().to_numpy(zero_copy_only=False)
+        for row, stretch in common_stretches(flat("place"), flat("line"), flat("common"), row):
+            rows = pa.array(row)
+            yield pa.RecordBatch.from_arrays([b.column("doc").take(rows), b.column("v").take(rows), pa.array(stretch)], ["doc", "v", "key"])
 
 
 def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each pair: which places of the later document are deleted."""
+    """Which places of each document are deleted for each partner; the partner's lines come before the documents'."""
+    held: tuple[int, int] | None = None
+    partners: list[tuple[list[int], list[int], int]] = []
     for b in batches:
-        gone: list[list[int]] = []
-        for own in b.column("shared").to_pylist():
-            own.sort(key=lambda x: x["place"])
-            held = {x["line"]: x["places"] for x in own}
-            first = sorted((p["place"], line, p["tail"]) for line, places in held.items() for p in places)
+        docs, vs, gone = [], [], []
+        columns = [b.column(c) for c in ("partner", "salt", "side", "doc", "v", "n_lines")]
+        for partner, salt, side, doc, v, n, place, line in zip(*(c.to_pylist() for c in columns), b.column("place"), b.column("line")):
+            if (partner, salt) != held:
+                held, partners = (partner, salt), []
+            place, line = place.as_py(), line.as_py()
+            if side == 0:
+                partners.append((line, place, n))
+                continue
             lost: list[int] = []
-            done = 0
-            for i, j in sorted(patience([x[1] for x in first], [x["line"] for x in own])):
-                mine = own[j]
-                together = mine["n_tail"] if mine["tail"] == first[i][2] else 0
-                end = mine["place"] + mine["span"] + together
-                lost += range(max(done, mine["place"]), end)  # runs overlap
-                done = max(done, end)
-            gone.append(lost)
-        yield pa.RecordBatch.from_arrays([b.column("doc"), b.column("version"), pa.array(gone, pa.list_(pa.int32()))], ["doc", "version", "gone"])
-
-
-def drop_common_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", counts: bool = True, keep_emptied: bool = True) -> DataFrame:
+            for own in partners:
+                block: list[int] = []
+                full, i0, j0 = 0, -2, -2
+                for i, j in sorted((own[1][i], j) for i, j in patience(*own, line, place, n)):
+                    if i != i0 + 1 or place[j] != j0 + 1:
+                        lost += block if full else []
+                        block, full = [], 0
+                    i0, j0 = i, place[j]
+                    block.append(j0)
+                    full |= line[j] & 1
+                lost += block if full else []
+            if lost:
+                docs.append(doc)
+                vs.append(v)
+                gone.append(lost)
+        yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(vs, pa.int64()), pa.array(gone, pa.list_(pa.int32()))], ["doc", "v", "gone"])
+
+
+def partners(held: DataFrame, rare: int) -> DataFrame:
+    """``doc, v, partner``: earlier documents that share a key, by rows ``key, doc, v`` (once each).
+
+    All of a key with at most ``rare`` holders, and the first of another one."""
+    keys = stash(held.groupBy("key").agg(F.count("*").alias("n"), F.min("doc").alias("first")).where("n > 1"), "keys")
+    shared = join_groups(held, keys, ["key"])
+    few = shared.where(F.col("n") <= rare).groupBy("key").agg(F.collect_list(F.struct("doc", "v")).alias("all"))
+    few = few.select("all", F.explode("all").alias("own")).select("own.doc", "own.v", F.explode("all.doc").alias("partner"))
+    many = shared.where(F.col("n") > rare).select("doc", "v", F.col("first").alias("partner"))
+    return few.unionByName(many).where("partner < doc").distinct()
+
+
+def deleted_places(vertices: DataFrame, rare: int) -> DataFrame:
+    """``doc, v, gone`` of distinct texts ``doc, v, lines`` that share a block with an earlier one."""
+    lines = vertices.select("doc", "v", F.explode(F.array_distinct("lines")).alias("key"))
+    known = stash(lines.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "lines")
+    shared = join_groups(vertices.select("doc", "v", F.size("lines").alias("n_lines"), F.posexplode("lines").alias("place", "key")), known, ["key"])
+    each = F.array_sort(F.collect_list(F.struct("place", F.col("key").alias("line"), (F.col("n") > rare).alias("common"))))
+    sequences = shared.groupBy("doc", "v", "n_lines").agg(each.alias("x")).select("doc", "v", "n_lines", *(F.col(f"x.{c}").alias(c) for c in ("place", "line", "common")))
+    sequences = stash(sequences, "sequences")
+    by_line = sequences.select("doc", "v", F.explode(F.array_distinct("line")).alias("key")).where("key & 1 = 1")  # no blank ones
+    by_stretch = sequences.mapInArrow(_stretches, "doc long, v long, key long").distinct()
+    pairs = stash(partners(by_line, rare).unionByName(partners(by_stretch, rare)).distinct(), "pairs")
+
+    # partners of very many documents are given out several times, so that no task gets all their pairs
+    asked = stash(pairs.groupBy("partner").agg(F.count("*").alias("n")), "partners")
+    share = max(1_000, (asked.agg(F.sum("n")).first()[0] or 0) // 1_000)
+    salts = F.ceil(F.col("n") / share).cast("int")
+    busy = asked.where(F.col("n") > share).select("partner", salts.alias("salts"))  # at most 1,000
+    later = pairs.join(F.broadcast(busy), "partner", "left").withColumn("salt", F.pmod(F.xxhash64("doc", "v"), F.coalesce("salts", F.lit(1))).cast("int"))
+    later = later.select("partner", "salt", "doc", "v").join(sequences, ["doc", "v"])
+    first = sequences.join(asked.withColumnRenamed("partner", "doc"), "doc").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1)))
+    own = ["partner", "salt", "side", "doc", "v", "n_lines", "place", "line"]
+    both = first.select(F.col("doc").alias("partner"), "salt", F.lit(0).alias("side"), *own[3:]).unionByName(later.withColumn("side", F.lit(1)).select(*own))
+    gone = both.repartition("partner", "salt").sortWithinPartitions("partner", "salt", "side").mapInArrow(_aligned, "doc long, v long, gone array<int>")
+    return gone.groupBy("doc", "v").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone"))
+
+
+def drop_common_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", counts: bool = True, keep_emptied: bool = True, rare: int = RARE) -> DataFrame:
     """The rows of ``docs`` without the lines they share with earlier documents; with ``counts`` also
     ``n_lines`` and ``n_deleted``; without ``keep_emptied`` no rows whose deletions left white space only.
 
-    Earlier is a smaller id. Lines end at newlines and are compared whole; remaining ones are joined by
-    newlines. A line of ``TELLING`` bytes or more leads to the first document that holds it; shorter ones go
-    with the telling line that they follow, or lead to the first document that holds the stretch of ``TELLING``
-    bytes from them on, or up to them. Runs of 2, 4, 8, ... lines and whole texts lead to their first holders too. All columns are kept as they are but the text, which stays null
-    where it is null; an empty text is one empty line. Rows that share an id are versions of one document,
-    none earlier than the other; a null id comes first; an empty table gives no rows. ``counts`` may not
-    clash with columns of those names.
+    Earlier is a smaller id; a null id comes first. Lines end at newlines and are compared whole; remaining ones
+    are joined by newlines. A document is aligned with its partners (above), and loses its blocks of aligned
+    lines that are neighbours on both sides, but for blocks of blank lines only. A document that equals an earlier
+    one loses all, unless it is blank. All columns are kept as they are but the text, which stays null where it
+    is null, and columns ``n_lines`` and ``n_deleted``, which ``counts`` replaces; an empty text is one empty
+    line. Rows that share an id are versions of one document, none earlier than the other; an empty table gives
+    no rows.
     """
     key, mark = "__line_doc", "__line_version"
-    id_of = F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID))
-    texts = docs.select(id_of.alias("doc"), F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias("version")).where("text IS NOT NULL")
-    lines = texts.mapInArrow(_hashed, "doc long, version long, kind long, place long, line long, span long, tail long, n_tail long").dropDuplicates(["doc", "version", "kind", "place"])
-    lines = stash(lines, "lines")
-    places = lines.groupBy("line", "doc").agg(F.collect_list(F.struct("place", "tail")).alias("places"))
-    leaders = places.groupBy("line").agg(F.min("doc").alias("leader"), F.max("doc").alias("last"), F.min_by("places", "doc").alias("places")).where("leader < last").drop("last")
-    leaders = stash(leaders, "leaders")  # so that both sides of the join are dealt anew, and a line's holders can be split
-    shared = lines.join(leaders, "line").where("doc <> leader")
-    pairs = shared.groupBy("doc", "version", "leader", "kind").agg(F.collect_list(F.struct("place", "line", "span", "tail", "n_tail", "places")).alias("shared"))
-    gone = pairs.select("doc", "version", "shared").mapInArrow(_aligned, "doc long, version long, gone array<int>")
-    gone = gone.groupBy("doc", "version").agg(F.flatten(F.collect_list("gone")).alias("gone"))
+    if counts:
+        docs = docs.drop("n_lines", "n_deleted")
+    id_of, version = F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)), F.xxhash64(F.col(text_col))
+    texts = docs.select(id_of.alias("doc"), F.col(text_col).alias("text"), version.alias("v"), F.xxhash64(F.lit(1), F.col(text_col)).alias("w")).where("text IS NOT NULL")
+    texts = stash(texts.mapInArrow(_hashed, "doc long, v long, w long, lines array<long>"), "texts")
+    vertices = texts.groupBy("v", "w").agg(F.min("doc").alias("first"), F.count("*").alias("n"), F.min_by("lines", "doc").alias("lines"))
+    vertices = stash(vertices, "vertices")
+    copies = join_groups(texts.select("doc", "v", "w"), vertices.where("n > 1").select("v", "w", "first", "n"), ["v", "w"]).where("doc > first")
+    gone = deleted_places(vertices.select(F.col("first").alias("doc"), "v", "lines"), rare).select("doc", "v", "gone", F.lit(False).alias("copy"))
+    marks = gone.unionByName(copies.select("doc", "v", F.lit(None).cast("array<int>").alias("gone"), F.lit(True).alias("copy")).distinct())
     schema = StructType(list(docs.schema.fields))
     if counts:
         schema = schema.add("n_lines", "long").add("n_deleted", "long")
-    joined = docs.withColumns({key: id_of, mark: F.xxhash64(F.col(text_col))}).join(gone.withColumnsRenamed({"doc": key, "version": mark, "gone": _GONE}), [key, mark], "left").drop(key, mark)
+    marks = marks.select(F.col("doc").alias(key), F.col("v").alias(mark), F.col("gone").alias(_GONE), F.col("copy").alias(_COPY))
+    joined = docs.withColumns({key: id_of, mark: version}).join(marks, [key, mark], "left").drop(key, mark)
     return joined.mapInArrow(lambda b: _without(b, text_col, counts, keep_emptied), schema)
 
 
@@ -213,16 +255,18 @@ def _without(batches: Iterator[pa.RecordBatch], text_col: str, counts: bool, kee
     for b in text_slices(batches, text_col, 8 << 20):
         texts: list[str | None] = []
         n_lines, n_gone = [], []
-        for text, gone in zip(b.column(text_col).to_pylist(), b.column(_GONE).to_pylist()):
+        for text, gone, copy in zip(*(b.column(c).to_pylist() for c in (text_col, _GONE, _COPY))):
             lines = text.split("\n") if text is not None else []
             n_lines.append(len(lines))
-            n_gone.append(len(set(gone or [])))
-            if gone:
-                lost = set(gone)
+            lost = set(gone or [])
+            if copy and text.strip(_BLANK):
+                lost = set(range(len(lines)))
+            if lost:
                 text = "\n".join(x for i, x in enumerate(lines) if i not in lost)
+            n_gone.append(len(lost))
             texts.append(text)
         at = b.schema.get_field_index(text_col)
-        b = b.set_column(at, b.schema.field(at), pa.array(texts, pa.string())).drop_columns([_GONE])
+        b = b.set_column(at, b.schema.field(at), pa.array(texts, pa.string())).drop_columns([_GONE, _COPY])
         if counts:
             b = b.append_column("n_lines", pa.array(n_lines, pa.int64())).append_column("n_deleted", pa.array(n_gone, pa.int64()))
         if not keep_emptied:
