@@ -1,17 +1,20 @@
 """Near-duplicate groups by a chosen-path set similarity join on word shingles.
 
-Equal sets are one vertex from the start. In each of several independent trees a document goes down the path
-of its smallest tokens under the tree's hashes, so two documents part at a step with one minus their
-similarity. In a node, all documents are compared by 128-value sketches, from each one to those not reached
-yet, and the likely families stay together. Each document's whole set then goes once to its family, where
+Equal sets are one vertex from the start. In each of several independent trees a document goes from a node to
+two of its children, those of its smallest shingles under two hashes that the node chooses. A node of few documents
+is not branched any further: all its documents are compared, by 128-value sketches, from each one to those not
+reached yet, and the likely families stay together. Each document's whole set then goes once to its family, where
 links are confirmed on whole sets.
 
-A node too large for one task is cut into parts, and each part compared; then the parts are compared with one
-another, but for documents already known to belong together. No pair of a node is left out, so the cost of a
-large node grows with the square of the number of its documents outside its largest family.
+Two documents of similarity s take one child of a node together with chance s for each of the two. At s >= 0.8 that
+is a branching process which dies out with a chance of 1/16 at most, however deep the tree is; so all six trees
+part a pair with a chance below one in ten million, whatever the size of the nodes (the hashes come from a pool of
+128, which makes them nearly independent). A sketch misses a pair by five standard deviations.
 
-At a similarity of 0.8, two documents share no node with a chance of (1 - 0.8**3)**20, below one in a
-million whatever the size of the nodes, and a sketch misses a pair by five standard deviations.
+A node whose documents mostly go to the same child under both hashes is a family, which branching would not part.
+It is compared whole, as are large nodes of the last depth: cut into parts, each part compared; then the parts with
+one another, but for documents already known to belong together. No pair of a node is left out, so the cost of
+such a node grows with the square of the number of its documents outside its largest family.
 """
 
 from __future__ import annotations
@@ -25,14 +28,16 @@ from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
 from ..storage import stash
-from .common import NULL_ID, ids_of, mix, pack_texts, text_slices, unpacked
+from .common import NULL_ID, ids_of, join_groups, mix, pack_texts, text_slices, unpacked
 from .windows import Sums, flat_bytes, groups, ragged, words
 
 WIDTH, PERCENT = 5, 80
-TREES, DEPTH, SKETCH = 20, 3, 128
-#: Documents in a node, and shingles in a family, that one task compares; beyond, nodes are compared part by
-#: part and a family node by node.
-NODE, FAMILY = 4_000, 4_000_000
+TREES, DEPTH, SKETCH = 6, 6, 128
+#: Documents of a node that is branched no further; share of a node that takes one child, in a family.
+NODE, DENSE = 250, 0.5
+#: Documents of a node, and shingles of a family, that one task compares; beyond, nodes are compared part by part
+#: and a family node by node.
+PART, FAMILY = 1_000, 2_000_000
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -59,35 +64,32 @@ def shingles(flat: np.ndarray, off: np.ndarray, width: int) -> tuple[np.ndarray,
 
 
 def signed(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    """``doc, n, s1, s2, sketch, paths`` of each row: two names of the whole set, minima and tree paths."""
+    """``doc, n, s1, s2, sketch, minima`` of each row: two names of the whole set, and its smallest shingle under
+    each hash of the pool, in 8 and in 32 bits."""
     for b in text_slices(batches, "text", 1 << 20):
         value, off = shingles(*flat_bytes(b.column("text")), width)
         n = np.diff(off)
         some = np.flatnonzero(n)
         sketch = np.zeros((len(n), SKETCH), dtype=np.uint8)
-        paths = np.zeros((len(n), TREES), dtype=np.uint64)
+        minima = np.zeros((len(n), SKETCH), dtype=np.uint32)
         s = np.zeros((2, len(n)), dtype=np.uint64)
         if len(some):
             at = off[:-1][some]
             for k in range(2):
                 s[k, some] = np.add.reduceat(mix(value + np.uint64(k + 1)), at)
             for k in range(SKETCH):
-                low = np.minimum.reduceat((value ^ _DRAWN[0, k]) * _DRAWN[1, k], at)
-                sketch[some, k] = (mix(low) & np.uint64(255)).astype(np.uint8)
-                if k < TREES * DEPTH:
-                    tree = k // DEPTH
-                    paths[some, tree] = mix(paths[some, tree] * np.uint64(3) + low + np.uint64(tree))
-        flat = paths.view(np.int64).ravel()
-        width_of = np.where(n > 0, TREES, 0)
+                low = mix(np.minimum.reduceat((value ^ _DRAWN[0, k]) * _DRAWN[1, k], at))
+                sketch[some, k] = (low & np.uint64(255)).astype(np.uint8)
+                minima[some, k] = (low >> np.uint64(32)).astype(np.uint32)
         yield pa.RecordBatch.from_arrays(
             [
                 b.column("doc"),
                 pa.array(n.astype(np.int64)),
                 *(pa.array(x.view(np.int64)) for x in s),
                 pa.array([x.tobytes() for x in sketch], pa.binary()),
-                pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(width_of)].astype(np.int32)), pa.array(flat[np.repeat(n > 0, TREES)])),
+                pa.ListArray.from_arrays(pa.array(np.arange(0, SKETCH * len(n) + 1, SKETCH, dtype=np.int32)), pa.array(minima.view(np.int32).ravel())),
             ],
-            ["doc", "n", "s1", "s2", "sketch", "paths"],
+            ["doc", "n", "s1", "s2", "sketch", "minima"],
         )
 
 
@@ -185,12 +187,48 @@ def links(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Record
         yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], ["a", "b"])
 
 
-def nodes_of(reps: DataFrame) -> DataFrame:
-    """``key, doc`` of all nodes with two documents or more; nodes with the same documents are kept once."""
-    rows = reps.select("doc", F.explode("paths").alias("key"))
-    sizes = rows.groupBy("key").agg(F.count("*").alias("members"), F.sum(F.xxhash64("doc").cast("decimal(38,0)")).alias("who")).where("members > 1")
-    once = sizes.groupBy("members", "who").agg(F.min("key").alias("key")).select("key")
-    return rows.join(once, "key").select("key", "doc")
+def sized(rows: DataFrame) -> DataFrame:
+    """``key, n, who``: number and hash of the documents of each node of two or more."""
+    return rows.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("doc")).alias("who")).where("n > 1")
+
+
+def whole_nodes(rows: DataFrame) -> DataFrame:
+    """``key, doc`` of nodes that are compared whole; those with the same documents are kept once."""
+    sizes = stash(sized(rows), "sizes")
+    once = sizes.groupBy("n", "who").agg(F.min("key").alias("key")).select("key", "n")
+    return stash(join_groups(rows, once, ["key"]).select("key", "doc"), "nodes")
+
+
+def branches(reps: DataFrame) -> tuple[Column, Callable[[Column], Column]]:
+    """The two children of each tree's root, and those of any node: hashes of the node and one of the minima."""
+    minima, half = F.col("minima"), SKETCH // 2 - TREES
+    kid = lambda key, b, at: F.struct(F.lit(b).alias("b"), F.xxhash64(key, F.lit(b), F.get(minima, at)).alias("kid"))
+    roots = F.array(*(kid(F.lit(t), b, F.lit(2 * t + b)) for t in range(TREES) for b in range(2)))
+    return roots, lambda key: F.array(*(kid(key, b, (F.lit(2 * TREES + b * half) + F.pmod(F.xxhash64(key, F.lit(b)), F.lit(half))).cast("int")) for b in range(2)))
+
+
+def nodes_of(reps: DataFrame, node: int, depth: int) -> DataFrame:
+    """``key, doc`` of the nodes in which documents are compared; ``reps``: ``doc, minima``."""
+    roots, kids_of = branches(reps)
+    rows = reps.select("doc", F.explode(roots).alias("x")).select(F.col("x.kid").alias("key"), "doc")
+    whole: list[DataFrame] = []
+    for level in range(depth + 1):
+        rows = stash(join_groups(rows, sized(rows).select("key", "n"), ["key"]), "level")
+        large = rows.where(F.col("n") > node)
+        whole.append(rows.where(F.col("n") <= node).select("key", "doc"))
+        if level == depth or large.isEmpty():
+            whole.append(large.select("key", "doc"))
+            break
+        kids = stash(large.join(reps, "doc").select("key", "doc", F.explode(kids_of(F.col("key"))).alias("x")).select("key", "doc", "x.b", "x.kid"), "kids")
+        most = kids.groupBy("key", "b", "kid").agg(F.count("*").alias("c")).groupBy("key", "b").agg(F.max("c").alias("most"), F.sum("c").alias("n"))
+        dense = most.groupBy("key").agg(F.sum("n").alias("n"), F.min(F.col("most") / F.col("n")).alias("share"))
+        kids = stash(join_groups(kids, dense, ["key"]), "kids")
+        whole.append(kids.where((F.col("share") >= DENSE) & (F.col("b") == 0)).select("key", "doc"))
+        rows = kids.where(F.col("share") < DENSE).select(F.col("kid").alias("key"), "doc")
+    out = whole[0]
+    for more in whole[1:]:
+        out = out.unionByName(more)
+    return whole_nodes(out)
 
 
 def part_of(parts: Column | str) -> Column:
@@ -224,10 +262,12 @@ def across_parts(slots: DataFrame, large: DataFrame, found: DataFrame, most: int
     return rows.join(sizes, "key").select(F.explode(keys).alias("key"), "doc", "known")
 
 
-def linked(slots: DataFrame, most: int, compare: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """``node, component`` by the links that ``compare`` finds between documents that share a key of ``slots``."""
+def linked(slots: DataFrame, most: int, compare: Callable[[DataFrame], DataFrame], also: DataFrame | None = None) -> DataFrame:
+    """``node, component`` by the links that ``compare`` finds between documents that share a key of ``slots``,
+    and those of ``also``."""
     cut, large = in_parts(slots, most)
-    pairs = stash(compare(cut).distinct(), "links")
+    pairs = compare(cut)
+    pairs = stash((pairs if also is None else pairs.unionByName(also)).distinct(), "links")
     found = connected_components(pairs)
     if large.isEmpty():
         return found
@@ -235,7 +275,7 @@ def linked(slots: DataFrame, most: int, compare: Callable[[DataFrame], DataFrame
     return connected_components(pairs.unionByName(more.distinct()))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT, node: int = NODE, family: int = FAMILY) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT, node: int = NODE, part: int = PART, family: int = FAMILY, depth: int = DEPTH) -> DataFrame:
     """The group of each document: ``doc_id, n_shingles, component_id, kept``.
 
     Words lie between ASCII white space, A-Z as a-z; a document's set is its distinct shingles of ``width``
@@ -246,22 +286,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     no rows; other columns are not read.
     """
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("doc"), F.col(text_col).alias("text"))
-    marked = stash(rows.mapInArrow(lambda b: signed(b, width), "doc long, n long, s1 long, s2 long, sketch binary, paths array<long>"), "signed")
-    first = marked.where("n > 0").groupBy("s1", "s2", "n").agg(F.min("doc").alias("rep"))
-    same = marked.join(first, ["s1", "s2", "n"])
-    reps = stash(same.where("doc = rep").select("doc", "n", "sketch", "paths").dropDuplicates(["doc"]), "reps")
-    members = stash(nodes_of(reps.select("doc", "paths")), "nodes")
+    marked = stash(rows.mapInArrow(lambda b: signed(b, width), "doc long, n long, s1 long, s2 long, sketch binary, minima array<int>"), "signed")
+    names = ["s1", "s2", "n"]
+    first = stash(marked.where("n > 0").groupBy(*names).agg(F.min("doc").alias("rep"), F.count("*").alias("copies")), "sets")
+    reps = stash(join_groups(marked, first, names, "copies").where("doc = rep").select("doc", "s1", "n", "sketch", "minima").dropDuplicates(["doc", "s1"]), "reps")
+    members = nodes_of(reps.select("doc", "minima"), node, depth)
 
     def by_sketch(slots: DataFrame) -> DataFrame:
         met = slots.withColumnRenamed("key", "path").join(reps.select("doc", "n", "sketch"), "doc")
         return met.repartition("path").sortWithinPartitions("path").mapInArrow(lambda b: likely_links(b, percent), "a long, b long")
 
-    likely = linked(members.withColumn("n", F.lit(1)), node, by_sketch)
+    likely = linked(members.withColumn("n", F.lit(1)), part, by_sketch)
     families = stash(likely.select(F.col("node").alias("doc"), F.col("component").alias("key")), "families")
-    sized = families.join(reps.select("doc", "n"), "doc")
-    large = sized.groupBy("key").agg(F.sum("n").alias("total")).where(F.col("total") > family).select("key")
-    slots = sized.join(large, "key", "left_anti").select("key", "doc", F.lit(0).alias("n")).unionByName(
-        sized.join(large, "key", "left_semi").select("doc", "n").join(members, "doc").select("key", "doc", F.greatest("n", F.lit(family // node)).alias("n"))
+    weighed = families.join(reps.select("doc", "n"), "doc")
+    large = weighed.groupBy("key").agg(F.sum("n").alias("total")).where(F.col("total") > family).select("key")
+    slots = weighed.join(large, "key", "left_anti").select("key", "doc", F.lit(0).alias("n")).unionByName(
+        weighed.join(large, "key", "left_semi").select("doc", "n").join(members, "doc").select("key", "doc", F.greatest("n", F.lit(family // part)).alias("n"))
     )
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -282,9 +322,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         met = wanted.mapInArrow(sets, "key long, doc long, known long, shingles binary").repartition("key").sortWithinPartitions("key")
         return met.mapInArrow(lambda b: links(b, percent), "a long, b long")
 
-    named = linked(slots, family, by_sets).select(F.col("node").alias("rep"), "component")
-    out = marked.select("doc", "n", "s1", "s2").join(first, ["s1", "s2", "n"], "left").join(named, "rep", "left")
-    component = F.coalesce("component", "rep", "doc")
+    slim = marked.select("doc", *names)
+    held = stash(join_groups(slim, first, names, "copies").select("doc", "rep"), "held")
+    several = held.groupBy("doc").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a < z").select("doc", "a")
+    versions = held.join(several, "doc").select("a", F.col("rep").alias("b")).distinct()
+    named = linked(slots, family, by_sets, versions).select(F.col("node").alias("rep"), "component")
+    named = first.join(named, "rep", "left").select(*names, "copies", F.coalesce("component", "rep").alias("component"))
+    out = join_groups(slim, named, names, "copies").select("doc", "n", "component").unionByName(slim.where("n = 0").select("doc", "n", F.col("doc").alias("component")))
+    component = F.col("component")
     back = lambda c: F.when(c != NULL_ID, c)
     return out.select(back(F.col("doc")).alias("doc_id"), F.col("n").alias("n_shingles"), back(component).alias("component_id"), (component == F.col("doc")).alias("kept"))
 

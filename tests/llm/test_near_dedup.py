@@ -58,11 +58,11 @@ def test_all_pairs(spark):
     assert collected(near_dedup.near_duplicates(docs)) == brute(rows, 5)
 
 
-def test_small_nodes_and_families(spark, monkeypatch):
+def test_small_nodes_and_families(spark):
     """Large nodes are branched further and large families met node by node."""
     rows = made(2)
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    assert collected(near_dedup.near_duplicates(docs, width=4, node=6, family=400)) == brute(rows, 4)
+    assert collected(near_dedup.near_duplicates(docs, width=4, node=6, part=6, family=400)) == brute(rows, 4)
 
 
 def test_pairs_in_large_nodes(spark):
@@ -74,7 +74,7 @@ def test_pairs_in_large_nodes(spark):
     want = brute(rows, 4)
     assert len({c for _, c, _ in want.values()}) == 100
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    assert collected(near_dedup.near_duplicates(docs, width=4, node=10, family=5_000)) == want
+    assert collected(near_dedup.near_duplicates(docs, width=4, node=10, part=10, family=5_000)) == want
 
 
 def test_empty_null_and_repeated_rows(spark):
@@ -89,3 +89,28 @@ def test_query_on_small_tables(spark, sf, sf_more):
     for folder in (sf, sf_more):
         docs = [(r.doc_id, r.text) for r in queries.table(spark, folder, "documents").select("doc_id", "text").collect()]
         assert collected(queries.op4_near_dedup(spark, folder)) == brute(docs, 4)
+
+
+def test_versions_of_one_document(spark):
+    """Rows that share an id are one document, so texts of either are linked with it."""
+    one, two, three = (" ".join(f"{k}{i}" for i in range(40)) for k in "abc")
+    rows = [(1, one), (4, one), (4, two), (7, two), (9, three), (9, "z " + three), (5, "y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id, r.component_id, r.kept) for r in near_dedup.near_duplicates(docs).collect())
+    assert got == [(1, 1, True), (4, 1, False), (4, 1, False), (5, 5, True), (7, 1, False), (9, 9, True), (9, 9, True)]
+
+
+def test_recall_by_depth(spark):
+    """Of pairs at the threshold whose nodes are branched again and again, some child takes nearly all."""
+    rows = []
+    for pair in range(150):
+        both = [f"t{k}" for k in range(103)] + [f"p{pair}w{k}" for k in range(110)]
+        rows += [(len(rows) + side, " ".join(both + [f"p{pair}s{side}w{k}" for k in range(26)])) for side in range(2)]
+    assert 0.79 < len(set_of(rows[0][1], 4) & set_of(rows[1][1], 4)) / len(set_of(rows[0][1], 4) | set_of(rows[1][1], 4)) < 0.82
+    docs = spark.createDataFrame(rows, "doc long, text string")
+    marked = docs.mapInArrow(lambda b: near_dedup.signed(b, 4), "doc long, n long, s1 long, s2 long, sketch binary, minima array<int>")
+    reps = near_dedup.stash(marked.select("doc", "minima"), "reps")
+    for depth in (0, 3, 6):
+        met = near_dedup.nodes_of(reps, 2, depth)  # branched while a node holds more than a pair
+        pairs = {(r.a, r.b) for r in met.alias("x").join(met.alias("y"), "key").selectExpr("x.doc AS a", "y.doc AS b").where("a < b AND a % 2 = 0 AND b = a + 1").collect()}
+        assert len(pairs) >= 149, depth
