@@ -59,7 +59,8 @@ def pack_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     pressed = zstandard.ZstdCompressor(level=1)
     for b in text_slices(batches, "text", 8 << 20):
         z = [pressed.compress(x.as_buffer()) if x.is_valid else None for x in b.column("text")]
-        yield pa.RecordBatch.from_arrays([b.column("doc"), pa.array(z, pa.binary())], ["doc", "z"])
+        keys = [c for c in b.schema.names if c != "text"]
+        yield pa.RecordBatch.from_arrays([*map(b.column, keys), pa.array(z, pa.binary())], [*keys, "z"])
 
 
 _opener = zstandard.ZstdDecompressor()

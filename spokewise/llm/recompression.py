@@ -5,7 +5,8 @@ anew. A name is a 64-bit function of what it stands for, so it is the same in ev
 needs a shuffle; equal neighbours show the same coin, so a run of one symbol stays a run. Whether two symbols
 pair depends on the two alone, so in equal word sequences all symbols are equal but for 2**rounds - 1 words at
 either end: each window has symbols of the last round inside that its own words decide. The longest of these
-(among equals, the smallest by hash) is the window's key; windows whose key is shared are compared whole.
+(among equals, the smallest by hash) is the window's key: shared keys reveal the passages that may repeat, and
+the words of these passages verify it.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame
 
 from .common import mix
 from .repeats import cut_repeats
-from .suffix_dedup import Runs, no_runs, tied_runs
+from .suffix_dedup import Runs, multikey_order, no_runs, tied_runs
 from .windows import Sums, flat_bytes, ragged, slide, words
 
 WINDOW, ROUNDS = 35, 3
@@ -72,35 +73,32 @@ class WordRuns:
         keep = valid[place]
         place, count, tied = place[keep], count[keep], tied[keep]
         sums = Sums(name)
-        second: list[Sums] = []
-
-        def names(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            if not second:
-                second.append(Sums(name, 1))
-            return tuple(s.of(at, at + self.window).view(np.int64) for s in (sums, second[0]))
-
-        content = sums.of(place, place + count - 1 + self.window).view(np.int64)
+        both = sums, Sums(name, 1)
+        named = lambda a, b: tuple(s.of(a, b).view(np.int64) for s in both)
+        names = lambda at: named(at, at + self.window)
+        content = named(place, place + count - 1 + self.window)
         return Runs(row[place], place - before[row[place]], place, count, least[place], content, tied, names)
 
     def passages(self, text: bytes, start: np.ndarray, count: np.ndarray) -> list[bytes]:
         first, last, _ = words(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
-        return [text[first[a] : last[a + n + self.window - 2]] for a, n in zip(start.tolist(), count.tolist())]
+        return [b" ".join(text[first[a] : last[a + n + self.window - 2]].split()) for a, n in zip(start.tolist(), count.tolist())]
+
+    def leads(self, texts: pa.Array, key: np.ndarray) -> list[bytes]:
+        return [k.to_bytes(8, "big", signed=True) for k in key.tolist()]
 
 
 def ordered_windows(window: int) -> Callable:
     def order(texts: pa.Array, lead: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Windows of one key by their words, under two names of 64 bits each."""
+        """Windows of one key by their words."""
         flat, off = flat_bytes(texts)
         start, end, before = words(flat, off)
-        name = Sums(flat).of(start, end)
+        offsets = np.zeros(len(start) + 1, dtype=np.int64)
+        np.cumsum(end - start, out=offsets[1:])
+        inside = flat[ragged(start, end - start)]
+        each = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(inside))])
+        word = each.dictionary_encode().indices.to_numpy()  # equal words, equal numbers
         place = ragged(before[:-1], count)
-        w1, w2 = (Sums(name, k).of(place, place + window) for k in (0, 1))
-        key = np.repeat(lead, count)
-        by = np.lexsort((w2, w1, key))
-        w1, w2, key = w1[by], w2[by], key[by]
-        same = np.zeros(len(by), dtype=bool)
-        same[1:] = (w1[1:] == w1[:-1]) & (w2[1:] == w2[:-1]) & (key[1:] == key[:-1])
-        return by, same
+        return multikey_order(np.repeat(lead, count), lambda j, i: word[place[i] + j], window)
 
     return order
 
@@ -110,9 +108,8 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Words lie between ASCII white space. ``spans`` are the maximal removed runs of words (start, end, ...),
     ``kept`` the remaining words joined by one space. All copies lose the window, the first too; a repeated
-    row counts as another place, unless it shares its split's rows and id with a different text. A null or
-    short text loses nothing; an empty table gives no rows; other columns are not read. Every row gives a
-    row; rows that share an id lose each other's spans too.
+    row counts as another place, with whatever id. A null or short text loses nothing; an empty table gives no
+    rows; other columns are not read. Every row gives a row, of its own text only.
     """
 
     def cut(text: bytes, start: np.ndarray, end: np.ndarray):
@@ -130,4 +127,4 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         kept = b" ".join(b" ".join(text[first[a] : last[b - 1]].split()) for a, b in zip(cuts[::2], cuts[1::2]) if a < b)
         return n, spans, kept.decode()
 
-    return cut_repeats(docs, id_col, text_col, lambda: WordRuns(window, rounds), ordered_windows(window), False, cut, "n_words long, spans array<long>, kept string")
+    return cut_repeats(docs, id_col, text_col, lambda: WordRuns(window, rounds), ordered_windows(window), False, False, cut, "n_words long, spans array<long>, kept string")

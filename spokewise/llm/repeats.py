@@ -2,18 +2,20 @@
 
 A finder cuts each document's windows into runs: neighbouring windows that share a key which their content
 alone decides. So equal windows lie in runs of equal keys, and a run whose key stands nowhere else has no
-repeated window. Runs of one key and equal content form a class; all its members' windows are repeated.
-Only where a key has several classes, or a run may repeat within itself, are windows compared one by one,
-on the text of one run of each class.
-
-Runs meet by key in one shuffle. Members of a class that share an input split are settled there, so a copied
-passage sends one row from each split. The few keys with a large share of all runs, found beforehand on an
-eighth of the documents, skip that meeting: their windows are sent instead, named by 128 bits, which spread
-out. Which keys these are has no bearing on the result.
+repeated window. Runs meet by key in one shuffle, which tells the shared keys; the passages of their runs are
+then cut from the texts, and meet once more. There texts decide: passages of equal bytes form a class, all of
+whose windows are repeated, and the windows of one passage of each class are put in order and compared.
+
+Runs of one input split whose passages agree in two 64-bit names are sent once. The few keys with a large share
+of all runs, found beforehand on an eighth of the documents, skip these meetings: their windows are sent instead,
+named by 128 bits, which spread out. Which keys these are has no bearing on the result.
+
+A document is an id with a hash of a text, so rows that share an id never mix up their texts.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -29,10 +31,13 @@ from .windows import flat_bytes, groups, ragged
 TIED, TWICE, RUN, WINDOW, DONE, OPEN = 1, 2, 0, 4, 8, 16
 #: Runs that a task settles together, and rows of a sorted partition that it holds at a time.
 SETTLED, HELD = 1_000_000, 400_000
-#: One document in so many is looked at for keys with a large share of all runs.
-LOOK = 8
+#: One document in so many is looked at for keys with a large share of all runs, and a quarter of those for
+#: splitters, of which each bucket has so many leads sampled.
+LOOK, PER_BUCKET = 8, 100
 
-_ROW = "kind int, k1 long, k2 long, doc long, at long"
+_ROW = "kind int, k1 long, k2 long, doc long, v long, at long"
+
+_PASSAGE = "lead binary, doc long, v long, at long, passage binary"
 
 
 def pack(start: np.ndarray, count: np.ndarray) -> np.ndarray:
@@ -43,51 +48,60 @@ def unpack(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at >> 31, at & (2**31 - 1)
 
 
-def batch(kind, k1, k2, doc, at) -> pa.RecordBatch:
+def batch(kind, k1, k2, doc, v, at) -> pa.RecordBatch:
     n = len(at)
     full = lambda x: np.full(n, x) if np.isscalar(x) else x
-    return pa.RecordBatch.from_arrays([pa.array(full(kind).astype(np.int32)), *(pa.array(full(c).astype(np.int64)) for c in (k1, k2, doc, at))], ["kind", "k1", "k2", "doc", "at"])
+    return pa.RecordBatch.from_arrays([pa.array(full(kind).astype(np.int32)), *(pa.array(full(c).astype(np.int64)) for c in (k1, k2, doc, v, at))], ["kind", "k1", "k2", "doc", "v", "at"])
 
 
-def joined(doc: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def joined(doc: np.ndarray, v: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Stretches of one document that touch or overlap, as one."""
     start, count = unpack(at)
-    order = np.lexsort((start, doc))
-    doc, start, end = doc[order], start[order], (start + count)[order]
+    order = np.lexsort((start, v, doc))
+    doc, v, start, end = doc[order], v[order], start[order], (start + count)[order]
     if not len(doc):
-        return doc, at
-    new = np.r_[True, doc[1:] != doc[:-1]]
+        return doc, v, at
+    new = np.r_[True, (doc[1:] != doc[:-1]) | (v[1:] != v[:-1])]
     # ends made to rise from document to document, for one running maximum
     lift = np.cumsum(new) * np.int64(2**33)
     reach = np.maximum.accumulate(end + lift)
     cut = new | np.r_[True, (start + lift)[1:] > reach[:-1]]
     first = np.flatnonzero(cut)
     last = np.append(first[1:], len(doc)) - 1
-    return doc[first], pack(start[first], (reach - lift)[last] - start[first])
+    return doc[first], v[first], pack(start[first], (reach - lift)[last] - start[first])
+
 
+def settled(rows: dict[str, np.ndarray], classes: list[np.ndarray], keep_first: bool) -> tuple[dict[str, np.ndarray], dict[str, np.ndarray]]:
+    """The rows of each class that go on, and those that are repeated for sure.
 
-def settled(rows: dict[str, np.ndarray], keep_first: bool) -> tuple[dict[str, np.ndarray], dict[str, np.ndarray]]:
-    """One row of each class (the first in document order), and the rows that are repeated for sure."""
-    order = np.lexsort((rows["at"], rows["doc"], rows["k2"], rows["k1"]))
-    rows = {k: v[order] for k, v in rows.items()}
-    k1, k2 = rows["k1"], rows["k2"]
-    first = np.ones(len(k1), dtype=bool)
-    first[1:] = (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1])
+    With ``keep_first`` the first by document and start goes on, with any other that has both in common; without,
+    one row of each class."""
+    order = np.lexsort((rows["at"], rows["doc"], *classes))
+    rows = {k: x[order] for k, x in rows.items()}
+    first = np.ones(len(order), dtype=bool)
+    for c in classes:
+        first[1:] &= c[order][1:] == c[order][:-1]
+    first = ~first
+    first[:1] = True
     at = np.flatnonzero(first)
     if not len(at):
         return rows, rows
-    size = np.diff(np.append(at, len(k1)))
-    flags = np.bitwise_or.reduceat(rows["kind"], at) | np.where(size > 1, TWICE, 0)
-    again = ~first if keep_first else np.repeat(size > 1, size)
-    repeated = {k: v[again] for k, v in rows.items()}
-    one = {k: v[at] for k, v in rows.items()} | {"kind": flags}
-    return one, repeated
+    size = np.diff(np.append(at, len(order)))
+    if keep_first:
+        lead = np.repeat(at, size)
+        again = (rows["doc"] != rows["doc"][lead]) | (rows["at"] != rows["at"][lead])
+        go = ~again
+    else:
+        again, go = np.repeat(size > 1, size), first
+    repeated = {k: x[again] for k, x in rows.items()}
+    flags = np.repeat(np.bitwise_or.reduceat(rows["kind"], at), size)
+    return {k: x[go] for k, x in (rows | {"kind": flags}).items()}, repeated
 
 
 def done(rows: dict[str, np.ndarray]) -> pa.RecordBatch:
     """Repeated windows as stretches of their documents; dealt out by document."""
-    doc, at = joined(rows["doc"], rows["at"])
-    return batch(DONE, mix(doc.view(np.uint64)).view(np.int64), 0, doc, at)
+    doc, v, at = joined(rows["doc"], rows["v"], rows["at"])
+    return batch(DONE, mix(doc.view(np.uint64) ^ v.view(np.uint64)).view(np.int64), 0, doc, v, at)
 
 
 def hot_keys(rows: DataFrame, finder: Callable, share: int) -> list[int]:
@@ -98,7 +112,7 @@ def hot_keys(rows: DataFrame, finder: Callable, share: int) -> list[int]:
         for b in text_slices(batches, "text", 1 << 20):
             found = find(*flat_bytes(b.column("text")))
             keys.append(found.key)
-            contents.append(found.content)
+            contents.append(found.content[0])
         k, c = np.concatenate(keys), np.concatenate(contents)
         order = np.lexsort((c, k))
         k, c = k[order], c[order]
@@ -113,11 +127,29 @@ def hot_keys(rows: DataFrame, finder: Callable, share: int) -> list[int]:
     return [r.key for r in top if r.key is not None and r.n * share >= total]
 
 
-def repeated_stretches(docs: DataFrame, finder: Callable, order: Callable, keep_first: bool) -> tuple[DataFrame, DataFrame]:
-    """``doc, at`` of stretches of repeated windows (packed: first window, number of them), and the packed texts.
+def bucketed(passages: DataFrame, sample: DataFrame, parts: int) -> DataFrame:
+    """``passages`` range-partitioned by their leading tokens (``lead``), by splitters from ``sample``.
+
+    At most ``PER_BUCKET`` leads for each bucket come to the driver. Equal leads are never parted, so no window
+    has an equal one across a border."""
+    some = sample.select("lead").orderBy(F.xxhash64("lead", F.rand(7))).limit(PER_BUCKET * parts).toArrow()["lead"].to_pylist()
+    some.sort()
+    splitters = sorted({some[len(some) * k // parts] for k in range(1, parts)}) if some else []
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            bucket = [bisect_right(splitters, x) for x in b.column("lead").to_pylist()]
+            yield b.append_column("bucket", pa.array(bucket, pa.int32()))
+
+    return passages.mapInArrow(deal, _PASSAGE + ", bucket int").repartitionById(parts, "bucket").drop("bucket")
 
-    ``docs``: ``doc long, text string``. ``finder()`` gives a function from bytes and row starts to runs;
-    ``order`` puts the windows of some passages in order and says which equal the one before.
+
+def repeated_stretches(docs: DataFrame, finder: Callable, order: Callable, keep_first: bool, by_range: bool) -> tuple[DataFrame, DataFrame]:
+    """``doc, v, at`` of stretches of repeated windows (packed: first window, number of them), and the packed texts.
+
+    ``docs``: ``doc long, v long, text string``. ``finder()`` gives a function from bytes and row starts to runs;
+    ``order`` puts the windows of some passages in order and says which equal the one before. With ``by_range``
+    passages meet in buckets of a range of leads, else by a hash of the lead.
     """
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -130,22 +162,23 @@ def repeated_stretches(docs: DataFrame, finder: Callable, order: Callable, keep_
         def flush(kind: int) -> Iterator[pa.RecordBatch]:
             rows = {k: np.concatenate([h[k] for h in held[kind]]) for k in held[kind][0]}
             held[kind].clear()
-            one, repeated = settled(rows, keep_first)
+            one, repeated = settled(rows, [rows["k1"], rows["k2"], rows["k3"]], keep_first)
             yield done(repeated)
-            yield batch(one["kind"], one["k1"], one["k2"], one["doc"], one["at"])
+            yield batch(one["kind"], one["k1"], one["k2"] if kind == WINDOW else 0, one["doc"], one["v"], one["at"])
 
         for b in text_slices(batches, "text", 1 << 20):
             found = find(*flat_bytes(b.column("text")))
-            doc = ids_of(b)[found.row]
-            rows = {"kind": np.where(found.tied, RUN | TIED, RUN), "k1": found.key, "k2": found.content, "doc": doc, "at": pack(found.start, found.count)}
+            doc, v = ids_of(b)[found.row], b.column("v").to_numpy()[found.row]
+            k2, k3 = found.content
+            rows = {"kind": np.where(found.tied, RUN | TIED, RUN), "k1": found.key, "k2": k2, "k3": k3, "doc": doc, "v": v, "at": pack(found.start, found.count)}
             if len(hot.value):
                 is_hot = np.isin(found.key, hot.value)
                 if is_hot.any():
                     n = found.count[is_hot]
                     w1, w2 = found.names(ragged(found.place[is_hot], n))
                     at = pack(ragged(found.start[is_hot], n), np.ones(int(n.sum()), dtype=np.int64))
-                    held[WINDOW].append({"kind": np.full(len(at), WINDOW), "k1": w1, "k2": w2, "doc": np.repeat(doc[is_hot], n), "at": at})
-                    rows = {k: v[~is_hot] for k, v in rows.items()}
+                    held[WINDOW].append({"kind": np.full(len(at), WINDOW), "k1": w1, "k2": w2, "k3": w2, "doc": np.repeat(doc[is_hot], n), "v": np.repeat(v[is_hot], n), "at": at})
+                    rows = {k: x[~is_hot] for k, x in rows.items()}
             held[RUN].append(rows)
             for kind, own in held.items():
                 if own and sum(len(h["at"]) for h in own) >= SETTLED:
@@ -157,67 +190,92 @@ def repeated_stretches(docs: DataFrame, finder: Callable, order: Callable, keep_
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in groups(batches, "k1", HELD):
             rows = {k: t.column(k).to_numpy() for k in t.column_names}
-            ready = rows["kind"] == DONE
-            yield batch(DONE, 0, 0, rows["doc"][ready], rows["at"][ready])
-            for base in (RUN, WINDOW):
-                own = (rows["kind"] & ~(TIED | TWICE)) == base
-                if not own.any():
-                    continue
-                one, repeated = settled({k: v[own] for k, v in rows.items()}, keep_first)
-                yield done(repeated)
-                if base == RUN:
-                    key = one["k1"]
-                    new = np.r_[True, key[1:] != key[:-1]]
-                    at = np.flatnonzero(new)
-                    size = np.diff(np.append(at, len(key)))
-                    asked = np.repeat(size > 1, size) | (one["kind"] & TIED > 0)
-                    yield batch(OPEN, key[asked], 0, one["doc"][asked], one["at"][asked])
+            of = lambda some: {k: x[some] for k, x in rows.items()}
+            kind = rows["kind"] & ~(TIED | TWICE)
+            ready = of(kind == DONE)
+            yield batch(DONE, 0, 0, ready["doc"], ready["v"], ready["at"])
+            windows = of(kind == WINDOW)
+            yield done(settled(windows, [windows["k1"], windows["k2"]], keep_first)[1])
+            own = of(kind == RUN)
+            by_key = np.argsort(own["k1"], kind="stable")
+            own = {k: x[by_key] for k, x in own.items()}
+            key = own["k1"]
+            at = np.flatnonzero(np.r_[True, key[1:] != key[:-1]][: len(key)])
+            size = np.diff(np.append(at, len(key)))
+            asked = np.repeat(size > 1, size) | (own["kind"] & TIED > 0)
+            yield batch(OPEN, key[asked], 0, own["doc"][asked], own["v"][asked], own["at"][asked])
 
     found = docs.mapInArrow(runs, _ROW).repartition("k1").sortWithinPartitions("k1").mapInArrow(meet, _ROW)
     found = stash(found, "runs")
-    packed = docs.mapInArrow(pack_texts, "doc long, z binary")
-
-    asked = found.where(F.col("kind") == OPEN).groupBy("doc").agg(F.collect_list(F.struct("k1", "at")).alias("asked"))
+    packed = docs.mapInArrow(pack_texts, "doc long, v long, z binary")
 
     def passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = finder()
         for b in batches:
-            keys, docs_, ats, texts = [], [], [], []
-            for doc, z, own in zip(b.column("doc").to_pylist(), b.column("z"), b.column("asked").to_pylist()):
-                got = find.passages(unpacked(z), *unpack(np.array([a["at"] for a in own], dtype=np.int64)))
-                keys += [a["k1"] for a in own]
-                ats += [a["at"] for a in own]
-                docs_ += [doc] * len(own)
-                texts += got
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(docs_, pa.int64()), pa.array(ats, pa.int64()), pa.array(texts, pa.binary())], ["k1", "doc", "at", "passage"])
+            held: list[tuple] = []
+            bytes_held = 0
+            for doc, v, z, own in zip(b.column("doc").to_pylist(), b.column("v").to_pylist(), b.column("z"), b.column("asked").to_pylist()):
+                start, count = unpack(np.array([a["at"] for a in own], dtype=np.int64))
+                for a, text in zip(own, find.passages(unpacked(z), start, count)):
+                    held.append((a["k1"], doc, v, a["at"], text))
+                    bytes_held += len(text)
+                    if bytes_held > 8 << 20:
+                        yield led(find, held)
+                        held, bytes_held = [], 0
+            yield led(find, held)
+
+    def led(find, held: list[tuple]) -> pa.RecordBatch:
+        keys, docs_, vs, ats, texts = (list(x) for x in zip(*held)) if held else ([], [], [], [], [])
+        texts = pa.array(texts, pa.binary())
+        leads = find.leads(texts, np.array(keys, dtype=np.int64))
+        return pa.RecordBatch.from_arrays([pa.array(leads, pa.binary()), *(pa.array(x, pa.int64()) for x in (docs_, vs, ats)), texts], ["lead", "doc", "v", "at", "passage"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in groups(batches, "k1", HELD // 40):
-            k1, doc = t.column("k1").to_numpy(), t.column("doc").to_numpy()
-            start, count = unpack(t.column("at").to_numpy())
-            by_place = np.lexsort((start, doc))  # so that equal windows stay in document order
-            k1, doc, start, count = k1[by_place], doc[by_place], start[by_place], count[by_place]
-            texts = t.column("passage").combine_chunks().take(pa.array(by_place))
-            row = np.repeat(np.arange(len(k1)), count)
-            own = ragged(start, count)
-            placed, same = order(texts, k1, count)
+        for t in groups(batches, "lead", HELD // 40):
+            rows = {k: t.column(k).to_numpy() for k in ("doc", "v", "at")}
+            rows["kind"] = np.zeros(len(rows["at"]), dtype=np.int64)
+            rows["row"] = np.arange(len(rows["at"]))
+            column = t.column("passage").combine_chunks()
+            lead = t.column("lead").combine_chunks().dictionary_encode().indices.to_numpy()
+            alike = column.dictionary_encode().indices.to_numpy()  # passages of equal bytes
+            one, repeated = settled(rows, [alike], keep_first)
+            yield done(repeated)
+            by_place = np.lexsort((one["at"], one["doc"], lead[one["row"]]))  # so that equal windows stay in document order
+            one = {k: x[by_place] for k, x in one.items()}
+            start, count = unpack(one["at"])
+            row, own = np.repeat(np.arange(len(start)), count), ragged(start, count)
+            placed, same = order(column.take(pa.array(one["row"])), lead[one["row"]], count)
             row, own = row[placed], own[placed]
-            again = same if keep_first else same | np.append(same[1:], False)
-            yield done({"doc": doc[row[again]], "at": pack(own[again], np.ones(int(again.sum()), dtype=np.int64))})
-
-    texts = packed.join(asked, "doc").mapInArrow(passages, "k1 long, doc long, at long, passage binary")
-    compared = texts.repartitionByRange("k1").sortWithinPartitions("k1").mapInArrow(compare, _ROW)
-    return found.where(F.col("kind") == DONE).select("doc", "at").unionByName(compared.select("doc", "at")), packed
-
-
-def cut_repeats(docs: DataFrame, id_col: str, text_col: str, finder: Callable, order: Callable, keep_first: bool, cut: Callable, schema: str) -> DataFrame:
+            if keep_first:  # not those at the very place of the first
+                first = np.maximum.accumulate(np.where(same, 0, np.arange(len(same))))
+                again = same & ((one["doc"][row] != one["doc"][row[first]]) | (own != own[first]))
+            else:
+                again = same | np.append(same[1:], np.zeros(min(1, len(same)), dtype=bool))
+            yield done({"doc": one["doc"][row[again]], "v": one["v"][row[again]], "at": pack(own[again], np.ones(int(again.sum()), dtype=np.int64))})
+
+    def cut_from(texts: DataFrame, some: DataFrame) -> DataFrame:
+        asked = some.groupBy("doc", "v").agg(F.collect_list(F.struct("k1", "at")).alias("asked"))
+        return texts.join(asked, ["doc", "v"]).mapInArrow(passages, _PASSAGE)
+
+    asked = found.where(F.col("kind") == OPEN).select("k1", "doc", "v", "at")
+    if by_range:
+        some = F.pmod(F.xxhash64("doc", "v"), F.lit(LOOK * 4)) == 0
+        met = bucketed(cut_from(packed, asked), cut_from(docs.where(some).mapInArrow(pack_texts, "doc long, v long, z binary"), asked.where(some)), parts)
+    else:
+        met = cut_from(packed, asked).repartition("lead")
+    compared = met.sortWithinPartitions("lead").mapInArrow(compare, _ROW)
+    return found.where(F.col("kind") == DONE).select("doc", "v", "at").unionByName(compared.select("doc", "v", "at")), packed
+
+
+def cut_repeats(docs: DataFrame, id_col: str, text_col: str, finder: Callable, order: Callable, keep_first: bool, by_range: bool, cut: Callable, schema: str) -> DataFrame:
     """Each row's text without its repeated windows, as ``cut(text, stretches)`` makes it.
 
     ``cut`` takes the bytes of a text, and starts and ends of its stretches of repeated windows.
     """
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("doc"), F.col(text_col).alias("text"))
-    stretches, packed = repeated_stretches(rows, finder, order, keep_first)
-    by_doc = stretches.groupBy("doc").agg(F.collect_list("at").alias("ats"))
+    text = F.col(text_col)
+    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("doc"), F.xxhash64(text).alias("v"), text.alias("text"))
+    stretches, packed = repeated_stretches(rows, finder, order, keep_first, by_range)
+    by_doc = stretches.groupBy("doc", "v").agg(F.collect_list("at").alias("ats"))
     names = [f.split()[0] for f in schema.split(", ")]
     types = [pa.int64() if " long" in f and "array" not in f else pa.list_(pa.int64()) if "array" in f else pa.string() if " string" in f else pa.binary() for f in schema.split(", ")]
 
@@ -230,8 +288,8 @@ def cut_repeats(docs: DataFrame, id_col: str, text_col: str, finder: Callable, o
             for i, z, ats in zip(doc.tolist(), b.column("z"), b.column("ats")):
                 text = unpacked(z)
                 at = np.array(ats.as_py() if ats.is_valid else [], dtype=np.int64)
-                at = joined(np.zeros(len(at), dtype=np.int64), at)[1]
-                start, count = unpack(at)
+                none = np.zeros(len(at), dtype=np.int64)
+                start, count = unpack(joined(none, none, at)[2])
                 for column, value in zip(out, cut(text, start, start + count)):
                     column.append(value)
                 ids.append(i if i != NULL_ID else None)
@@ -241,4 +299,4 @@ def cut_repeats(docs: DataFrame, id_col: str, text_col: str, finder: Callable, o
                     out, ids, held = [[] for _ in names], [], 0
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *map(pa.array, out, types)], ["id", *names])
 
-    return packed.join(by_doc, "doc", "left").mapInArrow(finish, f"id long, {schema}")
+    return packed.join(by_doc, ["doc", "v"], "left").mapInArrow(finish, f"id long, {schema}")

@@ -1,11 +1,12 @@
 """Removal of long byte strings that stand earlier in the corpus, by sorted suffixes.
 
 Suffixes are gathered where a 37-byte token, the smallest by hash of a window's 64, stands more than once;
-a window without such a token has no copy. They are range-partitioned by that leading token with sampled
-splitters, so that no token crosses a border; within a bucket they are put in order by multikey sorting,
-8 bytes a step, all ranges that are still open at once, and a suffix that agrees with the one before it
-over the whole window has an earlier copy. Tokens too frequent for one bucket are compared across buckets
-by the names of their windows.
+a window without such a token has no copy. The suffixes of all windows that share such a token go to a bucket,
+one range of leading tokens by splitters sampled from the tokens themselves. In a bucket passages of equal
+bytes are taken together, and the suffixes of the windows of one passage each are put in order by multikey
+sorting, 8 bytes a step, all ranges that are still open at once; a suffix that agrees with the one before it over
+the whole window has an earlier copy. A border never parts a token, so equal windows never lie on two sides of
+one. Tokens too frequent for one bucket are compared across buckets by 128-bit names of their windows.
 """
 
 from __future__ import annotations
@@ -32,14 +33,14 @@ class Runs:
     place: np.ndarray
     count: np.ndarray
     key: np.ndarray
-    content: np.ndarray
+    content: tuple[np.ndarray, np.ndarray]
     tied: np.ndarray
     names: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]
 
 
 def no_runs() -> Runs:
     none = np.zeros(0, dtype=np.int64)
-    return Runs(none, none, none, none, none, none, none.astype(bool), lambda at: (none, none))
+    return Runs(none, none, none, none, none, (none, none), none.astype(bool), lambda at: (none, none))
 
 
 def tied_runs(value: np.ndarray, least: np.ndarray, valid: np.ndarray, run_of: np.ndarray, n_runs: int, spread: int) -> np.ndarray:
@@ -84,19 +85,27 @@ class ByteRuns:
         tied = tied_runs(value, least, valid, np.cumsum(new) - 1, len(place), self.spread)
         keep = valid[place]
         place, count, tied = place[keep], count[keep], tied[keep]
-        second: list[Sums] = []
-
-        def names(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            if not second:
-                second.append(Sums(flat, 1))
-            return tuple(s.of(at, at + self.window).view(np.int64) for s in (sums, second[0]))
-
-        content = sums.of(place, place + count - 1 + self.window).view(np.int64)
+        both = sums, Sums(flat, 1)
+        named = lambda a, b: tuple(s.of(a, b).view(np.int64) for s in both)
+        names = lambda at: named(at, at + self.window)
+        content = named(place, place + count - 1 + self.window)
         return Runs(row[place], place - off[row[place]], place, count, least[place], content, tied, names)
 
     def passages(self, text: bytes, start: np.ndarray, count: np.ndarray) -> list[bytes]:
         return [text[a : a + n - 1 + self.window] for a, n in zip(start.tolist(), count.tolist())]
 
+    def leads(self, texts: pa.Array, key: np.ndarray) -> list[bytes]:
+        """The token of each passage that its windows share: the smallest by hash."""
+        flat, off = flat_bytes(texts)
+        if not len(key):
+            return []
+        value = np.r_[Sums(flat).every(self.token).view(np.int64), np.full(self.token, np.iinfo(np.int64).max)][: len(flat)]
+        row = np.repeat(np.arange(len(key)), np.diff(off))
+        at = np.flatnonzero(value == key[row])
+        first = at[np.searchsorted(row[at], np.arange(len(key)), "left")]
+        whole = flat.tobytes()
+        return [whole[a : a + self.token] for a in first.tolist()]
+
 
 def multikey_order(lead: np.ndarray, token: Callable[[int, np.ndarray], np.ndarray], depth: int) -> tuple[np.ndarray, np.ndarray]:
     """The order of suffixes by ``lead`` and then token after token, and which equal the one before.
@@ -137,11 +146,11 @@ def ordered_windows(window: int) -> Callable:
 def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
     """Each text without the bytes of windows that start earlier: ``id, n_bytes, spans, kept``.
 
-    Earlier is a smaller id, or the same document and a smaller start. ``spans`` are the maximal removed
-    runs (start, end, ...), ``kept`` the remaining bytes joined, which may part a letter. A null or short
-    text loses nothing; an empty table gives no rows; other columns are not read. Every row gives a row:
-    rows that share an id are read as one document that is given twice, so neither is earlier than the
-    other, and spans found in one are cut from both. A null id comes before all others.
+    Earlier is a smaller id, or the same id and a smaller start. ``spans`` are the maximal removed runs (start,
+    end, ...), ``kept`` the remaining bytes joined, which may part a letter. A null or short text loses nothing;
+    an empty table gives no rows; other columns are not read. Every row gives a row. Rows that share an id are
+    versions of one document: each loses its own windows, and of two that start at the same byte neither is
+    earlier. A null id comes before all others.
     """
 
     def cut(text: bytes, start: np.ndarray, end: np.ndarray):
@@ -156,4 +165,4 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         cuts = [0, *spans, len(text)]
         return len(text), spans, b"".join(text[a:b] for a, b in zip(cuts[::2], cuts[1::2]))
 
-    return cut_repeats(docs, id_col, text_col, lambda: ByteRuns(window), ordered_windows(window), True, cut, "n_bytes long, spans array<long>, kept binary")
+    return cut_repeats(docs, id_col, text_col, lambda: ByteRuns(window), ordered_windows(window), True, True, cut, "n_bytes long, spans array<long>, kept binary")

@@ -86,16 +86,67 @@ def test_hot_keys_and_small_flushes(spark, monkeypatch):
     assert got == {i: x[2] for i, x in words_kept(rows, 12).items()}
 
 
-def test_empty_null_and_repeated_rows(spark):
+def versions_kept(rows, window):
+    """Bytes kept of each row, where ids may stand on several rows: earlier is a smaller id, or the same and a smaller start."""
+    texts = [(-1 if i is None else i, (t or "").encode()) for i, t in rows]
+    first = {}
+    for i, t in texts:
+        for s in range(len(t) - window + 1):
+            x = t[s : s + window]
+            first[x] = min(first.get(x, (i, s)), (i, s))
+    out = []
+    for i, t in texts:
+        hit = [False] * len(t)
+        for s in range(len(t) - window + 1):
+            if first[t[s : s + window]] < (i, s):
+                hit[s : s + window] = [True] * window
+        out.append((i, bytes(c for c, h in zip(t, hit) if not h)))
+    return sorted(out)
+
+
+def places_kept(rows, window):
+    """Words kept of each row, where a window of any two places goes."""
+    texts = [(-1 if i is None else i, re.findall(r"[^\x20\x09-\x0D]+", t or "")) for i, t in rows]
+    count = defaultdict(int)
+    for _, w in texts:
+        for s in range(len(w) - window + 1):
+            count[tuple(w[s : s + window])] += 1
+    out = []
+    for i, w in texts:
+        hit = [False] * len(w)
+        for s in range(len(w) - window + 1):
+            if count[tuple(w[s : s + window])] > 1:
+                hit[s : s + window] = [True] * window
+        out.append((i, " ".join(x for x, h in zip(w, hit) if not h)))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("splits", [1, 4])
+def test_empty_null_and_repeated_rows(spark, splits):
+    """Rows that share an id, with one text or several of different lengths."""
     schema = "doc_id long, text string"
     assert suffix_dedup.drop_repeats(spark.createDataFrame([], schema)).count() == 0
     assert recompression.drop_repeats(spark.createDataFrame([], schema)).count() == 0
-    text = " ".join(f"w{i}" for i in range(60))
-    docs = spark.createDataFrame([(1, text), (1, text), (None, text), (None, None)], schema)
-    got = sorted((r.id or 0, len(r.kept)) for r in suffix_dedup.drop_repeats(docs).collect())
-    assert got == [(0, 0), (0, len(text)), (1, 0), (1, 0)]
-    got = sorted((r.id or 0, r.kept) for r in recompression.drop_repeats(docs).collect())
-    assert got == [(0, ""), (0, ""), (1, ""), (1, "")]
+    one, two = (" ".join(f"{k}{i}" for i in range(60)) for k in "wz")
+    rows = [(1, one), (1, one), (None, one), (None, None), (2, two), (2, "ab ab"), (2, f"x {two} y {one}"), (3, two), (3, f"q {two}"), (3, "")]
+    docs = spark.createDataFrame(rows, schema).repartition(splits)
+    back = lambda i: -1 if i is None else i
+    for window in (100, 20):
+        assert sorted((back(r.id), bytes(r.kept)) for r in suffix_dedup.drop_repeats(docs, window=window).collect()) == versions_kept(rows, window)
+    for window in (35, 9):
+        assert sorted((back(r.id), r.kept) for r in recompression.drop_repeats(docs, window=window).collect()) == places_kept(rows, window)
+
+
+def test_long_texts(spark):
+    """A text of 1.5 MB, one that repeats it within another, and a long run of one letter."""
+    r = random.Random(8)
+    long = " ".join(r.choice("abcdefghijkl") * r.randrange(1, 5) for _ in range(400_000))
+    rows = [(1, long), (2, f"before {long[200_000:900_000]} after"), (3, "a" * 300_000), (4, "b " * 30_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {x.id: bytes(x.kept) for x in suffix_dedup.drop_repeats(docs).collect()}
+    assert got[1] == long.encode() and got[3] == b"a" and len(got[2]) < 40 and got[4] == b"b "
+    kept = {x.id: x.kept for x in recompression.drop_repeats(docs).collect()}
+    assert kept[4] == "" and kept[3] == "a" * 300_000 and len(kept[2]) < 60
 
 
 def test_queries_on_a_small_table(spark, sf):
