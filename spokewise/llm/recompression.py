@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import mix
-from .repeats import cut_repeats
+from .repeats import cut_repeats, gathered
 from .suffix_dedup import Runs, multikey_order, no_runs, tied_runs
 from .windows import Sums, flat_bytes, ragged, slide, words
 
@@ -73,18 +73,21 @@ class WordRuns:
         keep = valid[place]
         place, count, tied = place[keep], count[keep], tied[keep]
         sums = Sums(name)
-        both = sums, Sums(name, 1)
-        named = lambda a, b: tuple(s.of(a, b).view(np.int64) for s in both)
-        names = lambda at: named(at, at + self.window)
-        content = named(place, place + count - 1 + self.window)
-        return Runs(row[place], place - before[row[place]], place, count, least[place], content, tied, names)
+        second: list[Sums] = []
 
-    def passages(self, text: bytes, start: np.ndarray, count: np.ndarray) -> list[bytes]:
-        first, last, _ = words(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
-        return [b" ".join(text[first[a] : last[a + n + self.window - 2]].split()) for a, n in zip(start.tolist(), count.tolist())]
+        def names(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            if not second:
+                second.append(Sums(name, 1))
+            return tuple(s.of(at, at + self.window).view(np.int64) for s in (sums, second[0]))
+
+        content = sums.of(place, place + count - 1 + self.window).view(np.int64)
+        return Runs(row[place], place - before[row[place]], place, count, least[place], content, tied, names)
 
-    def leads(self, texts: pa.Array, key: np.ndarray) -> list[bytes]:
-        return [k.to_bytes(8, "big", signed=True) for k in key.tolist()]
+    def passages(self, flat: np.ndarray, off: np.ndarray, row: np.ndarray, start: np.ndarray, count: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Where the passages of some runs start and end (twice the start)."""
+        first, last, before = words(flat, off)
+        word = before[:-1][row] + start
+        return first[word], last[word + count + self.window - 2], first[word]
 
 
 def ordered_windows(window: int) -> Callable:
@@ -92,10 +95,7 @@ def ordered_windows(window: int) -> Callable:
         """Windows of one key by their words."""
         flat, off = flat_bytes(texts)
         start, end, before = words(flat, off)
-        offsets = np.zeros(len(start) + 1, dtype=np.int64)
-        np.cumsum(end - start, out=offsets[1:])
-        inside = flat[ragged(start, end - start)]
-        each = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(inside))])
+        each = gathered(flat, start, end)
         word = each.dictionary_encode().indices.to_numpy()  # equal words, equal numbers
         place = ragged(before[:-1], count)
         return multikey_order(np.repeat(lead, count), lambda j, i: word[place[i] + j], window)

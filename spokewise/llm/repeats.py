@@ -6,7 +6,7 @@ repeated window. Runs meet by key in one shuffle, which tells the shared keys; t
 then cut from the texts, and meet once more. There texts decide: passages of equal bytes form a class, all of
 whose windows are repeated, and the windows of one passage of each class are put in order and compared.
 
-Runs of one input split whose passages agree in two 64-bit names are sent once. The few keys with a large share
+Runs of one task that agree in the 64-bit names of their key and their whole passage are sent once. The few keys with a large share
 of all runs, found beforehand on an eighth of the documents, skip these meetings: their windows are sent instead,
 named by 128 bits, which spread out. Which keys these are has no bearing on the result.
 
@@ -30,14 +30,16 @@ from .windows import flat_bytes, groups, ragged
 #: Kinds of rows; a run or window may carry the flags too.
 TIED, TWICE, RUN, WINDOW, DONE, OPEN = 1, 2, 0, 4, 8, 16
 #: Runs that a task settles together, and rows of a sorted partition that it holds at a time.
-SETTLED, HELD = 1_000_000, 400_000
+SETTLED, HELD = 400_000, 400_000
+#: Runs whose passages a task cuts at a time.
+ASKED = 60_000
 #: One document in so many is looked at for keys with a large share of all runs, and a quarter of those for
 #: splitters, of which each bucket has so many leads sampled.
 LOOK, PER_BUCKET = 8, 100
 
 _ROW = "kind int, k1 long, k2 long, doc long, v long, at long"
 
-_PASSAGE = "lead binary, doc long, v long, at long, passage binary"
+_PASSAGE = "bucket int, k1 long, tied int, doc long, v long, at long, passage binary"
 
 
 def pack(start: np.ndarray, count: np.ndarray) -> np.ndarray:
@@ -112,7 +114,7 @@ def hot_keys(rows: DataFrame, finder: Callable, share: int) -> list[int]:
         for b in text_slices(batches, "text", 1 << 20):
             found = find(*flat_bytes(b.column("text")))
             keys.append(found.key)
-            contents.append(found.content[0])
+            contents.append(found.content)
         k, c = np.concatenate(keys), np.concatenate(contents)
         order = np.lexsort((c, k))
         k, c = k[order], c[order]
@@ -127,21 +129,19 @@ def hot_keys(rows: DataFrame, finder: Callable, share: int) -> list[int]:
     return [r.key for r in top if r.key is not None and r.n * share >= total]
 
 
-def bucketed(passages: DataFrame, sample: DataFrame, parts: int) -> DataFrame:
-    """``passages`` range-partitioned by their leading tokens (``lead``), by splitters from ``sample``.
+def splitters(leads: DataFrame, parts: int) -> np.ndarray:
+    """Borders of ``parts`` ranges of leading tokens, by rows ``lead``: at most ``PER_BUCKET`` of them for each range
+    come to the driver."""
+    some = sorted(leads.orderBy(F.rand(7)).limit(PER_BUCKET * parts).toArrow()["lead"].to_pylist())
+    return np.array(sorted({some[len(some) * k // parts] for k in range(1, parts)}) if some else [], dtype=bytes)
 
-    At most ``PER_BUCKET`` leads for each bucket come to the driver. Equal leads are never parted, so no window
-    has an equal one across a border."""
-    some = sample.select("lead").orderBy(F.xxhash64("lead", F.rand(7))).limit(PER_BUCKET * parts).toArrow()["lead"].to_pylist()
-    some.sort()
-    splitters = sorted({some[len(some) * k // parts] for k in range(1, parts)}) if some else []
 
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            bucket = [bisect_right(splitters, x) for x in b.column("lead").to_pylist()]
-            yield b.append_column("bucket", pa.array(bucket, pa.int32()))
-
-    return passages.mapInArrow(deal, _PASSAGE + ", bucket int").repartitionById(parts, "bucket").drop("bucket")
+def gathered(flat: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Array:
+    """The stretches of a flat array as binary values."""
+    offsets = np.zeros(len(start) + 1, dtype=np.int64)
+    np.cumsum(end - start, out=offsets[1:])
+    held = np.ascontiguousarray(flat[ragged(start, end - start)])
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(offsets), pa.py_buffer(held)])
 
 
 def repeated_stretches(docs: DataFrame, finder: Callable, order: Callable, keep_first: bool, by_range: bool) -> tuple[DataFrame, DataFrame]:
@@ -162,22 +162,21 @@ def repeated_stretches(docs: DataFrame, finder: Callable, order: Callable, keep_
         def flush(kind: int) -> Iterator[pa.RecordBatch]:
             rows = {k: np.concatenate([h[k] for h in held[kind]]) for k in held[kind][0]}
             held[kind].clear()
-            one, repeated = settled(rows, [rows["k1"], rows["k2"], rows["k3"]], keep_first)
+            one, repeated = settled(rows, [rows["k1"], rows["k2"]], keep_first)
             yield done(repeated)
             yield batch(one["kind"], one["k1"], one["k2"] if kind == WINDOW else 0, one["doc"], one["v"], one["at"])
 
         for b in text_slices(batches, "text", 1 << 20):
             found = find(*flat_bytes(b.column("text")))
             doc, v = ids_of(b)[found.row], b.column("v").to_numpy()[found.row]
-            k2, k3 = found.content
-            rows = {"kind": np.where(found.tied, RUN | TIED, RUN), "k1": found.key, "k2": k2, "k3": k3, "doc": doc, "v": v, "at": pack(found.start, found.count)}
+            rows = {"kind": np.where(found.tied, RUN | TIED, RUN), "k1": found.key, "k2": found.content, "doc": doc, "v": v, "at": pack(found.start, found.count)}
             if len(hot.value):
                 is_hot = np.isin(found.key, hot.value)
                 if is_hot.any():
                     n = found.count[is_hot]
                     w1, w2 = found.names(ragged(found.place[is_hot], n))
                     at = pack(ragged(found.start[is_hot], n), np.ones(int(n.sum()), dtype=np.int64))
-                    held[WINDOW].append({"kind": np.full(len(at), WINDOW), "k1": w1, "k2": w2, "k3": w2, "doc": np.repeat(doc[is_hot], n), "v": np.repeat(v[is_hot], n), "at": at})
+                    held[WINDOW].append({"kind": np.full(len(at), WINDOW), "k1": w1, "k2": w2, "doc": np.repeat(doc[is_hot], n), "v": np.repeat(v[is_hot], n), "at": at})
                     rows = {k: x[~is_hot] for k, x in rows.items()}
             held[RUN].append(rows)
             for kind, own in held.items():
@@ -203,43 +202,52 @@ def repeated_stretches(docs: DataFrame, finder: Callable, order: Callable, keep_
             at = np.flatnonzero(np.r_[True, key[1:] != key[:-1]][: len(key)])
             size = np.diff(np.append(at, len(key)))
             asked = np.repeat(size > 1, size) | (own["kind"] & TIED > 0)
-            yield batch(OPEN, key[asked], 0, own["doc"][asked], own["v"][asked], own["at"][asked])
+            yield batch(OPEN, key[asked], own["kind"][asked] & TIED, own["doc"][asked], own["v"][asked], own["at"][asked])
 
     found = docs.mapInArrow(runs, _ROW).repartition("k1").sortWithinPartitions("k1").mapInArrow(meet, _ROW)
     found = stash(found, "runs")
     packed = docs.mapInArrow(pack_texts, "doc long, v long, z binary")
 
-    def passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def passages(batches: Iterator[pa.RecordBatch], borders: np.ndarray, only_leads: bool = False) -> Iterator[pa.RecordBatch]:
         find = finder()
         for b in batches:
-            held: list[tuple] = []
-            bytes_held = 0
-            for doc, v, z, own in zip(b.column("doc").to_pylist(), b.column("v").to_pylist(), b.column("z"), b.column("asked").to_pylist()):
-                start, count = unpack(np.array([a["at"] for a in own], dtype=np.int64))
-                for a, text in zip(own, find.passages(unpacked(z), start, count)):
-                    held.append((a["k1"], doc, v, a["at"], text))
-                    bytes_held += len(text)
-                    if bytes_held > 8 << 20:
-                        yield led(find, held)
-                        held, bytes_held = [], 0
-            yield led(find, held)
-
-    def led(find, held: list[tuple]) -> pa.RecordBatch:
-        keys, docs_, vs, ats, texts = (list(x) for x in zip(*held)) if held else ([], [], [], [], [])
-        texts = pa.array(texts, pa.binary())
-        leads = find.leads(texts, np.array(keys, dtype=np.int64))
-        return pa.RecordBatch.from_arrays([pa.array(leads, pa.binary()), *(pa.array(x, pa.int64()) for x in (docs_, vs, ats)), texts], ["lead", "doc", "v", "at", "passage"])
+            sizes = np.diff(b.column("asked").offsets.to_numpy())
+            part = np.cumsum(sizes) // ASKED
+            cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), b.num_rows]
+            for x, y in zip(cuts, cuts[1:]):
+                piece = b.slice(x, y - x)
+                asked = piece.column("asked").flatten()
+                k1, tied, at = (asked.field(c).to_numpy() for c in ("k1", "k2", "at"))
+                row = np.repeat(np.arange(y - x), sizes[x:y])
+                texts = [unpacked(z) for z in piece.column("z")]
+                flat, off = np.frombuffer(b"".join(texts), np.uint8), np.r_[0, np.cumsum([len(t) for t in texts])]
+                start, end, lead = find.passages(flat, off, row, *unpack(at), k1)
+                if only_leads:
+                    yield pa.RecordBatch.from_arrays([gathered(flat, lead, lead + find.token).cast(pa.binary())], ["lead"])
+                    continue
+                bucket = np.zeros(len(row), dtype=np.int64)
+                if len(borders):
+                    bucket = np.searchsorted(borders, np.ascontiguousarray(flat[lead[:, None] + np.arange(find.token)]).view(f"S{find.token}").ravel(), "right")
+                own = [piece.column(c).take(pa.array(row)) for c in ("doc", "v")]
+                columns = [pa.array(bucket.astype(np.int32)), pa.array(k1), pa.array(tied.astype(np.int32)), *own, pa.array(at), gathered(flat, start, end).cast(pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["bucket", "k1", "tied", "doc", "v", "at", "passage"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in groups(batches, "lead", HELD // 40):
+        for t in groups(batches, "k1", HELD // 20):
             rows = {k: t.column(k).to_numpy() for k in ("doc", "v", "at")}
             rows["kind"] = np.zeros(len(rows["at"]), dtype=np.int64)
             rows["row"] = np.arange(len(rows["at"]))
             column = t.column("passage").combine_chunks()
-            lead = t.column("lead").combine_chunks().dictionary_encode().indices.to_numpy()
+            k1 = t.column("k1").to_numpy()
+            lead = np.cumsum(np.r_[True, k1[1:] != k1[:-1]][: len(k1)]) - 1
             alike = column.dictionary_encode().indices.to_numpy()  # passages of equal bytes
             one, repeated = settled(rows, [alike], keep_first)
             yield done(repeated)
+            # a lead with one passage that can't repeat within has nothing to compare
+            kinds = np.bincount(lead[one["row"]][np.r_[True, np.diff(alike[one["row"]]) != 0][: len(one["row"])]], minlength=int(lead.max(initial=0)) + 1)
+            loose = np.bincount(lead, weights=t.column("tied").to_numpy() != 0, minlength=len(kinds)) > 0
+            some = ((kinds > 1) | loose)[lead[one["row"]]]
+            one = {k: x[some] for k, x in one.items()}
             by_place = np.lexsort((one["at"], one["doc"], lead[one["row"]]))  # so that equal windows stay in document order
             one = {k: x[by_place] for k, x in one.items()}
             start, count = unpack(one["at"])
@@ -253,17 +261,19 @@ def repeated_stretches(docs: DataFrame, finder: Callable, order: Callable, keep_
                 again = same | np.append(same[1:], np.zeros(min(1, len(same)), dtype=bool))
             yield done({"doc": one["doc"][row[again]], "v": one["v"][row[again]], "at": pack(own[again], np.ones(int(again.sum()), dtype=np.int64))})
 
-    def cut_from(texts: DataFrame, some: DataFrame) -> DataFrame:
-        asked = some.groupBy("doc", "v").agg(F.collect_list(F.struct("k1", "at")).alias("asked"))
-        return texts.join(asked, ["doc", "v"]).mapInArrow(passages, _PASSAGE)
+    def asked_of(texts: DataFrame, some: DataFrame) -> DataFrame:
+        return texts.join(some.groupBy("doc", "v").agg(F.collect_list(F.struct("k1", "k2", "at")).alias("asked")), ["doc", "v"])
 
-    asked = found.where(F.col("kind") == OPEN).select("k1", "doc", "v", "at")
+    asked = found.where(F.col("kind") == OPEN).select("k1", "k2", "doc", "v", "at")
+    borders = np.array([], dtype=bytes)
     if by_range:
+        # equal leads are never parted, so no window has an equal one across a border
         some = F.pmod(F.xxhash64("doc", "v"), F.lit(LOOK * 4)) == 0
-        met = bucketed(cut_from(packed, asked), cut_from(docs.where(some).mapInArrow(pack_texts, "doc long, v long, z binary"), asked.where(some)), parts)
-    else:
-        met = cut_from(packed, asked).repartition("lead")
-    compared = met.sortWithinPartitions("lead").mapInArrow(compare, _ROW)
+        few = docs.where(some).mapInArrow(pack_texts, "doc long, v long, z binary")
+        borders = splitters(asked_of(few, asked.where(some)).mapInArrow(lambda b: passages(b, borders, True), "lead binary"), parts)
+    met = asked_of(packed, asked).mapInArrow(lambda b: passages(b, borders), _PASSAGE)
+    met = met.repartitionById(parts, "bucket") if by_range else met.repartition("k1")
+    compared = met.sortWithinPartitions("k1").mapInArrow(compare, _ROW)
     return found.where(F.col("kind") == DONE).select("doc", "v", "at").unionByName(compared.select("doc", "v", "at")), packed
 
 

@@ -33,14 +33,14 @@ class Runs:
     place: np.ndarray
     count: np.ndarray
     key: np.ndarray
-    content: tuple[np.ndarray, np.ndarray]
+    content: np.ndarray
     tied: np.ndarray
     names: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]
 
 
 def no_runs() -> Runs:
     none = np.zeros(0, dtype=np.int64)
-    return Runs(none, none, none, none, none, (none, none), none.astype(bool), lambda at: (none, none))
+    return Runs(none, none, none, none, none, none, none.astype(bool), lambda at: (none, none))
 
 
 def tied_runs(value: np.ndarray, least: np.ndarray, valid: np.ndarray, run_of: np.ndarray, n_runs: int, spread: int) -> np.ndarray:
@@ -85,26 +85,24 @@ class ByteRuns:
         tied = tied_runs(value, least, valid, np.cumsum(new) - 1, len(place), self.spread)
         keep = valid[place]
         place, count, tied = place[keep], count[keep], tied[keep]
-        both = sums, Sums(flat, 1)
-        named = lambda a, b: tuple(s.of(a, b).view(np.int64) for s in both)
-        names = lambda at: named(at, at + self.window)
-        content = named(place, place + count - 1 + self.window)
-        return Runs(row[place], place - off[row[place]], place, count, least[place], content, tied, names)
+        second: list[Sums] = []
 
-    def passages(self, text: bytes, start: np.ndarray, count: np.ndarray) -> list[bytes]:
-        return [text[a : a + n - 1 + self.window] for a, n in zip(start.tolist(), count.tolist())]
+        def names(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            if not second:
+                second.append(Sums(flat, 1))
+            return tuple(s.of(at, at + self.window).view(np.int64) for s in (sums, second[0]))
 
-    def leads(self, texts: pa.Array, key: np.ndarray) -> list[bytes]:
-        """The token of each passage that its windows share: the smallest by hash."""
-        flat, off = flat_bytes(texts)
-        if not len(key):
-            return []
-        value = np.r_[Sums(flat).every(self.token).view(np.int64), np.full(self.token, np.iinfo(np.int64).max)][: len(flat)]
-        row = np.repeat(np.arange(len(key)), np.diff(off))
-        at = np.flatnonzero(value == key[row])
-        first = at[np.searchsorted(row[at], np.arange(len(key)), "left")]
-        whole = flat.tobytes()
-        return [whole[a : a + self.token] for a in first.tolist()]
+        content = sums.of(place, place + count - 1 + self.window).view(np.int64)
+        return Runs(row[place], place - off[row[place]], place, count, least[place], content, tied, names)
+
+    def passages(self, flat: np.ndarray, off: np.ndarray, row: np.ndarray, start: np.ndarray, count: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Where the passages of some runs start and end, and where the token that their windows share starts."""
+        place = off[:-1][row] + start
+        if not len(place):
+            return place, place, place
+        value = Sums(flat).every(self.token).view(np.int64)
+        lead = place + (value[place[:, None] + np.arange(self.spread)] == key[:, None]).argmax(1)
+        return place, place + count - 1 + self.window, lead
 
 
 def multikey_order(lead: np.ndarray, token: Callable[[int, np.ndarray], np.ndarray], depth: int) -> tuple[np.ndarray, np.ndarray]:
