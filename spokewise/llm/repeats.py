@@ -31,8 +31,8 @@ from .windows import flat_bytes, groups, ragged
 TIED, TWICE, RUN, WINDOW, DONE, OPEN = 1, 2, 0, 4, 8, 16
 #: Runs that a task settles together, and rows of a sorted partition that it holds at a time.
 SETTLED, HELD = 400_000, 400_000
-#: Runs whose passages a task cuts at a time.
-ASKED = 60_000
+#: Bytes of texts, about, from which a task cuts passages at a time.
+HELD_BYTES = 2 << 20
 #: One document in so many is looked at for keys with a large share of all runs, and a quarter of those for
 #: splitters, of which each bucket has so many leads sampled.
 LOOK, PER_BUCKET = 8, 100
@@ -212,7 +212,8 @@ def repeated_stretches(docs: DataFrame, finder: Callable, order: Callable, keep_
         find = finder()
         for b in batches:
             sizes = np.diff(b.column("asked").offsets.to_numpy())
-            part = np.cumsum(sizes) // ASKED
+            weight = 64 * sizes + 3 * np.diff(flat_bytes(b.column("z"))[1])  # what is held: 64 places of a run, a text's hashes
+            part = np.cumsum(weight) // HELD_BYTES
             cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), b.num_rows]
             for x, y in zip(cuts, cuts[1:]):
                 piece = b.slice(x, y - x)

@@ -16,6 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import regex
+import tokenizers
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,6 +27,29 @@ REMEMBERED = 1_000_000
 
 NONE = np.int32(2**31 - 1)
 
+#: Letters outside the blocks whose case and class have been the same in all versions of Unicode since 3.2.
+_CHANGING = regex.compile(r"[^\x00-\u024F\u0391-\u03A1\u03A3-\u03C9\u0410-\u044F\u2010-\u2027\u3041-\u3094\u30A1-\u30FA\u4E00-\u9FA5\uAC00-\uD7A3]")
+
+
+_NFC, _LOWER = tokenizers.normalizers.NFC(), tokenizers.normalizers.Lowercase()
+
+
+@functools.lru_cache(maxsize=1)
+def changed_classes() -> dict[int, str]:
+    """Code points that the library and ``regex`` put in different classes, as a letter of the library's class.
+
+    Only those are asked for whose class has changed since Unicode 3.2."""
+    every = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    text = "".join(every)
+    mine = {c: k for k in "LN" for c in regex.findall(rf"\p{{{k}}}", text)}
+    old = unicodedata.ucd_3_2_0.category
+    doubtful = [c for c in every if not c.isspace() and mine.get(c, "") != (k if (k := old(c)[0]) in "LN" else "")]
+    theirs = dict.fromkeys(doubtful, "")
+    for k in "LN":
+        rest = tokenizers.pre_tokenizers.Split(tokenizers.Regex(rf"\p{{{k}}}"), "removed").pre_tokenize_str(" ".join(doubtful))
+        theirs.update(dict.fromkeys(set(doubtful).difference(*(piece for piece, _ in rest)), k))
+    return {ord(c): {"L": "a", "N": "1", "": "!"}[k] for c, k in theirs.items() if k != mine.get(c, "")}
+
 
 def byte_letters() -> list[str]:
     """The printable letter that stands for each byte in a byte-level vocabulary."""
@@ -114,6 +138,10 @@ class WordBpe:
         for part in parts:
             if not part:
                 continue
+            if _CHANGING.search(part):  # case and class as the installed library has them
+                part = _LOWER.normalize_str(_NFC.normalize_str(part))
+                found += [part[m.start() : m.end()] for m in self.words.finditer(part.translate(changed_classes()))]
+                continue
             if not part.isascii():
                 part = unicodedata.normalize("NFC", part)
             # letter by letter where a sigma would get its form at a word's end

@@ -19,6 +19,8 @@ from ..storage import stash
 
 #: Queries and candidates in one block, and dimensions that are added at once.
 QUERY_BLOCK, CANDIDATES, DIMENSIONS = 8_192, 8_192, 16
+#: Blocks of queries whose bests a task keeps at a time.
+HELD_BLOCKS = 4
 
 #: Sums stay exact in doubles up to here; larger inputs are summed as Python integers.
 EXACT = float(2**53)
@@ -128,20 +130,26 @@ def opened(d: int, n: int, wide: bool, ids: bytes, vectors: bytes) -> tuple[np.n
 
 
 def met(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
-    """The best of each query of every pair of blocks; a task keeps its bests from block to block."""
+    """The best of each query of every pair of blocks; a task keeps those of a few blocks of queries at a time."""
     best: dict[tuple[int, bytes], tuple[np.ndarray, np.ndarray, Best]] = {}
+
+    def out(ids: np.ndarray, _, own: Best) -> Iterator[pa.RecordBatch]:
+        rows = [(int(q), i, -s) for q, top in zip(ids, own.top) for s, i in top]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], ["query_id", "vec_id", "score"])
+
     for b in batches:
         for i in range(b.num_rows):
             own = {c: b.column(c)[i].as_py() for c in b.schema.names}
             key = (own["d"], own["q_ids"])
             if key not in best:
+                if len(best) == HELD_BLOCKS:
+                    yield from out(*best.pop(next(iter(best))))
                 ids, columns = opened(own["d"], own["q_n"], own["q_wide"], own["q_ids"], own["q_vectors"])
                 best[key] = ids, np.ascontiguousarray(columns.T), Best(len(ids), k)
             scan(best[key][2], *best[key][:2], *opened(own["d"], own["n"], own["wide"], own["ids"], own["vectors"]))
-    for ids, _, own in best.values():
-        out = [(int(q), i, -s) for q, top in zip(ids, own.top) for s, i in top]
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["query_id", "vec_id", "score"])
+    for held in best.values():
+        yield from out(*held)
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", factor: int = 256, query_block: int = QUERY_BLOCK, candidates: int = CANDIDATES) -> DataFrame:
@@ -154,8 +162,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_i
     are all returned; no queries give no rows; other columns are not read.
 
     Both sides are packed into blocks of bounded size, written once to the shared folder, and every block of
-    queries meets every block of candidates; no vector passes the driver. A task returns its own ``k`` best
-    of each query, no more.
+    queries meets every block of candidates; no vector passes the driver. A task keeps ``HELD_BLOCKS`` blocks of
+    queries, and returns the ``k`` best of each query when it lets go of its block.
     """
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"), is_query.alias("q")).where("id IS NOT NULL")
     asked = rows.where("q").select("id", "v").dropDuplicates()

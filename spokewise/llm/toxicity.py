@@ -59,17 +59,16 @@ def unit_places(flat: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarr
     """Start, end and row of each string to be judged."""
     start, end, before = words(flat, off)
     row = np.repeat(np.arange(len(off) - 1), np.diff(before))
-    for _ in range(4):  # outer punctuation
-        start = start + ((end > start) & _OUTER[flat[np.minimum(start, len(flat) - 1)]])
-        end = end - ((end > start) & _OUTER[flat[np.maximum(end - 1, 0)]])
+    inner = np.flatnonzero(~_OUTER[flat])  # without outer punctuation
+    first, last = np.searchsorted(inner, start), np.searchsorted(inner, end)
+    some = first < last
+    start, end, row = inner[first[some]], inner[last[some] - 1] + 1, row[some]
     one = end - start == 1
     glued = np.zeros(len(one), dtype=bool)
     glued[1:] = one[1:] & one[:-1] & (row[1:] == row[:-1])
     head = np.flatnonzero(~glued)
     last = np.append(head[1:], len(one)) - 1
     start, end, row = start[head], end[last] if len(head) else end[:0], row[head]
-    some = end > start
-    start, end, row = start[some], end[some], row[some]
     long = end - start > STRETCH
     if long.any():
         step = STRETCH // 2
@@ -268,16 +267,17 @@ def fit(texts: list[str], toxic: list[int]) -> Model:
 def train(docs: DataFrame, labels: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", toxic_rows: int = TOXIC_ROWS, clean_rows: int = CLEAN_ROWS, row_bytes: int = ROW_BYTES) -> Model:
     """The model fitted to a bounded sample of labelled rows, by a hash of their ids.
 
-    ``held_out`` (over the labels' columns) says which labels may not be used. Null ids, labels and texts, and
-    texts over ``row_bytes``, are not fitted.
+    ``held_out`` (over the labels' columns) says which labels may not be used. Null ids, labels and texts, ids
+    labelled both ways, and texts over ``row_bytes``, are not fitted; of several texts of one id the smallest is.
     """
     some = labels.where(~held_out & F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("y"))
+    some = some.groupBy("id").agg(F.min("y").alias("y"), F.max("y").alias("z")).where("y = z")
     parts = [some.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(n) for y, n in ((1, toxic_rows), (0, clean_rows))]
     ids = {r.id: r.y for p in parts for r in p.collect()}
     if not ids:
         return fit([], [])
     wanted = F.broadcast(docs.sparkSession.createDataFrame([(i,) for i in ids], "id long"))
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(wanted, "id").where(F.octet_length("text").between(1, row_bytes)).dropDuplicates(["id"])
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(wanted, "id").where(F.octet_length("text").between(1, row_bytes)).groupBy("id").agg(F.min("text").alias("text"))
     rows = sorted((r.id, r.text) for r in texts.collect())
     return fit([t for _, t in rows], [ids[i] for i, _ in rows])
 

@@ -71,3 +71,21 @@ def test_decoded_text_is_made_of_the_ids(monkeypatch):
     monkeypatch.setattr(table, "split", lambda chunk: wrong)
     ids, text = table.coded_chunk(piece_codec.MARK + "tree")
     assert ids == " ".join(map(str, wrong)) and text == table.text(wrong, first=False) != " tree"
+
+
+def test_letters_new_to_unicode():
+    """Case and class of every kind of letter are the library's, alone and among others."""
+    import tokenizers
+
+    from spokewise.llm import token_counts
+
+    path = tokenizer_path("word_bpe_49k.json")
+    lib, own = tokenizers.Tokenizer.from_file(path), token_counts.WordBpe(path)
+    odd = sorted(token_counts.changed_classes())
+    points = [*odd[:: max(1, len(odd) // 400)], 0xA7CB, 0xA7DC, 0x1C89, 0x10D50, 0x32808, *range(0x80, 0x3000, 17)]
+    texts = [f"a{chr(c)}b 1{chr(c)}2 !{chr(c)}? {chr(c)}{chr(c)}" for c in points]
+    assert own.count(texts) == [len(lib.encode(t, add_special_tokens=False).ids) for t in texts]
+    # blocks that don't take this way are alike in both
+    plain = [chr(c) for c in range(0x80, 0xE000) if not 0xD800 <= c and not token_counts._CHANGING.match(chr(c))]
+    assert len(plain) > 30_000 and not any(ord(c) in token_counts.changed_classes() for c in plain)
+    assert [c for c in plain if tokenizers.normalizers.Lowercase().normalize_str(c) != c.lower()] == []

@@ -46,3 +46,43 @@ def test_few_rows_and_ties(spark):
 
 def test_query(spark, sf):
     assert compare(spark, queries.op9_exact_topk, queries.OP9_SQL, sf)
+
+
+def test_many_query_blocks(monkeypatch):
+    """A task keeps the bests of few blocks of queries, and none is lost when it lets go of one."""
+    import numpy as np
+    import pyarrow as pa
+
+    r = np.random.default_rng(5)
+    v = r.integers(-9, 9, (60, 4)).astype(float)
+
+    def block(ids):
+        rows = pa.RecordBatch.from_pydict({"id": pa.array(ids, pa.int64()), "v": pa.array([v[i].tolist() for i in ids])})
+        return next(topk.packed(iter([rows]), 1, 100)).to_pylist()[0]
+
+    queries = [block(range(a, a + 5)) for a in range(0, 60, 5)]
+    pairs = [{**block(range(c, c + 20)), **{f"q_{k}": x for k, x in q.items() if k != "d"}} for c in (0, 20, 40) for q in queries]
+    most = 0
+    made = topk.Best
+
+    class Counted(made):
+        alive = 0
+
+        def __init__(self, *args):
+            nonlocal most
+            super().__init__(*args)
+            Counted.alive += 1
+            most = max(most, Counted.alive)
+
+        def __del__(self):
+            Counted.alive -= 1
+
+    monkeypatch.setattr(topk, "Best", Counted)
+    found = {}
+    for b in topk.met(iter([pa.RecordBatch.from_pylist([p]) for p in pairs]), 3):
+        for row in b.to_pylist():
+            found.setdefault(row["query_id"], set()).add((-row["score"], row["vec_id"]))
+    assert most <= topk.HELD_BLOCKS + 1
+    for q in range(60):
+        want = sorted((-int(v[q] @ v[i]), i) for i in range(60) if i != q)[:3]
+        assert sorted(found[q])[:3] == want
