@@ -43,6 +43,11 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def is_stashed(df: DataFrame) -> bool:
+    """Whether ``df`` is a table that :func:`stash` wrote."""
+    return df in _path_of
+
+
 def _remove(spark: SparkSession, paths: list[str]) -> int:
     conf = spark.sparkContext._jsc.hadoopConfiguration()
     for p in paths:
