@@ -11,7 +11,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import stash
+from ..storage import is_stashed, stash
 
 
 def tokenizer_path(name: str) -> str:
@@ -77,7 +77,7 @@ def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str =
     A key with over one in 1,000 of all these rows, of which there are fewer than 1,000, is met by broadcast, so
     its rows stay where they are; the others are met by a shuffle.
     """
-    groups = stash(groups, "groups")
+    groups = groups if is_stashed(groups) else stash(groups, "groups")
     least = (groups.agg(F.sum(size)).first()[0] or 0) // 1_000
     hot = F.broadcast(groups.where(F.col(size) > least))
     rest = groups.where(F.col(size) <= least)

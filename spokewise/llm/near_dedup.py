@@ -32,9 +32,9 @@ from .common import NULL_ID, ids_of, join_groups, mix, pack_texts, text_slices,
 from .windows import Sums, flat_bytes, groups, ragged, words
 
 WIDTH, PERCENT = 5, 80
-TREES, DEPTH, SKETCH = 6, 6, 128
+TREES, DEPTH, SKETCH = 6, 4, 128
 #: Documents of a node that is branched no further; share of a node that takes one child, in a family.
-NODE, DENSE = 250, 0.5
+NODE, DENSE = 500, 0.5
 #: Documents of a node, and shingles of a family, that one task compares; beyond, nodes are compared part by part
 #: and a family node by node.
 PART, FAMILY = 1_000, 2_000_000
@@ -212,19 +212,18 @@ def nodes_of(reps: DataFrame, node: int, depth: int) -> DataFrame:
     roots, kids_of = branches(reps)
     rows = reps.select("doc", F.explode(roots).alias("x")).select(F.col("x.kid").alias("key"), "doc")
     whole: list[DataFrame] = []
-    for level in range(depth + 1):
-        rows = stash(join_groups(rows, sized(rows).select("key", "n"), ["key"]), "level")
-        large = rows.where(F.col("n") > node)
-        whole.append(rows.where(F.col("n") <= node).select("key", "doc"))
-        if level == depth or large.isEmpty():
-            whole.append(large.select("key", "doc"))
+    for _ in range(depth):
+        large = stash(rows.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > node).select("key"), "large")
+        if large.isEmpty():
             break
-        kids = stash(large.join(reps, "doc").select("key", "doc", F.explode(kids_of(F.col("key"))).alias("x")).select("key", "doc", "x.b", "x.kid"), "kids")
-        most = kids.groupBy("key", "b", "kid").agg(F.count("*").alias("c")).groupBy("key", "b").agg(F.max("c").alias("most"), F.sum("c").alias("n"))
-        dense = most.groupBy("key").agg(F.sum("n").alias("n"), F.min(F.col("most") / F.col("n")).alias("share"))
-        kids = stash(join_groups(kids, dense, ["key"]), "kids")
-        whole.append(kids.where((F.col("share") >= DENSE) & (F.col("b") == 0)).select("key", "doc"))
-        rows = kids.where(F.col("share") < DENSE).select(F.col("kid").alias("key"), "doc")
+        whole.append(rows.join(large, "key", "left_anti"))
+        kids = rows.join(large, "key").join(reps, "doc").select("key", "doc", F.explode(kids_of(F.col("key"))).alias("x"))
+        kids = stash(kids.select("key", "doc", "x.b", "x.kid"), "kids")
+        most = kids.groupBy("key", "b", "kid").agg(F.count("*").alias("c")).groupBy("key", "b").agg((F.max("c") / F.sum("c")).alias("share"))
+        dense = stash(most.groupBy("key").agg(F.min("share").alias("share")).where(F.col("share") >= DENSE).select("key"), "dense")
+        whole.append(kids.where("b = 0").join(dense, "key").select("key", "doc"))
+        rows = kids.join(dense, "key", "left_anti").select(F.col("kid").alias("key"), "doc")
+    whole.append(rows)
     out = whole[0]
     for more in whole[1:]:
         out = out.unionByName(more)
@@ -323,9 +322,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return met.mapInArrow(lambda b: links(b, percent), "a long, b long")
 
     slim = marked.select("doc", *names)
-    held = stash(join_groups(slim, first, names, "copies").select("doc", "rep"), "held")
-    several = held.groupBy("doc").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a < z").select("doc", "a")
-    versions = held.join(several, "doc").select("a", F.col("rep").alias("b")).distinct()
+    several = stash(slim.where("n > 0").groupBy("doc").agg(F.min("s1").alias("a"), F.max("s1").alias("z")).where("a < z").select("doc"), "several")
+    versions = None
+    if not several.isEmpty():
+        own = stash(slim.join(several, "doc").join(first, names).select("doc", "rep").distinct(), "versions")
+        versions = own.join(own.groupBy("doc").agg(F.min("rep").alias("a")), "doc").select("a", F.col("rep").alias("b"))
     named = linked(slots, family, by_sets, versions).select(F.col("node").alias("rep"), "component")
     named = first.join(named, "rep", "left").select(*names, "copies", F.coalesce("component", "rep").alias("component"))
     out = join_groups(slim, named, names, "copies").select("doc", "n", "component").unionByName(slim.where("n = 0").select("doc", "n", F.col("doc").alias("component")))
