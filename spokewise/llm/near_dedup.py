@@ -195,8 +195,8 @@ def sized(rows: DataFrame) -> DataFrame:
 def whole_nodes(rows: DataFrame) -> DataFrame:
     """``key, doc`` of nodes that are compared whole; those with the same documents are kept once."""
     sizes = stash(sized(rows), "sizes")
-    once = sizes.groupBy("n", "who").agg(F.min("key").alias("key")).select("key", "n")
-    return stash(join_groups(rows, once, ["key"]).select("key", "doc"), "nodes")
+    once = sizes.groupBy("n", "who").agg(F.min("key").alias("key")).select("key")
+    return stash(rows.join(once, "key", "left_semi").select("key", "doc"), "nodes")
 
 
 def branches(reps: DataFrame) -> tuple[Column, Callable[[Column], Column]]:
@@ -217,11 +217,11 @@ def nodes_of(reps: DataFrame, node: int, depth: int) -> DataFrame:
         if large.isEmpty():
             break
         whole.append(rows.join(large, "key", "left_anti"))
-        kids = rows.join(large, "key").join(reps, "doc").select("key", "doc", F.explode(kids_of(F.col("key"))).alias("x"))
+        kids = rows.join(large, "key", "left_semi").join(reps, "doc").select("key", "doc", F.explode(kids_of(F.col("key"))).alias("x"))
         kids = stash(kids.select("key", "doc", "x.b", "x.kid"), "kids")
         most = kids.groupBy("key", "b", "kid").agg(F.count("*").alias("c")).groupBy("key", "b").agg((F.max("c") / F.sum("c")).alias("share"))
         dense = stash(most.groupBy("key").agg(F.min("share").alias("share")).where(F.col("share") >= DENSE).select("key"), "dense")
-        whole.append(kids.where("b = 0").join(dense, "key").select("key", "doc"))
+        whole.append(kids.where("b = 0").join(dense, "key", "left_semi").select("key", "doc"))
         rows = kids.join(dense, "key", "left_anti").select(F.col("kid").alias("key"), "doc")
     whole.append(rows)
     out = whole[0]
