@@ -92,7 +92,7 @@ class Network:
     @cached_property
     def crashes(self) -> DataFrame:
         k = F.col("o_orderkey")
-        found = self._at(self.read("orders").where(k % 7 == 0), F.col("o_custkey") % self.size, (k % 11 - 5) * F.lit(0.00003))
+        found = self._at(self.read("orders"), F.col("o_custkey") % self.size, (k % 11 - 5) * F.lit(0.00003))
         return found.select(
             k.alias("crash_id"), "lat", "lon", (F.lit(5) - F.substring("o_orderpriority", 1, 1).cast("int")).cast("short").alias("severity"),
             F.col("o_orderdate").cast("timestamp").alias("occurred_at"), (k % 35 != 0).alias("cyclist_involved"),
@@ -101,7 +101,7 @@ class Network:
     @cached_property
     def hazards(self) -> DataFrame:
         e = F.col("event_id")
-        found = self._at(self.read("events").where(e % 50 == 0), (F.col("user_id") * 13 + e) % self.size, (e % 7 - 3) * F.lit(0.00004))
+        found = self._at(self.read("events"), (F.col("user_id") * 13 + e) % self.size, (e % 7 - 3) * F.lit(0.00004))
         kind = F.element_at(F.create_map(*(F.lit(x) for kv in KIND_OF.items() for x in kv)), F.col("event_type"))
         return found.select(
             e.alias("hazard_id"), "lat", "lon", F.when(e % 100 == 0, F.lit("other")).otherwise(kind).alias("kind"), (F.get_json_object("props", "$.k").cast("int") % 10).alias("confirmations"),

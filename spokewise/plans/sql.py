@@ -82,12 +82,12 @@ walk AS (
 crash AS (
   SELECT o_orderkey AS crash_id, lat + (o_orderkey % 11 - 5) * 0.00003::DOUBLE AS lat, lon + (o_orderkey % 11 - 5) * 0.00003::DOUBLE AS lon,
          5 - CAST(substr(o_orderpriority, 1, 1) AS INT) AS severity, o_orderdate AS occurred_at, o_orderkey % 35 <> 0 AS cyclist_involved
-  FROM orders, n JOIN node ON node_id = o_custkey % n WHERE o_orderkey % 7 = 0),
+  FROM orders, n JOIN node ON node_id = o_custkey % n),
 hazard AS (
   SELECT event_id AS hazard_id, lat + (event_id % 7 - 3) * 0.00004::DOUBLE AS lat, lon + (event_id % 7 - 3) * 0.00004::DOUBLE AS lon,
          CASE WHEN event_id % 100 = 0 THEN 'other' WHEN event_type = 'click' THEN 'debris' WHEN event_type = 'error' THEN 'dangerous_junction' WHEN event_type = 'purchase' THEN 'construction' WHEN event_type = 'signup' THEN 'pothole' ELSE 'blocked_lane' END AS kind,
          CAST(json_extract_string(props, '$.k') AS INT) % 10 AS confirmations, ts AS created_at, ts + INTERVAL 90 DAYS AS expires_at
-  FROM events, n JOIN node ON node_id = (user_id * 13 + event_id) % n WHERE event_id % 50 = 0),
+  FROM events, n JOIN node ON node_id = (user_id * 13 + event_id) % n),
 """
 
 
