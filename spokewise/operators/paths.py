@@ -27,8 +27,9 @@ from pyspark.sql import functions as F
 from .. import params as P
 from ..storage import stash
 
-#: Edges of a graph that is sent to every executor; about 100 bytes each.
-GRAPH_EDGES = 5_000_000
+#: Edges of a graph that is sent to every executor; about 1,500 bytes each with four turns, on the driver and in
+#: every Python worker, so 1.5 GB at most.
+GRAPH_EDGES = 1_000_000
 
 ROUTE = "status string, edges array<long>, cost double, length_m double, budget_used_m double, expansions long"
 

@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from .queries import ORACLES, QUERIES
+from .queries import ORACLES, QUERIES, SLOW
 
-__all__ = ["ORACLES", "QUERIES"]
+__all__ = ["ORACLES", "QUERIES", "SLOW"]
