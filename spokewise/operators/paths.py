@@ -1,264 +1,245 @@
-"""Cheapest paths over a cost table.
+"""Cheapest paths over a cost table, for all requests at once, from frontier to frontier with joins.
 
 ``costs``: directed edges ``edge_id, from_node, to_node, length_m, cost, allowed, over`` (cost and the two
-marks for one rider); ``turns``: ``in_edge, out_edge, turn_cost``. The state of a search is the edge one has
-come by, since a turn's cost depends on both its edges; with a budget also how much of it is spent.
+marks for one rider); ``turns``: ``in_edge, out_edge, turn_cost`` (none: no cost). The state of a search is the
+edge one has come by, since a turn's cost depends on both its edges; with a budget also how much of it is spent.
 
-Two forms give the same costs:
-
-* :func:`route_requests` spreads requests over the executors, each with the graph in hand. The graph is
-  collected once and its size checked against ``most_edges``; for larger ones it raises an error. Turns are
-  not counted.
-* :func:`relax` goes from frontier to frontier with joins, for all requests at once, on a graph of any size.
-  Nothing changes over to it by itself.
+A round joins the labels bettered in the round before with the moves out of their edges, and keeps what no
+label known so far betters. It writes these new labels alone to the shared folder, so a lost executor repeats
+one round at most. Labels that can't better their request's best at its goal are dropped, counting the straight
+way that is left. No part of the graph goes through the driver or whole to a task.
 """
 
 from __future__ import annotations
 
-import heapq
-import math
-from collections.abc import Iterator
+from dataclasses import dataclass
 
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import params as P
-from ..storage import stash
-
-#: Edges of a graph that is sent to every executor; about 1,500 bytes each with four turns, on the driver and in
-#: every Python worker, so 1.5 GB at most.
-GRAPH_EDGES = 1_000_000
-
-ROUTE = "status string, edges array<long>, cost double, length_m double, budget_used_m double, expansions long"
-
-
-class Graph:
-    """A cost table in arrays, by start node, with each edge's turns."""
-
-    def __init__(self, costs: pa.Table, turns: pa.Table | None, places: pa.Table | None):
-        c = {k: costs.column(k).to_numpy() for k in ("edge_id", "from_node", "to_node", "length_m", "cost", "allowed", "over")}
-        order = np.lexsort((c["edge_id"], c["from_node"]))
-        self.id, self.start, self.end, self.length, self.cost, self.allowed, self.over = (v[order] for v in c.values())
-        self.nodes = np.unique(np.r_[self.start, self.end])
-        self.first = np.searchsorted(self.start, self.nodes, "left").tolist()
-        self.last = np.searchsorted(self.start, self.nodes, "right").tolist()
-        self.node_of = {n: k for k, n in enumerate(self.nodes.tolist())}
-        self.head = np.searchsorted(self.nodes, self.end).tolist()
-        self.tail = np.searchsorted(self.nodes, self.start).tolist()
-        by_id = np.argsort(self.id)
-        self.turn: dict[tuple[int, int], float] = {}
-        if turns is not None and turns.num_rows:
-            at = lambda k: by_id[np.searchsorted(self.id[by_id], turns.column(k).to_numpy())]
-            self.turn = dict(zip(zip(at("in_edge").tolist(), at("out_edge").tolist()), turns.column("turn_cost").to_numpy().tolist()))
-        self.lat = self.lon = None
-        if places is not None:
-            known = {n: (a, b) for n, a, b in zip(*(places.column(k).to_pylist() for k in ("node_id", "lat", "lon")))}
-            if all(n in known for n in self.node_of):
-                self.lat, self.lon = (np.radians([known[n][k] for n in self.nodes.tolist()]) for k in (0, 1))
-        self.ids = self.id.tolist()
-        self.lengths, self.allows, self.overs, self.costs = self.length.tolist(), self.allowed.tolist(), self.over.tolist(), self.cost.tolist()
-
-    def guide(self, goal: int):
-        """A lower bound of the cost from a node to the goal: the distance, as no metre costs less than one."""
-        if self.lat is None:
-            return lambda n: 0.0
-        h = np.sin((self.lat - self.lat[goal]) / 2) ** 2 + np.cos(self.lat) * np.cos(self.lat[goal]) * np.sin((self.lon - self.lon[goal]) / 2) ** 2
-        return (0.999 * 2 * P.EARTH_RADIUS_M * np.arcsin(np.minimum(1, np.sqrt(h)))).tolist().__getitem__
-
-
-def search(g: Graph, start: int, goal: int, budget_m: float = 0.0, buckets: int = P.BUDGET_BUCKETS, exact: bool = False, guided: bool = True, factor=None, most: int = P.EXPANSIONS_MOST) -> tuple:
-    """``status, edges, cost, length_m, budget_used_m, expansions`` of the cheapest path.
-
-    Edges that are ``over`` use up the budget, if there is one; labels of one edge and budget bucket are
-    kept by cost, or with ``exact`` all that no other label betters in both cost and budget. ``factor`` gives
-    an edge's extra factor. Status: ``ok``, ``unroutable``, ``search_limit`` or ``unknown_node``.
+from ..functions.geo import distance_m
+from ..storage import drop, stash
+
+#: Rounds whose tables of labels are put together as one, which bounds the number of files that a round reads.
+MERGED_ROUNDS = 16
+
+
+@dataclass(frozen=True)
+class Moves:
+    """Edges that may be ridden (``edge_id, from_node, to_node, length_m, cost, spent, lat, lon``, the place being
+    its end's), and each pair of them that follow each other (``in_edge``, the second one's columns, ``turn_cost``)."""
+
+    edges: DataFrame
+    pairs: DataFrame
+    budget_m: float | None
+    buckets: int | None
+
+    @property
+    def bucket(self) -> Column:
+        if self.budget_m is None or not self.buckets:
+            return F.lit(0)
+        return F.least(F.lit(self.buckets - 1), F.floor(F.col("used_m") / (self.budget_m / self.buckets))).cast("int")
+
+    @property
+    def exact(self) -> bool:
+        return self.budget_m is not None and not self.buckets
+
+
+def moves_of(costs: DataFrame, turns: DataFrame | None = None, nodes: DataFrame | None = None, budget_m: float | None = None, buckets: int | None = None) -> Moves:
+    """The moves for one rider, written once. Edges that are ``over`` spend the budget, if there is one; without
+    ``buckets`` it is kept exactly."""
+    number = lambda c: F.col(c).cast("double").alias(c)
+    spent = F.when(F.col("over"), F.col("length_m").cast("double")).otherwise(0.0) if budget_m is not None else F.lit(0.0)
+    e = costs.where("allowed").select(F.col("edge_id").cast("long").alias("edge_id"), "from_node", "to_node", number("length_m"), number("cost"), spent.alias("spent"))
+    if nodes is None:
+        e = e.withColumns({"lat": F.lit(None).cast("double"), "lon": F.lit(None).cast("double")})
+    else:
+        e = e.join(nodes.select(F.col("node_id").alias("to_node"), number("lat"), number("lon")), "to_node", "left")
+    e = stash(e, "ridable")
+    pairs = e.select(F.col("edge_id").alias("in_edge"), F.col("to_node").alias("from_node")).join(e, "from_node")
+    if turns is not None:
+        pairs = pairs.join(turns.select("in_edge", F.col("out_edge").alias("edge_id"), number("turn_cost")), ["in_edge", "edge_id"], "left")
+    else:
+        pairs = pairs.withColumn("turn_cost", F.lit(0.0))
+    return Moves(e, stash(pairs.drop("from_node").fillna(0.0, ["turn_cost"]), "moves"), budget_m, min(max(1, buckets), P.BUDGET_BUCKETS_MOST) if buckets else None)
+
+
+LABEL = ["query_id", "edge_id", "to_node", "cost", "used_m", "length_m", "edges", "goal", "goal_lat", "goal_lon"]
+
+
+def _settled(df: DataFrame, m: Moves) -> DataFrame:
+    """Of the labels of one edge (and bucket) the cheapest; in the exact form all that none betters in both cost
+    and budget. Ties go to the path that comes first."""
+    if m.exact:
+        order = Window.partitionBy("query_id", "edge_id").orderBy("cost", "used_m", "edges")
+        before = F.min("used_m").over(order.rowsBetween(Window.unboundedPreceding, -1))
+        return df.withColumn("_least", before).where(F.col("_least").isNull() | (F.col("used_m") < F.col("_least"))).drop("_least")
+    rest = [c for c in LABEL if c not in ("query_id", "edge_id")]
+    least = F.min(F.struct("cost", "used_m", "edges", *[c for c in rest if c not in ("cost", "used_m", "edges")])).alias("l")
+    return df.groupBy("query_id", "edge_id", m.bucket.alias("_bucket")).agg(least).select("query_id", "edge_id", *(F.col(f"l.{c}").alias(c) for c in rest))
+
+
+def _unbettered(new: DataFrame, known: DataFrame, m: Moves) -> DataFrame:
+    """Labels of ``new`` that none of ``known`` equals or betters."""
+    old = known.select(F.col("query_id").alias("_query"), F.col("edge_id").alias("_edge"), F.col("cost").alias("_cost"), F.col("used_m").alias("_used"), m.bucket.alias("_bucket"))
+    same = (F.col("query_id") == F.col("_query")) & (F.col("edge_id") == F.col("_edge")) & (F.col("_cost") <= F.col("cost"))
+    if m.exact:
+        same &= F.col("_used") <= F.col("used_m")
+    elif m.buckets:
+        new = new.withColumn("_in", m.bucket)
+        same &= F.col("_bucket") == F.col("_in")
+    return new.join(old, same, "left_anti").select(*LABEL)
+
+
+def spread(sources: DataFrame, m: Moves, dearer: DataFrame | None = None, most_cost: Column | float | None = None, max_rounds: int = 10_000, most_labels: int | None = None, keep_paths: bool = True) -> DataFrame:
+    """All labels met from ``sources`` (``query_id, node``, and ``goal, goal_lat, goal_lon``, which may be null).
+
+    ``dearer`` (``query_id, edge_id, factor``) makes edges dearer for one request. A request of more labels than
+    ``most_labels`` goes no further.
     """
-    if start == goal:
-        return "ok", [], 0.0, 0.0, 0.0, 0
-    if start not in g.node_of or goal not in g.node_of:
-        return "unknown_node", None, None, None, None, 0
-    a, b = g.node_of[start], g.node_of[goal]
-    guide = g.guide(b) if guided else (lambda n: 0.0)
-    limited = budget_m > 0
-    n = min(max(1, buckets), P.BUDGET_BUCKETS_MOST) if limited else 1
-    step = budget_m / n
-    best: dict[tuple[int, int], float] = {}
-    fronts: dict[int, list[tuple[float, float]]] = {}
-    done: set[tuple[int, int]] = set()
-    labels: list[tuple[int, float, float, int]] = []  # edge, cost, used, label before
-    heap: list[tuple[float, int]] = []
-    cost_of = (lambda e: g.costs[e]) if factor is None else (lambda e: g.costs[e] * factor(e))
-
-    def push(e: int, cost: float, used: float, before: int) -> None:
-        if exact and limited:
-            front = fronts.setdefault(e, [])
-            if any(c <= cost and u <= used for c, u in front):
-                return
-            front[:] = [(c, u) for c, u in front if not (cost <= c and used <= u)]
-            front.append((cost, used))
-        else:
-            key = (e, min(n - 1, int(used / step)) if limited else 0)
-            if key in done or cost >= best.get(key, math.inf):
-                return
-            best[key] = cost
-        labels.append((e, cost, used, before))
-        heapq.heappush(heap, (cost + guide(g.head[e]), len(labels) - 1))
-
-    def grow(node: int, before: int, cost: float, used: float, came: int | None) -> None:
-        for f in range(g.first[node], g.last[node]):
-            if not g.allows[f]:
-                continue
-            spent = used + g.lengths[f] if limited and g.overs[f] else used
-            if limited and spent > budget_m:
-                continue
-            push(f, cost + cost_of(f) + (g.turn.get((came, f), 0.0) if came is not None else 0.0), spent, before)
-
-    grow(a, -1, 0.0, 0.0, None)
-    expansions = 0
-    while heap:
-        _, k = heapq.heappop(heap)
-        e, cost, used, _ = labels[k]
-        if exact and limited:
-            if (cost, used) not in fronts[e]:
-                continue
-        else:
-            key = (e, min(n - 1, int(used / step)) if limited else 0)
-            if key in done or cost > best[key]:
-                continue
-            done.add(key)
-        expansions += 1
-        if expansions > most:
-            return "search_limit", None, None, None, None, expansions
-        if g.head[e] == b:
-            edges = []
-            while k >= 0:
-                edges.append(labels[k][0])
-                k = labels[k][3]
-            edges.reverse()
-            return "ok", edges, cost, sum(g.lengths[x] for x in edges), used, expansions
-        grow(g.head[e], k, cost, used, e)
-    return "unroutable", None, None, None, None, expansions
-
-
-def true_cost(g: Graph, edges: list[int]) -> float:
-    return sum(g.costs[e] for e in edges) + sum(g.turn.get(x, 0.0) for x in zip(edges, edges[1:]))
-
-
-def alternatives(g: Graph, start: int, goal: int, n: int, **options) -> list[tuple]:
-    """The cheapest path and up to ``n`` distinct others: searched with a penalty on all edges met so far and
-    their reverses, not dearer than 1.6 times the first, sharing 70 % of length with none before."""
-    first = search(g, start, goal, **options)
-    if first[0] != "ok" or not first[1] or n <= 0:
-        return [first]
-    routes, used = [first], set()
-
-    def mark(edges: list[int]) -> bool:
-        before = len(used)
-        for e in edges:
-            used.add(e)
-            used.update(f for f in range(g.first[g.head[e]], g.last[g.head[e]]) if g.head[f] == g.tail[e])
-        return len(used) > before
-
-    mark(first[1])
-    for _ in range(P.MAX_ATTEMPTS):
-        if len(routes) > n:
-            break
-        got = search(g, start, goal, factor=lambda e: P.ALTERNATIVE_PENALTY if e in used else 1.0, **options)
-        if got[0] != "ok" or not got[1]:
-            break
-        cost = true_cost(g, got[1])
-        if cost > first[2] * P.MAX_COST_RATIO:
+    path = lambda c: c if keep_paths else F.array().cast("array<long>")
+
+    def allowed(df: DataFrame, before: list[Column]) -> DataFrame:
+        """Labels for rows of an edge and the columns of the label before it, within budget and reach."""
+        factor = F.lit(1.0)
+        if dearer is not None:
+            df, factor = df.join(dearer.select("query_id", "edge_id", "factor"), ["query_id", "edge_id"], "left"), F.coalesce("factor", F.lit(1.0))
+        cost, used, length, edges = before
+        out = df.select(
+            "query_id", "edge_id", "to_node", (cost + F.col("edge_cost") * factor).alias("cost"), (used + F.col("spent")).alias("used_m"), (length + F.col("edge_m")).alias("length_m"),
+            path(edges).alias("edges"), "goal", "goal_lat", "goal_lon", "lat", "lon",
+        )
+        if m.budget_m is not None:
+            out = out.where(F.col("used_m") <= m.budget_m)
+        return out if most_cost is None else out.where(F.col("cost") <= most_cost)
+
+    names = {"cost": "edge_cost", "length_m": "edge_m"}
+    start = sources.select("query_id", F.col("node").alias("from_node"), "goal", "goal_lat", "goal_lon").join(m.edges.withColumnsRenamed(names), "from_node")
+    zero = F.lit(0.0)
+    new = stash(_settled(allowed(start, [zero, zero, zero, F.array("edge_id")]).select(*LABEL), m), "labels")
+    pairs = m.pairs.withColumnsRenamed(names)
+    deltas = [new]
+    for _ in range(max_rounds):
+        if new.isEmpty():
             break
-        shared = max(sum(g.lengths[e] for e in got[1] if e in own) for own in (set(r[1]) for r in routes))
-        if got[3] > 0 and shared / got[3] <= P.MAX_OVERLAP:
-            routes.append((*got[:2], cost, *got[3:]))
-            mark(got[1])
-        elif not mark(got[1]):
-            break  # later attempts would find the same path again
-    return routes
-
-
-def graph_in_hand(costs: DataFrame, turns: DataFrame | None, nodes: DataFrame | None, most_edges: int = GRAPH_EDGES):
-    """The graph as a broadcast; raises ``ValueError`` for one of more than ``most_edges`` edges."""
-    n = costs.count()
-    if n > most_edges:
-        raise ValueError(f"{n} edges are more than {most_edges}; use relax()")
-    table = lambda df, *c: df.select(*c).toArrow() if df is not None else None
-    g = Graph(
-        table(costs, "edge_id", "from_node", "to_node", F.col("length_m").cast("double").alias("length_m"), F.col("cost").cast("double").alias("cost"), "allowed", "over"),
-        table(turns, "in_edge", "out_edge", F.col("turn_cost").cast("double").alias("turn_cost")),
-        table(nodes, "node_id", "lat", "lon"),
-    )
-    return costs.sparkSession.sparkContext.broadcast(g)
-
-
-def route_requests(requests: DataFrame, costs: DataFrame, turns: DataFrame | None = None, nodes: DataFrame | None = None, budget_m: float = 0.0, buckets: int = P.BUDGET_BUCKETS, exact: bool = False, n_alternatives: int = 0, most_edges: int = GRAPH_EDGES) -> DataFrame:
-    """One row for each request (``query_id, from_node, to_node``), or more with alternatives:
-    ``query_id, choice, status, edges, cost, length_m, budget_used_m, expansions``; choice 0 is the cheapest."""
-    held = graph_in_hand(costs, turns, nodes, most_edges)
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        g = held.value
-        for b in batches:
-            out = []
-            for q, s, t in zip(*(b.column(k).to_pylist() for k in ("query_id", "from_node", "to_node"))):
-                for choice, r in enumerate(alternatives(g, s, t, n_alternatives, budget_m=budget_m, buckets=buckets, exact=exact)):
-                    out.append((q, choice, r[0], [g.ids[e] for e in r[1]] if r[1] is not None else None, *r[2:]))
-            types = [pa.int64(), pa.int32(), pa.string(), pa.list_(pa.int64()), pa.float64(), pa.float64(), pa.float64(), pa.int64()]
-            names = ["query_id", "choice", "status", "edges", "cost", "length_m", "budget_used_m", "expansions"]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], names)
-
-    spread = requests.select(F.col("query_id").cast("long").alias("query_id"), F.col("from_node").cast("long").alias("from_node"), F.col("to_node").cast("long").alias("to_node")).repartition("query_id")
-    return spread.mapInArrow(rows, f"query_id long, choice int, {ROUTE}")
+        known = deltas[0]
+        for d in deltas[1:]:
+            known = known.unionByName(d)
+        if len(deltas) >= MERGED_ROUNDS:
+            known = stash(known, "labels")
+            drop(*deltas[:-1])
+            deltas = [known]
+        so_far = known.groupBy("query_id").agg(F.min(F.when(F.col("to_node") == F.col("goal"), F.col("cost"))).alias("_bound"), F.count("*").alias("_labels"))
+        front = new.where(F.col("goal").isNull() | (F.col("to_node") != F.col("goal"))).withColumnsRenamed({"edge_id": "in_edge", "cost": "_cost"}).drop("to_node")
+        grown = allowed(front.join(pairs, "in_edge"), [F.col("_cost") + F.col("turn_cost"), F.col("used_m"), F.col("length_m"), F.concat("edges", F.array("edge_id"))])
+        left = F.coalesce(0.999 * distance_m(F.col("lat"), F.col("lon"), F.col("goal_lat"), F.col("goal_lon")), F.lit(0.0))
+        grown = grown.join(so_far, "query_id").where(F.col("_bound").isNull() | (F.col("cost") + left < F.col("_bound")))
+        if most_labels is not None:
+            grown = grown.where(F.col("_labels") <= most_labels)
+        new = stash(_unbettered(_settled(grown.select(*LABEL), m), known, m), "labels")
+        deltas.append(new)
+    out = deltas[0]
+    for d in deltas[1:]:
+        out = out.unionByName(d)
+    return out
 
 
 def relax(sources: DataFrame, costs: DataFrame, turns: DataFrame | None = None, budget_m: float | None = None, goals: DataFrame | None = None, most_cost: Column | float | None = None, max_rounds: int = 10_000, keep_paths: bool = False) -> DataFrame:
-    """Least costs from each source to every edge in reach: ``query_id, edge_id, to_node, cost, used_m``.
+    """Least costs from each source (``query_id, node``) to every edge in reach: ``query_id, edge_id, to_node, cost,
+    used_m``, and ``edges`` with ``keep_paths``.
 
-    ``sources``: ``query_id, node``. Labels go out over the turns in rounds until none is bettered; with a
-    budget all labels that no other one of their edge betters in both cost and budget stay. With ``goals``
+    With a budget all labels that no other one of their edge betters in both cost and budget stay. With ``goals``
     (``query_id, node``) labels dearer than the best at their goal are dropped. ``most_cost`` bounds the reach.
-    Each round is written to the shared folder, so a lost executor repeats one round at most.
     """
-    e = costs.where("allowed").select("edge_id", "from_node", "to_node", "length_m", "cost", F.col("over").cast("int").alias("over"))
-    spent = F.col("over") * F.col("length_m") if budget_m is not None else F.lit(0.0)
-    onward = e.select(F.col("edge_id").alias("out_edge"), F.col("to_node").alias("out_to"), F.col("cost").alias("edge_cost"), spent.alias("edge_used"), F.col("from_node").alias("at"))
-    if turns is None:
-        moves = e.select(F.col("edge_id").alias("in_edge"), F.col("to_node").alias("at")).join(onward, "at").withColumn("turn_cost", F.lit(0.0))
+    m = moves_of(costs, turns, None, budget_m)
+    nowhere = {"goal_lat": F.lit(None).cast("double"), "goal_lon": F.lit(None).cast("double")}
+    if goals is None:
+        asks = sources.withColumns({"goal": F.lit(None).cast("long"), **nowhere})
     else:
-        moves = turns.select("in_edge", "out_edge", "turn_cost").join(onward, "out_edge")
-    moves = stash(moves.select("in_edge", "out_edge", "out_to", (F.col("edge_cost") + F.col("turn_cost")).alias("step"), "edge_used").repartition("in_edge"), "moves")
-    path = lambda c: c if keep_paths else F.array().cast("array<long>")
-    first = sources.select("query_id", F.col("node").alias("from_node")).join(e, "from_node")
-    labels = first.select("query_id", "edge_id", "to_node", "cost", spent.alias("used_m"), path(F.array("edge_id")).alias("edges"), F.lit(0).alias("round"))
-
-    def allowed(df: DataFrame) -> DataFrame:
-        if budget_m is not None:
-            df = df.where(F.col("used_m") <= budget_m)
-        return df if most_cost is None else df.where(F.col("cost") <= most_cost)
-
-    def settled(df: DataFrame) -> DataFrame:
-        """Labels that none of the same edge betters; equal ones count once, the earliest round's."""
-        from pyspark.sql import Window
-
-        order = Window.partitionBy("query_id", "edge_id").orderBy("cost", "used_m", "round")
-        before = order.rowsBetween(Window.unboundedPreceding, -1)
-        return df.withColumn("_least", F.min("used_m").over(before)).where(F.col("_least").isNull() | (F.col("used_m") < F.col("_least"))).drop("_least")
-
-    known = stash(settled(allowed(labels)), "labels")
-    for n in range(1, max_rounds):
-        frontier = known.where(F.col("round") == n - 1)
-        if goals is not None:
-            bound = known.join(goals.select("query_id", F.col("node").alias("to_node")), ["query_id", "to_node"]).groupBy("query_id").agg(F.min("cost").alias("_bound"))
-            frontier = frontier.join(bound, "query_id", "left").where(F.col("_bound").isNull() | (F.col("cost") < F.col("_bound"))).drop("_bound")
-        if frontier.isEmpty():
+        asks = sources.join(goals.select("query_id", F.col("node").alias("goal")), "query_id", "left").withColumns(nowhere)
+    out = _settled(spread(asks, m, None, most_cost, max_rounds, None, keep_paths), m)
+    return out.select("query_id", "edge_id", "to_node", "cost", "used_m", *(["edges"] if keep_paths else []))
+
+
+def _best(asks: DataFrame, m: Moves, dearer: DataFrame | None = None, most_labels: int = P.EXPANSIONS_MOST) -> DataFrame:
+    """``query_id, found (cost, budget_used_m, edges, length_m), expansions`` of requests that left their start."""
+    labels = spread(asks.withColumnRenamed("from_node", "node"), m, dearer, None, 10_000, most_labels)
+    at_goal = F.when(F.col("to_node") == F.col("goal"), F.struct("cost", F.col("used_m").alias("budget_used_m"), "edges", "length_m"))
+    return labels.groupBy("query_id").agg(F.min(at_goal).alias("found"), F.count("*").alias("expansions"))
+
+
+def _with_reverses(path: DataFrame, costs: DataFrame) -> DataFrame:
+    """``query_id, edge_id`` of a path's edges and of those that join the same nodes the other way."""
+    ends = path.join(costs.select("edge_id", "from_node", "to_node"), "edge_id")
+    back = costs.select(F.col("edge_id").alias("other"), F.col("from_node").alias("to_node"), F.col("to_node").alias("from_node"))
+    other = ends.join(back, ["from_node", "to_node"]).select("query_id", F.col("other").alias("edge_id"))
+    return path.select("query_id", "edge_id").unionByName(other).distinct()
+
+
+def route_requests(requests: DataFrame, costs: DataFrame, turns: DataFrame | None = None, nodes: DataFrame | None = None, budget_m: float = 0.0, buckets: int = P.BUDGET_BUCKETS, exact: bool = False, n_alternatives: int = 0, most_labels: int = P.EXPANSIONS_MOST) -> DataFrame:
+    """One row for each request (``query_id, from_node, to_node``), or more with alternatives: ``query_id, choice,
+    status, edges, cost, length_m, budget_used_m, expansions``; choice 0 is the cheapest.
+
+    Status: ``ok``, ``unroutable``, ``search_limit`` (over ``most_labels`` labels without a path) or ``unknown_node``.
+    Places of ``nodes`` guide the search; no metre may cost less than one then. With a budget, labels of one edge and
+    bucket are kept by cost, or with ``exact`` all that no other label betters in both cost and budget.
+    ``expansions`` are the labels that a request met.
+    """
+    m = moves_of(costs, turns, nodes, budget_m if budget_m > 0 else None, None if exact else buckets)
+    long = lambda c: F.col(c).cast("long").alias(c)
+    ends = costs.select(F.col("from_node").alias("node")).unionByName(costs.select(F.col("to_node").alias("node"))).distinct().withColumn("_is", F.lit(True))
+    asks = requests.select(long("query_id"), long("from_node"), long("to_node"))
+    for c in ("from", "to"):
+        asks = asks.join(ends.select(F.col("node").alias(f"{c}_node"), F.col("_is").alias(f"_{c}")), f"{c}_node", "left")
+    if nodes is None:
+        asks = asks.withColumns({"goal_lat": F.lit(None).cast("double"), "goal_lon": F.lit(None).cast("double")})
+    else:
+        asks = asks.join(nodes.select(F.col("node_id").alias("to_node"), F.col("lat").cast("double").alias("goal_lat"), F.col("lon").cast("double").alias("goal_lon")), "to_node", "left")
+    here, known = F.col("from_node") == F.col("to_node"), F.col("_from").isNotNull() & F.col("_to").isNotNull()
+    asks = stash(asks.withColumn("_go", known & ~here), "asks")
+    go = asks.where("_go").select("query_id", "from_node", F.col("to_node").alias("goal"), "goal_lat", "goal_lon")
+    status = (
+        F.when(here, F.lit("ok")).when(~known, F.lit("unknown_node")).when(F.col("found").isNotNull(), F.lit("ok"))
+        .when(F.col("expansions") > most_labels, F.lit("search_limit")).otherwise(F.lit("unroutable"))
+    )
+    of = lambda c, z: F.when(here, z).otherwise(F.col(f"found.{c}")).alias(c)
+    zero = F.lit(0.0)
+    first = asks.join(_best(go, m, None, most_labels), "query_id", "left").select(
+        "query_id", F.lit(0).alias("choice"), status.alias("status"), of("edges", F.array().cast("array<long>")), of("cost", zero), of("length_m", zero),
+        of("budget_used_m", zero), F.coalesce("expansions", F.lit(0)).alias("expansions"),
+    )
+    first = stash(first, "routes")
+    return first if n_alternatives <= 0 else _alternatives(first, go, costs, m, n_alternatives, most_labels)
+
+
+def _alternatives(first: DataFrame, go: DataFrame, costs: DataFrame, m: Moves, n: int, most_labels: int) -> DataFrame:
+    """``first`` and up to ``n`` distinct others of each request: searched with a penalty on all edges met so far and
+    their reverses, not dearer than 1.6 times the first, sharing 70 % of length with none before."""
+    kept = first
+    steps = lambda df: df.select("query_id", "choice", F.posexplode("edges").alias("pos", "edge_id"))
+    active = first.where("status = 'ok' AND size(edges) > 0").select("query_id", F.col("cost").alias("first_cost"), F.lit(0).alias("choice"))
+    met = stash(_with_reverses(steps(first.join(active, ["query_id", "choice"], "left_semi")), costs), "met")
+    for _ in range(P.MAX_ATTEMPTS):
+        if active.isEmpty():
             break
-        new = frontier.join(moves, frontier.edge_id == moves.in_edge).select(
-            "query_id", F.col("out_edge").alias("edge_id"), F.col("out_to").alias("to_node"), (F.col("cost") + F.col("step")).alias("cost"),
-            (F.col("used_m") + F.col("edge_used")).alias("used_m"), path(F.concat("edges", F.array("out_edge"))).alias("edges"), F.lit(n).alias("round"),
-        )
-        known = stash(settled(known.unionByName(allowed(new))), "labels")
-    out = known.select("query_id", "edge_id", "to_node", "cost", "used_m", "edges")
-    return out if keep_paths else out.drop("edges")
+        got = _best(go.join(active, "query_id", "left_semi"), m, met.withColumn("factor", F.lit(P.ALTERNATIVE_PENALTY)), most_labels)
+        got = stash(got.where("found IS NOT NULL").join(active, "query_id").select("query_id", "choice", "first_cost", "found.*", "expansions"), "tried")
+        own = steps(got)
+        before = F.lag("edge_id").over(Window.partitionBy("query_id").orderBy("pos")).alias("in_edge")
+        priced = own.select("*", before).join(m.edges.select("edge_id", "cost", F.col("length_m").alias("edge_m")), "edge_id").join(m.pairs.select("in_edge", "edge_id", "turn_cost"), ["in_edge", "edge_id"], "left")
+        real = priced.groupBy("query_id").agg(F.sum(F.col("cost") + F.coalesce("turn_cost", F.lit(0.0))).alias("real"))
+        others = steps(kept).select("query_id", F.col("choice").alias("other"), "edge_id").distinct()
+        shared = own.join(others, ["query_id", "edge_id"]).join(m.edges.select("edge_id", F.col("length_m").alias("edge_m")), "edge_id")
+        shared = shared.groupBy("query_id", "other").agg(F.sum("edge_m").alias("m")).groupBy("query_id").agg(F.max("m").alias("shared"))
+        added = stash(_with_reverses(own, costs).join(met, ["query_id", "edge_id"], "left_anti"), "added")
+        grew = added.select("query_id").distinct().withColumn("grew", F.lit(True))
+        judged = got.join(real, "query_id").join(shared, "query_id", "left").join(grew, "query_id", "left").where(F.col("real") <= F.col("first_cost") * P.MAX_COST_RATIO)
+        new = (F.col("length_m") > 0) & (F.coalesce("shared", F.lit(0.0)) / F.col("length_m") <= P.MAX_OVERLAP)
+        judged = stash(judged.withColumn("new", new), "judged")
+        fresh = judged.where("new").select("query_id", (F.col("choice") + 1).alias("choice"), F.lit("ok").alias("status"), "edges", F.col("real").alias("cost"), "length_m", "budget_used_m", "expansions")
+        kept = stash(kept.unionByName(fresh), "routes")
+        # a path that is neither new nor adds an edge would be found again
+        active = stash(judged.where("new OR grew").select("query_id", "first_cost", F.when(F.col("new"), F.col("choice") + 1).otherwise(F.col("choice")).alias("choice")).where(F.col("choice") < n), "active")
+        met = stash(met.unionByName(added), "met")
+    return kept

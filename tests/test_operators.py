@@ -61,6 +61,12 @@ def test_alternatives(spark):
     assert sorted(found(spark, [(0, 1, 100), (1, 9, 100)], (0, 9), n_alternatives=2)) == [(0, 0)]
 
 
+def test_search_limit(spark):
+    chain = [(i, i + 1, 10) for i in range(9)]
+    got = found(spark, chain, (0, 9), (0, 3), most_labels=5)
+    assert got[0, 0].status == "search_limit" and got[0, 0].edges is None and got[1, 0].status == "ok"
+
+
 def plain_costs(edges, turn, start):
     """Least cost to each edge, by a plain heap."""
     best, heap = {}, [(e[3], i) for i, e in enumerate(edges) if e[0] == start]
@@ -97,12 +103,38 @@ def test_against_plain_search(spark):
     for q, g in enumerate(goals):
         least = min((c for e, c in want.items() if edges[e][1] == g), default=None)
         assert got[q, 0].cost == least
-    # with a budget, the loop and the exact search agree
-    limit = 60.0
-    by_loop = paths.relax(source, costs, table, budget_m=limit).groupBy("to_node").agg(F.min("cost").alias("c")).collect()
-    by_loop = {x.to_node: x.c for x in by_loop}
-    got = found(spark, edges, *((0, g) for g in goals), turns=turns, budget_m=limit, exact=True)
-    assert {g: got[q, 0].cost for q, g in enumerate(goals) if got[q, 0].cost is not None} == {g: c for g, c in by_loop.items() if g}
+    # with a budget: all cheapest ways of every amount spent
+    limit = 60
+    least = plain_budget(edges, turn, 0, limit)
+    by_loop = paths.relax(source, costs, table, budget_m=float(limit)).groupBy("to_node").agg(F.min("cost").alias("c")).collect()
+    assert {x.to_node: x.c for x in by_loop} == least
+    got = found(spark, edges, *((0, g) for g in goals), turns=turns, budget_m=float(limit), exact=True)
+    assert {g: got[q, 0].cost for q, g in enumerate(goals) if got[q, 0].cost is not None} == {g: c for g, c in least.items() if g}
+    # buckets lose no feasible way but dearer ones at most
+    near = found(spark, edges, *((0, g) for g in goals), turns=turns, budget_m=float(limit))
+    for q, g in enumerate(goals):
+        r = near[q, 0]
+        assert r.cost is None or (r.cost >= least[g] and r.budget_used_m <= limit)
+        assert r.status == "unroutable" or sum(edges[k][3] for k in r.edges) + sum(turn[p] for p in zip(r.edges, r.edges[1:])) == r.cost
+
+
+def plain_budget(edges, turn, start, limit):
+    """Least cost to each node within a budget of whole metres, by a plain heap over (edge, spent)."""
+    spent = [e[2] if e[4] else 0 for e in edges]
+    done, heap = {}, [(e[3], i, spent[i]) for i, e in enumerate(edges) if e[0] == start and spent[i] <= limit]
+    heapq.heapify(heap)
+    while heap:
+        c, i, u = heapq.heappop(heap)
+        if (i, u) in done:
+            continue
+        done[i, u] = c
+        for j, f in enumerate(edges):
+            if f[0] == edges[i][1] and u + spent[j] <= limit:
+                heapq.heappush(heap, (c + f[3] + turn[i, j], j, u + spent[j]))
+    least = {}
+    for (i, _), c in done.items():
+        least[edges[i][1]] = min(c, least.get(edges[i][1], math.inf))
+    return least
 
 
 def test_components(spark):
