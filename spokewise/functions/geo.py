@@ -125,6 +125,13 @@ def shape_wkt(shape: Column, kind: str = "LINESTRING", srid: int | None = 4326)
     return F.when(F.size(shape) > 0, F.concat(F.lit(f"SRID={srid};"), text) if srid else text)
 
 
+def points_wkt(points: Column, srid: int | None = 4326) -> Column:
+    """An array of positions as ``MULTIPOINT``, each in brackets of its own; null for an empty one."""
+    inner = F.array_join(F.transform(points, lambda p: F.format_string("(%.7f %.7f)", p["lon"], p["lat"])), ",")
+    text = F.concat(F.lit("MULTIPOINT("), inner, F.lit(")"))
+    return F.when(F.size(points) > 0, F.concat(F.lit(f"SRID={srid};"), text) if srid else text)
+
+
 def line_geojson(shape: Column) -> Column:
     """A GeoJSON LineString, longitude first."""
     coordinates = F.transform(shape, lambda p: F.array(p["lon"], p["lat"]))

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .. import params as P
 from ..functions.geo import distance_m
-from ..storage import drop, stash
+from ..storage import drop, stash, together
 
 #: Rounds whose tables of labels are put together as one, which bounds the number of files that a round reads.
 MERGED_ROUNDS = 16
@@ -121,14 +121,10 @@ def spread(sources: DataFrame, m: Moves, dearer: DataFrame | None = None, most_c
     pairs = m.pairs.withColumnsRenamed(names)
     deltas = [new]
     for _ in range(max_rounds):
-        if new.isEmpty():
-            break
-        known = deltas[0]
-        for d in deltas[1:]:
-            known = known.unionByName(d)
+        known = together(*deltas)
         if len(deltas) >= MERGED_ROUNDS:
             known = stash(known, "labels")
-            drop(*deltas[:-1])
+            drop(*deltas[:-1])  # the last one is the frontier still
             deltas = [known]
         so_far = known.groupBy("query_id").agg(F.min(F.when(F.col("to_node") == F.col("goal"), F.col("cost"))).alias("_bound"), F.count("*").alias("_labels"))
         front = new.where(F.col("goal").isNull() | (F.col("to_node") != F.col("goal"))).withColumnsRenamed({"edge_id": "in_edge", "cost": "_cost"}).drop("to_node")
@@ -139,10 +135,9 @@ def spread(sources: DataFrame, m: Moves, dearer: DataFrame | None = None, most_c
             grown = grown.where(F.col("_labels") <= most_labels)
         new = stash(_unbettered(_settled(grown.select(*LABEL), m), known, m), "labels")
         deltas.append(new)
-    out = deltas[0]
-    for d in deltas[1:]:
-        out = out.unionByName(d)
-    return out
+        if new.isEmpty():
+            break
+    return together(*deltas)
 
 
 def relax(sources: DataFrame, costs: DataFrame, turns: DataFrame | None = None, budget_m: float | None = None, goals: DataFrame | None = None, most_cost: Column | float | None = None, max_rounds: int = 10_000, keep_paths: bool = False) -> DataFrame:
@@ -183,13 +178,15 @@ def route_requests(requests: DataFrame, costs: DataFrame, turns: DataFrame | Non
 
     Status: ``ok``, ``unroutable``, ``search_limit`` (over ``most_labels`` labels without a path) or ``unknown_node``.
     Places of ``nodes`` guide the search; no metre may cost less than one then. With a budget, labels of one edge and
-    bucket are kept by cost, or with ``exact`` all that no other label betters in both cost and budget.
+    bucket are kept by cost, or with ``exact`` all that no other label betters in both cost and budget. Where
+    ``requests`` have a column ``with_alternatives``, only those that say true get any.
     ``expansions`` are the labels that a request met.
     """
     m = moves_of(costs, turns, nodes, budget_m if budget_m > 0 else None, None if exact else buckets)
     long = lambda c: F.col(c).cast("long").alias(c)
     ends = costs.select(F.col("from_node").alias("node")).unionByName(costs.select(F.col("to_node").alias("node"))).distinct().withColumn("_is", F.lit(True))
-    asks = requests.select(long("query_id"), long("from_node"), long("to_node"))
+    wants = F.col("with_alternatives") if "with_alternatives" in requests.columns else F.lit(True)
+    asks = requests.select(long("query_id"), long("from_node"), long("to_node"), wants.alias("_wants"))
     for c in ("from", "to"):
         asks = asks.join(ends.select(F.col("node").alias(f"{c}_node"), F.col("_is").alias(f"_{c}")), f"{c}_node", "left")
     if nodes is None:
@@ -210,7 +207,7 @@ def route_requests(requests: DataFrame, costs: DataFrame, turns: DataFrame | Non
         of("budget_used_m", zero), F.coalesce("expansions", F.lit(0)).alias("expansions"),
     )
     first = stash(first, "routes")
-    return first if n_alternatives <= 0 else _alternatives(first, go, costs, m, n_alternatives, most_labels)
+    return first if n_alternatives <= 0 else _alternatives(first, go.join(asks.where("_wants"), "query_id", "left_semi"), costs, m, n_alternatives, most_labels)
 
 
 def _alternatives(first: DataFrame, go: DataFrame, costs: DataFrame, m: Moves, n: int, most_labels: int) -> DataFrame:
@@ -218,7 +215,7 @@ def _alternatives(first: DataFrame, go: DataFrame, costs: DataFrame, m: Moves, n
     their reverses, not dearer than 1.6 times the first, sharing 70 % of length with none before."""
     kept = first
     steps = lambda df: df.select("query_id", "choice", F.posexplode("edges").alias("pos", "edge_id"))
-    active = first.where("status = 'ok' AND size(edges) > 0").select("query_id", F.col("cost").alias("first_cost"), F.lit(0).alias("choice"))
+    active = first.where("status = 'ok' AND size(edges) > 0").join(go, "query_id", "left_semi").select("query_id", F.col("cost").alias("first_cost"), F.lit(0).alias("choice"))
     met = stash(_with_reverses(steps(first.join(active, ["query_id", "choice"], "left_semi")), costs), "met")
     for _ in range(P.MAX_ATTEMPTS):
         if active.isEmpty():

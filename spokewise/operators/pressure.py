@@ -74,6 +74,12 @@ def hazard_problems() -> Column:
     return F.array_compact(F.array(*(F.when(bad, F.lit(text)) for bad, text in checks)))
 
 
+def add_reports(reports: DataFrame, new: DataFrame) -> DataFrame:
+    """The reports with the good ones of ``new`` (see :func:`hazard_problems`); empty notes become null."""
+    good = new.where(F.size(hazard_problems()) == 0).withColumn("notes", F.nullif("notes", F.lit("")))
+    return reports.unionByName(good, allowMissingColumns=True)
+
+
 def fold_reports(reports: DataFrame, confirms: DataFrame) -> DataFrame:
     """Reports with their confirmations: each counts, and adds 14 days, if it came before the report ran out.
 

@@ -82,7 +82,8 @@ def build_edges(pieces: DataFrame, ways: DataFrame) -> DataFrame:
 def build_graph(ways: DataFrame, map_nodes: DataFrame, dense: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Nodes, edges, and one row of counts of what was left out.
 
-    With ``dense``, ids count from 0 by map node id and by way; this sorts all nodes and edges once. Without
+    With ``dense``, ids count from 0: nodes in the order in which pieces first end at them, edges by way; this sorts
+    all nodes and edges once. Without
     it, map node ids are the node ids and edges have a hash of way, piece and direction.
     """
     usable = usable_ways(ways)
@@ -91,16 +92,18 @@ def build_graph(ways: DataFrame, map_nodes: DataFrame, dense: bool = True) -> tu
     pieces = shaped(split_ways(usable, uses.select("osm_node_id", "is_split").join(map_nodes.select("osm_node_id", "lat", "lon"), "osm_node_id", "left")))
     left_out = pieces.agg(F.count_if(F.col("problem") == "missing").alias("skipped_missing"), F.count_if(F.col("problem") == "degenerate").alias("skipped_degenerate"))
     edges = build_edges(pieces, usable)
-    ends = edges.select(F.explode(F.array("from_osm", "to_osm")).alias("osm_node_id")).distinct()
-    nodes = seen.join(ends, "osm_node_id", "left_semi").select("osm_node_id", "lat", "lon", "control")
+    along = F.when(F.col("back") == 0, F.array("from_osm", "to_osm")).otherwise(F.array("to_osm", "from_osm"))
+    ends = edges.select("osm_way_id", "segment", F.posexplode(along).alias("end", "osm_node_id"))
+    ends = ends.groupBy("osm_node_id").agg(F.min(F.struct("osm_way_id", "segment", "end")).alias("_first"))
+    nodes = seen.join(ends, "osm_node_id").select("osm_node_id", "lat", "lon", "control", "_first")
     if dense:
-        nodes = numbered(nodes, "node_id", ["osm_node_id"])
+        nodes = numbered(nodes, "node_id", ["_first"]).drop("_first")
         edges = numbered(edges, "edge_id", ["osm_way_id", "segment", "back"])
         a = nodes.select(F.col("node_id").alias("from_node"), F.col("osm_node_id").alias("from_osm"))
         b = nodes.select(F.col("node_id").alias("to_node"), F.col("osm_node_id").alias("to_osm"))
         edges = edges.join(a, "from_osm").join(b, "to_osm").drop("from_osm", "to_osm")
     else:
-        nodes = nodes.withColumn("node_id", F.col("osm_node_id"))
+        nodes = nodes.drop("_first").withColumn("node_id", F.col("osm_node_id"))
         edges = edges.withColumn("edge_id", F.xxhash64("osm_way_id", "segment", "back")).withColumnsRenamed({"from_osm": "from_node", "to_osm": "to_node"})
     return nodes, edges, left_out
 

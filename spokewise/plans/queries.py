@@ -348,12 +348,29 @@ def route_score(n: Network) -> DataFrame:
     return routes.safety_score(n.walks, n.edges).select("query_id", r("score").alias("score"))
 
 
-@query(sql.with_graph(_RIDDEN, """SELECT query_id, round(sum(CASE WHEN grade_pct > 0 THEN grade_pct / 100 * length_m ELSE 0 END), 1) AS climb_m, round(sum(CASE WHEN grade_pct <= 0 THEN -grade_pct / 100 * length_m ELSE 0 END), 1) AS descent_m,
-  round(sum(CASE WHEN abs(grade_pct) > 3 THEN length_m ELSE 0 END), 1) AS steep_m, round(sum(CASE WHEN lts = 4 THEN length_m END), 1) AS lts4_m, round(sum(CASE WHEN infra_class = 'path' THEN length_m END), 1) AS path_m FROM ride GROUP BY query_id"""))
+@query(sql.with_graph(_RIDDEN, """SELECT query_id, round(sum(length_m * (edge_id % 10) / 10), 1) AS crash_exposure_m, round(sum(CASE WHEN edge_id % 5 = 0 THEN length_m ELSE 0 END), 1) AS hazard_m,
+  round(sum(CASE WHEN grade_pct > 0 THEN grade_pct / 100 * length_m ELSE 0 END), 1) AS climb_m, round(sum(CASE WHEN grade_pct <= 0 THEN -grade_pct / 100 * length_m ELSE 0 END), 1) AS descent_m,
+  round(sum(CASE WHEN abs(grade_pct) > 3 THEN length_m ELSE 0 END), 1) AS steep_m, (SELECT string_agg(k || '=' || CAST(m AS BIGINT), ',' ORDER BY k) FROM (SELECT 'lts' || lts AS k, sum(length_m) AS m FROM ride x WHERE x.query_id = ride.query_id GROUP BY lts)) AS by_lts,
+  (SELECT string_agg(infra_class || '=' || CAST(m AS BIGINT), ',' ORDER BY infra_class) FROM (SELECT infra_class, sum(length_m) AS m FROM ride x WHERE x.query_id = ride.query_id GROUP BY infra_class)) AS by_infra FROM ride GROUP BY query_id"""))
 def route_breakdown(n: Network) -> DataFrame:
-    out = routes.breakdown(n.walks, n.edges)
-    of = lambda m, k: F.try_element_at(m, F.lit(k))
-    return out.select("query_id", "climb_m", "descent_m", "steep_m", of("by_lts_m", "lts4").alias("lts4_m"), of("by_infra_m", "path").alias("path_m"))
+    """All seven parts, with crash scores and hazards by rule; the lengths of the fixture are whole metres."""
+    edges = n.edges.withColumn("crash_score", (F.col("edge_id") % 10) / 10)
+    hazards = n.edges.where("edge_id % 5 = 0").select("edge_id", F.lit(0.5).alias("hazard_score"))
+    out = routes.breakdown(n.walks, edges, hazards)
+    said = lambda m: F.array_join(F.transform(F.array_sort(F.map_entries(m)), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("long"))), ",")
+    return out.select("query_id", "crash_exposure_m", "hazard_m", "climb_m", "descent_m", "steep_m", said("by_lts_m").alias("by_lts"), said("by_infra_m").alias("by_infra"))
+
+
+@query(sql.with_graph("", """SELECT node_id, 'SRID=4326;MULTIPOINT((' || printf('%.7f %.7f', lon, lat) || '),(' || printf('%.7f %.7f', lon, lat + 1) || '))' AS wkt FROM node"""))
+def multipoint_wkt(n: Network) -> DataFrame:
+    pair = F.array(F.struct("lat", "lon"), F.struct((F.col("lat") + 1).alias("lat"), "lon"))
+    return n.nodes.select("node_id", geo.points_wkt(pair).alias("wkt"))
+
+
+@query("SELECT p_partkey AS node_id, CASE WHEN p_partkey % 3 = 0 THEN round(p_retailprice / 7, 2) ELSE p_retailprice % 50 END AS elevation_m FROM part")
+def elevation_update(n: Network) -> DataFrame:
+    measured = n.read("part").where("p_partkey % 3 = 0").select(F.col("p_partkey").alias("node_id"), (F.col("p_retailprice") / 7).alias("elevation_m"))
+    return updates.update_elevations(n.nodes, measured).select("node_id", "elevation_m")
 
 
 _SHAPED = _RIDDEN + """, pts AS (SELECT *, CASE WHEN edge_id % 3 = 0 THEN 0 ELSE 2 END AS np FROM ride),

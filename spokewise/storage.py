@@ -43,6 +43,11 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def together(*steps: DataFrame) -> DataFrame:
+    """Tables of one schema that :func:`stash` wrote, read as one."""
+    return steps[0].sparkSession.read.schema(steps[0].schema).parquet(*(_path_of[s] for s in steps))
+
+
 def is_stashed(df: DataFrame) -> bool:
     """Whether ``df`` is a table that :func:`stash` wrote."""
     return df in _path_of

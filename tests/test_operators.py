@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from spokewise.operators import components as C
 from spokewise.operators import network, paths, pressure, routes, spatial, terrain, updates, ways
-from spokewise.plans.api import plan_route
+from spokewise.functions.geo import points_wkt
+from spokewise.plans.api import bench_routing, failure, plan_route, random_pairs
 from spokewise.plans.fixture import Network
 from spokewise.profiles import PROFILES
 
@@ -282,3 +283,65 @@ def test_plan_route(spark):
     assert a.segments[0].start == 0 and all(x.end == y.start for x, y in zip(a.segments, a.segments[1:])) and a.segments[-1].end == len(a.shape) - 1
     assert sum(s.length_m for s in a.segments) == pytest.approx(a.length_m) == pytest.approx(sum(a.by_lts_m.values()))
     assert a.budget_used_m <= PROFILES["comfortable"].stress_budget_m
+    assert a.choice == 0 and a.error is None and got[2].error.code == "unroutable" and got[2].error.details is None and 0 <= a.baseline_score <= 100
+
+
+def test_plan_alternatives_and_failures(spark):
+    n = Network(spark, SF)
+    rows = [(1, 0, 30.25, -97.75), (1, 1, 30.2518, -97.7473), (2, 0, 30.25, -97.75), (2, 1, 30.25, -97.75), (3, 0, 30.25, -97.75), (3, 1, 30.2509, -97.7491), (3, 2, 30.2518, -97.7473)]
+    points = spark.createDataFrame(rows, "query_id long, pos int, lat double, lon double")
+    got = {(x.query_id, x.choice): x for x in plan_route(points, n.edges, n.nodes, n_alternatives=2).collect()}
+    assert got[2, 0].status == "same_point" and got[2, 0].error.code == "unroutable" and got[3, 0].status == "ok" and (3, 1) not in got
+    more = [x for (q, c), x in got.items() if q == 1 and c > 0]
+    assert more and all(got[1, 0].cost <= x.cost <= 1.6 * got[1, 0].cost and x.segments[-1].end == len(x.shape) - 1 for x in more)
+    p = PROFILES["cautious"]
+    told = spark.createDataFrame([("ok",), ("unroutable",)], "status string").select(failure(p, F.col("status")).alias("e")).collect()
+    assert told[0].e is None and told[1].e.details["max_lts"] == str(p.max_lts) and str(p.max_lts) in told[1].e.message
+
+
+def test_bench_routing(spark):
+    n = Network(spark, SF)
+    pairs = [tuple(x) for x in random_pairs(n.stored, 5).collect()]
+    starts = {x.from_node for x in n.stored.select("from_node").distinct().collect()}
+    assert len(pairs) == 5 and sorted(pairs) == sorted(tuple(x) for x in random_pairs(n.stored, 5).collect()) and all(a != b and {a, b} <= starts for _, a, b in pairs)
+    corner = n.stored.where("from_node < 160 AND to_node < 160 AND from_node % 40 < 5 AND to_node % 40 < 5")
+    rows = {x.form: x for x in bench_routing(corner, n.nodes, 2).collect()}
+    assert len(rows) == 4 and all(x.requests == 2 for x in rows.values())
+    assert rows["guided, no budget"].mean_expansions <= rows["plain, no budget"].mean_expansions
+
+
+def test_published_versions(spark, tmp_path):
+    folder = f"file://{tmp_path}/graph"
+    one = lambda k: {"nodes": spark.range(k), "edges": spark.range(2 * k)}
+    first = updates.publish_together(one(3), folder)
+    updates.publish_together(one(5), folder)
+    assert [updates.read_published(spark, folder, t).count() for t in ("nodes", "edges")] == [5, 10]
+    assert updates.read_published(spark, folder, "edges", first).count() == 6
+
+
+def test_loads(spark):
+    nodes = spark.createDataFrame([(1, 5.0), (2, None)], "node_id long, elevation_m double")
+    new = spark.createDataFrame([(2, 7.126), (9, 1.0)], "node_id long, elevation_m double")
+    assert sorted(map(tuple, updates.update_elevations(nodes, new).collect())) == [(1, 5.0), (2, 7.13)]
+    schema = "hazard_id long, lat double, lon double, kind string, notes string, created_at timestamp"
+    fresh = spark.createDataFrame([(1, 30.0, -97.0, "debris", "", None), (2, 99.0, -97.0, "debris", "x", None), (3, 30.0, -97.0, "pothole", "deep", None)], schema)
+    assert [(x.hazard_id, x.notes) for x in pressure.add_reports(fresh.limit(0), fresh).orderBy("hazard_id").collect()] == [(1, None), (3, "deep")]
+    point = spark.sql("SELECT array(named_struct('lat', 1.5D, 'lon', 2.0D), named_struct('lat', -1D, 'lon', 0D)) AS p, filter(array(named_struct('lat', 1D, 'lon', 2D)), x -> false) AS e")
+    assert tuple(point.select(points_wkt(F.col("p"), None), points_wkt(F.col("e"))).first()) == ("MULTIPOINT((2.0000000 1.5000000),(0.0000000 -1.0000000))", None)
+
+
+def test_statistics(spark):
+    spark.sql("CREATE OR REPLACE TEMPORARY VIEW counted_source AS SELECT id FROM range(7)")
+    spark.sql("DROP TABLE IF EXISTS counted")
+    spark.table("counted_source").write.saveAsTable("counted")
+    try:
+        updates.refresh_statistics(spark, "counted")
+        said = {x.col_name: x.data_type for x in spark.sql("DESCRIBE EXTENDED counted").collect()}
+        assert "7 rows" in said["Statistics"]
+    finally:
+        spark.sql("DROP TABLE IF EXISTS counted")
+
+
+def test_nodes_in_order_of_first_use(spark):
+    nodes, edges, _ = lay(spark, [[12, 10], [10, 11]])
+    assert [x.osm_node_id for x in nodes.orderBy("node_id").collect()] == [12, 10, 11]
