@@ -12,6 +12,7 @@ way that is left. No part of the graph goes through the driver or whole to a tas
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -68,28 +69,30 @@ def moves_of(costs: DataFrame, turns: DataFrame | None = None, nodes: DataFrame
 LABEL = ["query_id", "edge_id", "to_node", "cost", "used_m", "length_m", "edges", "goal", "goal_lat", "goal_lon"]
 
 
-def _settled(df: DataFrame, m: Moves) -> DataFrame:
+def _settling(m: Moves) -> Callable[[DataFrame], DataFrame]:
     """Of the labels of one edge (and bucket) the cheapest; in the exact form all that none betters in both cost
     and budget. Ties go to the path that comes first."""
     if m.exact:
         order = Window.partitionBy("query_id", "edge_id").orderBy("cost", "used_m", "edges")
         before = F.min("used_m").over(order.rowsBetween(Window.unboundedPreceding, -1))
-        return df.withColumn("_least", before).where(F.col("_least").isNull() | (F.col("used_m") < F.col("_least"))).drop("_least")
+        stays = F.col("_least").isNull() | (F.col("used_m") < F.col("_least"))
+        return lambda df: df.withColumn("_least", before).where(stays).drop("_least")
     rest = [c for c in LABEL if c not in ("query_id", "edge_id")]
     least = F.min(F.struct("cost", "used_m", "edges", *[c for c in rest if c not in ("cost", "used_m", "edges")])).alias("l")
-    return df.groupBy("query_id", "edge_id", m.bucket.alias("_bucket")).agg(least).select("query_id", "edge_id", *(F.col(f"l.{c}").alias(c) for c in rest))
+    keys, out = ["query_id", "edge_id", m.bucket.alias("_bucket")], ["query_id", "edge_id", *(F.col(f"l.{c}").alias(c) for c in rest)]
+    return lambda df: df.groupBy(*keys).agg(least).select(*out)
 
 
-def _unbettered(new: DataFrame, known: DataFrame, m: Moves) -> DataFrame:
-    """Labels of ``new`` that none of ``known`` equals or betters."""
-    old = known.select(F.col("query_id").alias("_query"), F.col("edge_id").alias("_edge"), F.col("cost").alias("_cost"), F.col("used_m").alias("_used"), m.bucket.alias("_bucket"))
+def _unbettering(m: Moves) -> Callable[[DataFrame, DataFrame], DataFrame]:
+    """Labels of a first table that none of a second one, known before, equals or betters."""
+    before = [F.col("query_id").alias("_query"), F.col("edge_id").alias("_edge"), F.col("cost").alias("_cost"), F.col("used_m").alias("_used"), m.bucket.alias("_bucket")]
     same = (F.col("query_id") == F.col("_query")) & (F.col("edge_id") == F.col("_edge")) & (F.col("_cost") <= F.col("cost"))
     if m.exact:
         same &= F.col("_used") <= F.col("used_m")
     elif m.buckets:
-        new = new.withColumn("_in", m.bucket)
         same &= F.col("_bucket") == F.col("_in")
-    return new.join(old, same, "left_anti").select(*LABEL)
+    own = [*LABEL, m.bucket.alias("_in")]
+    return lambda new, known: new.select(*own).join(known.select(*before), same, "left_anti").select(*LABEL)
 
 
 def spread(sources: DataFrame, m: Moves, dearer: DataFrame | None = None, most_cost: Column | float | None = None, max_rounds: int = 10_000, most_labels: int | None = None, keep_paths: bool = True) -> DataFrame:
@@ -100,25 +103,32 @@ def spread(sources: DataFrame, m: Moves, dearer: DataFrame | None = None, most_c
     """
     path = lambda c: c if keep_paths else F.array().cast("array<long>")
 
-    def allowed(df: DataFrame, before: list[Column]) -> DataFrame:
-        """Labels for rows of an edge and the columns of the label before it, within budget and reach."""
-        factor = F.lit(1.0)
-        if dearer is not None:
-            df, factor = df.join(dearer.select("query_id", "edge_id", "factor"), ["query_id", "edge_id"], "left"), F.coalesce("factor", F.lit(1.0))
-        cost, used, length, edges = before
-        out = df.select(
+    def allowed(cost: Column, used: Column, length: Column, edges: Column) -> Callable[[DataFrame], DataFrame]:
+        """Labels for rows of an edge and the label before it (of these sums and path), within budget and reach."""
+        factor = F.lit(1.0) if dearer is None else F.coalesce("factor", F.lit(1.0))
+        out = [
             "query_id", "edge_id", "to_node", (cost + F.col("edge_cost") * factor).alias("cost"), (used + F.col("spent")).alias("used_m"), (length + F.col("edge_m")).alias("length_m"),
             path(edges).alias("edges"), "goal", "goal_lat", "goal_lon", "lat", "lon",
-        )
-        if m.budget_m is not None:
-            out = out.where(F.col("used_m") <= m.budget_m)
-        return out if most_cost is None else out.where(F.col("cost") <= most_cost)
-
+        ]
+        within = F.lit(True) if m.budget_m is None else F.col("used_m") <= m.budget_m
+        within = within if most_cost is None else within & (F.col("cost") <= most_cost)
+        factors = None if dearer is None else dearer.select("query_id", "edge_id", "factor")
+        return lambda df: (df if factors is None else df.join(factors, ["query_id", "edge_id"], "left")).select(*out).where(within)
+
+    # a round is planned anew each time, its expressions are made once
+    settled, unbettered = _settling(m), _unbettering(m)
     names = {"cost": "edge_cost", "length_m": "edge_m"}
     start = sources.select("query_id", F.col("node").alias("from_node"), "goal", "goal_lat", "goal_lon").join(m.edges.withColumnsRenamed(names), "from_node")
     zero = F.lit(0.0)
-    new = stash(_settled(allowed(start, [zero, zero, zero, F.array("edge_id")]).select(*LABEL), m), "labels")
+    new = stash(settled(allowed(zero, zero, zero, F.array("edge_id"))(start).select(*LABEL)), "labels")
     pairs = m.pairs.withColumnsRenamed(names)
+    step = allowed(F.col("_cost") + F.col("turn_cost"), F.col("used_m"), F.col("length_m"), F.concat("edges", F.array("edge_id")))
+    sums = [F.min(F.when(F.col("to_node") == F.col("goal"), F.col("cost"))).alias("_bound"), F.count("*").alias("_labels")]
+    under_way = F.col("goal").isNull() | (F.col("to_node") != F.col("goal"))
+    left = F.coalesce(0.999 * distance_m(F.col("lat"), F.col("lon"), F.col("goal_lat"), F.col("goal_lon")), F.lit(0.0))
+    hopeful = F.col("_bound").isNull() | (F.col("cost") + left < F.col("_bound"))
+    if most_labels is not None:
+        hopeful &= F.col("_labels") <= most_labels
     deltas = [new]
     for _ in range(max_rounds):
         known = together(*deltas)
@@ -126,14 +136,9 @@ def spread(sources: DataFrame, m: Moves, dearer: DataFrame | None = None, most_c
             known = stash(known, "labels")
             drop(*deltas[:-1])  # the last one is the frontier still
             deltas = [known]
-        so_far = known.groupBy("query_id").agg(F.min(F.when(F.col("to_node") == F.col("goal"), F.col("cost"))).alias("_bound"), F.count("*").alias("_labels"))
-        front = new.where(F.col("goal").isNull() | (F.col("to_node") != F.col("goal"))).withColumnsRenamed({"edge_id": "in_edge", "cost": "_cost"}).drop("to_node")
-        grown = allowed(front.join(pairs, "in_edge"), [F.col("_cost") + F.col("turn_cost"), F.col("used_m"), F.col("length_m"), F.concat("edges", F.array("edge_id"))])
-        left = F.coalesce(0.999 * distance_m(F.col("lat"), F.col("lon"), F.col("goal_lat"), F.col("goal_lon")), F.lit(0.0))
-        grown = grown.join(so_far, "query_id").where(F.col("_bound").isNull() | (F.col("cost") + left < F.col("_bound")))
-        if most_labels is not None:
-            grown = grown.where(F.col("_labels") <= most_labels)
-        new = stash(_unbettered(_settled(grown.select(*LABEL), m), known, m), "labels")
+        front = new.where(under_way).withColumnsRenamed({"edge_id": "in_edge", "cost": "_cost"}).drop("to_node")
+        grown = step(front.join(pairs, "in_edge")).join(known.groupBy("query_id").agg(*sums), "query_id").where(hopeful).select(*LABEL)
+        new = stash(unbettered(settled(grown), known), "labels")
         deltas.append(new)
         if new.isEmpty():
             break
@@ -153,7 +158,7 @@ def relax(sources: DataFrame, costs: DataFrame, turns: DataFrame | None = None,
         asks = sources.withColumns({"goal": F.lit(None).cast("long"), **nowhere})
     else:
         asks = sources.join(goals.select("query_id", F.col("node").alias("goal")), "query_id", "left").withColumns(nowhere)
-    out = _settled(spread(asks, m, None, most_cost, max_rounds, None, keep_paths), m)
+    out = _settling(m)(spread(asks, m, None, most_cost, max_rounds, None, keep_paths))
     return out.select("query_id", "edge_id", "to_node", "cost", "used_m", *(["edges"] if keep_paths else []))
 
 
