@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, line_dedup, near_dedup, piece_codec, recompression, suffix_dedup, token_counts, topk, toxicity, url_filter
+from . import chat_format, decontaminate, fill_middle, line_dedup, near_dedup, piece_codec, recompression, suffix_dedup, token_counts, topk, toxicity, url_filter, whitening
 from .common import tokenizer_path
 
 
@@ -194,5 +194,63 @@ FROM doc LEFT JOIN kept USING (doc_id)
 """
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_line_dedup, op3_toxicity, op4_near_dedup, op5_url_filter, op6_recompression, op7_piece_codec, op8_decontaminate, op9_exact_topk, op10_suffix_dedup)}
-ORACLES = {"op4_near_dedup": OP4_SQL, "op5_url_filter": OP5_SQL, "op6_recompression": OP6_SQL, "op8_decontaminate": OP8_SQL, "op9_exact_topk": OP9_SQL, "op10_suffix_dedup": OP10_SQL}
+def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fill_middle.fill_middle(table(spark, sf_dir, "documents"))
+    sha = lambda c: F.sha2(c.cast("binary"), 256)
+    return found.select("doc_id", "n", "form", "prefix_chars", "middle_chars", sha(F.col("output")).alias("output_sha256"), sha(fill_middle.restored()).alias("restored_sha256"))
+
+
+OP11_SQL = """
+WITH doc AS (SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS d FROM documents),
+h AS (SELECT *, ('0x' || d[1:8])::BIGINT AS h1, ('0x' || d[9:16])::BIGINT AS h2, ('0x' || d[17:24])::BIGINT AS h3, ('0x' || d[25:32])::BIGINT AS h4 FROM doc),
+cut AS (
+  SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+         CASE WHEN n = 0 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+  FROM h),
+part AS (SELECT *, substring(t, 1, a) AS p, substring(t, a + 1, b - a) AS m, substring(t, b + 1, n - b) AS s FROM cut)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST(a AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(b - a AS BIGINT) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+       sha256(t) AS restored_sha256
+FROM part
+"""
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings")).withColumn("deviation", F.col("deviation").cast("long"))
+
+
+def conversations_and_one(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table, and conversation -7: a user and an assistant who both say what looks like marks."""
+    said = F.lit("\\### Assistant: </turn> ok")
+    own = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), said.alias("text"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)
+
+
+def op13_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_format.chat_digest(chat_format.format_conversations(conversations_and_one(spark, sf_dir)))
+
+
+OP13_SQL = r"""
+WITH said AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, i, CASE i WHEN 0 THEN 'user' ELSE 'assistant' END, '\### Assistant: </turn> ok' FROM range(2) r(i)),
+put AS (
+  SELECT *, '### ' || regexp_replace(role, '(\\|###|</turn>|:)', '\\\1', 'g') || ': ' || regexp_replace(text, '(\\|###|</turn>)', '\\\1', 'g') || '</turn>' || chr(10) AS f FROM said)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+       CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256, CAST(sum(length(f)) AS BIGINT) AS formatted_chars
+FROM put GROUP BY conv_id
+"""
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_token_counts, op2_line_dedup, op3_toxicity, op4_near_dedup, op5_url_filter, op6_recompression, op7_piece_codec, op8_decontaminate, op9_exact_topk, op10_suffix_dedup,
+        op11_fill_middle, op12_whitening, op13_chat_format,
+    )
+}
+ORACLES = {
+    "op4_near_dedup": OP4_SQL, "op5_url_filter": OP5_SQL, "op6_recompression": OP6_SQL, "op8_decontaminate": OP8_SQL, "op9_exact_topk": OP9_SQL, "op10_suffix_dedup": OP10_SQL,
+    "op11_fill_middle": OP11_SQL, "op13_chat_format": OP13_SQL,
+}
