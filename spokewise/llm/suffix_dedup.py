@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .repeats import cut_repeats
-from .windows import Sums, flat_bytes, ragged, slide
+from .windows import Sums, flat_bytes, picks, ragged, slide
 
 WINDOW = 100
 
@@ -73,7 +73,7 @@ class ByteRuns:
         if n <= 0:
             return no_runs()
         sums = Sums(flat)
-        value = sums.every(self.token).view(np.int64)
+        value = picks(flat, self.token).view(np.int64)
         least = slide(value, self.spread)
         size = np.diff(off)
         row = np.repeat(np.arange(len(size)), size)[:n]
@@ -100,7 +100,7 @@ class ByteRuns:
         place = off[:-1][row] + start
         if not len(place):
             return place, place, place
-        value = Sums(flat).every(self.token).view(np.int64)
+        value = picks(flat, self.token).view(np.int64)
         lead = place + (value[place[:, None] + np.arange(self.spread)] == key[:, None]).argmax(1)
         return place, place + count - 1 + self.window, lead
 

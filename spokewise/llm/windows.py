@@ -1,4 +1,4 @@
-"""Hashes of all windows of a flat array, and the smallest value of each window."""
+"""Names of stretches of a flat array, and the smallest value of each window."""
 
 from __future__ import annotations
 
@@ -10,44 +10,87 @@ import pyarrow.compute as pc
 
 from .common import mix
 
-_BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-_LETTERS = np.random.default_rng(20_240_229).integers(0, 2**64, 256, dtype=np.uint64)
-
-
-def powers(which: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of a base and of its inverse, modulo 2**64."""
-    got = _powers.get(which)
-    if got is None or len(got[0]) < n:
-        size = max(n, 1 << 21)
-        b = _BASES[which]
-        got = _powers[which] = tuple(np.cumprod(np.r_[np.uint64(1), np.full(size - 1, np.uint64(x))]) for x in (b, pow(b, -1, 2**64)))
+#: Names are polynomials of drawn bases modulo this prime, so no pattern makes two stretches agree for every base:
+#: of two different ones of ``n`` letters, at most ``n`` bases in 2**61 give one name.
+PRIME = 2**61 - 1
+_P, _61, _31, _30, _32, _29 = (np.uint64(x) for x in (PRIME, 61, 31, 30, 32, 29))
+_LOW31, _LOW30, _LOW32, _LOW29 = (np.uint64(2**k - 1) for k in (31, 30, 32, 29))
+_BASES = tuple(int(x) for x in np.random.default_rng(20_240_229).integers(2**40, PRIME, 2))
+_powers: dict[tuple[int, int], np.ndarray] = {}
+
+
+def folded(x: np.ndarray) -> np.ndarray:
+    """``x`` modulo the prime."""
+    x = (x & _P) + (x >> _61)
+    return np.where(x >= _P, x - _P, x)
+
+
+def times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Products modulo the prime of numbers below it, from halves of 31 bits."""
+    a1, a0, b1, b0 = a >> _31, a & _LOW31, b >> _31, b & _LOW31
+    middle = a1 * b0 + a0 * b1
+    return folded(((a1 * b1) << np.uint64(1)) + (middle >> _30) + ((middle & _LOW30) << _31) + a0 * b0)
+
+
+def powers(which: int, n: int, sign: int = 1) -> np.ndarray:
+    """Powers of a base, or of its inverse, modulo the prime."""
+    got = _powers.get((which, sign))
+    if got is None or len(got) < n:
+        base = pow(_BASES[which], sign, PRIME)
+        size = max(n, 1 << 20)
+        got = np.ones(1, dtype=np.uint64)
+        while len(got) < size:
+            got = np.concatenate([got, times(got, np.uint64(pow(base, len(got), PRIME)))])
+        _powers[which, sign] = got
     return got
 
 
 class Sums:
-    """Prefix sums from which the hash of any stretch of a flat array is had."""
+    """Prefix sums from which the name of any stretch of a flat array is had."""
 
     def __init__(self, values: np.ndarray, which: int = 0):
         """``values``: bytes, or 64-bit names."""
         n = len(values)
-        up, self.down = powers(which, n)
+        self.which = which
+        up = powers(which, n)[:n]
+        # a letter of zero would leave no trace, so one is added
+        if values.dtype == np.uint8:
+            letter = values.astype(np.uint64) + np.uint64(1)
+            upper = letter * (up >> _31)
+            terms = (upper >> _30) + ((upper & _LOW30) << _31) + letter * (up & _LOW31)
+        else:
+            terms = times(folded(values) + np.uint64(1), up)
+        # upper and lower digits are summed apart, so that no sum overflows
+        high, low = np.cumsum(terms >> _32), np.cumsum(terms & _LOW32)
         self.sums = np.zeros(n + 1, dtype=np.uint64)
-        np.cumsum((_LETTERS[values] if values.dtype == np.uint8 else values) * up[:n], out=self.sums[1:])
+        self.sums[1:] = folded((high >> _29) + ((high & _LOW29) << _32) + low)
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mix((self.sums[end] - self.sums[start]) * self.down[start])
-
-    def every(self, size: int) -> np.ndarray:
-        """The hash of each stretch of ``size``, by its start."""
-        n = len(self.sums) - size
-        if n <= 0:
-            return np.zeros(0, dtype=np.uint64)
-        x = (self.sums[size:] - self.sums[:n]) * self.down[:n]
-        x ^= x >> np.uint64(33)
-        x *= np.uint64(0xFF51AFD7ED558CCD)
-        x ^= x >> np.uint64(33)
-        return x
+        part = self.sums[end] + (_P - self.sums[start])
+        return mix(times(np.where(part >= _P, part - _P, part), powers(self.which, len(self.sums), -1)[start]))
+
+
+_ODD, _LETTERS = 0x9E3779B97F4A7C15, np.random.default_rng(20_240_229).integers(0, 2**64, 256, dtype=np.uint64)
+_rolled: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
+def picks(flat: np.ndarray, size: int) -> np.ndarray:
+    """A number for each stretch of ``size`` bytes, by its start: equal for equal ones, made to choose among
+    stretches. It names none, as different ones may have the same: it is a sum modulo 2**64."""
+    n = len(flat)
+    if n < size:
+        return np.zeros(0, dtype=np.uint64)
+    if 0 not in _rolled or len(_rolled[0][0]) <= n:
+        most = max(n + 1, 1 << 21)
+        _rolled[0] = tuple(np.cumprod(np.r_[np.uint64(1), np.full(most - 1, np.uint64(x))]) for x in (_ODD, pow(_ODD, -1, 2**64)))
+    up, down = _rolled[0]
+    sums = np.zeros(n + 1, dtype=np.uint64)
+    np.cumsum(_LETTERS[flat] * up[:n], out=sums[1:])
+    x = (sums[size:] - sums[:-size]) * down[: n + 1 - size]
+    x ^= x >> np.uint64(33)
+    x *= np.uint64(0xFF51AFD7ED558CCD)
+    x ^= x >> np.uint64(33)
+    return x
 
 
 def slide(x: np.ndarray, n: int, best=np.minimum) -> np.ndarray:
