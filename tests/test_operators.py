@@ -138,6 +138,31 @@ def plain_budget(edges, turn, start, limit):
     return least
 
 
+@pytest.mark.parametrize("last", [C.LAST, 0])
+def test_components_by_contraction(spark, last):
+    r = random.Random(last)
+    edges = [(r.randrange(400), r.randrange(400)) for _ in range(260)] + [(i, i + 1) for i in range(1000, 1060)] + [(2000, k) for k in range(2001, 2300)] + [(7, 7), (5000, 5000), (None, 3)]
+    root: dict = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for u, v in edges:
+        if u is not None:
+            x, y = find(u), find(v)
+            root[max(x, y)] = min(x, y)
+    want = {x: find(x) for x in root}
+    df = spark.createDataFrame(edges, "a long, b long").repartition(5)
+    assert {(x.node, x.component) for x in C.connected_components(df, last=last).collect()} == set(want.items())
+    if last:
+        texts = C.connected_components(df.select(F.concat(F.lit("n"), "a").alias("a"), F.concat(F.lit("n"), "b").alias("b")), last=last)
+        assert texts.groupBy("component").count().count() == len(set(want.values()))
+        pairs = df.select(F.struct(F.lit(1).alias("k"), F.col("a").alias("x")).alias("a"), F.struct(F.lit(1).alias("k"), F.col("b").alias("x")).alias("b")).where("a.x IS NOT NULL")
+        assert {(x.node.x, x.component.x) for x in C.connected_components(pairs, last=last).collect()} == set(want.items())
+
+
 def test_components(spark):
     r = random.Random(2)
     edges = [(r.randrange(60), r.randrange(60)) for _ in range(45)] + [(100 + i, 101 + i) for i in range(30)] + [(200, 300 + i) for i in range(40)] + [(5, 5), (None, 3)]
