@@ -8,8 +8,13 @@ links are confirmed on whole sets.
 
 Two documents of similarity s take one child of a node together with chance s for each of the two. At s >= 0.8 that
 is a branching process which dies out with a chance of 1/16 at most, however deep the tree is; so all six trees
-part a pair with a chance below one in ten million, whatever the size of the nodes (the hashes come from a pool of
-128, which makes them nearly independent). A sketch misses a pair by five standard deviations.
+part a pair with a chance of 6 in 100 million, whatever the size of the nodes (the hashes come from a pool of
+128, which makes them nearly independent). A sketch misses a pair by six standard deviations, 3 in 100 million. So the
+whole search loses a pair at the threshold with a chance below one in ten million, and one of higher similarity
+far less often.
+
+Links are confirmed on the names of all shingles of both sets, polynomials modulo a prime above 2**60: of a million
+pairs of shingles of two documents, any two are mistaken with a chance below 1e-12 (``windows.Sums``).
 
 A node whose documents mostly go to the same child under both hashes is a family, which branching would not part.
 It is compared whole, as are large nodes of the last depth: cut into parts, each part compared; then the parts with
@@ -39,6 +44,11 @@ NODE, DENSE = 500, 0.5
 #: and a family node by node.
 PART, FAMILY = 1_000, 2_000_000
 
+#: Bytes of whole sets, about, that a task holds for several families at once.
+SETS_BYTES = 64 << 20
+#: Standard deviations that a sketch may fall short by.
+SHORT = 6
+
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _DRAWN = np.random.default_rng(41).integers(0, 2**64, (2, SKETCH), dtype=np.uint64)
@@ -122,7 +132,7 @@ def stars(group: np.ndarray, root: np.ndarray) -> np.ndarray:
 def likely_links(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """Stars ``a, b`` of documents of one node whose sketches are alike; those of one ``known`` group are linked."""
     share = percent / 100
-    least = SKETCH * max(0.0, share - 5 * (share * (1 - share) / SKETCH) ** 0.5)
+    least = SKETCH * max(0.0, share - SHORT * (share * (1 - share) / SKETCH) ** 0.5)
     for t in groups(batches, "path", 20_000):
         t = t.combine_chunks()
         path, doc, size, known = (t.column(c).to_numpy() for c in ("path", "doc", "n", "known"))
@@ -173,7 +183,7 @@ class Alike:
 
 def links(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """Stars ``a, b`` of documents of one family that links on whole sets join."""
-    for t in groups(batches, "key", 2_000):
+    for t in groups(batches, "key", 2_000, SETS_BYTES):
         key, doc, known = (t.column(c).to_numpy() for c in ("key", "doc", "known"))
         cuts = np.flatnonzero(np.r_[True, key[1:] != key[:-1], True])
         out: list[np.ndarray] = []

@@ -150,21 +150,22 @@ def words(flat: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return start, end, np.searchsorted(start, off, "left")
 
 
-def groups(batches: Iterator[pa.RecordBatch], key: str, most: int) -> Iterator[pa.Table]:
-    """Batches sorted by ``key`` in tables of about ``most`` rows that never part equal keys."""
+def groups(batches: Iterator[pa.RecordBatch], key: str, most: int, most_bytes: int = 256 << 20) -> Iterator[pa.Table]:
+    """Batches sorted by ``key`` in tables of about ``most`` rows or bytes that never part equal keys."""
     held: list[pa.RecordBatch] = []
-    n = 0
+    n = size = 0
     for b in batches:
         if not b.num_rows:
             continue
         held.append(b)
-        n += b.num_rows
-        if n >= most:
+        n, size = n + b.num_rows, size + b.nbytes
+        if n >= most or size >= most_bytes:
             t = pa.Table.from_batches(held)
             k = t.column(key).to_numpy()
             cut = int(np.searchsorted(k, k[-1], "left"))
             if cut:
                 yield t.slice(0, cut)
                 held, n = t.slice(cut).to_batches(), t.num_rows - cut
+                size = sum(x.nbytes for x in held)
     if n:
         yield pa.Table.from_batches(held)

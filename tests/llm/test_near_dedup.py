@@ -74,7 +74,7 @@ def test_pairs_in_large_nodes(spark):
     want = brute(rows, 4)
     assert len({c for _, c, _ in want.values()}) == 100
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    assert collected(near_dedup.near_duplicates(docs, width=4, node=10, part=10, family=5_000)) == want
+    assert collected(near_dedup.near_duplicates(docs, width=4, node=2, part=10, family=5_000)) == want
 
 
 def test_empty_null_and_repeated_rows(spark):
