@@ -1,172 +1,191 @@
-"""Cheapest paths over a cost table, for all requests at once, from frontier to frontier with joins.
+"""Cheapest paths over a cost table, for all requests at once, from block to block.
 
 ``costs``: directed edges ``edge_id, from_node, to_node, length_m, cost, allowed, over`` (cost and the two
 marks for one rider); ``turns``: ``in_edge, out_edge, turn_cost`` (none: no cost). The state of a search is the
 edge one has come by, since a turn's cost depends on both its edges; with a budget also how much of it is spent.
 
-A round joins the labels bettered in the round before with the moves out of their edges, and keeps what no
-label known so far betters. It writes these new labels alone to the shared folder, so a lost executor repeats
-one round at most. Labels that can't better their request's best at its goal are dropped, counting the straight
-way that is left. No part of the graph goes through the driver or whole to a task.
+The graph lies in blocks of neighbouring nodes (:mod:`.blocks`). In a round, each request searches the blocks whose
+letters changed, by order of cost, from all letters that they hold; the labels that leave a block are its letters to
+others, in place of those it sent before. So a round bridges a whole block, a label that a cheaper one replaces takes
+all that came of it along, and when no letter changes any more, every block has been searched in order of cost from
+final letters: the labels are those of one search in that order, also where buckets keep one label each. Labels that
+can't better their request's best at its goal are dropped, counting the straight way that is left; a request whose
+best rises again searches anew. Costs go by bands: a request first goes no further than a few times its straight way,
+then some times further once all is quiet, until its goal lies within, so a short trip never searches whole blocks.
+
+Rounds write what they found, and move letters only; the graph is bucketed by block and not shuffled. A letter knows
+the letter before it and the edges between; paths are laid out at the end, by doubling these links.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from .. import params as P
 from ..functions.geo import distance_m
-from ..storage import drop, stash, together
-
-#: Rounds whose tables of labels are put together as one, which bounds the number of files that a round reads.
-MERGED_ROUNDS = 16
-
-
-@dataclass(frozen=True)
-class Moves:
-    """Edges that may be ridden (``edge_id, from_node, to_node, length_m, cost, spent, lat, lon``, the place being
-    its end's), and each pair of them that follow each other (``in_edge``, the second one's columns, ``turn_cost``)."""
-
-    edges: DataFrame
-    pairs: DataFrame
-    budget_m: float | None
-    buckets: int | None
-
-    @property
-    def bucket(self) -> Column:
-        if self.budget_m is None or not self.buckets:
-            return F.lit(0)
-        return F.least(F.lit(self.buckets - 1), F.floor(F.col("used_m") / (self.budget_m / self.buckets))).cast("int")
-
-    @property
-    def exact(self) -> bool:
-        return self.budget_m is not None and not self.buckets
-
-
-def moves_of(costs: DataFrame, turns: DataFrame | None = None, nodes: DataFrame | None = None, budget_m: float | None = None, buckets: int | None = None) -> Moves:
-    """The moves for one rider, written once. Edges that are ``over`` spend the budget, if there is one; without
-    ``buckets`` it is kept exactly."""
-    number = lambda c: F.col(c).cast("double").alias(c)
-    spent = F.when(F.col("over"), F.col("length_m").cast("double")).otherwise(0.0) if budget_m is not None else F.lit(0.0)
-    e = costs.where("allowed").select(F.col("edge_id").cast("long").alias("edge_id"), "from_node", "to_node", number("length_m"), number("cost"), spent.alias("spent"))
-    if nodes is None:
-        e = e.withColumns({"lat": F.lit(None).cast("double"), "lon": F.lit(None).cast("double")})
-    else:
-        e = e.join(nodes.select(F.col("node_id").alias("to_node"), number("lat"), number("lon")), "to_node", "left")
-    e = stash(e, "ridable")
-    pairs = e.select(F.col("edge_id").alias("in_edge"), F.col("to_node").alias("from_node")).join(e, "from_node")
-    if turns is not None:
-        pairs = pairs.join(turns.select("in_edge", F.col("out_edge").alias("edge_id"), number("turn_cost")), ["in_edge", "edge_id"], "left")
+from ..storage import drop, name_of, stash, together
+from .blocks import ASKS, NODES, RUN, Blocks, Limits, blocks_of, runner
+
+#: A block that more than one in so many of a round's searches meet is met by broadcast: fewer than as many.
+HOT = 16
+#: How far a request goes at first, in lengths of its straight way at the average cost of a metre; and by how much
+#: more each time.
+FIRST_REACH, WIDER = 2.0, 3.0
+
+
+def _inputs(active: DataFrame, info: DataFrame, sources: DataFrame, latest: DataFrame | None, reach: float) -> DataFrame:
+    """``dst, ask``: what each active request (``query_id, dst``) brings to a block."""
+    horizon = (F.col("straight") * reach).alias("horizon")
+    letters = sources.join(active, ["query_id", "dst"])
+    if latest is None:
+        out = active.withColumns({"before": F.lit(None).cast("array<struct<dst: int, digest: bigint>>"), "bound": F.lit(None).cast("double")})
     else:
-        pairs = pairs.withColumn("turn_cost", F.lit(0.0))
-    return Moves(e, stash(pairs.drop("from_node").fillna(0.0, ["turn_cost"]), "moves"), budget_m, min(max(1, buckets), P.BUDGET_BUCKETS_MOST) if buckets else None)
-
-
-LABEL = ["query_id", "edge_id", "to_node", "cost", "used_m", "length_m", "edges", "goal", "goal_lat", "goal_lon"]
-
-
-def _settling(m: Moves) -> Callable[[DataFrame], DataFrame]:
-    """Of the labels of one edge (and bucket) the cheapest; in the exact form all that none betters in both cost
-    and budget. Ties go to the path that comes first."""
-    if m.exact:
-        order = Window.partitionBy("query_id", "edge_id").orderBy("cost", "used_m", "edges")
-        before = F.min("used_m").over(order.rowsBetween(Window.unboundedPreceding, -1))
-        stays = F.col("_least").isNull() | (F.col("used_m") < F.col("_least"))
-        return lambda df: df.withColumn("_least", before).where(stays).drop("_least")
-    rest = [c for c in LABEL if c not in ("query_id", "edge_id")]
-    least = F.min(F.struct("cost", "used_m", "edges", *[c for c in rest if c not in ("cost", "used_m", "edges")])).alias("l")
-    keys, out = ["query_id", "edge_id", m.bucket.alias("_bucket")], ["query_id", "edge_id", *(F.col(f"l.{c}").alias(c) for c in rest)]
-    return lambda df: df.groupBy(*keys).agg(least).select(*out)
-
-
-def _unbettering(m: Moves) -> Callable[[DataFrame, DataFrame], DataFrame]:
-    """Labels of a first table that none of a second one, known before, equals or betters."""
-    before = [F.col("query_id").alias("_query"), F.col("edge_id").alias("_edge"), F.col("cost").alias("_cost"), F.col("used_m").alias("_used"), m.bucket.alias("_bucket")]
-    same = (F.col("query_id") == F.col("_query")) & (F.col("edge_id") == F.col("_edge")) & (F.col("_cost") <= F.col("cost"))
-    if m.exact:
-        same &= F.col("_used") <= F.col("used_m")
-    elif m.buckets:
-        same &= F.col("_bucket") == F.col("_in")
-    own = [*LABEL, m.bucket.alias("_in")]
-    return lambda new, known: new.select(*own).join(known.select(*before), same, "left_anti").select(*LABEL)
-
-
-def spread(sources: DataFrame, m: Moves, dearer: DataFrame | None = None, most_cost: Column | float | None = None, max_rounds: int = 10_000, most_labels: int | None = None, keep_paths: bool = True) -> DataFrame:
-    """All labels met from ``sources`` (``query_id, node``, and ``goal, goal_lat, goal_lon``, which may be null).
-
-    ``dearer`` (``query_id, edge_id, factor``) makes edges dearer for one request. A request of more labels than
-    ``most_labels`` goes no further.
+        sent = latest.select("query_id", F.col("block").alias("src"), F.explode("mail").alias("m")).select("query_id", "src", "m.dst", "m.letters").join(active, ["query_id", "dst"], "left_semi")
+        of = lambda x: F.struct(F.col("src"), *(x[c].alias(c) for c in ("edge", "to_node", "cost", "used", "length")))
+        letters = letters.unionByName(sent.select("query_id", "dst", F.transform("letters", of).alias("letters")))
+        before = latest.select("query_id", F.col("block").alias("dst"), F.transform("mail", lambda m: F.struct(m["dst"].alias("dst"), m["digest"].alias("digest"))).alias("before"))
+        out = active.join(before, ["query_id", "dst"], "left").join(latest.groupBy("query_id").agg(F.min("goal.cost").alias("bound")), "query_id", "left")
+    letters = letters.groupBy("query_id", "dst").agg(F.flatten(F.collect_list("letters")).alias("letters"))
+    out = out.join(letters, ["query_id", "dst"], "left").join(info, "query_id")
+    none = F.array().cast(letters.schema["letters"].dataType)
+    return out.select("dst", F.struct("query_id", "goal", "goal_lat", "goal_lon", "factors", "bound", "before", horizon, F.coalesce("letters", none).alias("letters")).alias("ask"))
+
+
+def _latest(runs: list[DataFrame], active: DataFrame | None = None) -> DataFrame:
+    """The last run of each request and block; of the requests of ``active`` only."""
+    rows = together(*runs)
+    if active is not None:
+        rows = rows.join(active.select("query_id").distinct(), "query_id", "left_semi")
+    rest = [c for c in rows.columns if c not in ("query_id", "block")]
+    last = rows.groupBy("query_id", "block").agg(F.max_by(F.struct(*rest), "round").alias("r"))
+    return last.select("query_id", "block", *(F.col(f"r.{c}").alias(c) for c in rest))
+
+
+def spread(asks: DataFrame, b: Blocks, dearer: DataFrame | None = None, limits: Limits | None = None, most_labels: int | None = None, max_rounds: int = 10_000) -> tuple[DataFrame, DataFrame]:
+    """The last run of each request in each block that it reached, and the letters it began with.
+
+    ``asks``: ``query_id, node``, and ``goal, goal_lat, goal_lon, straight``, which may be null. ``dearer`` (``query_id,
+    edge_id, factor``) makes edges dearer for one request. A request of more labels than ``most_labels`` in a band goes
+    no further.
     """
-    path = lambda c: c if keep_paths else F.array().cast("array<long>")
-
-    def allowed(cost: Column, used: Column, length: Column, edges: Column) -> Callable[[DataFrame], DataFrame]:
-        """Labels for rows of an edge and the label before it (of these sums and path), within budget and reach."""
-        factor = F.lit(1.0) if dearer is None else F.coalesce("factor", F.lit(1.0))
-        out = [
-            "query_id", "edge_id", "to_node", (cost + F.col("edge_cost") * factor).alias("cost"), (used + F.col("spent")).alias("used_m"), (length + F.col("edge_m")).alias("length_m"),
-            path(edges).alias("edges"), "goal", "goal_lat", "goal_lon", "lat", "lon",
-        ]
-        within = F.lit(True) if m.budget_m is None else F.col("used_m") <= m.budget_m
-        within = within if most_cost is None else within & (F.col("cost") <= most_cost)
-        factors = None if dearer is None else dearer.select("query_id", "edge_id", "factor")
-        return lambda df: (df if factors is None else df.join(factors, ["query_id", "edge_id"], "left")).select(*out).where(within)
-
-    # a round is planned anew each time, its expressions are made once
-    settled, unbettered = _settling(m), _unbettering(m)
-    names = {"cost": "edge_cost", "length_m": "edge_m"}
-    start = sources.select("query_id", F.col("node").alias("from_node"), "goal", "goal_lat", "goal_lon").join(m.edges.withColumnsRenamed(names), "from_node")
-    zero = F.lit(0.0)
-    new = stash(settled(allowed(zero, zero, zero, F.array("edge_id"))(start).select(*LABEL)), "labels")
-    pairs = m.pairs.withColumnsRenamed(names)
-    step = allowed(F.col("_cost") + F.col("turn_cost"), F.col("used_m"), F.col("length_m"), F.concat("edges", F.array("edge_id")))
-    sums = [F.min(F.when(F.col("to_node") == F.col("goal"), F.col("cost"))).alias("_bound"), F.count("*").alias("_labels")]
-    under_way = F.col("goal").isNull() | (F.col("to_node") != F.col("goal"))
-    left = F.coalesce(0.999 * distance_m(F.col("lat"), F.col("lon"), F.col("goal_lat"), F.col("goal_lon")), F.lit(0.0))
-    hopeful = F.col("_bound").isNull() | (F.col("cost") + left < F.col("_bound"))
-    if most_labels is not None:
-        hopeful &= F.col("_labels") <= most_labels
-    deltas = [new]
-    for _ in range(max_rounds):
-        known = together(*deltas)
-        if len(deltas) >= MERGED_ROUNDS:
-            known = stash(known, "labels")
-            drop(*deltas[:-1])  # the last one is the frontier still
-            deltas = [known]
-        front = new.where(under_way).withColumnsRenamed({"edge_id": "in_edge", "cost": "_cost"}).drop("to_node")
-        grown = step(front.join(pairs, "in_edge")).join(known.groupBy("query_id").agg(*sums), "query_id").where(hopeful).select(*LABEL)
-        new = stash(unbettered(settled(grown), known), "labels")
-        deltas.append(new)
-        if new.isEmpty():
+    limits = limits or b.limits
+    spark = asks.sparkSession
+    info = asks.groupBy("query_id").agg(*(F.first(c).alias(c) for c in ("goal", "goal_lat", "goal_lon", "straight")))
+    starts = asks.select("query_id", F.col("node").alias("from_node")).distinct().join(b.edges, "from_node")
+    factor = F.lit(1.0)
+    if dearer is None:
+        info = info.withColumn("factors", F.lit(None).cast("array<struct<edge: bigint, factor: double>>"))
+    else:
+        info = info.join(dearer.groupBy("query_id").agg(F.collect_list(F.struct(F.col("edge_id").alias("edge"), "factor")).alias("factors")), "query_id", "left")
+        starts, factor = starts.join(dearer.select("query_id", "edge_id", "factor"), ["query_id", "edge_id"], "left"), F.coalesce("factor", F.lit(1.0))
+    cost = F.col("cost") * factor
+    within = (cost <= limits.most_cost) & (F.lit(True) if limits.budget_m is None else F.col("spent") <= limits.budget_m)
+    letter = F.struct(F.lit(-1).alias("src"), F.col("edge_id").alias("edge"), "to_node", cost.alias("cost"), F.col("spent").alias("used"), F.col("length_m").alias("length"))
+    sources = stash(starts.where(within).groupBy("query_id", F.col("block").alias("dst")).agg(F.collect_list(letter).alias("letters")), "sources")
+    info = stash(info, "asks")
+    schema, name = to_arrow_schema(StructType.fromDDL(RUN)), name_of(b.table)
+
+    def quiet() -> DataFrame:
+        """Requests and blocks to search again once no letter changes: where a label waits beyond the horizon that may
+        better the request's best, and (with buckets) where that best was a lower one when labels were dropped."""
+        last = _latest(runs)
+        sums = last.groupBy("query_id").agg(F.sum("n_labels").alias("_n"), F.min("goal.cost").alias("_least"))
+        rows, none = last.join(sums, "query_id"), F.col("_least").isNull()
+        again = F.coalesce(F.col("waits") < F.coalesce("_least", F.lit(float("inf"))), F.lit(False))
+        if limits.budget_m is not None and not limits.exact:
+            again |= F.col("bound").isNotNull() & (none | (F.col("_least") > F.col("bound")))
+        if most_labels is not None:
+            again &= F.col("_n") <= most_labels
+        return stash(rows.where(again).select("query_id", F.col("block").alias("dst")), "active")
+
+    crowd = lambda df: df.groupBy("dst").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dst").collect()
+    active, runs, reach = sources.select("query_id", "dst"), [], FIRST_REACH * b.cost_a_metre
+    for number in range(max_rounds):
+        top = crowd(active)
+        if not top and runs:
+            active, reach = quiet(), reach * WIDER
+            top = crowd(active)
+        if not top:
             break
-    return together(*deltas)
-
-
-def relax(sources: DataFrame, costs: DataFrame, turns: DataFrame | None = None, budget_m: float | None = None, goals: DataFrame | None = None, most_cost: Column | float | None = None, max_rounds: int = 10_000, keep_paths: bool = False) -> DataFrame:
+        total = sum(r["n"] for r in top)
+        hot = [r["dst"] for r in top if r["n"] > max(2 * ASKS, total // HOT)]
+        met = _inputs(active, info, sources, _latest(runs, active) if runs else None, reach)
+        chunk = F.pmod(F.xxhash64("ask.query_id"), F.lit(-(-top[0]["n"] // ASKS))).alias("chunk")
+        met = met.groupBy(F.col("dst").alias("block"), chunk).agg(F.collect_list("ask").alias("asks"))
+        rows = met.join(b.table, "block") if not hot else met.where(~F.col("block").isin(hot)).join(b.table, "block").unionByName(
+            met.where(F.col("block").isin(hot)).repartition("block", "chunk").join(F.broadcast(b.table.where(F.col("block").isin(hot))), "block")
+        )
+        runs.append(stash(rows.select("block", "moves", "asks").mapInArrow(runner(name, number, limits, schema), RUN), "runs"))
+        active = runs[-1].select("query_id", F.explode("changed").alias("dst")).distinct()
+    if not runs:
+        return spark.createDataFrame([], RUN), sources
+    final = stash(_latest(runs), "found")
+    drop(*runs)
+    return final, sources
+
+
+def lay_out(targets: DataFrame, found: DataFrame, sources: DataFrame) -> DataFrame:
+    """``query_id, key, edges``: the whole path of each target (``query_id, key, at``: a label of ``found``).
+
+    Every letter leads to the one before; these links are doubled, and a target then gathers the letters 2**k before
+    those it has, from the largest k down: as many joins as the path's number of letters has digits."""
+    some = targets.select("query_id").distinct()
+    name = lambda x: F.struct(x["p_edge"].alias("edge"), x["p_used"].alias("used"), x["p_src"].alias("src"))
+    sent = found.join(some, "query_id", "left_semi").select("query_id", "block", F.explode("mail").alias("m")).select("query_id", "block", F.explode("m.letters").alias("x"))
+    sent = sent.select("query_id", F.struct("x.edge", "x.used", F.col("block").alias("src")).alias("id"), name(F.col("x")).alias("to"), "x.seg")
+    began = sources.join(some, "query_id", "left_semi").select("query_id", F.explode("letters").alias("x"))
+    began = began.select("query_id", F.struct("x.edge", "x.used", "x.src").alias("id"), F.lit(None).cast(sent.schema["to"].dataType).alias("to"), F.array("x.edge").alias("seg"))
+    links = stash(sent.unionByName(began), "links")
+    jumps, next_ = [], links.where("to IS NOT NULL").select("query_id", "id", "to")
+    while not next_.isEmpty():
+        jumps.append(next_)
+        next_ = stash(next_.alias("a").join(next_.alias("b"), (F.col("a.query_id") == F.col("b.query_id")) & (F.col("a.to") == F.col("b.id"))).select("a.query_id", "a.id", "b.to"), "jumps")
+    on = targets.select("query_id", "key", name(F.col("at")).alias("id"), F.lit(0).alias("before"))
+    for k in range(len(jumps) - 1, -1, -1):
+        more = on.join(jumps[k], ["query_id", "id"]).select("query_id", "key", F.col("to").alias("id"), (F.col("before") + 2**k).alias("before"))
+        on = on.unionByName(more)
+    segments = on.join(links.drop("to"), ["query_id", "id"]).groupBy("query_id", "key").agg(F.array_sort(F.collect_list(F.struct((-F.col("before")).alias("at"), "seg"))).alias("s"))
+    whole = F.concat(F.flatten(F.transform("s", lambda x: x["seg"])), F.col("at.seg"))
+    return targets.join(segments, ["query_id", "key"]).select("query_id", "key", whole.alias("edges"))
+
+
+def relax(sources: DataFrame, costs: DataFrame, turns: DataFrame | None = None, budget_m: float | None = None, goals: DataFrame | None = None, most_cost: float | None = None, max_rounds: int = 10_000, keep_paths: bool = False, block_nodes: int = NODES) -> DataFrame:
     """Least costs from each source (``query_id, node``) to every edge in reach: ``query_id, edge_id, to_node, cost,
     used_m``, and ``edges`` with ``keep_paths``.
 
     With a budget all labels that no other one of their edge betters in both cost and budget stay. With ``goals``
     (``query_id, node``) labels dearer than the best at their goal are dropped. ``most_cost`` bounds the reach.
     """
-    m = moves_of(costs, turns, None, budget_m)
-    nowhere = {"goal_lat": F.lit(None).cast("double"), "goal_lon": F.lit(None).cast("double")}
+    b = blocks_of(costs, turns, None, budget_m, size=block_nodes)
+    nowhere = {c: F.lit(None).cast("double") for c in ("goal_lat", "goal_lon", "straight")}
     if goals is None:
         asks = sources.withColumns({"goal": F.lit(None).cast("long"), **nowhere})
     else:
         asks = sources.join(goals.select("query_id", F.col("node").alias("goal")), "query_id", "left").withColumns(nowhere)
-    out = _settling(m)(spread(asks, m, None, most_cost, max_rounds, None, keep_paths))
-    return out.select("query_id", "edge_id", "to_node", "cost", "used_m", *(["edges"] if keep_paths else []))
-
-
-def _best(asks: DataFrame, m: Moves, dearer: DataFrame | None = None, most_labels: int = P.EXPANSIONS_MOST) -> DataFrame:
-    """``query_id, found (cost, budget_used_m, edges, length_m), expansions`` of requests that left their start."""
-    labels = spread(asks.withColumnRenamed("from_node", "node"), m, dearer, None, 10_000, most_labels)
-    at_goal = F.when(F.col("to_node") == F.col("goal"), F.struct("cost", F.col("used_m").alias("budget_used_m"), "edges", "length_m"))
-    return labels.groupBy("query_id").agg(F.min(at_goal).alias("found"), F.count("*").alias("expansions"))
+    limits = replace(b.limits, keep_labels=True, **({} if most_cost is None else {"most_cost": float(most_cost)}))
+    found, begun = spread(asks, b, None, limits, None, max_rounds)
+    labels = found.select("query_id", F.explode("labels").alias("at"))
+    out = labels.select("query_id", F.col("at.edge").alias("edge_id"), "at.to_node", "at.cost", F.col("at.used").alias("used_m"), "at")
+    if not keep_paths:
+        return out.drop("at")
+    key = F.struct("edge_id", "used_m").alias("key")
+    return out.withColumn("key", key).join(lay_out(out.select("query_id", key, "at"), found, begun), ["query_id", "key"]).drop("key", "at")
+
+
+def _best(asks: DataFrame, b: Blocks, dearer: DataFrame | None = None, most_labels: int = P.EXPANSIONS_MOST) -> DataFrame:
+    """``query_id, found (cost, budget_used_m, edges, length_m), expansions`` of requests that left their start; a
+    request of too many labels has found nothing."""
+    found, begun = spread(asks.withColumnRenamed("from_node", "node"), b, dearer, None, most_labels)
+    best = stash(found.groupBy("query_id").agg(F.sum("n_labels").alias("expansions"), F.min(F.when(F.col("goal").isNotNull(), F.struct(F.col("goal.cost").alias("cost"), F.col("goal.used").alias("used"), F.col("goal").alias("at")))).alias("least")), "best")
+    good = best.where(F.col("least").isNotNull() & (F.col("expansions") <= most_labels)).select("query_id", F.lit(0).alias("key"), "least.at")
+    paths = lay_out(good, found, begun)
+    got = F.when(F.col("edges").isNotNull(), F.struct(F.col("least.cost").alias("cost"), F.col("least.used").alias("budget_used_m"), "edges", F.col("least.at.length").alias("length_m")))
+    return best.join(paths, "query_id", "left").select("query_id", got.alias("found"), "expansions")
 
 
 def _with_reverses(path: DataFrame, costs: DataFrame) -> DataFrame:
@@ -177,7 +196,7 @@ def _with_reverses(path: DataFrame, costs: DataFrame) -> DataFrame:
     return path.select("query_id", "edge_id").unionByName(other).distinct()
 
 
-def route_requests(requests: DataFrame, costs: DataFrame, turns: DataFrame | None = None, nodes: DataFrame | None = None, budget_m: float = 0.0, buckets: int = P.BUDGET_BUCKETS, exact: bool = False, n_alternatives: int = 0, most_labels: int = P.EXPANSIONS_MOST) -> DataFrame:
+def route_requests(requests: DataFrame, costs: DataFrame, turns: DataFrame | None = None, nodes: DataFrame | None = None, budget_m: float = 0.0, buckets: int = P.BUDGET_BUCKETS, exact: bool = False, n_alternatives: int = 0, most_labels: int = P.EXPANSIONS_MOST, block_nodes: int = NODES) -> DataFrame:
     """One row for each request (``query_id, from_node, to_node``), or more with alternatives: ``query_id, choice,
     status, edges, cost, length_m, budget_used_m, expansions``; choice 0 is the cheapest.
 
@@ -187,7 +206,7 @@ def route_requests(requests: DataFrame, costs: DataFrame, turns: DataFrame | Non
     ``requests`` have a column ``with_alternatives``, only those that say true get any.
     ``expansions`` are the labels that a request met.
     """
-    m = moves_of(costs, turns, nodes, budget_m if budget_m > 0 else None, None if exact else buckets)
+    b = blocks_of(costs, turns, nodes, budget_m if budget_m > 0 else None, None if exact else buckets, block_nodes)
     long = lambda c: F.col(c).cast("long").alias(c)
     ends = costs.select(F.col("from_node").alias("node")).unionByName(costs.select(F.col("to_node").alias("node"))).distinct().withColumn("_is", F.lit(True))
     wants = F.col("with_alternatives") if "with_alternatives" in requests.columns else F.lit(True)
@@ -195,27 +214,29 @@ def route_requests(requests: DataFrame, costs: DataFrame, turns: DataFrame | Non
     for c in ("from", "to"):
         asks = asks.join(ends.select(F.col("node").alias(f"{c}_node"), F.col("_is").alias(f"_{c}")), f"{c}_node", "left")
     if nodes is None:
-        asks = asks.withColumns({"goal_lat": F.lit(None).cast("double"), "goal_lon": F.lit(None).cast("double")})
+        asks = asks.withColumns({c: F.lit(None).cast("double") for c in ("goal_lat", "goal_lon", "straight")})
     else:
-        asks = asks.join(nodes.select(F.col("node_id").alias("to_node"), F.col("lat").cast("double").alias("goal_lat"), F.col("lon").cast("double").alias("goal_lon")), "to_node", "left")
+        for node, end in (("to_node", "goal"), ("from_node", "start")):
+            asks = asks.join(nodes.select(F.col("node_id").alias(node), F.col("lat").cast("double").alias(f"{end}_lat"), F.col("lon").cast("double").alias(f"{end}_lon")), node, "left")
+        asks = asks.withColumn("straight", F.greatest(distance_m(F.col("start_lat"), F.col("start_lon"), F.col("goal_lat"), F.col("goal_lon")), F.lit(100.0))).drop("start_lat", "start_lon")
     here, known = F.col("from_node") == F.col("to_node"), F.col("_from").isNotNull() & F.col("_to").isNotNull()
     asks = stash(asks.withColumn("_go", known & ~here), "asks")
-    go = asks.where("_go").select("query_id", "from_node", F.col("to_node").alias("goal"), "goal_lat", "goal_lon")
+    go = asks.where("_go").select("query_id", "from_node", F.col("to_node").alias("goal"), "goal_lat", "goal_lon", "straight")
     status = (
         F.when(here, F.lit("ok")).when(~known, F.lit("unknown_node")).when(F.col("found").isNotNull(), F.lit("ok"))
         .when(F.col("expansions") > most_labels, F.lit("search_limit")).otherwise(F.lit("unroutable"))
     )
     of = lambda c, z: F.when(here, z).otherwise(F.col(f"found.{c}")).alias(c)
     zero = F.lit(0.0)
-    first = asks.join(_best(go, m, None, most_labels), "query_id", "left").select(
+    first = asks.join(_best(go, b, None, most_labels), "query_id", "left").select(
         "query_id", F.lit(0).alias("choice"), status.alias("status"), of("edges", F.array().cast("array<long>")), of("cost", zero), of("length_m", zero),
         of("budget_used_m", zero), F.coalesce("expansions", F.lit(0)).alias("expansions"),
     )
     first = stash(first, "routes")
-    return first if n_alternatives <= 0 else _alternatives(first, go.join(asks.where("_wants"), "query_id", "left_semi"), costs, m, n_alternatives, most_labels)
+    return first if n_alternatives <= 0 else _alternatives(first, go.join(asks.where("_wants"), "query_id", "left_semi"), costs, b, n_alternatives, most_labels)
 
 
-def _alternatives(first: DataFrame, go: DataFrame, costs: DataFrame, m: Moves, n: int, most_labels: int) -> DataFrame:
+def _alternatives(first: DataFrame, go: DataFrame, costs: DataFrame, b: Blocks, n: int, most_labels: int) -> DataFrame:
     """``first`` and up to ``n`` distinct others of each request: searched with a penalty on all edges met so far and
     their reverses, not dearer than 1.6 times the first, sharing 70 % of length with none before."""
     kept = first
@@ -225,14 +246,14 @@ def _alternatives(first: DataFrame, go: DataFrame, costs: DataFrame, m: Moves, n
     for _ in range(P.MAX_ATTEMPTS):
         if active.isEmpty():
             break
-        got = _best(go.join(active, "query_id", "left_semi"), m, met.withColumn("factor", F.lit(P.ALTERNATIVE_PENALTY)), most_labels)
+        got = _best(go.join(active, "query_id", "left_semi"), b, met.withColumn("factor", F.lit(P.ALTERNATIVE_PENALTY)), most_labels)
         got = stash(got.where("found IS NOT NULL").join(active, "query_id").select("query_id", "choice", "first_cost", "found.*", "expansions"), "tried")
         own = steps(got)
         before = F.lag("edge_id").over(Window.partitionBy("query_id").orderBy("pos")).alias("in_edge")
-        priced = own.select("*", before).join(m.edges.select("edge_id", "cost", F.col("length_m").alias("edge_m")), "edge_id").join(m.pairs.select("in_edge", "edge_id", "turn_cost"), ["in_edge", "edge_id"], "left")
+        priced = own.select("*", before).join(b.edges.select("edge_id", "cost", F.col("length_m").alias("edge_m")), "edge_id").join(b.pairs.select("in_edge", "edge_id", "turn_cost"), ["in_edge", "edge_id"], "left")
         real = priced.groupBy("query_id").agg(F.sum(F.col("cost") + F.coalesce("turn_cost", F.lit(0.0))).alias("real"))
         others = steps(kept).select("query_id", F.col("choice").alias("other"), "edge_id").distinct()
-        shared = own.join(others, ["query_id", "edge_id"]).join(m.edges.select("edge_id", F.col("length_m").alias("edge_m")), "edge_id")
+        shared = own.join(others, ["query_id", "edge_id"]).join(b.edges.select("edge_id", F.col("length_m").alias("edge_m")), "edge_id")
         shared = shared.groupBy("query_id", "other").agg(F.sum("edge_m").alias("m")).groupBy("query_id").agg(F.max("m").alias("shared"))
         added = stash(_with_reverses(own, costs).join(met, ["query_id", "edge_id"], "left_anti"), "added")
         grew = added.select("query_id").distinct().withColumn("grew", F.lit(True))

@@ -9,6 +9,7 @@ from weakref import WeakKeyDictionary
 from pyspark.sql import DataFrame, SparkSession
 
 _written: WeakKeyDictionary[SparkSession, list[str]] = WeakKeyDictionary()
+_table_of: dict[str, str] = {}
 _path_of: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
@@ -43,6 +44,24 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def stash_bucketed(df: DataFrame, name: str, key: str, parts: int) -> DataFrame:
+    """:func:`stash` as a table in ``parts`` buckets of ``key``, so that a join by it doesn't shuffle the table."""
+    spark = df.sparkSession
+    own = f"{name}_{uuid.uuid4().hex[:12]}"
+    path = f"{shared_dir(spark)}/{own}"
+    _written.setdefault(spark, []).append(path)
+    df.write.bucketBy(parts, key).sortBy(key).option("path", path).saveAsTable(own)
+    _table_of[path] = own
+    out = spark.table(own)
+    _path_of[out] = path
+    return out
+
+
+def name_of(df: DataFrame) -> str:
+    """The name under which a step was written, unlike any other's."""
+    return _path_of[df].rsplit("/", 1)[-1]
+
+
 def together(*steps: DataFrame) -> DataFrame:
     """Tables of one schema that :func:`stash` wrote, read as one."""
     return steps[0].sparkSession.read.schema(steps[0].schema).parquet(*(_path_of[s] for s in steps))
@@ -56,6 +75,8 @@ def is_stashed(df: DataFrame) -> bool:
 def _remove(spark: SparkSession, paths: list[str]) -> int:
     conf = spark.sparkContext._jsc.hadoopConfiguration()
     for p in paths:
+        if p in _table_of:
+            spark.sql(f"DROP TABLE IF EXISTS {_table_of.pop(p)}")
         path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p)
         path.getFileSystem(conf).delete(path, True)
     return len(paths)
@@ -71,15 +92,23 @@ def drop(*steps: DataFrame | None) -> None:
 
 
 def mark(spark: SparkSession) -> int:
-    """The number of tables written so far, for :func:`discard`."""
+    """The number of tables that are kept for this session."""
     return len(_written.get(spark, []))
 
 
-def discard(spark: SparkSession, since: int = 0, keep: DataFrame | None = None) -> int:
-    """Removes the tables written for this session after ``since``, but for ``keep``; results that still read
-    them must have been written."""
+def names(spark: SparkSession) -> frozenset[str]:
+    """The tables that are kept for this session, for :func:`discard`."""
+    return frozenset(_written.get(spark, []))
+
+
+def discard(spark: SparkSession, since: int | frozenset[str] = 0, keep: DataFrame | None = None) -> int:
+    """Removes the tables written for this session after the first ``since``, or those not named in it, but for
+    ``keep``; results that still read them must have been written.
+
+    Names hold where earlier tables are dropped meanwhile, a number doesn't."""
     paths = _written.get(spark, [])
+    before = since if isinstance(since, frozenset) else set(paths[:since])
     kept = _path_of.get(keep) if keep is not None else None
-    gone = [p for p in paths[since:] if p != kept]
+    gone = [p for p in paths if p not in before and p != kept]
     _written[spark] = [p for p in paths if p not in set(gone)]
     return _remove(spark, gone)

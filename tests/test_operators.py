@@ -119,6 +119,80 @@ def test_against_plain_search(spark):
         assert r.status == "unroutable" or sum(edges[k][3] for k in r.edges) + sum(turn[p] for p in zip(r.edges, r.edges[1:])) == r.cost
 
 
+def plain_buckets(edges, turn, start, goal, limit, buckets):
+    """Least cost to a goal by a plain heap in order of cost that keeps the first label of each edge and bucket."""
+    spent = [e[2] if e[4] else 0 for e in edges]
+    bucket = lambda u: min(buckets - 1, int(u / (limit / buckets)))
+    done, heap = set(), [(e[3], spent[i], i) for i, e in enumerate(edges) if e[0] == start and spent[i] <= limit]
+    heapq.heapify(heap)
+    while heap:
+        c, u, i = heapq.heappop(heap)
+        if (i, bucket(u)) in done:
+            continue
+        done.add((i, bucket(u)))
+        if edges[i][1] == goal:
+            return c
+        for j, f in enumerate(edges):
+            if f[0] == edges[i][1] and u + spent[j] <= limit:
+                heapq.heappush(heap, (c + f[3] + turn[i, j], u + spent[j], j))
+    return None
+
+
+@pytest.mark.parametrize("block_nodes", [3, 100])
+def test_blocks_and_buckets(spark, block_nodes):
+    """However small the blocks are, buckets keep what a search in order of cost keeps, and paths are whole."""
+    r = random.Random(11)
+    place = {k: (50 + r.random() / 100, 8 + r.random() / 100) for k in range(24)}
+    edges, at = [], {}
+    for a, b in itertools.permutations(range(24), 2):
+        if r.random() < 0.12:
+            m = 1 + int(geo_metres(*place[a], *place[b]))
+            at[len(edges)] = (a, b)
+            edges.append((a, b, m, m + r.randrange(2000) + r.random() / 8, r.random() < 0.5))
+    turn = {(i, j): r.random() for i, e in enumerate(edges) for j, f in enumerate(edges) if e[1] == f[0]}
+    turns = [(i, j, t) for (i, j), t in turn.items()]
+    nodes = spark.createDataFrame([(k, *v) for k, v in place.items()], "node_id long, lat double, lon double")
+    pairs = [(a, b) for a in (0, 5) for b in range(24) if a != b]
+    for limit in (700, 2500):
+        got = found(spark, edges, *pairs, turns=turns, nodes=nodes, budget_m=float(limit), buckets=4, block_nodes=block_nodes)
+        for q, (a, b) in enumerate(pairs):
+            want, r = plain_buckets(edges, turn, a, b, limit, 4), got[q, 0]
+            assert (r.cost is None) == (want is None) and (want is None or r.cost == pytest.approx(want)), (a, b, limit)
+            if r.edges:
+                assert edges[r.edges[0]][0] == a and edges[r.edges[-1]][1] == b and all(at[x][1] == at[y][0] for x, y in zip(r.edges, r.edges[1:]))
+                assert sum(edges[k][3] for k in r.edges) + sum(turn[p] for p in zip(r.edges, r.edges[1:])) == pytest.approx(r.cost)
+                assert sum(edges[k][2] for k in r.edges) == pytest.approx(r.length_m)
+
+
+def geo_metres(*places):
+    from spokewise.operators.blocks import metres
+
+    return metres(*places)
+
+
+def test_graph_is_not_shuffled_by_a_round(spark):
+    """A round joins its letters with the bucketed table, which has no exchange of its own."""
+    costs = cost_rows(spark, [(k, k + 1, 10) for k in range(40)])
+    b = paths.blocks_of(costs, size=4)
+    letters = spark.range(1000).select(F.col("id").cast("int").alias("block"), F.lit("x").alias("asks"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        plan = letters.join(b.table, "block")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("Exchange") == 1 and "Bucketed: true" in plan
+    assert b.table.count() == 10  # 41 nodes, the last without a move
+
+
+def test_dead_ends_ties_and_repeats(spark):
+    twins = [(0, 1, 5), (0, 1, 5), (1, 2, 5), (1, 2, 5), (2, 0, 1)]
+    for block_nodes in (1, 50):
+        got = found(spark, twins, (0, 2), (2, 1), (1, 1), block_nodes=block_nodes)
+        assert got[0, 0].cost == 10 and len(got[0, 0].edges) == 2 and got[1, 0].cost == 6 and got[2, 0].edges == []
+    assert paths.route_requests(asked(spark, (0, 1)).limit(0), cost_rows(spark, twins)).collect() == []
+    assert found(spark, [], (0, 1))[0, 0].status == "unknown_node"
+
+
 def plain_budget(edges, turn, start, limit):
     """Least cost to each node within a budget of whole metres, by a plain heap over (edge, spent)."""
     spent = [e[2] if e[4] else 0 for e in edges]

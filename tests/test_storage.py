@@ -20,3 +20,14 @@ def test_drop_and_marks(spark):
     assert first.count() == 3 and kept.count() == 4
     storage.drop(first, None)
     assert storage.mark(spark) == 1 and storage.discard(spark) == 1
+
+
+def test_discard_by_names(spark):
+    storage.discard(spark)
+    first = storage.stash(spark.range(3), "first")
+    since = storage.names(spark)
+    later = storage.stash_bucketed(spark.range(9), "later", "id", 2)
+    storage.drop(first)  # moves every position
+    assert later.count() == 9 and storage.name_of(later) in {t.name for t in spark.catalog.listTables()}
+    assert storage.discard(spark, since) == 1 and storage.mark(spark) == 0
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("later_")]
