@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from spokewise.llm import decontaminate, line_dedup, near_dedup, piece_codec, toxicity
 from spokewise.llm.common import tokenizer_path
 from spokewise.llm.queries import is_held_out, table
-from spokewise.storage import discard, mark, stash
+from spokewise.storage import discard, names, stash
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,7 +50,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the table ``documents``; each one's rows are written before the next reads them, and then the
     steps that led to them are removed."""
-    since = mark(spark)
+    since = names(spark)
     docs = table(spark, sf_dir, "documents")
     for n, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
