@@ -38,6 +38,16 @@ def plan_nodes(requests: DataFrame, edges: DataFrame, nodes: DataFrame, profile:
     return route_requests(requests, cost_table(edges, p, night, hazards), turn_table(edges, nodes, p), nodes, p.stress_budget_m, exact=exact, n_alternatives=n_alternatives)
 
 
+#: What a leg may come to, from good to bad: a wider search may mend the second, another profile the third.
+STATUSES = ["ok", "search_limit", "unroutable", "unknown_node"]
+
+
+def worst_status(status: Column) -> Column:
+    """Of several legs' statuses the worst, in the order of ``STATUSES``."""
+    order = F.array(*map(F.lit, STATUSES))
+    return F.element_at(order, F.max(F.array_position(order, status)).cast("int"))
+
+
 def legs_of(snapped: DataFrame) -> DataFrame:
     """``query_id, pos, from_node, to_node`` of neighbouring waypoints (``query_id, pos, node``)."""
     a = snapped.select("query_id", "pos", F.col("node").alias("from_node"))
@@ -114,7 +124,7 @@ def plan_route(waypoints: DataFrame, edges: DataFrame, nodes: DataFrame, profile
     beside = shortest.where("edges IS NOT NULL").select("query_id", F.posexplode("edges").alias("pos", "edge_id"))
     base = base.join(routes.safety_score(beside, edges).withColumnRenamed("score", "baseline_score"), "query_id", "left")
     whole = got.groupBy("query_id", "choice").agg(
-        F.when(F.every(F.col("status") == "ok"), F.lit("ok")).otherwise(F.max(F.when(F.col("status") != "ok", F.col("status")))).alias("_status"),
+        worst_status(F.col("status")).alias("_status"),
         F.sum("cost").alias("cost"), F.sum("length_m").alias("length_m"), F.sum("budget_used_m").alias("budget_used_m"),
         F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("pos", "edges"))), lambda x: x["edges"])).alias("edges"),
     )

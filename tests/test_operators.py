@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from spokewise.operators import components as C
 from spokewise.operators import network, paths, pressure, routes, spatial, terrain, updates, ways
 from spokewise.functions.geo import points_wkt
-from spokewise.plans.api import bench_routing, failure, plan_route, random_pairs
+from spokewise.plans.api import bench_routing, failure, plan_route, random_pairs, worst_status
 from spokewise.plans.fixture import Network
 from spokewise.profiles import PROFILES
 
@@ -398,6 +398,12 @@ def test_plan_alternatives_and_failures(spark):
     assert told[0].e is None and told[1].e.details["max_lts"] == str(p.max_lts) and str(p.max_lts) in told[1].e.message
 
 
+def test_worst_status(spark):
+    rows = [(1, "ok"), (1, "ok"), (2, "ok"), (2, "search_limit"), (3, "unroutable"), (3, "search_limit"), (4, "unroutable"), (4, "unknown_node"), (4, "ok")]
+    got = spark.createDataFrame(rows, "q long, status string").groupBy("q").agg(worst_status(F.col("status")).alias("s")).collect()
+    assert {r.q: r.s for r in got} == {1: "ok", 2: "search_limit", 3: "unroutable", 4: "unknown_node"}
+
+
 def test_bench_routing(spark):
     n = Network(spark, SF)
     pairs = [tuple(x) for x in random_pairs(n.stored, 5).collect()]
