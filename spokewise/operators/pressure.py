@@ -45,11 +45,15 @@ def unmatched_edges(edges: DataFrame, matches: DataFrame) -> DataFrame:
 def hazard_pressure(hazards: DataFrame, edges: DataFrame, as_of: Column) -> DataFrame:
     """``edge_id, total, hazard_score`` of edges within 30 m of a report that is open at ``as_of``."""
     open_now = hazards.where(F.col("expires_at") > as_of)
+    return met_pressure(open_now, radius_join(open_now, edges, P.HAZARD_RADIUS_M, point_id="hazard_id"), as_of)
+
+
+def met_pressure(open_now: DataFrame, near: DataFrame, as_of: Column) -> DataFrame:
+    """:func:`hazard_pressure` of open reports whose edges (``hazard_id, edge_id, distance_m``) are known."""
     kind = named(F.col("kind"), P.HAZARD_WEIGHT, P.HAZARD_WEIGHT["other"])
     confirmed = 1.0 + P.CONFIRM_WEIGHT * F.least(F.col("confirmations"), F.lit(P.CONFIRM_MOST))
     life = seconds("expires_at") - seconds("created_at")
     fresh = F.greatest(F.lit(0.0), (seconds("expires_at") - seconds(as_of)) / F.when(life != 0, life))
-    near = radius_join(open_now, edges, P.HAZARD_RADIUS_M, point_id="hazard_id")
     weight = kind * confirmed * fresh * F.exp(-F.col("distance_m") / P.HAZARD_DECAY_M)
     total = near.join(open_now.select("hazard_id", "kind", "confirmations", "created_at", "expires_at"), "hazard_id").groupBy("edge_id").agg(F.sum(weight).alias("total"))
     return total.withColumn("hazard_score", saturate(F.col("total"), P.HAZARD_SATURATION))

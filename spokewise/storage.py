@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 from weakref import WeakKeyDictionary
@@ -82,6 +83,42 @@ def _remove(spark: SparkSession, paths: list[str]) -> int:
     return len(paths)
 
 
+def listed(spark: SparkSession, folder: str) -> list[str]:
+    """The names in a folder of any file system that Spark reads; none if there is no such folder."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    system = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return sorted(f.getPath().getName() for f in system.listStatus(path)) if system.exists(path) else []
+
+
+def remove(spark: SparkSession, *paths: str) -> None:
+    """Deletes files or folders of any file system that Spark writes."""
+    _remove(spark, list(paths))
+
+
+def create_once(spark: SparkSession, path: str, text: str) -> bool:
+    """Writes a small file whole, if there is none of that name; whether it did.
+
+    Of several writers at once one succeeds, and no reader meets half a file: the text goes to a name of its
+    own first. Needs a file system whose rename is atomic and doesn't replace a file, as HDFS's, or a local one.
+    """
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    target, own = hadoop.Path(path), hadoop.Path(f"{path}.{uuid.uuid4().hex}.tmp")
+    system = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    system.mkdirs(target.getParent())
+    out = system.create(own)
+    out.write(bytearray(text.encode()))
+    out.close()
+    try:
+        if system.getScheme() != "file":
+            return system.rename(own, target)
+        os.link(own.toUri().getPath(), target.toUri().getPath())  # the local rename replaces what is there
+        return True
+    except FileExistsError:
+        return False
+    finally:
+        system.delete(own, False)
+
+
 def drop(*steps: DataFrame | None) -> None:
     """Removes steps that nothing reads any more, as a loop does with the round before."""
     for df in steps:

@@ -2,10 +2,13 @@
 
 import datetime as dt
 import json
+import os
+import random
 import struct
 import zlib
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from spokewise.functions.geo import point_wkt
@@ -69,24 +72,90 @@ def test_load_lines(spark):
     assert [x.j.error for x in got] == [None, "unknown field", "not an object", "empty", "too large"]
 
 
+def at(d):
+    return dt.datetime(2024, 1, 1) + dt.timedelta(days=d)
+
+
+class Overlay:
+    """A stream over a folder, run batch by batch, and all events that it was given."""
+
+    def __init__(self, spark, tmp_path, edges):
+        self.spark, self.edges, self.events = spark, edges, []
+        self.source, self.path, self.checkpoint = (f"{tmp_path}/{x}" for x in ("in", "overlay", "checkpoint"))
+
+    def run(self, *rows):
+        self.events += rows
+        self.spark.createDataFrame(rows, hazards.EVENT).coalesce(1).write.mode("append").parquet(self.source)
+        stream = self.spark.readStream.schema(hazards.EVENT).parquet(self.source)
+        hazards.run_overlay(stream, self.edges, self.path, self.checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+    def scores(self, as_of, version=None):
+        return {x.edge_id: (pytest.approx(x.total), pytest.approx(x.hazard_score)) for x in hazards.overlay_at(self.spark, self.path, F.lit(as_of), version).collect()}
+
+    def plain(self, as_of):
+        known = self.spark.createDataFrame([e for e in self.events if e[1] != "tick"], hazards.EVENT)
+        return {x.edge_id: (x.total, x.hazard_score) for x in hazards.overlay(known, self.edges, F.lit(as_of)).collect()}
+
+    def kept(self):
+        rows = hazards.hazards_at(self.spark, self.path).withColumn("t", F.unix_seconds("expires_at")).collect()
+        return {r.hazard_id: (r.confirmations, (r.t - 1_704_067_200) / 86_400) for r in rows}
+
+
+def two_edges(spark):
+    return spark.createDataFrame([(1, [(30.0, -97.0), (30.001, -97.0)]), (2, [(31.0, -97.0), (31.001, -97.0)])], "edge_id long, shape array<struct<lat:double,lon:double>>")
+
+
+def report(n, hazard, lat, kind, d, notes=None):
+    return (n, "report", hazard, lat, -97.0, kind, notes, at(d))
+
+
+def confirm(n, hazard, d):
+    return (n, "confirm", hazard, None, None, None, None, at(d))
+
+
+def tick(n, d):
+    return (n, "tick", None, None, None, None, None, at(d))
+
+
 def test_live_overlay(spark, tmp_path):
-    at = lambda d: dt.datetime(2024, 1, 1) + dt.timedelta(days=d)
-    edges = spark.createDataFrame([(1, [(30.0, -97.0), (30.001, -97.0)]), (2, [(31.0, -97.0), (31.001, -97.0)])], "edge_id long, shape array<struct<lat:double,lon:double>>")
-    first = [(1, "report", 10, 30.0005, -97.0, "debris", None, at(0)), (2, "report", 11, 31.0, -97.0, "pothole", "deep", at(1))]
-    later = [(3, "confirm", 10, None, None, None, None, at(80)), (1, "report", 10, 30.0005, -97.0, "debris", None, at(0)), (4, "report", 12, 40.0, 0.0, "other", "", at(100))]
-    source = str(tmp_path / "in")
-    where = [str(tmp_path / x) for x in ("events", "snapshots", "checkpoint")]
-
-    def run(rows):
-        spark.createDataFrame(rows, hazards.EVENT).coalesce(1).write.mode("append").parquet(source)
-        stream = spark.readStream.schema(hazards.EVENT).parquet(source)
-        hazards.run_overlay(stream, edges, *where).trigger(availableNow=True).start().awaitTermination()
-
-    run(first)
-    pinned = hazards.read_snapshot(spark, where[1], 0)
-    assert sorted(x.edge_id for x in pinned.collect()) == [1, 2]
-    run(later)
-    got = {x.edge_id: x for x in hazards.read_snapshot(spark, where[1], 1).collect()}
-    want = {x.edge_id: x for x in hazards.overlay(spark.createDataFrame(first + later, hazards.EVENT), edges, F.lit(at(100))).collect()}
-    assert sorted(got) == [1] and got[1].total == want[1].total and got[1].total > 0  # the second one has run out
-    assert sorted(x.edge_id for x in pinned.collect()) == [1, 2]
+    live = Overlay(spark, tmp_path, two_edges(spark))
+    live.run(report(1, 10, 30.0005, "debris", 0), report(2, 11, 31.0, "pothole", 1, "deep"))
+    first = max(int(f[6:]) for f in os.listdir(f"{live.path}/reach") if f.startswith("batch="))
+    before = live.plain(at(2))
+    assert sorted(before) == [1, 2] and live.scores(at(2)) == before
+    live.run(confirm(3, 10, 80), report(1, 10, 30.0005, "debris", 0), report(4, 12, 40.0, "other", 100, ""))
+    assert sorted(live.plain(at(100))) == [1] and live.scores(at(100)) == live.plain(at(100))  # the second one has run out
+    assert live.scores(at(2), first) == before  # a pinned version
+
+
+def test_hazards_run_out_by_event_time(spark, tmp_path):
+    live = Overlay(spark, tmp_path, two_edges(spark))
+    live.run(report(1, 10, 30.0005, "debris", 0), report(2, 11, 31.0, "pothole", 0), confirm(3, 10, 50), confirm(3, 10, 50))
+    assert live.kept() == {10: (1, 104), 11: (0, 90)}
+    live.run(tick(4, 91))
+    live.run(tick(5, 91))
+    assert live.kept() == {10: (1, 104)}  # nothing was reported of either
+    live.run(confirm(6, 10, 103), confirm(7, 11, 92), confirm(8, 99, 92))
+    live.run(tick(9, 110))
+    assert live.kept() == {10: (2, 118)} and live.scores(at(105)) == live.plain(at(105))
+    hazards.compact(spark, live.path, max(int(f[6:]) for f in os.listdir(f"{live.path}/reach") if f.startswith("batch=")), clear=True)
+    assert live.kept() == {10: (2, 118)} and live.scores(at(105)) == live.plain(at(105))
+    live.run(report(10, 13, 31.0, "other", 111))
+    assert live.scores(at(112)) == live.plain(at(112)) and sorted(live.kept()) == [10, 13]
+    live.run(tick(11, 119))
+    live.run(tick(12, 119))
+    assert sorted(live.kept()) == [13]
+
+
+def test_overlay_by_differences(spark, tmp_path):
+    r = random.Random(5)
+    live = Overlay(spark, tmp_path, two_edges(spark))
+    for b in range(4):
+        rows = [report(100 * b + i, 100 * b + i, r.choice([30.0, 30.0007, 31.0002, 35.0]), r.choice(["debris", "other", "no such"]), 40 * b + r.random() / 30) for i in range(5)]
+        known = [e[2] for e in live.events if e[1] == "report"] + [x[2] for x in rows]
+        rows += [confirm(100 * b + 50 + i, r.choice(known), 40 * b + 0.035 + r.random() / 200) for i in range(12)]
+        r.shuffle(rows)
+        live.run(*rows)
+        assert live.scores(at(40 * b + 1)) == live.plain(at(40 * b + 1))
+    writes = spark.read.parquet(f"{live.path}/reach").groupBy("hazard_id", "edge_id").count()
+    assert writes.where("count > 1").isEmpty() and not writes.isEmpty()  # edges are looked up once a hazard
