@@ -1,10 +1,7 @@
-"""Tables that change: updates by key, loads without duplicates, published snapshots, saved routes."""
+"""Tables that change: updates by key, loads without duplicates, a snapshot in place, saved routes."""
 
 from __future__ import annotations
 
-
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,28 +35,6 @@ def publish(df: DataFrame, path: str, key: list[str] | None = None) -> None:
     (df.repartition(*key).sortWithinPartitions(*key) if key else df).write.mode("overwrite").parquet(path)
 
 
-def publish_together(tables: dict[str, DataFrame], folder: str) -> str:
-    """Writes tables as one version below ``folder`` and then makes it the current one; returns its name.
-
-    The name is added to a small table last, in one commit, so readers meet all the tables of one version
-    or all those of the one before; a job that fails half-way changes nothing for them. Older versions stay.
-    """
-    version = f"version-{uuid.uuid4().hex[:12]}"
-    for name, df in tables.items():
-        df.write.parquet(f"{folder}/{version}/{name}")
-    spark = next(iter(tables.values())).sparkSession
-    order = F.current_timestamp().alias("at")
-    spark.range(1).select(F.lit(version).alias("version"), order).coalesce(1).write.mode("append").parquet(f"{folder}/current")
-    return version
-
-
-def read_published(spark: SparkSession, folder: str, name: str, version: str | None = None) -> DataFrame:
-    """A table of the current version, or of a given one."""
-    if version is None:
-        version = spark.read.parquet(f"{folder}/current").agg(F.max_by("version", "at")).first()[0]
-    return spark.read.parquet(f"{folder}/{version}/{name}")
-
-
 def refresh_statistics(spark: SparkSession, *tables: str) -> None:
     """Counts anew the rows of catalog tables and the values of their columns, from which Spark plans joins."""
     for t in tables:
@@ -102,5 +77,3 @@ def get_route(saved: DataFrame, user_id: str, route_id: str) -> DataFrame:
 
 def delete_route(saved: DataFrame, user_id: str, route_id: str) -> DataFrame:
     return saved.where(~((F.col("user_id") == user_id) & (F.col("route_id") == route_id)))
-
-

@@ -415,15 +415,6 @@ def test_bench_routing(spark):
     assert rows["guided, no budget"].mean_expansions <= rows["plain, no budget"].mean_expansions
 
 
-def test_published_versions(spark, tmp_path):
-    folder = f"file://{tmp_path}/graph"
-    one = lambda k: {"nodes": spark.range(k), "edges": spark.range(2 * k)}
-    first = updates.publish_together(one(3), folder)
-    updates.publish_together(one(5), folder)
-    assert [updates.read_published(spark, folder, t).count() for t in ("nodes", "edges")] == [5, 10]
-    assert updates.read_published(spark, folder, "edges", first).count() == 6
-
-
 def test_loads(spark):
     nodes = spark.createDataFrame([(1, 5.0), (2, None)], "node_id long, elevation_m double")
     new = spark.createDataFrame([(2, 7.126), (9, 1.0)], "node_id long, elevation_m double")
