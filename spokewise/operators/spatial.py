@@ -3,7 +3,7 @@
 Edges are put into all cells that their box, widened by the radius, touches; a position lies in one cell only,
 so each pair meets once and no duplicates have to be removed. Long edges are cut into legs of their shape
 before, which keeps the number of cells small. Cells are sized from the radius and the latitude, so nothing is
-lost at high latitudes.
+lost at high latitudes. Cells that hold many of the positions are dealt out in parts (:func:`dealt`).
 """
 
 from __future__ import annotations
@@ -17,6 +17,10 @@ from ..functions.geo import segment_distance_m, shape_fraction
 from ..params import EARTH_RADIUS_M, SNAP_CANDIDATES, SNAP_MOST_M
 from ..storage import stash
 
+#: A cell with no more positions than this stays whole, and so does one with at most one in ``CROWD`` of all.
+FEW = 4096
+CROWD = 10_000
+
 _DEGREE_M = math.pi * EARTH_RADIUS_M / 180
 
 
@@ -56,11 +60,32 @@ def leg_cells(legs: DataFrame, radius_m: float, cell_m: float) -> DataFrame:
     return rows.withColumn("_col", F.explode(F.sequence(first, last)))
 
 
-def radius_join(points: DataFrame, edges: DataFrame, radius_m: float, lat: str = "lat", lon: str = "lon", point_id: str = "point_id", edge_id: str = "edge_id", shape: str = "shape", cell_m: float | None = None) -> DataFrame:
-    """``point_id, edge_id, distance_m`` of all pairs within the radius, each once."""
+def crowded_cells(points: DataFrame, few: int) -> DataFrame:
+    """``_row, _col, _parts``: cells with over ``few`` positions and over one in ``CROWD`` of all, hence fewer than
+    ``CROWD`` cells, and the parts that bring each below that number."""
+    counts = points.groupBy("_row", "_col").agg(F.count(F.lit(1)).alias("n"))
+    most = F.greatest(F.lit(few), F.ceil(counts.agg(F.sum("n")).scalar() / CROWD))
+    return counts.where(F.col("n") > most).select("_row", "_col", F.ceil(F.col("n") / most).cast("int").alias("_parts"))
+
+
+def dealt(points: DataFrame, legs: DataFrame, few: int, point_id: str) -> tuple[DataFrame, DataFrame]:
+    """Positions and legs with a ``_part``: positions of a crowded cell are dealt out by a hash, its legs are in each
+    part. A finer grid would do less, as many reports may lie at one place."""
+    crowded = F.broadcast(crowded_cells(points, few))
+    part = F.pmod(F.xxhash64(point_id, "_lat", "_lon"), F.coalesce("_parts", F.lit(1)))
+    p = points.join(crowded, ["_row", "_col"], "left").withColumn("_part", part).drop("_parts")
+    parts = F.sequence(F.lit(0).cast("long"), (F.coalesce("_parts", F.lit(1)) - 1).cast("long"))
+    return p, legs.join(crowded, ["_row", "_col"], "left").withColumn("_part", F.explode(parts)).drop("_parts")
+
+
+def radius_join(points: DataFrame, edges: DataFrame, radius_m: float, lat: str = "lat", lon: str = "lon", point_id: str = "point_id", edge_id: str = "edge_id", shape: str = "shape", cell_m: float | None = None, few: int = FEW) -> DataFrame:
+    """``point_id, edge_id, distance_m`` of all pairs within the radius, each once.
+
+    No task has to meet more than ``few`` positions of a cell, or one in ``CROWD`` of all, at once."""
     cell = cell_m or max(100.0, 4 * radius_m)
     p = point_cells(points.select(point_id, F.col(lat).alias("_lat"), F.col(lon).alias("_lon")), "_lat", "_lon", radius_m, cell)
-    met = p.join(leg_cells(edge_legs(edges, edge_id, shape), radius_m, cell), ["_row", "_col"])
+    p, legs = dealt(p, leg_cells(edge_legs(edges, edge_id, shape), radius_m, cell), few, point_id)
+    met = p.join(legs, ["_row", "_col", "_part"])
     gap = segment_distance_m(F.col("_lat"), F.col("_lon"), F.col("lat1"), F.col("lon1"), F.col("lat2"), F.col("lon2"))
     near = met.select(point_id, edge_id, gap.alias("distance_m")).where(F.col("distance_m") <= radius_m)
     return near.groupBy(point_id, edge_id).agg(F.min("distance_m").alias("distance_m"))

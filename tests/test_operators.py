@@ -273,6 +273,25 @@ def test_radius_join_against_all_pairs(spark):
     assert [(x.point_id, x.edge_id) for x in spatial.radius_join(far, line, 25.0).collect()] == [(1, 1)]
 
 
+def test_crowded_cells(spark):
+    """Nine in ten reports in one block, a third of all at one place: equal pairs, no part over four times the median."""
+    r = random.Random(3)
+    places = [(30.0005, -97.0)] * 3000 + [(30.0 + r.random() / 1500, -97.0 + r.random() / 1500) for _ in range(5100)] + [(30.01 + r.random() / 20, -97.0 + r.random() / 20) for _ in range(900)]
+    points = spark.createDataFrame([(i, *p) for i, p in enumerate(places)], "point_id long, lat double, lon double")
+    edges = spark.createDataFrame([(i, [(30.0 + 0.0002 * i, -97.0), (30.0 + 0.0002 * i, -96.999)]) for i in range(40)], "edge_id long, shape array<struct<lat:double,lon:double>>")
+    pairs = lambda few: {(x.point_id, x.edge_id, x.distance_m) for x in spatial.radius_join(points, edges, 30.0, few=few).collect()}
+    assert len(pairs(10**9)) > 3000 and pairs(10**9) == pairs(50)
+    placed = spatial.point_cells(points.select("point_id", F.col("lat").alias("_lat"), F.col("lon").alias("_lon")), "_lat", "_lon", 30.0, 120.0)
+    p, legs = spatial.dealt(placed, spatial.leg_cells(spatial.edge_legs(edges), 30.0, 120.0), 50, "point_id")
+    whole = max(x["count"] for x in placed.groupBy("_row", "_col").count().collect())
+    sizes = {(x._row, x._col, x._part): x["count"] for x in p.groupBy("_row", "_col", "_part").count().collect()}
+    assert whole > 2000 and sum(sizes.values()) == 9000
+    here = points.where("point_id < 3000").join(placed, "point_id").select("_row", "_col").distinct().collect()
+    crowd = sorted(n for (row, col, _), n in sizes.items() if n > 20)
+    assert len(here) == 1 and len({k for k in sizes if k[:2] == (here[0]._row, here[0]._col)}) > 20 and crowd[-1] <= 4 * crowd[len(crowd) // 2]
+    assert legs.groupBy("edge_id", "_row", "_col", "_part").count().where("count > 1").isEmpty()
+
+
 def test_pressure_edges(spark):
     n = Network(spark, SF)
     as_of = n.as_of("2024-02-15")
