@@ -16,9 +16,11 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import drop, stash
 from .common import text_slices
 
 WINDOW = 10
@@ -152,7 +154,7 @@ def judge(block: ItemBlock, texts: list[str | None]) -> list[tuple[int, list[int
 
 
 def item_blocks(benchmark: DataFrame, item_col: str, text_col: str, window: int, most: int) -> Iterator[ItemBlock]:
-    """The items in blocks of at most ``most`` words (one item at least); the driver holds one block."""
+    """The items in blocks of at most ``most`` words (one item at least); the driver holds two at most."""
     rows = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).alias("text")).where("item IS NOT NULL AND text IS NOT NULL")
     held, n = [], 0
     for row in rows.toLocalIterator():
@@ -166,6 +168,23 @@ def item_blocks(benchmark: DataFrame, item_col: str, text_col: str, window: int,
     yield ItemBlock(held, window)
 
 
+def with_end(blocks: Iterator[ItemBlock]) -> Iterator[tuple[ItemBlock, bool]]:
+    """The blocks, each with whether it is the last one."""
+    held = next(blocks)
+    for b in blocks:
+        yield held, False
+        held = b
+    yield held, True
+
+
+def settled(found: DataFrame, step: DataFrame | None, block: Broadcast) -> tuple[DataFrame, DataFrame, None]:
+    """``found`` written, after which neither the step before nor the block that it was found with is needed."""
+    written = stash(found, "blocks")
+    drop(step)
+    block.destroy()
+    return written, written, None
+
+
 def merged(old: list[int], new: list[int]) -> list[int]:
     """The union of two lists of spans."""
     out: list[int] = []
@@ -187,13 +206,15 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", tex
     sorted as strings, ``longest`` the words of the longest verbatim match of at least a window. One row for
     each row of ``docs``; a null or empty text has no words; an empty benchmark hits nothing; items without
     words or without an id are skipped; items of one id count once; other columns are not read. Documents
-    are not shuffled; items reach the executors in blocks of at most ``block_words`` words.
+    are not shuffled; items reach the executors in blocks of at most ``block_words`` words, and
+    none holds more than one: with more blocks, what was found is written before the next one is sent.
     """
     spark = docs.sparkSession
-    blocks = [spark.sparkContext.broadcast(b) for b in item_blocks(benchmark, item_col, item_text_col, window, block_words)]
-    found = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    for k, block in enumerate(blocks):
-        last = k == len(blocks) - 1
+    found, step, held = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), None, None
+    for k, (items, last) in enumerate(with_end(item_blocks(benchmark, item_col, item_text_col, window, block_words))):
+        if k > 0:
+            found, step, held = settled(found, step, held)
+        block = held = spark.sparkContext.broadcast(items)
 
         def rows(batches: Iterator[pa.RecordBatch], block=block, first=k == 0, last=last) -> Iterator[pa.RecordBatch]:
             for b in text_slices(batches, "text", 8 << 20):
@@ -234,8 +255,11 @@ def hit_digest(found: DataFrame) -> DataFrame:
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
     """The rows of ``docs``, with all their columns, in which no benchmark window stands."""
     spark = docs.sparkSession
-    for b in item_blocks(benchmark, item_col, item_text_col, window, block_words):
-        block = spark.sparkContext.broadcast(b)
+    step = held = None
+    for k, items in enumerate(item_blocks(benchmark, item_col, item_text_col, window, block_words)):
+        if k > 0:
+            docs, step, held = settled(docs, step, held)
+        block = held = spark.sparkContext.broadcast(items)
 
         def rows(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
             for b in text_slices(batches, text_col, 8 << 20):

@@ -4,6 +4,7 @@ import random
 import re
 
 from spokewise.llm import decontaminate, queries
+from spokewise.storage import names
 from tests.oracle import compare
 
 WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
@@ -64,6 +65,34 @@ def test_every_place(spark):
         assert sorted(r.doc_id for r in kept.collect()) == [i for i, x in hits(docs, items).items() if not x[1]]
 
 
+def test_one_block_at_a_time(spark, monkeypatch):
+    """A block is sent only after what the one before found was written; steps and blocks in between are gone."""
+    docs, items = made(7)
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    d = d.unionByName(d.where("doc_id = 1"))  # an id twice stays two rows
+    b = spark.createDataFrame(items, "item_id long, text string")
+    live, most = [], []
+    send, written = spark.sparkContext.broadcast, len(names(spark))
+    real = decontaminate.settled
+
+    def settled(found, step, block):
+        out = real(found, step, block)
+        live.remove(id(block))
+        return out
+
+    def broadcast(value):
+        sent = send(value)
+        live.append(id(sent))
+        most.append(len(live))
+        return sent
+
+    monkeypatch.setattr(decontaminate, "settled", settled)
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda self, value: broadcast(value) if isinstance(value, decontaminate.ItemBlock) else send(value))
+    found = decontaminate.find_hits(d, b, block_words=30)
+    assert len(most) > 2 and max(most) == 1 and len(names(spark)) == written + 1
+    assert found.count() == len(docs) + 1 and digest(found) == hits(docs, items)
+
+
 def test_longest_match(spark):
     d = spark.createDataFrame([(1, "x y " + " ".join(f"w{i}" for i in range(13)) + " z"), (2, "y")], "doc_id long, text string")
     b = spark.createDataFrame([("i", " ".join(f"w{i}" for i in range(20)))], "item_id string, text string")
