@@ -229,6 +229,13 @@ def snap_nearest(n: Network) -> DataFrame:
     return near.select("point_id", "rank", r("distance_m", 4).alias("distance_m"))
 
 
+@query(sql.with_graph(_NEAR, """SELECT point_id, CASE WHEN ((p.lon - lon1) * (lon2 - lon1) + (p.lat - lat1) * (lat2 - lat1)) / ((lon2 - lon1) ** 2 + (lat2 - lat1) ** 2) >= 0.5 THEN to_node ELSE from_node END AS node,
+  round(gap, 4) AS distance_m FROM near JOIN point p USING (point_id) JOIN edge USING (edge_id) WHERE rank = 1"""))
+def snap_node(n: Network) -> DataFrame:
+    """The node of each position: the nearer end of its nearest edge, whichever of two directions that is."""
+    return spatial.snap(snap_points(n), n.edges).select("point_id", "node", r("distance_m", 4).alias("distance_m"))
+
+
 @query(sql.with_graph(_NEAR, "SELECT point_id, round(min(gap), 4) AS distance_m FROM near JOIN edge USING (edge_id) WHERE from_node % 3 = 0 GROUP BY point_id"))
 def snap_main_component(n: Network) -> DataFrame:
     main = n.nodes.where("node_id % 3 = 0").select(F.col("node_id").alias("node"))
