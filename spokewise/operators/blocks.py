@@ -13,6 +13,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 from math import asin, cos, inf, radians, sin, sqrt
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -31,7 +32,8 @@ RUN = f"round int, query_id long, block int, bound double, waits double, n_label
 class Blocks:
     """``edges``: those that may be ridden (``edge_id, from_node, to_node, length_m, cost, spent, block``, the block
     of their end); ``pairs``: those that follow each other (``in_edge, edge_id, turn_cost``, ...); ``table``: a row for
-    each block. ``cost_a_metre``: of all edges, on average."""
+    each block. ``cost_a_metre``: of all edges, on average. ``n_marks``: entries of an edge's ``marks``
+    (:mod:`.landmarks`), 0 for none."""
 
     edges: DataFrame
     pairs: DataFrame
@@ -39,6 +41,7 @@ class Blocks:
     cost_a_metre: float
     budget_m: float | None
     buckets: int | None
+    n_marks: int = 0
 
     @property
     def limits(self) -> Limits:
@@ -81,44 +84,57 @@ def homes(edges: DataFrame, nodes: DataFrame | None, size: int) -> DataFrame:
     return stash(numbered(ends, "i", ["z", "node"]).select("node", F.floor(F.col("i") / size).cast("int").alias("block"), "lat", "lon"), "homes")
 
 
-def blocks_of(costs: DataFrame, turns: DataFrame | None = None, nodes: DataFrame | None = None, budget_m: float | None = None, buckets: int | None = None, size: int = NODES) -> Blocks:
+def blocks_of(costs: DataFrame, turns: DataFrame | None = None, nodes: DataFrame | None = None, budget_m: float | None = None, buckets: int | None = None, size: int = NODES, landmarks: DataFrame | None = None) -> Blocks:
     """The graph of one rider in blocks. Edges that are ``over`` spend the budget, if there is one; without
-    ``buckets`` it is kept exactly. Places of ``nodes`` guide a search."""
+    ``buckets`` it is kept exactly. Places of ``nodes`` guide a search, and so do ``landmarks`` (``edge_id, marks``)."""
     number = lambda c: F.col(c).cast("double").alias(c)
     spent = F.when(F.col("over"), F.col("length_m").cast("double")).otherwise(0.0) if budget_m is not None else F.lit(0.0)
     e = costs.where("allowed").select(F.col("edge_id").cast("long").alias("edge_id"), F.col("from_node").cast("long").alias("from_node"), F.col("to_node").cast("long").alias("to_node"), number("length_m"), number("cost"), spent.alias("spent"))
-    e = stash(e.join(homes(e, nodes, size).withColumnRenamed("node", "to_node"), "to_node"), "ridable")
-    pairs = e.select(F.col("edge_id").alias("in_edge"), F.col("to_node").alias("from_node"), F.col("block").alias("home")).join(e, "from_node")
+    e = e.join(homes(e, nodes, size).withColumnRenamed("node", "to_node"), "to_node")
+    e = stash(e if landmarks is None else e.join(landmarks.select("edge_id", "marks"), "edge_id", "left"), "ridable")
+    pairs = e.select(F.col("edge_id").alias("in_edge"), F.col("to_node").alias("from_node"), F.col("block").alias("home")).join(e.drop("marks"), "from_node")
     if turns is None:
         pairs = pairs.withColumn("turn_cost", F.lit(0.0))
     else:
         pairs = pairs.join(turns.select("in_edge", F.col("out_edge").alias("edge_id"), number("turn_cost")), ["in_edge", "edge_id"], "left").fillna(0.0, ["turn_cost"])
     pairs = stash(pairs.drop("from_node"), "moves")
     move = F.struct("in_edge", "edge_id", "to_node", "cost", "turn_cost", "spent", "length_m", "block", "lat", "lon")
-    rows = pairs.groupBy(F.col("home").alias("block")).agg(F.collect_list(move).alias("moves"))
+    rows, n_marks = pairs.groupBy(F.col("home").alias("block")).agg(F.collect_list(move).alias("moves")), 0
+    if landmarks is None:
+        rows = rows.withColumn("marks", F.lit(None).cast("array<struct<edge_id: bigint, marks: array<double>>>"))
+    else:  # of edges that end in the block or leave it
+        n_marks = e.agg(F.max(F.size("marks"))).first()[0] or 0
+        near = e.select("block", "edge_id").unionByName(pairs.select(F.col("home").alias("block"), "edge_id")).distinct()
+        near = near.join(e.where("marks IS NOT NULL").select("edge_id", "marks"), "edge_id")
+        rows = rows.join(near.groupBy("block").agg(F.collect_list(F.struct("edge_id", "marks")).alias("marks")), "block", "left")
     parts = int(costs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     buckets = min(max(1, buckets), P.BUDGET_BUCKETS_MOST) if buckets else None
     mean = e.agg(F.sum("cost") / F.nullif(F.sum("length_m"), F.lit(0.0))).first()[0]
-    return Blocks(e, pairs, stash_bucketed(rows, "blocks", "block", parts), max(1.0, mean or 1.0), budget_m, buckets)
+    return Blocks(e, pairs, stash_bucketed(rows, "blocks", "block", parts), max(1.0, mean or 1.0), budget_m, buckets, max(n_marks, 0))
 
 
 # --- inside a task ------------------------------------------------------------------------------------
 
-_kept: OrderedDict[tuple[str, int], dict] = OrderedDict()
+_kept: OrderedDict[tuple[str, int], tuple[dict, dict, np.ndarray]] = OrderedDict()
 
 
-def opened(name: str, block: int, moves: pa.StructArray) -> dict[int, list[tuple]]:
-    """The moves out of each edge; the last blocks opened stay with the worker."""
-    found = _kept.get((name, block))
-    if found is None:
-        found = {}
+def opened(name: str, block: int, moves: pa.StructArray, marks: pa.StructArray | None) -> tuple[dict[int, list[tuple]], dict[int, int], np.ndarray]:
+    """The moves out of each edge, and the rows of edges in a table of their marks; the last blocks opened stay with
+    the worker."""
+    held = _kept.get((name, block))
+    if held is None:
+        found: dict[int, list[tuple]] = {}
         columns = [moves.field(c).to_pylist() for c in ("in_edge", "edge_id", "to_node", "cost", "turn_cost", "spent", "length_m", "block", "lat", "lon")]
         for a, *move in zip(*columns):
             found.setdefault(a, []).append(tuple(move))
-        _kept[name, block] = found
+        row, table = {}, np.zeros((0, 0))
+        if marks is not None and len(marks):
+            row = {edge: k for k, edge in enumerate(marks.field("edge_id").to_pylist())}
+            table = marks.field("marks").flatten().to_numpy(zero_copy_only=False).reshape(len(marks), -1)
+        held = _kept[name, block] = found, row, table
         while len(_kept) > KEPT:
             _kept.popitem(last=False)
-    return found
+    return held
 
 
 def metres(a: float, b: float, lat: float, lon: float) -> float:
@@ -137,8 +153,9 @@ class Found:
     labels: list[dict] = field(default_factory=list)
 
 
-def search(block: int, moves: dict[int, list[tuple]], ask: dict, limits: Limits) -> Found:
-    """All labels of a block by order of cost (and the straight way left), from all letters that came in.
+def search(block: int, moves: dict[int, list[tuple]], ask: dict, limits: Limits, marked: dict[int, int], marks: np.ndarray) -> Found:
+    """All labels of a block by order of cost (and the least that is left: the straight way, or by landmarks), from
+    all letters that came in.
 
     A label is final when it is taken: of one edge and bucket only the first, or in the exact form each that spent
     less than those before. At a tie the one that spent less comes first. Labels beyond the request's ``horizon`` wait
@@ -149,17 +166,25 @@ def search(block: int, moves: dict[int, list[tuple]], ask: dict, limits: Limits)
     guided, ahead = None not in place, {}
     out, letters, horizon, waits = Found(), ask["letters"], inf if ask["horizon"] is None else ask["horizon"], inf
 
-    def left(node: int, lat: float | None, lon: float | None) -> float:
-        if not guided or lat is None:
-            return 0.0
-        if node not in ahead:
-            ahead[node] = 0.999 * metres(lat, lon, *place)
-        return ahead[node]
+    towards = None if ask["marks"] is None or not len(marks) else np.array(ask["marks"])
+
+    def left(edge: int, lat: float | None, lon: float | None) -> float:
+        """Less than what is left by a thousandth, so that rounding never makes the order wrong."""
+        least = ahead.get(edge)
+        if least is None:
+            least = 0.0 if not guided or lat is None else metres(lat, lon, *place)
+            if towards is not None and edge in marked:
+                with np.errstate(invalid="ignore"):  # a landmark that knows neither says nothing
+                    far = float(np.fmax.reduce(towards - marks[marked[edge]]))
+                least = max(least, far) if far == far else least
+            ahead[edge] = least = 0.999 * least
+        return least
 
     taken: list[tuple[int, int, int]] = []  # edge, the label before, the letter it began with
     first: dict = {}  # the least spent of each state so far
     leaving: dict[int, dict[tuple, tuple]] = {}
-    heap = [(x["cost"], x["cost"], x["used"], x["edge"], -1, k, x["length"], x["to_node"]) for k, x in enumerate(letters)]
+    begun = (lambda edge: 0.0) if towards is None else (lambda edge: left(edge, None, None))
+    heap = [(x["cost"] + begun(x["edge"]), x["cost"], x["used"], x["edge"], -1, k, x["length"], x["to_node"]) for k, x in enumerate(letters)]
     heapq.heapify(heap)
 
     def letter(edge: int, node: int, cost: float, used: float, length: float, back: int, own: list[int]) -> dict:
@@ -173,7 +198,7 @@ def search(block: int, moves: dict[int, list[tuple]], ask: dict, limits: Limits)
 
     while heap:
         f, cost, used, edge, back, entry, length, node = heapq.heappop(heap)
-        if cost > bound:
+        if cost > bound or f == inf:
             continue
         if f > horizon:
             waits = min(waits, f)
@@ -196,8 +221,8 @@ def search(block: int, moves: dict[int, list[tuple]], ask: dict, limits: Limits)
             if limits.budget_m is not None and u > limits.budget_m:
                 continue
             c = cost + turn + edge_cost * factor.get(to, 1.0)
-            f = c + left(to_node, lat, lon)
-            if f > bound:
+            f = c + left(to, lat, lon)
+            if f > bound or f == inf:  # too dear, or no way leads there
                 continue
             if f > horizon:
                 waits = min(waits, f)
@@ -232,10 +257,10 @@ def runner(name: str, number: int, limits: Limits, schema: pa.Schema):
         for b in batches:
             for k in range(b.num_rows):
                 block = b.column("block")[k].as_py()
-                moves = opened(name, block, b.column("moves")[k].values)
+                moves, marked, marks = opened(name, block, b.column("moves")[k].values, b.column("marks")[k].values)
                 rows = []
                 for ask in b.column("asks")[k].as_py():
-                    got = search(block, moves, ask, limits)
+                    got = search(block, moves, ask, limits, marked, marks)
                     mail = [{"dst": d, "digest": digest(x), "letters": x} for d, x in sorted(got.mail.items())]
                     before, now = ({x["dst"]: x["digest"] for x in own} for own in (ask["before"] or (), mail))
                     least = min((x for x in (ask["bound"], got.goal and got.goal["cost"]) if x is not None), default=None)

@@ -36,11 +36,13 @@ HOT = 16
 #: How far a request goes at first, in lengths of its straight way at the average cost of a metre; and by how much
 #: more each time.
 FIRST_REACH, WIDER = 2.0, 3.0
+#: How far at first where landmarks tell the least that a trip costs, in that cost.
+MARKED_REACH = 1.15
 
 
 def _inputs(active: DataFrame, info: DataFrame, sources: DataFrame, latest: DataFrame | None, reach: float) -> DataFrame:
     """``dst, ask``: what each active request (``query_id, dst``) brings to a block."""
-    horizon = (F.col("straight") * reach).alias("horizon")
+    horizon = (F.col("first_reach") * reach).alias("horizon")
     letters = sources.join(active, ["query_id", "dst"])
     if latest is None:
         out = active.withColumns({"before": F.lit(None).cast("array<struct<dst: int, digest: bigint>>"), "bound": F.lit(None).cast("double")})
@@ -53,7 +55,25 @@ def _inputs(active: DataFrame, info: DataFrame, sources: DataFrame, latest: Data
     letters = letters.groupBy("query_id", "dst").agg(F.flatten(F.collect_list("letters")).alias("letters"))
     out = out.join(letters, ["query_id", "dst"], "left").join(info, "query_id")
     none = F.array().cast(letters.schema["letters"].dataType)
-    return out.select("dst", F.struct("query_id", "goal", "goal_lat", "goal_lon", "factors", "bound", "before", horizon, F.coalesce("letters", none).alias("letters")).alias("ask"))
+    return out.select("dst", F.struct("query_id", "goal", "goal_lat", "goal_lon", "factors", "marks", "bound", "before", horizon, F.coalesce("letters", none).alias("letters")).alias("ask"))
+
+
+def _reaches(asks: DataFrame, info: DataFrame, b: Blocks) -> DataFrame:
+    """``info`` with ``marks``, the landmarks' numbers of each goal, and the cost ``first_reach`` that a request goes to
+    at first."""
+    by_place = F.col("straight") * (FIRST_REACH * b.cost_a_metre)
+    if not b.n_marks:
+        return info.withColumns({"marks": F.lit(None).cast("array<double>"), "first_reach": by_place})
+    goals = info.where("goal IS NOT NULL").select("goal").distinct().join(b.edges.select(F.col("to_node").alias("goal"), F.col("marks").alias("own")), "goal")
+    # a goal with an edge that no landmark knows has none
+    goals = goals.groupBy("goal").agg(F.when(F.count("own") == F.count("*"), F.array(*(F.min(F.col("own")[i]) for i in range(b.n_marks)))).alias("marks"))
+    info = info.join(goals, "goal", "left")
+    starts = asks.select("query_id", F.col("node").alias("from_node")).join(b.edges.select("from_node", "cost", F.col("marks").alias("own")), "from_node").join(info.select("query_id", "marks"), "query_id")
+    gaps = F.filter(F.zip_with("marks", "own", lambda g, x: g - x), lambda x: ~F.isnan(x))
+    least = F.min(F.col("cost") + F.greatest(F.coalesce(F.array_max(gaps), F.lit(0.0)), F.lit(0.0)))
+    least = starts.groupBy("query_id").agg(least.alias("least"))
+    known = F.col("marks").isNotNull() & F.col("least").isNotNull() & (F.col("least") < F.lit(float("inf")))
+    return info.join(least, "query_id", "left").withColumn("first_reach", F.when(known, F.col("least") * MARKED_REACH).otherwise(by_place)).drop("least")
 
 
 def _latest(runs: list[DataFrame], active: DataFrame | None = None) -> DataFrame:
@@ -76,6 +96,7 @@ def spread(asks: DataFrame, b: Blocks, dearer: DataFrame | None = None, limits:
     limits = limits or b.limits
     spark = asks.sparkSession
     info = asks.groupBy("query_id").agg(*(F.first(c).alias(c) for c in ("goal", "goal_lat", "goal_lon", "straight")))
+    info = _reaches(asks, info, b)
     starts = asks.select("query_id", F.col("node").alias("from_node")).distinct().join(b.edges, "from_node")
     factor = F.lit(1.0)
     if dearer is None:
@@ -104,7 +125,7 @@ def spread(asks: DataFrame, b: Blocks, dearer: DataFrame | None = None, limits:
         return stash(rows.where(again).select("query_id", F.col("block").alias("dst")), "active")
 
     crowd = lambda df: df.groupBy("dst").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dst").collect()
-    active, runs, reach = sources.select("query_id", "dst"), [], FIRST_REACH * b.cost_a_metre
+    active, runs, reach = sources.select("query_id", "dst"), [], 1.0
     for number in range(max_rounds):
         top = crowd(active)
         if not top and runs:
@@ -120,7 +141,7 @@ def spread(asks: DataFrame, b: Blocks, dearer: DataFrame | None = None, limits:
         rows = met.join(b.table, "block") if not hot else met.where(~F.col("block").isin(hot)).join(b.table, "block").unionByName(
             met.where(F.col("block").isin(hot)).repartition("block", "chunk").join(F.broadcast(b.table.where(F.col("block").isin(hot))), "block")
         )
-        runs.append(stash(rows.select("block", "moves", "asks").mapInArrow(runner(name, number, limits, schema), RUN), "runs"))
+        runs.append(stash(rows.select("block", "moves", "marks", "asks").mapInArrow(runner(name, number, limits, schema), RUN), "runs"))
         active = runs[-1].select("query_id", F.explode("changed").alias("dst")).distinct()
     if not runs:
         return spark.createDataFrame([], RUN), sources
@@ -196,17 +217,18 @@ def _with_reverses(path: DataFrame, costs: DataFrame) -> DataFrame:
     return path.select("query_id", "edge_id").unionByName(other).distinct()
 
 
-def route_requests(requests: DataFrame, costs: DataFrame, turns: DataFrame | None = None, nodes: DataFrame | None = None, budget_m: float = 0.0, buckets: int = P.BUDGET_BUCKETS, exact: bool = False, n_alternatives: int = 0, most_labels: int = P.EXPANSIONS_MOST, block_nodes: int = NODES) -> DataFrame:
+def route_requests(requests: DataFrame, costs: DataFrame, turns: DataFrame | None = None, nodes: DataFrame | None = None, budget_m: float = 0.0, buckets: int = P.BUDGET_BUCKETS, exact: bool = False, n_alternatives: int = 0, most_labels: int = P.EXPANSIONS_MOST, block_nodes: int = NODES, landmarks: DataFrame | None = None) -> DataFrame:
     """One row for each request (``query_id, from_node, to_node``), or more with alternatives: ``query_id, choice,
     status, edges, cost, length_m, budget_used_m, expansions``; choice 0 is the cheapest.
 
     Status: ``ok``, ``unroutable``, ``search_limit`` (over ``most_labels`` labels without a path) or ``unknown_node``.
-    Places of ``nodes`` guide the search; no metre may cost less than one then. With a budget, labels of one edge and
+    Places of ``nodes`` guide the search; no metre may cost less than one then. So do ``landmarks``
+    (:func:`~.landmarks.landmark_table`), which pay for long trips. With a budget, labels of one edge and
     bucket are kept by cost, or with ``exact`` all that no other label betters in both cost and budget. Where
     ``requests`` have a column ``with_alternatives``, only those that say true get any.
     ``expansions`` are the labels that a request met.
     """
-    b = blocks_of(costs, turns, nodes, budget_m if budget_m > 0 else None, None if exact else buckets, block_nodes)
+    b = blocks_of(costs, turns, nodes, budget_m if budget_m > 0 else None, None if exact else buckets, block_nodes, landmarks)
     long = lambda c: F.col(c).cast("long").alias(c)
     ends = costs.select(F.col("from_node").alias("node")).unionByName(costs.select(F.col("to_node").alias("node"))).distinct().withColumn("_is", F.lit(True))
     wants = F.col("with_alternatives") if "with_alternatives" in requests.columns else F.lit(True)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.costs import duration_s, edge_cost, is_allowed, is_over, round_places, turn_cost
 from ..operators import network, routes
+from ..operators.landmarks import LANDMARKS, landmark_table
 from ..operators.paths import route_requests
 from ..operators.spatial import snap
 from ..operators.ways import numbered
@@ -31,11 +32,18 @@ def turn_table(edges: DataFrame, nodes: DataFrame, p: Profile) -> DataFrame:
     return network.turns(edges, nodes).select("in_edge", "out_edge", cost.alias("turn_cost"))
 
 
-def plan_nodes(requests: DataFrame, edges: DataFrame, nodes: DataFrame, profile: str | Profile = "comfortable", night: bool = False, hazards: DataFrame | None = None, n_alternatives: int = 0, exact: bool = False) -> DataFrame:
+def plan_nodes(requests: DataFrame, edges: DataFrame, nodes: DataFrame, profile: str | Profile = "comfortable", night: bool = False, hazards: DataFrame | None = None, n_alternatives: int = 0, exact: bool = False, landmarks: DataFrame | None = None) -> DataFrame:
     """Routes between nodes (``query_id, from_node, to_node``): the columns of
-    :func:`~spokewise.operators.paths.route_requests`."""
+    :func:`~spokewise.operators.paths.route_requests`. ``landmarks`` are those of the same profile, by day or night and
+    with or without hazards (:func:`landmarks_for` makes them by day without any, which serves all)."""
     p = PROFILES[profile] if isinstance(profile, str) else profile
-    return route_requests(requests, cost_table(edges, p, night, hazards), turn_table(edges, nodes, p), nodes, p.stress_budget_m, exact=exact, n_alternatives=n_alternatives)
+    return route_requests(requests, cost_table(edges, p, night, hazards), turn_table(edges, nodes, p), nodes, p.stress_budget_m, exact=exact, n_alternatives=n_alternatives, landmarks=landmarks)
+
+
+def landmarks_for(edges: DataFrame, nodes: DataFrame, profile: str | Profile = "comfortable", n: int = LANDMARKS, main: DataFrame | None = None) -> DataFrame:
+    """``edge_id, marks``: what bounds a rider's long trips; to be written once and given to every plan."""
+    p = PROFILES[profile] if isinstance(profile, str) else profile
+    return landmark_table(cost_table(edges, p), turn_table(edges, nodes, p), nodes, n, main)
 
 
 #: What a leg may come to, from good to bad: a wider search may mend the second, another profile the third.
@@ -100,14 +108,14 @@ def bench_routing(edges: DataFrame, nodes: DataFrame, n: int = 100, profile: str
     return out
 
 
-def plan_route(waypoints: DataFrame, edges: DataFrame, nodes: DataFrame, profile: str | Profile = "comfortable", night: bool = False, hazards: DataFrame | None = None, main: DataFrame | None = None, n_alternatives: int = 0, exact: bool = False) -> DataFrame:
+def plan_route(waypoints: DataFrame, edges: DataFrame, nodes: DataFrame, profile: str | Profile = "comfortable", night: bool = False, hazards: DataFrame | None = None, main: DataFrame | None = None, n_alternatives: int = 0, exact: bool = False, landmarks: DataFrame | None = None) -> DataFrame:
     """One row for each ``query_id`` of ``waypoints`` (``query_id, pos`` from 0, ``lat, lon``), with ``choice`` 0, and
     up to ``n_alternatives`` more for those of two waypoints.
 
     Waypoints are put at nodes, neighbours joined by legs, each with the whole stress budget and no turn
     between them. ``status`` is ``ok``, ``snap_failed``, ``same_point`` or the worst of the legs, with ``error``
     (:func:`failure`); then totals, score, breakdown, segments, geometry, and the length and score of the
-    shortest route beside (null if there is none).
+    shortest route beside (null if there is none). ``landmarks`` of the profile (:func:`landmarks_for`) guide the legs.
     """
     p = PROFILES[profile] if isinstance(profile, str) else profile
     points = waypoints.withColumn("point_id", F.struct("query_id", "pos"))
@@ -118,7 +126,7 @@ def plan_route(waypoints: DataFrame, edges: DataFrame, nodes: DataFrame, profile
     legs = legs.join(wanted, "query_id").withColumn("with_alternatives", F.col("_points") == 2).drop("_points")
     ask = legs.select(F.col("leg_id").alias("query_id"), "from_node", "to_node", "with_alternatives")
     own = ["leg_id", "choice", "status", "edges", "cost", "length_m", "budget_used_m"]
-    got = plan_nodes(ask, edges, nodes, p, night, hazards, n_alternatives, exact).withColumnRenamed("query_id", "leg_id").select(*own).join(legs.select("leg_id", "query_id", "pos"), "leg_id")
+    got = plan_nodes(ask, edges, nodes, p, night, hazards, n_alternatives, exact, landmarks).withColumnRenamed("query_id", "leg_id").select(*own).join(legs.select("leg_id", "query_id", "pos"), "leg_id")
     shortest = plan_nodes(ask, edges, nodes, "shortest").select(F.col("query_id").alias("leg_id"), "edges", F.col("length_m").alias("base_m")).join(legs.select("leg_id", "query_id", "pos"), "leg_id")
     base = shortest.groupBy("query_id").agg(F.when(F.count("base_m") == F.count("*"), F.sum("base_m")).alias("baseline_m"))
     beside = shortest.where("edges IS NOT NULL").select("query_id", F.posexplode("edges").alias("pos", "edge_id"))

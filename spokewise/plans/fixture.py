@@ -114,6 +114,12 @@ class Network:
         start = s * 19 % self.size
         return self.read("supplier").select(s.alias("query_id"), start.alias("from_node"), (start + 83).alias("to_node")).where((F.col("from_node") % 40 <= 36) & (F.col("to_node") < self.size))
 
+    @cached_property
+    def requests_far(self) -> DataFrame:
+        """From each supplier's node to the one as far from the other end of the grid."""
+        s = F.col("s_suppkey") * 19 % self.size
+        return self.read("supplier").select(F.col("s_suppkey").alias("query_id"), s.alias("from_node"), (F.lit(self.size - 1) - s).alias("to_node")).where("from_node <> to_node")
+
     @staticmethod
     def as_of(day: str) -> Column:
         return F.lit(day).cast("timestamp")

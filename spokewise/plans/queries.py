@@ -13,8 +13,9 @@ from ..operators.paths import relax, route_requests
 from ..profiles import PROFILES
 from ..sources import crashes as crash_source
 from ..sources import tables
+from ..storage import stash
 from . import sql
-from .api import cost_table, plan_route, turn_table
+from .api import cost_table, landmarks_for, plan_route, turn_table
 from .fixture import CRASH_AS_OF, HAZARD_AS_OF, Network
 
 QUERIES: dict = {}
@@ -270,12 +271,12 @@ def graph_extent(n: Network) -> DataFrame:
 # --- paths --------------------------------------------------------------------------------------------
 
 
-def _edge_search(p, budget: bool = False) -> str:
+def _edge_search(p, budget: bool = False, request: str = "request") -> str:
     allowed = "true" if p.stress_budget_m > 0 and budget else f"lts <= {p.max_lts}" if p.stress_budget_m == 0 else "true"
     return sql.MAX_LTS + f""", c AS (SELECT edge_id, from_node, to_node, length_m, length_m * {sql.multiplier(p)} AS cost FROM edge WHERE {allowed}),
 t AS (SELECT in_edge, out_edge, c.cost + {sql.turn(p)} AS step FROM move JOIN c ON c.edge_id = out_edge),
 best(query_id, edge_id, cost) USING KEY (query_id, edge_id) AS (
-  SELECT query_id, edge_id, cost FROM request JOIN c USING (from_node)
+  SELECT query_id, edge_id, cost FROM {request} JOIN c USING (from_node)
   UNION
   SELECT b.query_id, t.out_edge, min(b.cost + t.step) FROM best b JOIN t ON t.in_edge = b.edge_id LEFT JOIN recurring.best r ON r.query_id = b.query_id AND r.edge_id = t.out_edge
   WHERE r.cost IS NULL OR b.cost + t.step < r.cost - 1e-9 GROUP BY b.query_id, t.out_edge)
@@ -298,6 +299,19 @@ for _p in (PROFILES["comfortable"], PROFILES["shortest"], PROFILES["confident"])
         return got.where("status = 'ok'").select("query_id", r("cost", 4).alias("cost"))
 
 
+_FAR = "far AS (SELECT s_suppkey AS query_id, s_suppkey * 19 % n AS from_node, n - 1 - s_suppkey * 19 % n AS to_node FROM supplier, n WHERE 2 * (s_suppkey * 19 % n) <> n - 1),\n"
+_LONG = _free(PROFILES["comfortable"])
+
+
+@query(sql.with_graph(_FAR + _edge_search(_LONG, request="far"), "SELECT query_id, round(min(b.cost), 4) AS cost FROM best b JOIN c USING (edge_id) JOIN far q USING (query_id) WHERE c.to_node = q.to_node GROUP BY query_id", recursive=True))
+def route_cost_long(n: Network) -> DataFrame:
+    """Trips from each supplier's node to the one opposite, up to the whole network long, guided by landmarks."""
+    far = n.requests_far
+    marks = stash(landmarks_for(n.stored, n.nodes, _LONG), "landmarks")
+    got = route_requests(far, cost_table(n.stored, _LONG), turn_table(n.stored, n.nodes, _LONG), n.nodes, landmarks=marks)
+    return got.where("status = 'ok'").select("query_id", r("cost", 4).alias("cost"))
+
+
 @query(sql.with_graph("""dist(node, m) USING KEY (node) AS (
   SELECT 0::BIGINT, 0.0::DOUBLE
   UNION SELECT e.to_node, min(d.m + e.length_m) FROM dist d JOIN edge e ON e.from_node = d.node LEFT JOIN recurring.dist r ON r.node = e.to_node
