@@ -24,6 +24,8 @@ from .ways import numbered
 
 #: Nodes of a block, requests that meet a block in one row, blocks that a worker keeps.
 NODES, ASKS, KEPT = 12_000, 128, 2
+#: A request with more labels than this that are kept is sent on at once, so a worker holds those of one.
+SENT = 5_000
 LETTER = "struct<edge: bigint, to_node: bigint, cost: double, used: double, length: double, p_edge: bigint, p_used: double, p_src: int, seg: array<bigint>>"
 RUN = f"round int, query_id long, block int, bound double, waits double, n_labels long, goal {LETTER}, mail array<struct<dst: int, digest: bigint, letters: array<{LETTER}>>>, changed array<int>, labels array<{LETTER}>"
 
@@ -266,7 +268,11 @@ def runner(name: str, number: int, limits: Limits, schema: pa.Schema):
                     least = min((x for x in (ask["bound"], got.goal and got.goal["cost"]) if x is not None), default=None)
                     changed = sorted(d for d in before.keys() | now.keys() if before.get(d) != now.get(d))
                     rows.append({"round": number, "query_id": ask["query_id"], "block": block, "bound": least, "waits": got.waits, "n_labels": got.n, "goal": got.goal, "mail": mail, "changed": changed, "labels": got.labels})
-                yield pa.RecordBatch.from_pylist(rows, schema)
+                    if len(got.labels) > SENT:
+                        yield pa.RecordBatch.from_pylist(rows, schema)
+                        rows = []
+                if rows:
+                    yield pa.RecordBatch.from_pylist(rows, schema)
 
     return run
 
