@@ -6,11 +6,12 @@ import math
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from spokewise.operators import components as C
-from spokewise.operators import network, paths, pressure, routes, spatial, terrain, updates, ways
+from spokewise.operators import blocks, network, paths, pressure, routes, spatial, terrain, updates, ways
 from spokewise.functions.geo import points_wkt
 from spokewise.plans.api import bench_routing, failure, plan_route, random_pairs, worst_status
 from spokewise.plans.fixture import Network
@@ -258,6 +259,34 @@ def test_components(spark):
     assert C.connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_labels_without_paths_name_no_edges():
+    moves = {i: [(i + 1, i + 2, 1.0, 0.0, 0.0, 1.0, 0, None, None)] for i in range(50)}
+    ask = {"factors": None, "goal": None, "goal_lat": None, "goal_lon": None, "bound": None, "horizon": None, "marks": None, "letters": [{"edge": 0, "to_node": 1, "cost": 1.0, "used": 0.0, "length": 1.0, "src": -1}]}
+    whole, bare = (blocks.search(0, moves, ask, blocks.Limits(keep_labels=True, keep_paths=k), {}, np.zeros((0, 0))).labels for k in (True, False))
+    assert [(x["edge"], x["cost"]) for x in whole] == [(x["edge"], x["cost"]) for x in bare] == [(i, i + 1.0) for i in range(51)]
+    assert sum(len(x["seg"]) for x in whole) == 51 * 50 // 2 and not any(x["seg"] for x in bare)
+
+
+def test_rounds_move_letters_by_shuffle(spark, monkeypatch):
+    """The labels of a round aren't read for its letters, which are met by shuffle, whatever the size of their files;
+    requests that crowd a block are dealt out to tasks of their own, with equal results."""
+    edges = [(i, i + 1, 10 + i % 3) for i in range(12)] + [(i + 1, i, 11) for i in range(12)]
+    asks = [(i, 12 - i) for i in range(13) if i != 6]
+    costs = lambda: {k: (x.status, x.cost, x.edges) for k, x in found(spark, edges, *asks, block_nodes=4).items()}
+    want, plans, inputs = costs(), [], paths._inputs
+
+    def kept(*args):
+        out = inputs(*args)
+        plans.append(out._jdf.queryExecution().executedPlan().toString())
+        return out
+
+    monkeypatch.setattr(paths, "_inputs", kept)
+    monkeypatch.setattr(paths, "ASKS", 2)
+    assert costs() == want and all(x[0] == "ok" for x in want.values())
+    assert len(plans) > 2 and not any(re.search(r"BroadcastHashJoin [^\n]*(Inner|LeftOuter)", x) for x in plans)
+    assert not any(re.search(r"ReadSchema: [^\n]*labels:", x) for x in plans)
+
+
 def test_radius_join_against_all_pairs(spark):
     n = Network(spark, SF)
     points = n.crashes.withColumnRenamed("crash_id", "point_id")
