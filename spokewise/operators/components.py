@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import drop, stash
+from ..storage import apart, drop, stash
 
 #: Edges that a task joins at a time, and edges of a whole graph that one task joins.
 HELD, LAST = 500_000, 200_000
@@ -84,7 +84,7 @@ def met(rows: DataFrame, by: str, groups: DataFrame, key: str, total: int) -> Da
     there = rows.join(F.broadcast(hot), F.col(by) == F.col("_hot"), "left")
     # a row met already has no key any more, and so goes anywhere
     there = there.withColumn("_by", F.when(F.col("_hot").isNull(), F.col(by)))
-    out = there.join(cold, F.col("_by") == F.col("_key"), "left")
+    out = there.join(apart(cold), F.col("_by") == F.col("_key"), "left")
     return out.select(*rows.columns, *(F.coalesce(F.col(f"_hot_{c}"), F.col(c)).alias(c) for c in own))
 
 
@@ -121,11 +121,11 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     # the bound on these rows makes one task of them
     found = stash(stars(pairs.coalesce(1), last + 1, True).select(F.col("u").alias("node"), F.col("v").alias("root")), "roots")
     for goes in reversed(rounds):
-        sizes = found.join(goes.groupBy("to").agg(F.count("*").alias("n")), F.col("to") == F.col("node"), "right").select(F.col("to").alias("node"), F.coalesce("root", "to").alias("root"), "n")
+        sizes = found.join(apart(goes.groupBy("to").agg(F.count("*").alias("n"))), F.col("to") == F.col("node"), "right").select(F.col("to").alias("node"), F.coalesce("root", "to").alias("root"), "n")
         found = stash(met(goes.select(F.col("u").alias("node"), "to"), "to", sizes, "node", goes.count()).select("node", "root"), "roots")
     nodes = known.select("u").distinct()
     if not rounds:
-        return nodes.join(found, nodes.u == found.node, "left").select(F.col("u").alias("node"), F.coalesce("root", "u").alias("component"))
-    all_of = nodes.join(found, nodes.u == found.node, "left").select("u", F.coalesce("root", "u").alias("root"))
+        return nodes.join(apart(found), nodes.u == found.node, "left").select(F.col("u").alias("node"), F.coalesce("root", "u").alias("component"))
+    all_of = nodes.join(apart(found), nodes.u == found.node, "left").select("u", F.coalesce("root", "u").alias("root"))
     least = stash(all_of.groupBy("root").agg(F.min("u").alias("component"), F.count("*").alias("n")), "least")
     return met(all_of, "root", least, "root", all_of.count()).select(F.col("u").alias("node"), "component")
