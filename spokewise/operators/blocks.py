@@ -19,11 +19,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import params as P
-from ..storage import stash, stash_bucketed
+from ..storage import apart, stash, stash_bucketed
 from .ways import numbered
 
 #: Nodes of a block, requests that meet a block in one row, blocks that a worker keeps.
 NODES, ASKS, KEPT = 12_000, 128, 2
+#: Blocks of a bucket: Spark reads all rows of a bucket at once, as they are fewer than a batch.
+IN_BUCKET = 2
 #: A request with more labels than this that are kept is sent on at once, so a worker holds those of one.
 SENT = 5_000
 LETTER = "struct<edge: bigint, to_node: bigint, cost: double, used: double, length: double, p_edge: bigint, p_used: double, p_src: int, seg: array<bigint>>"
@@ -83,7 +85,7 @@ def homes(edges: DataFrame, nodes: DataFrame | None, size: int) -> DataFrame:
     if nodes is None:
         ends = ends.withColumns({"lat": F.lit(None).cast("double"), "lon": F.lit(None).cast("double"), "z": F.col("node")})
     else:
-        ends = ends.join(nodes.select(F.col("node_id").alias("node"), number("lat"), number("lon")), "node", "left")
+        ends = ends.join(apart(nodes.select(F.col("node_id").alias("node"), number("lat"), number("lon"))), "node", "left")
         ends = ends.withColumn("z", F.coalesce(z_order(F.col("lat"), F.col("lon")), F.lit(0).cast("long")))
     return stash(numbered(ends, "i", ["z", "node"]).select("node", F.floor(F.col("i") / size).cast("int").alias("block"), "lat", "lon"), "homes")
 
@@ -94,16 +96,20 @@ def blocks_of(costs: DataFrame, turns: DataFrame | None = None, nodes: DataFrame
     number = lambda c: F.col(c).cast("double").alias(c)
     spent = F.when(F.col("over"), F.col("length_m").cast("double")).otherwise(0.0) if budget_m is not None else F.lit(0.0)
     e = costs.where("allowed").select(F.col("edge_id").cast("long").alias("edge_id"), F.col("from_node").cast("long").alias("from_node"), F.col("to_node").cast("long").alias("to_node"), number("length_m"), number("cost"), spent.alias("spent"))
-    e = e.join(homes(e, nodes, size).withColumnRenamed("node", "to_node"), "to_node")
-    e = stash(e if landmarks is None else e.join(landmarks.select("edge_id", "marks"), "edge_id", "left"), "ridable")
-    pairs = e.select(F.col("edge_id").alias("in_edge"), F.col("to_node").alias("from_node"), F.col("block").alias("home")).join(e.drop("marks"), "from_node")
+    e = stash(e, "allowed")  # read five times below, and costs may be long in the making
+    e = e.join(apart(homes(e, nodes, size).withColumnRenamed("node", "to_node")), "to_node")
+    e = stash(e if landmarks is None else e.join(apart(landmarks.select("edge_id", "marks")), "edge_id", "left"), "ridable")
+    pairs = e.select(F.col("edge_id").alias("in_edge"), F.col("to_node").alias("from_node"), F.col("block").alias("home")).join(apart(e.drop("marks")), "from_node")
     if turns is None:
         pairs = pairs.withColumn("turn_cost", F.lit(0.0))
     else:
-        pairs = pairs.join(turns.select("in_edge", F.col("out_edge").alias("edge_id"), number("turn_cost")), ["in_edge", "edge_id"], "left").fillna(0.0, ["turn_cost"])
+        pairs = pairs.join(apart(turns.select("in_edge", F.col("out_edge").alias("edge_id"), number("turn_cost"))), ["in_edge", "edge_id"], "left").fillna(0.0, ["turn_cost"])
     pairs = stash(pairs.drop("from_node"), "moves")
     move = F.struct("in_edge", "edge_id", "to_node", "cost", "turn_cost", "spent", "length_m", "block", "lat", "lon")
-    rows, n_marks = pairs.groupBy(F.col("home").alias("block")).agg(F.collect_list(move).alias("moves")), 0
+    mean, last = e.agg(F.sum("cost") / F.nullif(F.sum("length_m"), F.lit(0.0)), F.max("block")).first()
+    parts = max(int(costs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-((last or 0) + 1) // IN_BUCKET))
+    dealt = pairs.withColumnRenamed("home", "at").repartition(parts, "at")
+    rows, n_marks = dealt.groupBy(F.col("at").alias("block")).agg(F.collect_list(move).alias("moves")), 0
     if landmarks is None:
         rows = rows.withColumn("marks", F.lit(None).cast("array<struct<edge_id: bigint, marks: array<double>>>"))
     else:  # of edges that end in the block or leave it
@@ -111,31 +117,49 @@ def blocks_of(costs: DataFrame, turns: DataFrame | None = None, nodes: DataFrame
         near = e.select("block", "edge_id").unionByName(pairs.select(F.col("home").alias("block"), "edge_id")).distinct()
         near = near.join(e.where("marks IS NOT NULL").select("edge_id", "marks"), "edge_id")
         rows = rows.join(near.groupBy("block").agg(F.collect_list(F.struct("edge_id", "marks")).alias("marks")), "block", "left")
-    parts = int(costs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     buckets = min(max(1, buckets), P.BUDGET_BUCKETS_MOST) if buckets else None
-    mean = e.agg(F.sum("cost") / F.nullif(F.sum("length_m"), F.lit(0.0))).first()[0]
     return Blocks(e, pairs, stash_bucketed(rows, "blocks", "block", parts), max(1.0, mean or 1.0), budget_m, buckets, max(n_marks, 0))
 
 
 # --- inside a task ------------------------------------------------------------------------------------
 
-_kept: OrderedDict[tuple[str, int], tuple[dict, dict, np.ndarray]] = OrderedDict()
+class Moves:
+    """The moves out of each edge of a block: its columns, sorted by the edge that one comes by. Rows are made of them
+    for edges that a search takes only, so short trips don't cost a whole block."""
 
+    def __init__(self, moves: pa.StructArray):
+        self.into = moves.field("in_edge").to_numpy(zero_copy_only=False)
+        order = np.argsort(self.into, kind="stable")
+        self.into = self.into[order]
+        self.columns = [_values(moves.field(c))[order] for c in ("edge_id", "to_node", "cost", "turn_cost", "spent", "length_m", "block", "lat", "lon")]
+        self.made: dict[int, list[tuple]] = {}
 
-def opened(name: str, block: int, moves: pa.StructArray, marks: pa.StructArray | None) -> tuple[dict[int, list[tuple]], dict[int, int], np.ndarray]:
+    def get(self, edge: int, none: tuple = ()) -> list[tuple]:
+        found = self.made.get(edge)
+        if found is None:
+            a, b = np.searchsorted(self.into, edge, "left"), np.searchsorted(self.into, edge, "right")
+            found = self.made[edge] = list(zip(*(c[a:b].tolist() for c in self.columns)))
+        return found or none
+
+
+def _values(column: pa.Array) -> np.ndarray:
+    """A column as an array, nulls as None."""
+    return np.array(column.to_pylist(), dtype=object) if column.null_count else column.to_numpy(zero_copy_only=False)
+
+
+_kept: OrderedDict[tuple[str, int], tuple[Moves, dict, np.ndarray]] = OrderedDict()
+
+
+def opened(name: str, block: int, moves: pa.StructArray, marks: pa.StructArray | None) -> tuple[Moves, dict[int, int], np.ndarray]:
     """The moves out of each edge, and the rows of edges in a table of their marks; the last blocks opened stay with
     the worker."""
     held = _kept.get((name, block))
     if held is None:
-        found: dict[int, list[tuple]] = {}
-        columns = [moves.field(c).to_pylist() for c in ("in_edge", "edge_id", "to_node", "cost", "turn_cost", "spent", "length_m", "block", "lat", "lon")]
-        for a, *move in zip(*columns):
-            found.setdefault(a, []).append(tuple(move))
         row, table = {}, np.zeros((0, 0))
         if marks is not None and len(marks):
             row = {edge: k for k, edge in enumerate(marks.field("edge_id").to_pylist())}
             table = marks.field("marks").flatten().to_numpy(zero_copy_only=False).reshape(len(marks), -1)
-        held = _kept[name, block] = found, row, table
+        held = _kept[name, block] = Moves(moves), row, table
         while len(_kept) > KEPT:
             _kept.popitem(last=False)
     return held
@@ -157,7 +181,7 @@ class Found:
     labels: list[dict] = field(default_factory=list)
 
 
-def search(block: int, moves: dict[int, list[tuple]], ask: dict, limits: Limits, marked: dict[int, int], marks: np.ndarray) -> Found:
+def search(block: int, moves: Moves, ask: dict, limits: Limits, marked: dict[int, int], marks: np.ndarray) -> Found:
     """All labels of a block by order of cost (and the least that is left: the straight way, or by landmarks), from
     all letters that came in.
 
