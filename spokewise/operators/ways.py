@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import tags as T
 from ..functions.geo import end_bearings, shape_length_m
+from ..storage import stash
 
 
 def usable_ways(ways: DataFrame) -> DataFrame:
@@ -50,7 +51,8 @@ def split_ways(ways: DataFrame, places: DataFrame) -> DataFrame:
     cuts = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | (i == n - 1) | F.get(F.col("line"), i)["is_split"])
     lines = lines.withColumn("cuts", cuts)
     pairs = F.zip_with(F.slice("cuts", 1, F.size("cuts") - 1), F.slice("cuts", 2, F.size("cuts") - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-    pieces = lines.select("way_id", "line", F.posexplode(pairs).alias("segment", "cut"))
+    # not outer, Spark would filter by the array before, and so make it twice
+    pieces = lines.select("way_id", "line", F.posexplode_outer(pairs).alias("segment", "cut")).where("segment IS NOT NULL")
     kept = F.slice("line", F.col("cut.a") + 1, F.col("cut.b") - F.col("cut.a") + 1)
     return pieces.select("way_id", F.col("segment").cast("int").alias("segment"), kept.alias("points"))
 
@@ -73,7 +75,7 @@ def build_edges(pieces: DataFrame, ways: DataFrame) -> DataFrame:
     first, last = F.col("nodes")[0], F.element_at("nodes", -1)
     forward = F.when(F.col("forward"), F.struct(F.lit(0).alias("back"), first.alias("from_osm"), last.alias("to_osm"), F.col("shape").alias("shape")))
     back = F.when(F.col("backward"), F.struct(F.lit(1).alias("back"), last.alias("from_osm"), first.alias("to_osm"), F.reverse("shape").alias("shape")))
-    out = good.withColumn("way", F.explode(F.array_compact(F.array(forward, back))))
+    out = good.withColumn("way", F.explode_outer(F.array(forward, back))).where("way IS NOT NULL")
     start, end = end_bearings(F.col("way.shape"))
     kept = ["highway", "name", "infra_class", "surface", "maxspeed_mph", "lanes", "lit"]
     return out.select(F.col("way_id").alias("osm_way_id"), "segment", "way.back", "way.from_osm", "way.to_osm", "way.shape", "length_m", *kept, start.alias("bearing_start"), end.alias("bearing_end"))
@@ -86,10 +88,11 @@ def build_graph(ways: DataFrame, map_nodes: DataFrame, dense: bool = True) -> tu
     all nodes and edges once. Without
     it, map node ids are the node ids and edges have a hash of way, piece and direction.
     """
-    usable = usable_ways(ways)
+    usable = stash(usable_ways(ways), "usable")
     uses = node_uses(usable)
     seen = referenced_nodes(map_nodes, uses)
-    pieces = shaped(split_ways(usable, uses.select("osm_node_id", "is_split").join(map_nodes.select("osm_node_id", "lat", "lon"), "osm_node_id", "left")))
+    # written once: a filter on what is made of lists would make them again, and nodes, edges and counts each read all
+    pieces = stash(shaped(split_ways(usable, uses.select("osm_node_id", "is_split").join(map_nodes.select("osm_node_id", "lat", "lon"), "osm_node_id", "left"))), "pieces")
     left_out = pieces.agg(F.count_if(F.col("problem") == "missing").alias("skipped_missing"), F.count_if(F.col("problem") == "degenerate").alias("skipped_degenerate"))
     edges = build_edges(pieces, usable)
     along = F.when(F.col("back") == 0, F.array("from_osm", "to_osm")).otherwise(F.array("to_osm", "from_osm"))
@@ -111,8 +114,6 @@ def build_graph(ways: DataFrame, map_nodes: DataFrame, dense: bool = True) -> tu
 def numbered(df: DataFrame, name: str, by: list[str]) -> DataFrame:
     """Numbers from 0 in the order of ``by``: sorted by ranges, each range's rows counted, then numbered within."""
     parts = df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_part", F.spark_partition_id())
-    from ..storage import stash
-
     parts = stash(parts, "numbered")
     before = parts.groupBy("_part").agg(F.count("*").alias("n"))
     before = before.select("_part", (F.sum("n").over(Window.orderBy("_part")) - F.col("n")).alias("_before"))

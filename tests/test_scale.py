@@ -49,3 +49,23 @@ def test_nodes_of_several_fields_are_ranked_as_numbers():
     nodes = pa.array([{"a": 2, "b": "x"}, {"a": 1, "b": "y"}, {"a": 1, "b": "x"}, {"a": 2, "b": "x"}, {"a": 1, "b": "y"}])
     rank, where = C.ranked(nodes)
     assert rank.dtype == np.int64 and rank.tolist() == [2, 1, 0, 2, 1] and where.tolist() == [2, 1, 0]
+
+
+def test_ways_are_read_once(spark):
+    from spokewise.operators import ways
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    w = spark.createDataFrame([(i, {"highway": "residential"}, [i, i + 1, i + 2]) for i in range(0, 40, 2)], "way_id long, tags map<string,string>, nodes array<long>")
+    at = spark.range(42).select(F.col("id").alias("osm_node_id"), (30 + F.col("id") / 1000).alias("lat"), F.lit(-97.0).alias("lon"), F.create_map(F.lit("a"), F.lit("b")).alias("tags"))
+    nodes, edges, left_out = ways.build_graph(w.mapInArrow(count, w.schema), at, dense=False)
+    assert (nodes.count(), edges.count(), tuple(left_out.first())) == (21, 40, (0, 0))
+    assert seen.value == 20
+    short = spark.createDataFrame([(1, [5]), (2, [5, 6])], "way_id long, nodes array<long>")
+    pieces = ways.split_ways(short, ways.node_uses(short).select("osm_node_id", "is_split"))
+    assert [tuple(r) for r in pieces.select("way_id", "segment").collect()] == [(2, 0)]
