@@ -166,7 +166,7 @@ def inserted(m: np.ndarray, copies: int) -> np.ndarray:
 
 def words_of_texts(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Which words each text has, as pairs in order of the texts, and the letters of all words."""
-    rows, names, known, shapes = [], [], [np.zeros(0, dtype=np.uint64)], [np.zeros((0, STRETCH + 2), dtype=np.uint8)]
+    rows, names, known, shapes = [], [], np.zeros(0, dtype=np.uint64), np.zeros((0, STRETCH + 2), dtype=np.uint8)
     for k in range(0, len(texts), 100):
         flat, off = flat_bytes(pa.array(texts[k : k + 100], pa.string()))
         start, end, row = unit_places(flat, off)
@@ -178,10 +178,10 @@ def words_of_texts(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray
         rows.append((row_[new] + k).astype(np.int32))
         names.append(name_[new])
         own, at = np.unique(name, return_index=True)
-        known.append(own)
-        shapes.append(letters(flat, start[at], end[at]))
-    all_names, at = np.unique(np.concatenate(known), return_index=True)
-    return np.concatenate(rows or [np.zeros(0, np.int32)]), np.searchsorted(all_names, np.concatenate(names or [all_names])), np.concatenate(shapes)[at]
+        place = np.searchsorted(known, own)
+        fresh = np.searchsorted(known, own, "right") == place  # each word's letters are kept once
+        known, shapes = np.insert(known, place[fresh], own[fresh]), np.insert(shapes, place[fresh], letters(flat, start[at[fresh]], end[at[fresh]]), axis=0)
+    return np.concatenate(rows or [np.zeros(0, np.int32)]), np.concatenate([np.searchsorted(known, x).astype(np.int32) for x in names] or [np.zeros(0, np.int32)]), shapes
 
 
 def fit(texts: list[str], toxic: list[int]) -> Model:
@@ -276,10 +276,18 @@ def train(docs: DataFrame, labels: DataFrame, held_out: Column, id_col: str = "d
     ids = {r.id: r.y for p in parts for r in p.collect()}
     if not ids:
         return fit([], [])
-    wanted = F.broadcast(docs.sparkSession.createDataFrame([(i,) for i in ids], "id long"))
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(wanted, "id").where(F.octet_length("text").between(1, row_bytes)).groupBy("id").agg(F.min("text").alias("text"))
-    rows = sorted((r.id, r.text) for r in texts.collect())
-    return fit([t for _, t in rows], [ids[i] for i, _ in rows])
+    wanted = F.broadcast(docs.sparkSession.createDataFrame(list(ids.items()), "id long, y int"))
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(wanted, "id").where(F.octet_length("text").between(1, row_bytes)).groupBy("id", "y").agg(F.min("text").alias("text"))
+    made = texts.repartition(1).mapInArrow(fitted, "weights binary, bias double, slope double, shift double").first()
+    return fit([], []) if made is None else Model(np.frombuffer(made.weights, dtype=np.float32), made.bias, made.slope, made.shift)
+
+
+def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The model of one task's rows ``id, y, text``, a bounded sample, as one row: the driver gets no texts and holds
+    nothing of the fit."""
+    rows = sorted((i, t, y) for b in batches for i, t, y in zip(*(b.column(c).to_pylist() for c in ("id", "text", "y"))))
+    model = fit([t for _, t, _ in rows], [y for _, _, y in rows])
+    yield pa.RecordBatch.from_pylist([{"weights": model.table.tobytes(), "bias": model.bias, "slope": model.slope, "shift": model.shift}], pa.schema([("weights", pa.binary()), ("bias", pa.float64()), ("slope", pa.float64()), ("shift", pa.float64())]))
 
 
 def score_texts(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

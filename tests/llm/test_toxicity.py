@@ -90,6 +90,27 @@ def test_without_labels(spark):
     assert [r.score for r in toxicity.score_texts(docs, model).collect()] == [0.5]
 
 
+def test_fitted_in_a_task(spark, monkeypatch):
+    r = random.Random(8)
+    rows = [(i, " ".join(r.choices(["tiles", "lines", "sun", "oar", "net", "rose"], k=6)) + (" dimwit" if i % 3 == 0 else "")) for i in range(60)]
+    docs = spark.createDataFrame(rows + [(1, rows[1][1]), (99, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i, _ in rows] + [(99, 1)], "doc_id long, toxic int")
+    want = toxicity.fit([t for _, t in rows], [int(i % 3 == 0) for i, _ in rows])
+    monkeypatch.setattr(toxicity, "fit", lambda *_: pytest.fail("the driver fits"))
+    got = toxicity.train(docs, labels, F.lit(False))
+    assert got.table == pytest.approx(want.table) and (got.bias, got.slope, got.shift) == pytest.approx((want.bias, want.slope, want.shift))
+
+
+def test_words_of_texts():
+    texts = [f"one two{k % 7} one x{k}" for k in range(250)]
+    row, word, shapes = toxicity.words_of_texts(texts)
+    assert len(shapes) == len({w for t in texts for w in t.split()}) == len({bytes(x) for x in shapes}) and np.bincount(row).tolist() == [3] * 250
+    flat, off = flat_bytes(pa.array(texts))
+    start, end, at = toxicity.unit_places(flat, off)
+    for k, x in enumerate(toxicity.letters(flat, start, end)):
+        assert bytes(x) in {bytes(shapes[w]) for w in word[row == at[k]]}
+
+
 def test_held_out_accuracy(spark, sf_more):
     found = queries.op3_toxicity(spark, sf_more).where("held_out").join(queries.table(spark, sf_more, "labels").select("doc_id", "toxic"), "doc_id").collect()
     right = sum(r.predicted == r.toxic for r in found)
