@@ -33,6 +33,8 @@ LANDMARKS, ROUNDS, RIDGE = 200, 5, 3e-4
 TELLING, SURE, SHARE = 2.0, 3.5, 0.02
 #: Copies of each witness with a letter put in, for training.
 COPIES = 5
+#: Letters of training texts that are looked at together, one text at least.
+PART = 100_000
 #: Letters of a word that are looked at together; longer words are looked at in overlapping stretches.
 STRETCH = 24
 
@@ -142,10 +144,12 @@ def svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float) -> tuple
     w = np.zeros(x.shape[1])
     for _ in range(50):
         inside = y * (x @ w) < 1
-        a, t = x[inside] * weight[inside, None], y[inside]
+        near, t = x[inside], y[inside]
+        a = near * weight[inside, None]
         hold = ridge * weight.sum() * np.eye(len(w))
         hold[-1, -1] *= 1e-3
-        new = np.linalg.solve(a.T @ x[inside] + hold, a.T @ t)
+        new = np.linalg.solve(a.T @ near + hold, a.T @ t)
+        del near, a
         if np.allclose(new, w, atol=1e-9):
             break
         w = new
@@ -167,8 +171,9 @@ def inserted(m: np.ndarray, copies: int) -> np.ndarray:
 def words_of_texts(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Which words each text has, as pairs in order of the texts, and the letters of all words."""
     rows, names, known, shapes = [], [], np.zeros(0, dtype=np.uint64), np.zeros((0, STRETCH + 2), dtype=np.uint8)
-    for k in range(0, len(texts), 100):
-        flat, off = flat_bytes(pa.array(texts[k : k + 100], pa.string()))
+    part = np.cumsum([len(t) for t in texts]) // PART  # long texts make short parts, as each letter takes many bytes below
+    for k, end in zip(cuts := [0, *(np.flatnonzero(np.diff(part)) + 1).tolist()], [*cuts[1:], len(texts)]):
+        flat, off = flat_bytes(pa.array(texts[k:end], pa.string()))
         start, end, row = unit_places(flat, off)
         name = Sums(flat).of(start, end)
         order = np.lexsort((name, row))
@@ -238,11 +243,10 @@ def fit(texts: list[str], toxic: list[int]) -> Model:
     others = rng.permutation(clean_words)[:6_000]
     rivals = np.unique(np.r_[rival, others])
     for step in range(ROUNDS):
-        x = np.r_[placed(m[witness]), placed(inserted(m[witness], COPIES)), placed(m[rivals])]
         n = len(witness)
         t = np.r_[np.ones((1 + COPIES) * n), -np.ones(len(rivals))]
         weight = np.r_[np.full(n, 0.5 / n), np.full(COPIES * n, 0.5 / (COPIES * n)), np.full(len(rivals), 1 / len(rivals))]
-        w, bias = svm(x, t, weight, RIDGE)
+        w, bias = svm(np.r_[placed(m[witness]), placed(inserted(m[witness], COPIES)), placed(m[rivals])], t, weight, RIDGE)
         table = np.zeros(1 << 18, dtype=np.float32)
         table[known] = (whiten @ w) @ phi
         value = np.concatenate([folded(p, table) for p in np.array_split(m, 1 + len(m) // 20_000)]) + bias
