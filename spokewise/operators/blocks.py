@@ -62,6 +62,8 @@ class Limits:
     keep_labels: bool = False
     #: Whether labels and letters name the edges since the letter before; a path is laid out by them.
     keep_paths: bool = True
+    #: Whether one run settles a request: it ends where the goal, or a label that left, is the next.
+    alone: bool = False
 
     def bucket(self, used: float) -> int:
         return 0 if self.budget_m is None or self.buckets == 1 else min(self.buckets - 1, int(used / (self.budget_m / self.buckets)))
@@ -133,6 +135,13 @@ class Moves:
         self.into = self.into[order]
         self.columns = [_values(moves.field(c))[order] for c in ("edge_id", "to_node", "cost", "turn_cost", "spent", "length_m", "block", "lat", "lon")]
         self.made: dict[int, list[tuple]] = {}
+        self.block: int | None = None
+
+    def enclose(self, block: int) -> None:
+        """Makes one block of all edges that have moves here, and lets others lie outside."""
+        self.block, own = block, np.unique(self.into)
+        at = np.minimum(np.searchsorted(own, self.columns[0]), max(0, len(own) - 1))
+        self.columns[6] = np.where(own[at] == self.columns[0], block, -1)
 
     def get(self, edge: int, none: tuple = ()) -> list[tuple]:
         found = self.made.get(edge)
@@ -176,6 +185,8 @@ class Found:
 
     n: int = 0
     waits: float | None = None
+    #: The least that a label which left the block comes to, with what is left.
+    gone: float | None = None
     goal: dict | None = None
     mail: dict[int, list[dict]] = field(default_factory=dict)
     labels: list[dict] = field(default_factory=list)
@@ -233,6 +244,8 @@ def search(block: int, moves: Moves, ask: dict, limits: Limits, marked: dict[int
         if f > horizon:
             waits = min(waits, f)
             break  # so do all the others
+        if limits.alone and (f > bound or (out.gone is not None and f >= out.gone)):
+            break
         state = edge if limits.exact else (edge, limits.bucket(used))
         if state in first and (not limits.exact or used >= first[state]):
             continue
@@ -262,13 +275,14 @@ def search(block: int, moves: Moves, ask: dict, limits: Limits, marked: dict[int
                 if done is None or (limits.exact and u < done):
                     heapq.heappush(heap, (f, c, u, to, here, entry, length + metres_of, to_node))
             else:
+                out.gone = f if out.gone is None else min(out.gone, f)
                 box = leaving.setdefault(to_block, {})
                 key = (to, u) if limits.exact else (to, limits.bucket(u))
                 new = (c, u, length + metres_of, here, to_node)
                 if key not in box or new < box[key]:
                     box[key] = new
     out.n, out.waits = len(taken), waits if waits <= bound and waits < inf else None
-    for dst, box in leaving.items():
+    for dst, box in () if limits.alone else leaving.items():
         rows = []
         least: dict[int, float] = {}
         for (to, _), (c, u, m, back, to_node) in sorted(box.items(), key=lambda kv: (kv[0][0], kv[1])):

@@ -11,9 +11,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from spokewise.operators import components as C
-from spokewise.operators import blocks, network, paths, pressure, routes, spatial, terrain, updates, ways
+from spokewise.operators import blocks, near, network, paths, pressure, routes, spatial, terrain, updates, ways
 from spokewise.functions.geo import points_wkt
-from spokewise.plans.api import bench_routing, failure, plan_route, random_pairs, worst_status
+from spokewise.plans.api import bench_routing, cost_table, failure, plan_route, random_pairs, turn_table, worst_status
 from spokewise.plans.fixture import Network
 from spokewise.profiles import PROFILES
 
@@ -541,3 +541,20 @@ def test_statistics(spark):
 def test_nodes_in_order_of_first_use(spark):
     nodes, edges, _ = lay(spark, [[12, 10], [10, 11]])
     assert [x.osm_node_id for x in nodes.orderBy("node_id").collect()] == [12, 10, 11]
+
+
+def test_near_trips(spark, monkeypatch):
+    """Short trips take no rounds; those that leave their region are handed back, and get the same routes."""
+    n, p, rounds, spread = Network(spark, SF), PROFILES["comfortable"], [], paths.spread
+    asks = n.requests.orderBy("query_id").limit(3).unionByName(spark.createDataFrame([(901, 0, 0), (902, 0, 10**9)], "query_id long, from_node long, to_node long"))
+    costs, turns = cost_table(n.stored, p), turn_table(n.stored, n.nodes, p)
+    monkeypatch.setattr(paths, "spread", lambda *a: rounds.append(1) or spread(*a))
+
+    def routed():
+        got = paths.route_requests(asks, costs, turns, n.nodes, p.stress_budget_m, n_alternatives=1, block_nodes=60)
+        return sorted((x.query_id, x.choice, x.status, x.edges, x.cost and round(x.cost, 6), x.length_m) for x in got.collect())
+
+    at_once = routed()
+    assert not rounds and [x[:4] for x in at_once[-2:]] == [(901, 0, "ok", []), (902, 0, "unknown_node", None)] and any(x[1] for x in at_once)
+    monkeypatch.setattr(near, "REACH", 0.01)
+    assert routed() == at_once and rounds
