@@ -6,7 +6,8 @@ import random
 
 import pytest
 
-from spokewise.operators import landmarks, paths
+from spokewise.operators import crossing, landmarks, paths
+from spokewise.plans import registry
 from spokewise.plans.api import cost_table, turn_table
 from spokewise.plans.fixture import Network
 from spokewise.profiles import PROFILES
@@ -98,3 +99,36 @@ def test_long_trips_meet_fewer_labels(spark):
         assert {(r.query_id, r.choice): (r.status, r.cost and round(r.cost, 6)) for r in plain} == {(r.query_id, r.choice): (r.status, r.cost and round(r.cost, 6)) for r in guided}
         spent = [sum(r.expansions for r in rows if r.choice == 0) for rows in (plain, guided)]
         assert spent[1] * 2 <= spent[0], spent
+
+
+@pytest.mark.parametrize("block_nodes", [1, 5, 100])
+def test_crossings_cost_what_a_search_costs(spark, block_nodes):
+    """Trips by crossings of blocks, also those that leave a block and come back, against a plain heap."""
+    place, edges, turn = made(7, 20, 0.12)
+    edges.append((3, 50, 10, 10.0, False))  # a dead end in a place of its own
+    turn |= {(i, len(edges) - 1): 1.0 for i, e in enumerate(edges) if e[1] == 3}
+    nodes = spark.createDataFrame([(k, *v) for k, v in place.items()], "node_id long, lat double, lon double")
+    turns = spark.createDataFrame([(i, j, t) for (i, j), t in turn.items()], "in_edge long, out_edge long, turn_cost double")
+    pairs = [(a, b) for a in (0, 3, 5, 11) for b in (*range(20), 50)] + [(0, 99), (99, 99), (50, 0)]
+    got = {r.query_id: r for r in crossing.trip_costs(asked(spark, *pairs), cost_rows(spark, edges), turns, nodes, block_nodes).collect()}
+    assert len(got) == len(pairs)
+    ends = {k for e in edges for k in e[:2]}
+    for q, (a, b) in enumerate(pairs):
+        if a == b:
+            assert (got[q].status, got[q].cost) == ("ok", 0.0)
+        else:
+            least = min((c for e, c in plain_costs(edges, Turns(turn), a).items() if edges[e][1] == b), default=None)
+            status = "ok" if least is not None else "unroutable" if {a, b} <= ends else "unknown_node"
+            assert got[q].status == status and got[q].cost == (least if least is None else pytest.approx(least)), (a, b)
+
+
+class Turns(dict):
+    def __missing__(self, key):
+        return 0.0
+
+
+def test_long_trips_take_no_rounds(spark, monkeypatch):
+    """A query of long trips sweeps each block once, however many trips meet it."""
+    monkeypatch.setattr(paths, "spread", None)
+    n = Network(spark, SF)
+    assert registry.QUERIES["route_cost_long"](spark, SF).count() == n.requests_far.count() > 0
