@@ -1,5 +1,6 @@
 """Operators on small inputs made by hand, and against plain Python versions."""
 
+import collections
 import heapq
 import itertools
 import math
@@ -7,6 +8,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -558,3 +560,32 @@ def test_near_trips(spark, monkeypatch):
     assert not rounds and [x[:4] for x in at_once[-2:]] == [(901, 0, "ok", []), (902, 0, "unknown_node", None)] and any(x[1] for x in at_once)
     monkeypatch.setattr(near, "REACH", 0.01)
     assert routed() == at_once and rounds
+
+
+@pytest.mark.parametrize("exact", [True, False])
+def test_a_request_that_no_way_serves_is_told_nearby(exact):
+    """A goal that is dear to come to from all sides, in a graph that goes on around the region."""
+    size, dear = 20, {(5, 5), (8, 7)}
+    places = [(x, y) for x in range(size) for y in range(size)]
+    edges = [(a, b, 100.0 + (7 * a[0] + b[1]) % 20) for a in places for b in places if abs(a[0] - b[0]) + abs(a[1] - b[1]) == 1]
+    number = {x: k for k, x in enumerate(places)}
+    spent = [e[2] if dear & {e[0], e[1]} else 0.0 for e in edges]
+    out = {x: [i for i, e in enumerate(edges) if e[0] == x] for x in places}
+    move = lambda i, j: {"in_edge": i, "edge_id": j, "to_node": number[edges[j][1]], "cost": edges[j][2], "turn_cost": 0.0, "spent": spent[j], "length_m": edges[j][2], "block": 0, "lat": None, "lon": None}
+    moves = blocks.Moves(pa.array([move(i, j) for i, e in enumerate(edges) if max(e[1]) < 12 for j in out[e[1]]]))
+    moves.enclose(0)
+
+    def told(start, goal, budget):
+        limits = blocks.Limits(budget, 1 if exact else 4, exact, alone=True)
+        letters = [{"src": -1, "edge": i, "to_node": number[edges[i][1]], "cost": edges[i][2], "used": spent[i], "length": edges[i][2]} for i in out[start]]
+        ask = {"query_id": 1, "from_node": number[start], "goal": number[goal], "goal_lat": None, "goal_lon": None, "letters": letters, "ends": [i for i, e in enumerate(edges) if e[1] == goal]}
+        rows = near.routes(moves, ask, limits, 0, 10**6)
+        return rows and [(x["status"], x["cost"]) for x in rows]
+
+    assert told((3, 3), (5, 5), 90.0) == [("unroutable", None)] == told((5, 5), (8, 7), 150.0)
+    least = plain_budget([(number[a], number[b], m, m, spent[i] > 0) for i, (a, b, m) in enumerate(edges)], collections.defaultdict(float), number[4, 4], 150)
+    assert told((4, 4), (5, 5), 150.0) == [("ok", least[number[5, 5]])]
+    # ways outside may serve these, as far as is known here
+    assert told((3, 3), (15, 15), 90.0) is None and told((3, 3), (11, 11), 150.0) != [("unroutable", None)]
+    assert moves.spent_back([i for i, e in enumerate(edges) if e[1] == (5, 5)]) == min(m for a, b, m in edges if b == (5, 5))
+    assert moves.spent_back([i for i, e in enumerate(edges) if e[1] == (15, 15)]) == 0.0
