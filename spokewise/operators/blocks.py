@@ -69,10 +69,11 @@ class Limits:
         return 0 if self.budget_m is None or self.buckets == 1 else min(self.buckets - 1, int(used / (self.budget_m / self.buckets)))
 
 
-def z_order(lat: Column, lon: Column, bits: int = 24) -> Column:
-    """A number that neighbouring places mostly share the first digits of: the bits of both in turn."""
-    whole = lambda c, low, span: F.least(F.greatest(F.floor((c - low) / span * 2**bits), F.lit(0)), F.lit(2**bits - 1)).cast("long")
-    x, y = whole(lat, -90, 180), whole(lon, -180, 360)
+def z_order(lat: Column, lon: Column, south: float, west: float, span: float, bits: int = 24) -> Column:
+    """A number that neighbouring places mostly share the first digits of: the bits of both in turn, within a square of
+    ``span`` degrees. Places outside it count as at its edge."""
+    whole = lambda c, low: F.least(F.greatest(F.floor((c - F.lit(low)) / F.lit(span) * 2**bits), F.lit(0)), F.lit(2**bits - 1)).cast("long")
+    x, y = whole(lat, south), whole(lon, west)
     out = F.lit(0).cast("long")
     for k in range(bits):
         for c, to in ((x, 2 * k + 1), (y, 2 * k)):
@@ -88,7 +89,10 @@ def homes(edges: DataFrame, nodes: DataFrame | None, size: int) -> DataFrame:
         ends = ends.withColumns({"lat": F.lit(None).cast("double"), "lon": F.lit(None).cast("double"), "z": F.col("node")})
     else:
         ends = ends.join(apart(nodes.select(F.col("node_id").alias("node"), number("lat"), number("lon"))), "node", "left")
-        ends = ends.withColumn("z", F.coalesce(z_order(F.col("lat"), F.col("lon")), F.lit(0).cast("long")))
+        # the places' own square: of the whole map's, a table that goes beyond a pole would keep no order there
+        south, north, west, east = (x or 0.0 for x in nodes.select(number("lat"), number("lon")).agg(F.min("lat"), F.max("lat"), F.min("lon"), F.max("lon")).first())
+        z = z_order(F.col("lat"), F.col("lon"), south, west, max(north - south, east - west, 1e-9))
+        ends = ends.withColumn("z", F.coalesce(z, F.lit(0).cast("long")))
     return stash(numbered(ends, "i", ["z", "node"]).select("node", F.floor(F.col("i") / size).cast("int").alias("block"), "lat", "lon"), "homes")
 
 

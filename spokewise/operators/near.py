@@ -38,8 +38,8 @@ def regions(b: Blocks, wanted: DataFrame, metres: float, size: int) -> DataFrame
     spark = wanted.sparkSession
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * wanted.count())  # few regions in a task
     nodes = b.edges.where("lat IS NOT NULL AND lon IS NOT NULL").select(F.col("to_node").alias("node"), "block", "lat", "lon").distinct()
-    widest = nodes.agg(F.max(F.abs("lat"))).first()[0] or 0.0
-    high, wide = metres / METRES_A_DEGREE, metres / METRES_A_DEGREE / max(0.01, float(np.cos(np.radians(widest))))
+    narrow = nodes.agg(F.min(F.abs(F.cos(F.radians("lat"))))).first()[0] or 0.0
+    high, wide = metres / METRES_A_DEGREE, metres / METRES_A_DEGREE / max(0.01, narrow)
     nodes = nodes.select("node", "block", F.floor(F.col("lat") / high).alias("y"), F.floor(F.col("lon") / wide).alias("x"))
     step = F.explode(F.array(*map(F.lit, (-1, 0, 1))))
     cells = nodes.join(F.broadcast(wanted.select("block")), "block").select("block", "x", "y").distinct().withColumn("i", step).withColumn("j", step).select("block", (F.col("x") + F.col("i")).alias("x"), (F.col("y") + F.col("j")).alias("y")).distinct()

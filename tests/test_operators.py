@@ -639,3 +639,23 @@ def test_distances_as_by_expression(spark):
     for x, w in zip(rows, want):
         got = spatial.segment_distances(*(np.array([v]) for v in x))[0, 0]
         assert got == pytest.approx(w, abs=1e-8)
+
+
+@pytest.mark.parametrize("lat", [30.0, 100.0])
+def test_blocks_hold_neighbours_beyond_a_pole(spark, lat):
+    """A fixture of many rows goes beyond a pole; its blocks are as square there, so trips stay near their block."""
+    n = 32
+    nodes = spark.range(n * n).select(F.col("id").alias("node_id"), (F.lit(lat) + 0.0009 * F.floor(F.col("id") / n)).alias("lat"), (F.lit(-97.75) + 0.0009 * (F.col("id") % n)).alias("lon"))
+    edges = nodes.select(F.col("node_id").alias("from_node"), ((F.col("node_id") + 1) % (n * n)).alias("to_node"))
+    spans = blocks.homes(edges, nodes, 64).groupBy("block").agg(F.count("*").alias("n"), ((F.max("lat") - F.min("lat")) / 0.0009).alias("high"), ((F.max("lon") - F.min("lon")) / 0.0009).alias("wide")).collect()
+    assert len(spans) == 16 and all(x.n == 64 and x.high < 17 and x.wide < 17 for x in spans)
+
+
+def test_short_trips_beyond_a_pole_take_no_rounds(spark, monkeypatch):
+    n = 24
+    nodes = spark.range(n * n).select(F.col("id").alias("node_id"), (F.lit(100.0) + 0.0009 * F.floor(F.col("id") / n)).alias("lat"), (F.lit(8.0) + 0.005 * (F.col("id") % n)).alias("lon"))
+    at = lambda x, y: x * n + y
+    edges = [(a, b, 120 + (a + b) % 9) for x in range(n) for y in range(n) for i, j in ((x + 1, y), (x, y + 1)) if i < n and j < n for a, b in ((at(x, y), at(i, j)), (at(i, j), at(x, y)))]
+    monkeypatch.setattr(paths, "spread", None)
+    got = found(spark, edges, (at(5, 5), at(6, 6)), (at(15, 3), at(15, 4)), (at(8, 20), at(7, 20)), nodes=nodes, block_nodes=144)
+    assert [got[q, 0].status for q in range(3)] == ["ok"] * 3
